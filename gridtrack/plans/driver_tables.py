@@ -55,3 +55,27 @@ def raster(spark: SparkSession, sf_dir: str, config: TrackConfig = CONFIG) -> Ra
         rows=full.select("r", "lat").distinct(), cols=full.select("c", "lon").distinct(),
         frames=full.select("frame", "ts").distinct(),
     )
+
+
+COARSE = f"""
+SELECT window_start AS ts, r div 4 AS y, c div 4 AS x,
+       CAST(sum(cents) AS DOUBLE) / count(*) / 1000 - 2 AS value
+FROM (
+  SELECT date_trunc('day', ts) + make_dt_interval(0, CAST(hour(ts) div 3 * 3 AS INT)) AS window_start,
+         event_id % {ROWS} AS r,
+         (event_id div {ROWS}) % greatest({ROWS}, (SELECT count(*) FROM {{events}}) div {EVENTS_PER_COLUMN}) AS c,
+         CAST(round(value * 100) AS BIGINT) AS cents
+  FROM {{events}}
+) GROUP BY 1, 2, 3
+"""
+
+
+def rain_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(ts, lat, lon, value)``: a 3-hourly dataset on a grid four times coarser.
+
+    Cells with few high values come out negative, which means missing.
+    """
+    coarse = spark.sql(COARSE, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return coarse.select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), F.expr("5 + (y * 4 + 1.5D) * 0.25D").alias("lat"),
+        F.expr("-5 + (x * 4 + 1.5D) * 0.25D").alias("lon"), "value")
