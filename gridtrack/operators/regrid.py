@@ -32,15 +32,22 @@ class CoarseGrid:
 
 
 def coarse_grid(source: DataFrame) -> CoarseGrid:
-    """Index the coarse dataset; negative or NULL values are missing."""
+    """Index the coarse dataset; negative, NULL and absent values are missing."""
     folded = source.withColumn("lon", normalize_longitude("lon"))
     lat_axis, lon_axis = _axis(folded, "lat", "y"), _axis(folded, "lon", "x")
-    cells = (
+    lat, lon = _info(lat_axis, "lat"), _info(lon_axis, "lon")
+    given = (
         folded.join(lat_axis, "lat").join(lon_axis, "lon")
-        .select("ts", "y", "x", F.col("value").cast("double").alias("value"),
-                (F.col("value").isNull() | (F.col("value") < 0)).alias("missing"))
+        .select("ts", "y", "x", F.col("value").cast("double").alias("value"))
+    )
+    every = (
+        folded.select("ts").distinct()
+        .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(lat.size - 1))))
+        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(lon.size - 1))))
     )
-    return CoarseGrid(cells, _info(lat_axis, "lat"), _info(lon_axis, "lon"))
+    cells = every.join(given, ["ts", "y", "x"], "left").withColumn(
+        "missing", F.col("value").isNull() | (F.col("value") < 0))
+    return CoarseGrid(cells, lat, lon)
 
 
 def _axis(source: DataFrame, value: str, index: str) -> DataFrame:

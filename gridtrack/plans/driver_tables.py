@@ -59,7 +59,7 @@ def raster(spark: SparkSession, sf_dir: str, config: TrackConfig = CONFIG) -> Ra
 
 COARSE = f"""
 SELECT window_start AS ts, r div 4 AS y, c div 4 AS x,
-       CAST(sum(cents) AS DOUBLE) / count(*) / 1000 - 2 AS value
+       CAST(sum(cents) AS DOUBLE) / count(*) / 1367.879441171D - 2 AS value
 FROM (
   SELECT date_trunc('day', ts) + make_dt_interval(0, CAST(hour(ts) div 3 * 3 AS INT)) AS window_start,
          event_id % {ROWS} AS r,

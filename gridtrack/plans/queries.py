@@ -19,6 +19,7 @@ from gridtrack.sources import files
 
 CONFIG = data.CONFIG
 COMPONENT = CONFIG.with_options(element_mode="component")
+STRICT = CONFIG.with_options(area_min=160, convective_fraction=0.92)
 CLIP = CONFIG.with_options(lat_min=5.6, lat_max=8.1, lon_min=-4.3, lon_max=-2.1)
 
 
@@ -401,14 +402,12 @@ def accum_feature(spark, sf_dir):
 
 def element_precip_histogram(spark, sf_dir):
     nodes, _, rain, _ = _systems_only(spark, sf_dir, rain=True)
-    bins = plot_data.element_rain_histogram(nodes, rain)
-    return bins.groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"))
+    return _rounded_bins(plot_data.element_rain_histogram(nodes, rain))
 
 
 def feature_precip_histogram(spark, sf_dir):
     nodes, _, rain, _ = _systems_only(spark, sf_dir, rain=True)
-    bins = plot_data.feature_rain_histogram(nodes, rain)
-    return bins.groupBy("kind", "feature_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"))
+    return _rounded_bins(plot_data.feature_rain_histogram(nodes, rain))
 
 
 def masked_frames(spark, sf_dir):
@@ -480,7 +479,8 @@ def compare_runs(spark, sf_dir):
 
 
 def compare_nodes(spark, sf_dir):
-    left, right = _elements(spark, sf_dir)[1], _elements(spark, sf_dir, COMPONENT)[1]
+    """Elements of the default run against those of a stricter one."""
+    left, right = _elements(spark, sf_dir)[1], _elements(spark, sf_dir, STRICT)[1]
     return compare.only_in_one(left.accepted, right.accepted, ["frame", "ce_no"])
 
 
