@@ -9,6 +9,7 @@ from gridtrack.config import TrackConfig
 from gridtrack.functions.dates import floor_to_hours
 from gridtrack.operators.raster import Raster
 from gridtrack.operators.regrid import coarse_grid, regrid_bilinear
+from gridtrack.session import stage
 
 PRECIP_COLUMNS = ("precip_total", "precip_area", "precip_max", "precip_min")
 
@@ -20,7 +21,7 @@ def element_rain(pixels: DataFrame, source: DataFrame, raster: Raster, hours: in
     Cells without rain are absent.
     """
     slices = raster.frames.select("frame", floor_to_hours("ts", hours).alias("ts"))
-    wanted = source.join(slices.select("ts").distinct(), "ts", "left_semi")
+    wanted = stage(source.join(slices, "ts", "left_semi"), "rain-slices")
     targets = pixels.select("frame", "ce_no", "r", "c").join(slices, "frame")
     rain = regrid_bilinear(coarse_grid(wanted), raster.rows, raster.cols, targets)
     return rain.where(F.col("value") != 0).select("frame", "ce_no", "r", "c", F.col("value").alias("rain"))

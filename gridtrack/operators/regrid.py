@@ -35,7 +35,7 @@ def coarse_grid(source: DataFrame) -> CoarseGrid:
     """Index the coarse dataset; negative, NULL and absent values are missing."""
     folded = source.withColumn("lon", normalize_longitude("lon"))
     lat_axis, lon_axis = _axis(folded, "lat", "y"), _axis(folded, "lon", "x")
-    lat, lon = _info(lat_axis, "lat"), _info(lon_axis, "lon")
+    lat, lon = _axis_infos(folded)
     given = (
         folded.join(lat_axis, "lat").join(lon_axis, "lon")
         .select("ts", "y", "x", F.col("value").cast("double").alias("value"))
@@ -56,11 +56,13 @@ def _axis(source: DataFrame, value: str, index: str) -> DataFrame:
     return source.select(value).distinct().withColumn(index, place)
 
 
-def _info(axis: DataFrame, value: str) -> AxisInfo:
-    size, low, high = axis.agg(F.count(value), F.min(value), F.max(value)).first()
-    if size < 2:
-        raise ValueError(f"interpolation needs at least two {value} lines")
-    return AxisInfo(size, low, high)
+def _axis_infos(source: DataFrame) -> tuple[AxisInfo, AxisInfo]:
+    limits = source.agg(*[
+        f(x) for x in ("lat", "lon") for f in (F.count_distinct, F.min, F.max)]).first()
+    lat, lon = AxisInfo(*limits[:3]), AxisInfo(*limits[3:])
+    if min(lat.size, lon.size) < 2:
+        raise ValueError("interpolation needs at least two lines on each axis")
+    return lat, lon
 
 
 def feather(grid: CoarseGrid) -> CoarseGrid:
