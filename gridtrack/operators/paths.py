@@ -20,6 +20,7 @@ bounded size, and frame-by-frame joins for larger ones.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,16 +84,19 @@ def _prune_grouped(owned: DataFrame, config: TrackConfig) -> Clusters:
     )
 
 
+def _planned(links: pa.Table, rule: str) -> dict[int, NodePlan]:
+    children: dict[int, list[tuple[int, int]]] = {}
+    for src, dst, weight in zip(*(links.column(x).to_pylist() for x in ("src", "dst", "weight"))):
+        children.setdefault(src, []).append((dst, weight))
+        children.setdefault(dst, [])
+    return plan_nodes(children, rule)
+
+
 def _kernel(config: TrackConfig):
     shortest, rule = config.min_mcs_duration, config.path_rule
 
     def choose(links: pa.Table) -> pa.Table:
-        children: dict[int, list[tuple[int, int]]] = {}
-        for src, dst, weight in zip(*(links.column(x).to_pylist() for x in ("src", "dst", "weight"))):
-            children.setdefault(src, []).append((dst, weight))
-            children.setdefault(dst, [])
-        plans = plan_nodes(children, rule)
-        kept, roots = follow(plans, shortest, rule)
+        kept, roots = follow(_planned(links, rule), shortest, rule)
         return pa.table({
             "kind": [EDGE_ROW] * len(kept) + [ROOT_ROW] * len(roots),
             "src": [e[0] for e in kept] + [x[0] for x in roots],
@@ -212,6 +216,68 @@ def follow(plans: dict[int, NodePlan], shortest: float, rule: str):
     return sorted(kept), roots
 
 
+# --- the paths themselves ---------------------------------------------------------------------
+
+HOP_SCHEMA = "node bigint, need int, child bigint, next_need int, starts boolean"
+HOP_TYPES = pa.schema([
+    ("node", pa.int64()), ("need", pa.int32()), ("child", pa.int64()), ("next_need", pa.int32()),
+    ("starts", pa.bool_())])
+
+
+def root_paths(edges: DataFrame, config: TrackConfig) -> DataFrame:
+    """``(root, step, node)``: the chosen path of every root, one row per element on it.
+
+    All roots advance one frame per round; a round is one join with the
+    successor table, which has at most three rows per element.
+    """
+    members = stage(graph_components(edges), "members")
+    large = component_sizes(members).where(F.col("n_nodes") > config.max_group_nodes).select("component")
+    owned = edges.select("src", "dst", "weight").join(members.withColumnRenamed("node", "src"), "src")
+    hops = stage(
+        owned.join(large, "component", "left_anti").groupBy("component")
+        .applyInArrow(_hop_kernel(config), HOP_SCHEMA), "successors")
+    if not large.isEmpty():
+        big = owned.join(large, "component", "left_semi")
+        hops = stage(hops.unionByName(_hops_by_frames(big, config)), "successors")
+    walkers = stage(hops.where("starts").select(
+        F.col("node").alias("root"), F.lit(1).alias("step"), "node", "need"), "walkers")
+    listed = walkers
+    successors = hops.where("child is not null").select("node", "need", "child", "next_need")
+    while not walkers.isEmpty():
+        walkers = stage(
+            walkers.join(successors, ["node", "need"]).select(
+                "root", (F.col("step") + 1).alias("step"), F.col("child").alias("node"),
+                F.col("next_need").alias("need")), "walkers")
+        listed = listed.unionByName(walkers)
+    return listed.select("root", "step", "node")
+
+
+def _hop_kernel(config: TrackConfig):
+    def successors(links: pa.Table) -> pa.Table:
+        rows = []
+        for node, plan in _planned(links, config.path_rule).items():
+            own = plan.need(config.path_rule)
+            for need in (CLEAN, ONE_HEAVY, FALLBACK):
+                child, _, next_need = plan.hops.get(need, (None, None, None))
+                starts = need == own and plan.depth >= config.min_mcs_duration
+                if child is not None or starts:
+                    rows.append((node, need, child, next_need, starts))
+        return pa.table([[row[i] for row in rows] for i in range(5)], schema=HOP_TYPES)
+
+    return successors
+
+
+def _hops_by_frames(edges: DataFrame, config: TrackConfig) -> DataFrame:
+    own = _own_need(config.path_rule)
+    plans = list(_plans_by_frames(edges, config)[2].values())
+    return reduce(DataFrame.unionByName, plans).select(
+        "node", "depth", own.alias("own"), F.posexplode("hops").alias("need", "hop")
+    ).select(
+        "node", "need", "hop.child", "hop.next_need",
+        ((F.col("need") == F.col("own")) & (F.col("depth") >= config.min_mcs_duration)).alias("starts"),
+    ).where("child is not null or starts")
+
+
 # --- components beyond the group bound ------------------------------------------------------
 
 def prune_by_frames(edges: DataFrame, config: TrackConfig) -> Clusters:
@@ -219,20 +285,7 @@ def prune_by_frames(edges: DataFrame, config: TrackConfig) -> Clusters:
 
     Each step touches the links of one frame; its result is a stage table.
     """
-    links = stage(
-        edges.select("src", "dst", "weight").sortWithinPartitions("src"), "frame-links")
-    low, high = links.agg(F.min(node_frame("src")), F.max(node_frame("dst"))).first()
-    if low is None:
-        return Clusters(links, links.select(
-            F.col("src").alias("root"), F.col("dst").alias("target"),
-            F.lit(0).alias("n_nodes"), F.lit(0).alias("distance")))
-
-    plans: dict[int, DataFrame] = {high: stage(_ends(links, links.limit(0), high), "plan")}
-    for frame in range(high - 1, low - 1, -1):
-        here = _of_frame(links, frame)
-        inner = _plan_frame(here, plans[frame + 1], config.path_rule)
-        plans[frame] = stage(inner.unionByName(_ends(links, here, frame)), "plan")
-
+    low, high, plans = _plans_by_frames(edges, config)
     needs, chosen, roots = None, None, None
     for frame in range(low, high + 1):
         plan = plans[frame]
@@ -259,6 +312,18 @@ def prune_by_frames(edges: DataFrame, config: TrackConfig) -> Clusters:
     return Clusters(chosen, roots)
 
 
+def _plans_by_frames(edges: DataFrame, config: TrackConfig) -> tuple[int, int, dict[int, DataFrame]]:
+    """Backward steps: the plan table of every frame between the first and the last."""
+    links = stage(edges.select("src", "dst", "weight").sortWithinPartitions("src"), "frame-links")
+    low, high = links.agg(F.min(node_frame("src")), F.max(node_frame("dst"))).first()
+    plans: dict[int, DataFrame] = {high: stage(_ends(links, links.limit(0), high), "plan")}
+    for frame in range(high - 1, low - 1, -1):
+        here = _of_frame(links, frame)
+        inner = _plan_frame(here, plans[frame + 1], config.path_rule)
+        plans[frame] = stage(inner.unionByName(_ends(links, here, frame)), "plan")
+    return low, high, plans
+
+
 def _of_frame(links: DataFrame, frame: int) -> DataFrame:
     return links.where((F.col("src") >= frame << 32) & (F.col("src") < frame + 1 << 32))
 

@@ -27,11 +27,12 @@ class Raster:
 
 
 def raster_from_grid(grid: DataFrame, config: TrackConfig, domain: DataFrame | None = None,
-                     clip: bool = True) -> Raster:
+                     clip: bool = True, frames: DataFrame | None = None) -> Raster:
     """Build the raster from ``grid(frame, ts, r, c, lat, lon, tb)``.
 
     ``domain`` optionally supplies ``(r, c, lat, lon)`` lines of the full grid
-    where the long table omits empty lines.  Raises on an empty grid.
+    where the long table omits empty lines, and ``frames`` the frame table where
+    it omits empty frames.  Raises on an empty grid.
     """
     if grid.isEmpty():
         raise ValueError("the grid has no rows: check the input path and period")
@@ -41,7 +42,8 @@ def raster_from_grid(grid: DataFrame, config: TrackConfig, domain: DataFrame | N
     if clip:
         rows, cols = clip_axes(rows, cols, config)
         kept = _within(_within(kept, rows, "r"), cols, "c")
-    frames = grid.groupBy("frame").agg(F.min("ts").alias("ts"))
+    if frames is None:
+        frames = grid.groupBy("frame").agg(F.min("ts").alias("ts"))
     return Raster(mask_temperature(kept, config), rows, cols, frames)
 
 

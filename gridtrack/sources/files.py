@@ -25,7 +25,7 @@ def file_time(name: Column | str) -> Column:
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.nc") -> DataFrame:
-    """``(path, name, ts)`` of the files in a directory; contents are not read."""
+    """``(path, name, ts)`` of the non-empty files in a directory; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), file_time(name).alias("ts"))
