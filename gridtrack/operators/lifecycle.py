@@ -1,8 +1,10 @@
-"""Order-dependent rules of one system: traversal, stage flags and candidates.
+"""Order-dependent rules of one system: visiting order, stage flags and candidates.
 
-These rules are defined by the order in which the members of a system are
-visited, so they run as a small helper inside a grouped kernel.  ``SystemView``
-is all they see of a system: compact rows, no pixels.
+These rules are defined by the order in which members are visited, so they run
+as a small helper inside grouped kernels.  ``Walk`` keeps its whole state in
+plain fields: it can run a system in one go or stop at a page boundary and be
+resumed from tables.  Everything that does not depend on the order (joining and
+confirming candidates) is left to DataFrame operations.
 """
 
 from __future__ import annotations
@@ -14,212 +16,152 @@ from gridtrack.config import TrackConfig
 
 @dataclass
 class SystemView:
-    """Members and links of one pruned component."""
+    """Members of one component and their pruned links, in canonical order."""
 
     area: dict[int, float]
-    eccentricity: dict[int, float]
     outer: dict[int, float]
     inner: dict[int, float]
     parents: dict[int, list[int]]
     children: dict[int, list[int]]
-    graph_links: set[tuple[int, int]]
 
 
 @dataclass
 class Candidate:
     """A possible mature system inside a component."""
 
-    core: list[int] = field(default_factory=list)
-    body: list[tuple[int, str]] = field(default_factory=list)
+    number: int
     shield_count: int = 0
     duration: int = 0
     top: int | None = None
     top_frame: int = 0
+    core_frames: set[int] = field(default_factory=set)
 
-    def core_frames(self) -> set[int]:
-        return {frame_of(n) for n in self.core}
+    def raise_top(self, node: int) -> None:
+        if frame_of(node) > self.top_frame:
+            self.top, self.top_frame = node, frame_of(node)
 
-    def absorb(self, later: Candidate) -> None:
-        self.core += later.core
-        self.body += later.body
-        self.duration += later.duration
-        self.shield_count += later.shield_count
-        self.top, self.top_frame = later.top, later.top_frame
+
+@dataclass
+class Placed:
+    """Where a visited node ended up; a node that no rule keeps has no candidate."""
+
+    candidate: Candidate | None = None
+    core: bool = False
+    stage: str | None = None
 
 
 def frame_of(node: int) -> int:
     return node >> 32
 
 
-def visiting_order(view: SystemView) -> list[int]:
-    """Depth-first order that looks at parents before children; newest discovery first."""
-    start = min(view.area)
-    order, found, pending = [], {start}, [start]
-
-    def discover(node: int) -> None:
-        if node not in found:
-            found.add(node)
-            pending.append(node)
-
-    while pending:
-        node = pending.pop()
-        order.append(node)
-        for parent in view.parents.get(node, ()):
-            if parent not in found:
-                for child in view.children.get(node, ()):
-                    discover(child)
-                discover(parent)
-        for child in view.children.get(node, ()):
-            discover(child)
-    return order
-
-
-def stage_flags(view: SystemView, order: list[int], config: TrackConfig):
-    """Per visited node: shield criterion, core criterion and provisional stage."""
-    seen_large = False
-    for node in order:
+class Walk:
+    """Visits a component depth first, parents before children, newest discovery first."""
+
+    def __init__(self, view: SystemView, config: TrackConfig) -> None:
+        self.view, self.config = view, config
+        self.pushed: dict[int, int] = {}
+        self.pending: list[int] = []
+        self.placed: dict[int, Placed] = {}
+        self.seen_large = False
+        self.next_push = 0
+        self.next_candidate = 1
+
+    def run(self) -> Walk:
+        self.discover(min(self.view.area))
+        while self.pending:
+            self.visit(self.pending.pop())
+        return self
+
+    def discover(self, node: int) -> None:
+        if node not in self.pushed:
+            self.pushed[node] = self.next_push
+            self.next_push += 1
+            self.pending.append(node)
+
+    def visit(self, node: int) -> None:
+        parents, children = self.view.parents.get(node, ()), self.view.children.get(node, ())
+        self.placed[node] = Placed()
+        self._place(node, *self._flags(node))
+        for parent in parents:
+            if parent not in self.pushed:
+                for child in children:
+                    self.discover(child)
+                self.discover(parent)
+        for child in children:
+            self.discover(child)
+
+    def _flags(self, node: int) -> tuple[bool, bool, str]:
+        """Shield criterion, core criterion and provisional stage."""
+        view, config = self.view, self.config
         large = view.area[node] >= config.outer_area
-        seen_large = seen_large or large
+        self.seen_large = self.seen_large or large
         shield = large and view.outer[node] >= config.outer_area
         core = shield and view.inner[node] >= config.inner_area
-        yield node, shield, core, "M" if core else "I" if seen_large else "D"
-
-
-class CandidateBook:
-    """Assigns visited nodes to candidates; every node ends up in at most one."""
+        return shield, core, "M" if core else "I" if self.seen_large else "D"
 
-    def __init__(self, view: SystemView) -> None:
-        self.view = view
-        self.candidates: list[Candidate] = []
-        self.in_core: dict[int, Candidate] = {}
-        self.in_body: dict[int, Candidate] = {}
-
-    def place(self, node: int, shield: bool, core: bool, stage: str) -> None:
-        """Apply the first rule that fits; a node no rule keeps is dropped."""
-        parents = self.view.parents.get(node, ())
-        children = self.view.children.get(node, ())
-        if found := _owner(parents, self.in_core):
+    def _place(self, node: int, shield: bool, core: bool, stage: str) -> None:
+        """Apply the first rule that fits."""
+        parents, children = self.view.parents.get(node, ()), self.view.children.get(node, ())
+        if found := self._owner(parents, core_only=True):
             self._after_core(found, node, shield, core, stage)
-        elif found := _owner(children, self.in_body):
+        elif found := self._owner(children, core_only=False):
             self._before_body(found, node, shield, core, stage)
-        elif found := _owner(parents, self.in_body):
+        elif found := self._owner(parents, core_only=False):
             self._after_body(found, node, shield, core)
         else:
             self._open(node, shield, core)
 
+    def _owner(self, neighbours, core_only: bool) -> Candidate | None:
+        for near in neighbours:
+            spot = self.placed.get(near)
+            if spot and spot.candidate and (spot.core or not core_only):
+                return spot.candidate
+        return None
+
     def _open(self, node: int, shield: bool, core: bool) -> None:
-        fresh = Candidate(shield_count=int(shield))
-        self.candidates.append(fresh)
+        fresh = Candidate(self.next_candidate, shield_count=int(shield))
+        self.next_candidate += 1
+        self._keep(fresh, node, core, "I")
         if core:
-            self._add_core(fresh, node, "I")
-            fresh.duration, fresh.top, fresh.top_frame = 1, node, frame_of(node)
-        else:
-            self._add_body(fresh, node, "I")
+            fresh.duration = 1
+            fresh.raise_top(node)
 
     def _after_core(self, found: Candidate, node: int, shield: bool, core: bool, stage: str) -> None:
-        frame = frame_of(node)
-        known_frame = frame in found.core_frames()
+        known_frame = frame_of(node) in found.core_frames
         if core:
-            self._add_core(found, node, "M")
+            self._keep(found, node, True, "M")
             if not known_frame:
                 found.shield_count += 1
                 found.duration += 1
-                _raise_top(found, node)
+                found.raise_top(node)
         elif known_frame:
-            self._add_body(found, node, stage)
+            self._keep(found, node, False, stage)
             found.shield_count += int(shield)
-        elif frame > found.top_frame or found.top_frame == 0:
+        elif frame_of(node) > found.top_frame or found.top_frame == 0:
             self._open(node, shield, core)
 
     def _before_body(self, found: Candidate, node: int, shield: bool, core: bool, stage: str) -> None:
         if core:
-            self._add_core(found, node, "M")
-            if found.top_frame == 0:
-                found.top, found.top_frame = node, frame_of(node)
-            _raise_top(found, node)
-        elif frame_of(node) in found.core_frames():
-            self._add_body(found, node, stage)
+            self._keep(found, node, True, "M")
+            found.raise_top(node)
+        elif frame_of(node) in found.core_frames:
+            self._keep(found, node, False, stage)
             found.shield_count += int(shield)
         elif shield:
             found.shield_count += 1
         else:
-            self._add_body(found, node, "D" if stage == "M" else stage)
+            self._keep(found, node, False, stage)
 
     def _after_body(self, found: Candidate, node: int, shield: bool, core: bool) -> None:
         if core:
-            self._add_core(found, node, "M")
+            self._keep(found, node, True, "M")
             found.duration += 1
-            _raise_top(found, node)
+            found.raise_top(node)
         elif found.top_frame == 0 or frame_of(node) <= found.top_frame:
-            self._add_body(found, node, "I")
+            self._keep(found, node, False, "I")
             found.shield_count += int(shield)
 
-    def _add_core(self, owner: Candidate, node: int, stage: str) -> None:
-        owner.core.append(node)
-        self.in_core[node] = owner
-        self._add_body(owner, node, stage)
-
-    def _add_body(self, owner: Candidate, node: int, stage: str) -> None:
-        owner.body.append((node, stage))
-        self.in_body[node] = owner
-
-
-def _owner(neighbours, index: dict[int, Candidate]) -> Candidate | None:
-    return next((index[n] for n in neighbours if n in index), None)
-
-
-def _raise_top(found: Candidate, node: int) -> None:
-    if frame_of(node) > found.top_frame:
-        found.top, found.top_frame = node, frame_of(node)
-
-
-def join_consecutive(candidates: list[Candidate], view: SystemView) -> list[Candidate]:
-    """Merge a candidate into the one before it when their cores are linked end to start."""
-    joined: list[Candidate] = []
-    for candidate in candidates:
-        before = joined[-1] if joined else None
-        if before and before.core and candidate.core and (
-                (max(before.core), min(candidate.core)) in view.graph_links):
-            before.absorb(candidate)
-        else:
-            joined.append(candidate)
-    return joined
-
-
-def detect(view: SystemView, config: TrackConfig) -> tuple[dict[int, str], list[list[int]]]:
-    """Stage of the members that got one, and the member lists of confirmed complexes."""
-    book = CandidateBook(view)
-    for node, shield, core, stage in stage_flags(view, visiting_order(view), config):
-        book.place(node, shield, core, stage)
-
-    stages: dict[int, str] = {}
-    for candidate in book.candidates:
-        for node, stage in candidate.body:
-            stages.setdefault(node, stage)
-
-    complexes = []
-    for candidate in join_consecutive(book.candidates, view):
-        hours = candidate.duration * config.tres
-        if not candidate.core or not config.minimum_duration <= hours <= config.maximum_duration:
-            continue
-        body, core = sorted(n for n, _ in candidate.body), sorted(candidate.core)
-        for node in body[: body.index(core[0])]:
-            stages.setdefault(node, "I")
-        stages.setdefault(core[0], "M")
-        for node in body[body.index(core[-1]) + 1:]:
-            stages.setdefault(node, "D")
-        for node in sorted(view.area):
-            if node > core[-1]:
-                stages.setdefault(node, "D")
-        if round_enough(body, stages, view, config):
-            complexes.append(body)
-    return stages, complexes
-
-
-def round_enough(body: list[int], stages: dict[int, str], view: SystemView, config: TrackConfig) -> bool:
-    """Shape test at the largest mature or decaying member; without one there is no complex."""
-    grown = [n for n in body if stages.get(n) in ("M", "D") and view.area[n] > 0]
-    if not grown:
-        return False
-    widest = max(grown, key=lambda n: (view.area[n], -n))
-    return config.eccentricity_min <= view.eccentricity[widest] <= config.eccentricity_max
+    def _keep(self, owner: Candidate, node: int, core: bool, stage: str) -> None:
+        self.placed[node] = Placed(owner, core, stage)
+        if core:
+            owner.core_frames.add(frame_of(node))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
+from gridtrack.operators.candidates import assign_candidates
 from gridtrack.operators.elements import element_id, node_frame, node_number
 from gridtrack.operators.labeling import label_pixels, region_summary
-from gridtrack.operators.lifecycle import SystemView, detect
 from gridtrack.operators.links import Graph
 from gridtrack.operators.numbering import number_rows
 from gridtrack.operators.paths import Clusters, behaviours, component_sizes, graph_components
@@ -84,23 +83,24 @@ def _large_element_pixels(elements: DataFrame, pixels: DataFrame, config: TrackC
 def find_systems(graph: Graph, clusters: Clusters, pixels: DataFrame, config: TrackConfig) -> Systems:
     """Systems, complexes, behaviours and stages.
 
-    Membership, order and behaviour are joins and hold for systems of any size.
-    Stages and complexes depend on the visiting order and run per system.
+    Only the assignment of members to candidates depends on a visiting order;
+    membership, merging and confirmation are joins and aggregations.
     """
     members = stage(system_members(clusters.edges, config), "systems")
     described = graph.nodes.select("node", "frame", "ce_no", "area", "eccentricity").join(members, "node")
     areas = criteria_areas(described, pixels, config)
-    inputs = described.join(areas, "node", "left").fillna(0.0, ["outer_part", "inner_part"])
-    found = stage(_detect_grouped(inputs, _system_links(graph, clusters, members), config), "detected")
-    stages = found.where(F.col("list_no") == 0).select("node", "stage")
+    nodes = stage(
+        described.join(areas, "node", "left").fillna(0.0, ["outer_part", "inner_part"])
+        .select("component", "node", "area", "eccentricity", "outer_part", "inner_part"), "system-nodes")
+    links = clusters.edges.join(members.withColumnRenamed("node", "src"), "src").select("component", "src", "dst")
+    placed, candidates = assign_candidates(nodes, links, config)
+    joined = stage(join_candidates(placed, candidates, graph.edges, config), "joined-candidates")
+    stages = member_stages(nodes, placed, joined)
+    complexes = confirmed_complexes(nodes, placed, joined, config)
 
     everyone = members.select("node", F.col("component").alias("feature_id"), F.lit("MCS").alias("kind"))
-    complexes = found.where(F.col("list_no") > 0)
-    first = complexes.groupBy("component", "list_no").agg(F.min("node").alias("feature_id"))
-    confirmed = complexes.join(first, ["component", "list_no"]).select(
-        "node", "feature_id", F.lit("MCC").alias("kind"))
     listed = (
-        everyone.unionByName(confirmed)
+        everyone.unionByName(complexes.withColumn("kind", F.lit("MCC")))
         .join(behaviours(clusters.edges).select("node", "behaviour"), "node")
         .join(stages, "node", "left")
         .withColumn("frame", node_frame("node")).withColumn("ce_no", node_number("node"))
@@ -111,58 +111,48 @@ def find_systems(graph: Graph, clusters: Clusters, pixels: DataFrame, config: Tr
     return Systems(stage(ordered, "feature-members"), stages)
 
 
-def _system_links(graph: Graph, clusters: Clusters, members: DataFrame) -> DataFrame:
-    """Links inside systems; ``kept`` marks those that survived pruning."""
-    kept = clusters.edges.select("src", "dst", F.lit(True).alias("kept"))
-    start = members.select(F.col("node").alias("src"), "component")
-    stop = members.select(F.col("node").alias("dst"), "component")
-    return (
-        graph.edges.select("src", "dst").join(kept, ["src", "dst"], "left")
-        .join(start, "src").join(stop, ["dst", "component"])
-        .select("component", "src", "dst", F.coalesce("kept", F.lit(False)).alias("kept"))
-    )
-
+def join_candidates(placed: DataFrame, candidates: DataFrame, edges: DataFrame, config: TrackConfig) -> DataFrame:
+    """``(component, cand, run, last_core)`` of candidates that last long enough.
 
-DETECT_SCHEMA = "component bigint, list_no int, node bigint, stage string"
-DETECT_TYPES = pa.schema([
-    ("component", pa.int64()), ("list_no", pa.int32()), ("node", pa.int64()), ("stage", pa.string())])
-
-
-def _detect_grouped(inputs: DataFrame, links: DataFrame, config: TrackConfig) -> DataFrame:
-    nodes = inputs.select(
-        F.col("component").alias("system"), "node", "area", "eccentricity", "outer_part", "inner_part")
-    inner = links.select(F.col("component").alias("system"), "src", "dst", "kept")
+    A candidate continues the one before it when the last core member there is
+    linked to its own first one in the full graph; ``run`` numbers the merged
+    candidates and durations add up.
+    """
+    cores = placed.where("core").groupBy("component", "cand").agg(
+        F.min("node").alias("first_core"), F.max("node").alias("last_core"))
+    in_order = Window.partitionBy("component").orderBy("cand")
+    chained = candidates.join(cores, ["component", "cand"], "left").withColumn(
+        "previous", F.lag("last_core").over(in_order))
+    linked = edges.select(F.col("src").alias("previous"), F.col("dst").alias("first_core"), F.lit(0).alias("fresh"))
+    runs = chained.join(linked, ["previous", "first_core"], "left").withColumn(
+        "run", F.sum(F.coalesce("fresh", F.lit(1))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    lasting = runs.groupBy("component", "run").agg(
+        F.sum("duration").alias("length"), F.max("last_core").alias("run_core"))
+    hours = F.col("length") * config.tres
+    lasting = lasting.where(
+        hours.between(config.minimum_duration, config.maximum_duration) & F.col("run_core").isNotNull())
+    return runs.select("component", "run", "cand").join(lasting, ["component", "run"]).select(
+        "component", "cand", "run", F.col("run_core").alias("last_core"))
+
+
+def member_stages(nodes: DataFrame, placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(node, stage)``: the candidate's stage; unplaced members after a lasting core decay."""
+    ends = joined.groupBy("component").agg(F.min("last_core").alias("first_end"))
+    late = F.when(F.col("node") > F.col("first_end"), "D")
     return (
-        nodes.groupBy("system").cogroup(inner.groupBy("system"))
-        .applyInArrow(_detector(config), DETECT_SCHEMA)
+        nodes.select("component", "node").join(placed.select("node", "stage"), "node", "left")
+        .join(ends, "component", "left")
+        .select("node", F.coalesce("stage", late).alias("stage")).where(F.col("stage").isNotNull())
     )
 
 
-def _detector(config: TrackConfig):
-    def run(key: tuple, nodes: pa.Table, links: pa.Table) -> pa.Table:
-        view = system_view(nodes, links)
-        stages, complexes = detect(view, config)
-        rows = [(0, n, s) for n, s in sorted(stages.items())]
-        rows += [(i, n, stages.get(n)) for i, body in enumerate(complexes, 1) for n in body]
-        return pa.table({
-            "component": [key[0].as_py()] * len(rows), "list_no": [x[0] for x in rows],
-            "node": [x[1] for x in rows], "stage": [x[2] for x in rows],
-        }, schema=DETECT_TYPES)
-
-    return run
-
-
-def system_view(nodes: pa.Table, links: pa.Table) -> SystemView:
-    columns = {name: nodes.column(name).to_pylist() for name in nodes.column_names}
-    parents: dict[int, list[int]] = {}
-    children: dict[int, list[int]] = {}
-    all_links = set()
-    for src, dst, kept in sorted(zip(*(links.column(x).to_pylist() for x in ("src", "dst", "kept")))):
-        all_links.add((src, dst))
-        if kept:
-            children.setdefault(src, []).append(dst)
-            parents.setdefault(dst, []).append(src)
-    by_node = {name: dict(zip(columns["node"], columns[name]))
-               for name in ("area", "eccentricity", "outer_part", "inner_part")}
-    return SystemView(by_node["area"], by_node["eccentricity"], by_node["outer_part"],
-                      by_node["inner_part"], parents, children, all_links)
+def confirmed_complexes(nodes: DataFrame, placed: DataFrame, joined: DataFrame, config: TrackConfig) -> DataFrame:
+    """``(node, feature_id)``: members of the runs whose largest grown member is round enough."""
+    bodies = placed.join(joined, ["component", "cand"]).join(
+        nodes.select("node", "area", "eccentricity"), "node")
+    grown = F.col("stage").isin("M", "D") & (F.col("area") > 0)
+    shape = F.max_by("eccentricity", F.when(grown, F.struct("area", -F.col("node"))))
+    round_runs = bodies.groupBy("component", "run").agg(
+        F.min("node").alias("feature_id"), F.max(grown).alias("any_grown"), shape.alias("shape")
+    ).where(F.col("any_grown") & F.col("shape").between(config.eccentricity_min, config.eccentricity_max))
+    return bodies.join(round_runs, ["component", "run"]).select("node", "feature_id")
