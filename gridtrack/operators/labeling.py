@@ -132,14 +132,14 @@ def _tile_kernel(tile: int, with_pixels: bool):
         entry = ((r % tile == 0) & (r > 0)) | ((c % tile == 0) & (c > 0))
         east, south = c % tile == tile - 1, r % tile == tile - 1
         pieces = [
-            _rows(scope, REGION, regions),
-            _rows(scope, INNER_SEAM, {"label": labels[entry], "r": r[entry], "c": c[entry]}),
-            _rows(scope, OUTER_SEAM, {"label": labels[east], "r": r[east], "c": c[east] + 1}),
-            _rows(scope, OUTER_SEAM, {"label": labels[south], "r": r[south] + 1, "c": c[south]}),
+            (REGION, regions),
+            (INNER_SEAM, {"label": labels[entry], "r": r[entry], "c": c[entry]}),
+            (OUTER_SEAM, {"label": labels[east], "r": r[east], "c": c[east] + 1}),
+            (OUTER_SEAM, {"label": labels[south], "r": r[south] + 1, "c": c[south]}),
         ]
         if with_pixels:
-            pieces.append(_rows(scope, PIXEL, {"label": labels, "r": r, "c": c, "tb": tb}))
-        return pa.concat_tables(pieces)
+            pieces.append((PIXEL, {"label": labels, "r": r, "c": c, "tb": tb}))
+        return _table(scope, pieces)
 
     return label
 
@@ -150,14 +150,15 @@ TILE_TYPES = pa.schema([
 ])
 
 
-def _rows(scope: int, kind: int, columns: dict[str, np.ndarray]) -> pa.Table:
-    size = len(columns["label"])
-    filled = {"kind": np.full(size, kind), "scope": np.full(size, scope), **columns}
+def _table(scope: int, pieces: list[tuple[int, dict[str, np.ndarray]]]) -> pa.Table:
+    """The pieces below each other; a column that a kind of row does not have is 0."""
+    pieces = [(kind, columns) for kind, columns in pieces if columns["label"].size]
+    sizes = [columns["label"].size for _, columns in pieces]
+    filled = {"kind": np.repeat([kind for kind, _ in pieces], sizes), "scope": np.full(sum(sizes), scope)}
+    for name in TILE_TYPES.names[2:]:
+        filled[name] = np.concatenate([
+            columns[name] if name in columns else np.zeros(size, dtype=np.int64)
+            for (_, columns), size in zip(pieces, sizes)])
     return pa.table(
-        [
-            pa.array(filled[field.name]).cast(field.type) if field.name in filled
-            else pa.nulls(size, field.type)
-            for field in TILE_TYPES
-        ],
-        schema=TILE_TYPES,
-    )
+        [pa.array(filled[field.name].astype(field.type.to_pandas_dtype())) for field in TILE_TYPES],
+        schema=TILE_TYPES)

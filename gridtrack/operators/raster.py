@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.functions.geo import normalize_longitude
+from gridtrack.session import stage
 
 
 @dataclass(frozen=True)
@@ -36,15 +37,13 @@ def raster_from_grid(grid: DataFrame, config: TrackConfig, domain: DataFrame | N
     """
     if grid.isEmpty():
         raise ValueError("the grid has no rows: check the input path and period")
-    lines = grid if domain is None else domain
-    rows, cols = grid_axes(lines)
+    dims = grid_dimensions(grid)
+    rows, cols = (dims.rows, dims.cols) if domain is None else grid_axes(domain)
     kept = grid
     if clip:
         rows, cols = clip_axes(rows, cols, config)
         kept = _within(_within(kept, rows, "r"), cols, "c")
-    if frames is None:
-        frames = grid.groupBy("frame").agg(F.min("ts").alias("ts"))
-    return Raster(mask_temperature(kept, config), rows, cols, frames)
+    return Raster(mask_temperature(kept, config), rows, cols, dims.frames if frames is None else frames)
 
 
 def _within(grid: DataFrame, axis: DataFrame, index: str) -> DataFrame:
@@ -56,10 +55,43 @@ def _within(grid: DataFrame, axis: DataFrame, index: str) -> DataFrame:
     return kept if high - low + 1 == lines else kept.join(axis.select(index), index, "left_semi")
 
 
+@dataclass(frozen=True)
+class Dimensions:
+    """``rows(r, lat)``, ``cols(c, lon)`` and ``frames(frame, ts)``."""
+
+    rows: DataFrame
+    cols: DataFrame
+    frames: DataFrame
+
+
+def grid_dimensions(grid: DataFrame) -> Dimensions:
+    """Axes and frame table of a long grid, from one pass over it.
+
+    Lines and frames are collapsed inside each task before the shuffle.  The
+    stage table lets later joins see how small the three are.
+    """
+    none = F.lit(None).cast("timestamp_ntz")
+    lines = stage(
+        grid.select(F.explode(F.array(
+            F.struct(F.lit("r").alias("axis"), F.col("r").cast("int").alias("line"),
+                     F.col("lat").cast("double").alias("place"), none.alias("ts")),
+            F.struct(F.lit("c").alias("axis"), F.col("c").cast("int").alias("line"),
+                     F.col("lon").cast("double").alias("place"), none.alias("ts")),
+            F.struct(F.lit("f").alias("axis"), F.col("frame").cast("int").alias("line"),
+                     F.lit(None).cast("double").alias("place"), F.col("ts").alias("ts")),
+        )).alias("x")).select("x.*").groupBy("axis", "line").agg(
+            F.min("place").alias("place"), F.min("ts").alias("ts")), "dimensions")
+    return Dimensions(
+        lines.where("axis = 'r'").select(F.col("line").alias("r"), F.col("place").alias("lat")),
+        lines.where("axis = 'c'").select(F.col("line").alias("c"), normalize_longitude("place").alias("lon")),
+        lines.where("axis = 'f'").select(F.col("line").alias("frame"), "ts"),
+    )
+
+
 def grid_axes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two axes of a rectilinear grid, longitudes folded to -180..180."""
-    rows = lines.groupBy("r").agg(F.min("lat").alias("lat"))
-    cols = lines.groupBy("c").agg(F.min("lon").alias("lon"))
+    rows = stage(lines.groupBy("r").agg(F.min("lat").alias("lat")), "rows")
+    cols = stage(lines.groupBy("c").agg(F.min("lon").alias("lon")), "cols")
     return rows, cols.withColumn("lon", normalize_longitude("lon"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
-from gridtrack.operators.raster import Raster
+from gridtrack.operators.raster import Raster, grid_dimensions, mask_temperature
 
 ROWS = 16
 EVENTS_PER_COLUMN = 640
@@ -47,14 +47,9 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster(spark: SparkSession, sf_dir: str, config: TrackConfig = CONFIG) -> Raster:
     """The raster of the whole table, axes and frame table derived from it."""
-    from gridtrack.operators.raster import mask_temperature
-
     full = grid(spark, sf_dir)
-    return Raster(
-        pixels=mask_temperature(full, config),
-        rows=full.select("r", "lat").distinct(), cols=full.select("c", "lon").distinct(),
-        frames=full.select("frame", "ts").distinct(),
-    )
+    dims = grid_dimensions(full)
+    return Raster(mask_temperature(full, config), dims.rows, dims.cols, dims.frames)
 
 
 COARSE = f"""
