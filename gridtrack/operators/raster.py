@@ -27,23 +27,22 @@ class Raster:
     frames: DataFrame
 
 
-def raster_from_grid(grid: DataFrame, config: TrackConfig, domain: DataFrame | None = None,
-                     clip: bool = True, frames: DataFrame | None = None) -> Raster:
+def raster_from_grid(grid: DataFrame, config: TrackConfig, clip: bool = True,
+                     known: Dimensions | None = None) -> Raster:
     """Build the raster from ``grid(frame, ts, r, c, lat, lon, tb)``.
 
-    ``domain`` optionally supplies ``(r, c, lat, lon)`` lines of the full grid
-    where the long table omits empty lines, and ``frames`` the frame table where
-    it omits empty frames.  Raises on an empty grid.
+    ``known`` supplies the full axes and frames where the long table omits empty
+    lines or frames.  Raises on an empty grid.
     """
     if grid.isEmpty():
         raise ValueError("the grid has no rows: check the input path and period")
-    dims = grid_dimensions(grid)
-    rows, cols = (dims.rows, dims.cols) if domain is None else grid_axes(domain)
+    dims = known or grid_dimensions(grid)
+    rows, cols = dims.rows, dims.cols
     kept = grid
     if clip:
         rows, cols = clip_axes(rows, cols, config)
         kept = _within(_within(kept, rows, "r"), cols, "c")
-    return Raster(mask_temperature(kept, config), rows, cols, dims.frames if frames is None else frames)
+    return Raster(mask_temperature(kept, config), rows, cols, dims.frames)
 
 
 def _within(grid: DataFrame, axis: DataFrame, index: str) -> DataFrame:
@@ -88,13 +87,6 @@ def grid_dimensions(grid: DataFrame) -> Dimensions:
     )
 
 
-def grid_axes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two axes of a rectilinear grid, longitudes folded to -180..180."""
-    rows = stage(lines.groupBy("r").agg(F.min("lat").alias("lat")), "rows")
-    cols = stage(lines.groupBy("c").agg(F.min("lon").alias("lon")), "cols")
-    return rows, cols.withColumn("lon", normalize_longitude("lon"))
-
-
 def nearest_on_axis(axis: DataFrame, index: str, value: str, target: float | Column) -> DataFrame:
     """The axis line closest to ``target``; the lower index wins a tie."""
     gap = F.abs(F.col(value) - F.lit(target))

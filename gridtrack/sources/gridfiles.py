@@ -3,8 +3,9 @@
 Every file is split by time slice, and a task holds one slice (or one band of
 rows of a raw file) at a time.  Area and threshold options are applied in the
 task, before rows reach Spark; every slice also yields one row without a cell,
-so a slice with no cell left still counts as a frame.  A file that cannot be
-read yields one row with ``error`` set, so callers can skip and count it.
+so a slice with no cell left still counts as a frame, and the first readable
+file yields one row per axis line (``r`` or ``c`` is NULL).  A file that cannot
+be read yields one row with ``error`` set, so callers can skip and count it.
 
 Options: ``path``; ``format`` (``netcdf`` or ``merg``); ``variable``,
 ``latitude``, ``longitude``, ``time``; ``lat_min``, ``lat_max``, ``lon_min``,
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridtrack.functions.dates import decode_model_time
+from gridtrack.functions.geo import normalize_longitude
 from gridtrack.operators.numbering import number_rows
 from gridtrack.sources.classic_netcdf import ClassicFile
 from gridtrack.session import stage
@@ -51,6 +53,7 @@ class Slice(InputPartition):
     file: str
     t: int = 0
     error: str | None = None
+    with_axes: bool = False
 
 
 class GridFiles(DataSource):
@@ -86,6 +89,9 @@ class _SliceReader(DataSourceReader):
                 slices.append(Slice(file, error=f"{type(problem).__name__}: {problem}"))
         if not slices:
             raise ValueError(f"no grid files in {self.options['path']}")
+        first = next((x for x in slices if not x.error), None)
+        if first:
+            first.with_axes = True
         return slices
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
@@ -93,6 +99,8 @@ class _SliceReader(DataSourceReader):
             yield _error_row(partition.file, partition.error)
             return
         try:
+            if partition.with_axes:
+                yield _axis_rows(partition.file, *self.axes(partition.file))
             for number, batch in enumerate(self.read_slice(partition)):
                 if number == 0:
                     yield _marker(batch, partition)
@@ -123,10 +131,13 @@ class NetcdfReader(_SliceReader):
         with _open_netcdf(file) as grid:
             return grid.shape(self._name("variable", "ch4"))[0]
 
+    def axes(self, file: str) -> tuple[np.ndarray, np.ndarray]:
+        with _open_netcdf(file) as grid:
+            return tuple(grid.whole(self._name(x, x)).astype(float) for x in ("latitude", "longitude"))
+
     def read_slice(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        lat, lon = self.axes(part.file)
         with _open_netcdf(part.file) as grid:
-            lat = grid.whole(self._name("latitude", "latitude")).astype(float)
-            lon = grid.whole(self._name("longitude", "longitude")).astype(float)
             time = self._name("time", "time")
             values = grid.record(self._name("variable", "ch4"), part.t).astype(float)
             yield self.cells(part, grid.attribute(time, "units"), float(grid.record(time, part.t)), values, lat, lon)
@@ -145,8 +156,11 @@ class RawReader(_SliceReader):
             raise ValueError(f"{size} bytes are no whole number of slices")
         return count
 
+    def axes(self, file: str) -> tuple[np.ndarray, np.ndarray]:
+        return (RAW_LAT0 + RAW_LAT_STEP * np.arange(RAW_ROWS), RAW_LON0 + RAW_LON_STEP * np.arange(RAW_COLUMNS))
+
     def read_slice(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        lon = RAW_LON0 + RAW_LON_STEP * np.arange(RAW_COLUMNS)
+        all_lat, lon = self.axes(part.file)
         with _open(part.file) as handle:
             handle.seek(part.t * RAW_ROWS * RAW_COLUMNS)
             for top in range(0, RAW_ROWS, RAW_BAND):
@@ -155,8 +169,8 @@ class RawReader(_SliceReader):
                 values = raw.reshape(count, RAW_COLUMNS)[::-1].astype(float) + RAW_ADD
                 values[values == RAW_UNDEFINED] = np.nan
                 first = RAW_ROWS - top - count
-                lat = RAW_LAT0 + RAW_LAT_STEP * (first + np.arange(count))
-                yield self.cells(part, "", part.t * RAW_MINUTES, np.ma.filled(values), lat, lon, first)
+                lat = all_lat[first: first + count]
+                yield self.cells(part, "", part.t * RAW_MINUTES, values, lat, lon, first)
 
 
 class _Classic:
@@ -246,6 +260,15 @@ def _marker(batch: pa.RecordBatch, part: Slice) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(row, schema=ARROW)
 
 
+def _axis_rows(file: str, lat: np.ndarray, lon: np.ndarray) -> pa.RecordBatch:
+    ny, nx = lat.size, lon.size
+    lines = {name: [None] * (ny + nx) for name in ARROW.names}
+    lines.update(
+        file=[file] * (ny + nx), r=[*range(ny), *[None] * nx], c=[*[None] * ny, *range(nx)],
+        lat=[*lat, *[None] * nx], lon=[*[None] * ny, *lon])
+    return pa.RecordBatch.from_pydict(lines, schema=ARROW)
+
+
 def _error_row(file: str, message: str) -> pa.RecordBatch:
     row = {name: [None] for name in ARROW.names}
     row["file"], row["error"] = [file], [message]
@@ -254,9 +277,11 @@ def _error_row(file: str, message: str) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class GridRead:
-    """``grid(frame, ts, r, c, lat, lon, tb, file)``, ``frames(frame, ts)`` and ``bad_files(file, error)``."""
+    """``grid(frame, ts, r, c, lat, lon, tb, file)``, its full axes, frames and ``bad_files(file, error)``."""
 
     grid: DataFrame
+    rows: DataFrame
+    cols: DataFrame
     frames: DataFrame
     bad_files: DataFrame
 
@@ -270,13 +295,30 @@ def read_grid_files(spark: SparkSession, path: str, **options) -> GridRead:
     by_name = file_time(name) + F.make_dt_interval(mins=F.col("time_offset").cast("int"))
     ts = F.when(F.col("time_units") == "", by_name).otherwise(decode_model_time("time_units", "time_offset"))
     good = rows.where(F.col("error").isNull()).withColumn("ts", ts)
-    frames = stage(number_frames(good.where(F.col("r").isNull())), "frames")
-    grid = good.where(F.col("r").isNotNull()).join(frames, "ts").select(
+    frames = stage(number_frames(good.where("r is null and c is null")), "frames")
+    axis_lines = stage(rows.where("error is null and (r is null) != (c is null)").select("r", "lat", "c", "lon"), "axes")
+    grid = good.where("r is not null and c is not null").join(frames, "ts").select(
         "frame", "ts", "r", "c", "lat", "lon", F.col("value").alias("tb"), "file")
-    return GridRead(grid, frames, bad)
+    return GridRead(
+        grid, axis_lines.where("r is not null").select("r", "lat"),
+        axis_lines.where("c is not null").select("c", normalize_longitude("lon").alias("lon")), frames, bad)
 
 
 def number_frames(cells: DataFrame) -> DataFrame:
     """Frame numbers 1, 2, ... in time order."""
     times = cells.select("ts").distinct().withColumn("series", F.lit(0)).withColumn("day", F.to_date("ts"))
     return number_rows(times, "series", "day", ["ts"], "frame").select("frame", "ts")
+
+
+def read_rain_files(spark: SparkSession, path: str, variable: str = "pcp", **options) -> DataFrame:
+    """``(ts, lat, lon, value)`` from the first slice of each file; the time is the file name's."""
+    spark.dataSource.register(GridFiles)
+    rows = spark.read.format("gridfiles").options(path=path, variable=variable, **options).load()
+    name = F.element_at(F.split("file", "/"), -1)
+    first = rows.where("error is null and t = 0 and r is not null and c is not null")
+    return first.select(file_time(name).alias("ts"), "lat", "lon", "value")
+
+
+def reports_of_bad_files(bad_files: DataFrame) -> DataFrame:
+    """Number of skipped files per kind of error."""
+    return bad_files.groupBy("error").agg(F.count(F.lit(1)).alias("n_files"))

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridtrack.config import TrackConfig
 from gridtrack.operators.elements import find_elements
 from gridtrack.operators.raster import raster_from_grid
 from gridtrack.plans import pipeline
@@ -62,6 +61,8 @@ def test_classic_netcdf_files_become_a_grid(spark, tmp_path):
     read = gridfiles.read_grid_files(spark, str(tmp_path), value_max=243)
     assert [x.file.rsplit("/", 1)[1] for x in read.bad_files.collect()] == ["c.nc"]
     assert sorted(x.frame for x in read.frames.collect()) == [1, 2, 3]
+    assert [x.lon for x in read.cols.orderBy("c").collect()] == [-2.0, -1.0, 0.0, 1.0, 2.0]
+    assert [x.lat for x in read.rows.orderBy("r").collect()] == [5.0, 6.0, 7.0]
     rows = read.grid.collect()
     assert len(rows) == 14 + 13
     assert {(x.frame, x.ts) for x in rows} == {(1, datetime(2009, 8, 31, 4)), (3, datetime(2009, 8, 31, 6))}
@@ -151,3 +152,27 @@ def test_streamed_grids_give_the_same_elements(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/elements")).select("id", "n_px", "bt_avg").collect()
     want = find_elements(raster_from_grid(grid, MICRO, clip=False), MICRO).accepted.select("id", "n_px", "bt_avg").collect()
     assert sorted(got) == sorted(want) and len(got) == 4
+
+
+def test_run_from_files_with_rain_before_and_after(spark, tmp_path):
+    """Blocks written as netCDF, analysed from a configuration, with rain first and attached later."""
+    from gridtrack.plans.run import attach_rain_later, load_raster, run
+
+    blocks = np.array(moving_blocks())
+    blocks[blocks == 0] = 300
+    (tmp_path / "ir").mkdir()
+    (tmp_path / "rain").mkdir()
+    lat, lon = np.arange(8) + 5.0, np.arange(12) - 5.0
+    for hour, block in enumerate(blocks):
+        classic_file(tmp_path / f"ir/merg_200908310{hour}_4km.nc", block[None], lat, lon, hour)
+    for hour in (0, 3):
+        classic_file(tmp_path / f"rain/3B42.20090831.0{hour}.7A.nc", np.full((1, 3, 4), 2), np.array([5.0, 8, 12]),
+                     np.array([-5.0, -1, 3, 6]), 0)
+    changes = dict(lat_min=5, lat_max=12, lon_min=-5, lon_max=6, grid_dir=str(tmp_path / "ir"), min_mcs_duration=3)
+    dry = MICRO.with_options(output_dir=str(tmp_path / "dry"), **changes)
+    run(spark, dry)
+    source = gridfiles.read_rain_files(spark, str(tmp_path / "rain"), variable="ch4")
+    later = attach_rain_later(spark, dry, load_raster(spark, dry), source)
+    assert sorted((x.id, x.n_px, x.precip_total) for x in later.collect()) == [
+        (f"F{i}CE1", 30, 60.0) for i in range(1, 5)]
+    assert spark.read.parquet(str(tmp_path / "dry/rain_grids")).count() == 120

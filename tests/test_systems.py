@@ -223,3 +223,10 @@ def test_full_run_finds_a_complex(spark):
 def test_short_systems_are_no_systems(spark):
     run = pipeline.analyse(micro_raster(spark, storm(3)), MICRO)
     assert run.clusters.edges.count() == 2 and run.systems.members.isEmpty()
+
+
+def test_stages_are_set_once_unless_overwritten(spark):
+    old = spark.createDataFrame([(1, "I"), (2, "M")], "node bigint, stage string")
+    new = spark.createDataFrame([(2, "D"), (3, "D")], "node bigint, stage string")
+    assert {tuple(x) for x in systems.set_stages(old, new).collect()} == {(1, "I"), (2, "M"), (3, "D")}
+    assert {tuple(x) for x in systems.set_stages(old, new, overwrite=True).collect()} == {(1, "I"), (2, "D"), (3, "D")}
