@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +151,70 @@ def regrid_bilinear(grid: CoarseGrid, rows: DataFrame, cols: DataFrame, targets:
 def _part(share: Column, corner: Column) -> Column:
     """A corner's contribution; a corner without weight cannot blank the sum."""
     return F.when(share == 0, 0.0).otherwise(share * corner)
+
+
+# --- cubic ------------------------------------------------------------------------------------
+
+LINE_SCHEMA = "ts timestamp_ntz, y int, x int, value double"
+
+
+def regrid_cubic(grid: CoarseGrid, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Cubic-spline values ``(ts, r, c, value)`` at every fine cell.
+
+    The spline is separable: coefficients are solved line by line along each
+    axis (a group is one grid line), then every fine line sums four weighted
+    coarse lines, first along columns, then along rows.  The grid is mirrored
+    at its edges.
+    """
+    cells = feather(grid).cells.select(
+        "ts", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+        F.coalesce("value", F.lit(0.0)).alias("value"))
+    along_x = cells.groupBy("ts", "y").applyInArrow(_spline_line("x"), LINE_SCHEMA)
+    coefficients = along_x.groupBy("ts", "x").applyInArrow(_spline_line("y"), LINE_SCHEMA)
+    col_taps = _taps(line_weights(cols, "c", "lon", grid.lon, "x"), "c", "x", grid.lon.size)
+    row_taps = _taps(line_weights(rows, "r", "lat", grid.lat, "y"), "r", "y", grid.lat.size)
+    by_column = coefficients.join(col_taps, "x").groupBy("ts", "y", "c").agg(
+        F.sum(F.col("tap") * F.col("value")).alias("value"))
+    return by_column.join(row_taps, "y").groupBy("ts", "r", "c").agg(
+        F.sum(F.col("tap") * F.col("value")).alias("value"))
+
+
+def _taps(weights: DataFrame, index: str, cell: str, size: int) -> DataFrame:
+    """``(index, cell, tap)``: the four coarse lines around a fine line and their B-spline weights."""
+    t = F.col(f"w{cell}")
+    # fixed values: the cubic B-spline at distances 1 + t, t, 1 - t and 2 - t
+    shares = [(1 - t) * (1 - t) * (1 - t) / 6, (4 - 6 * t * t + 3 * t * t * t) / 6,
+              (1 + 3 * t + 3 * t * t - 3 * t * t * t) / 6, t * t * t / 6]
+    taps = weights.select(index, F.explode(F.array(*[
+        F.struct((F.col(cell) + step).alias("at"), share.alias("tap"))
+        for step, share in zip((-1, 0, 1, 2), shares)])).alias("x")).select(index, "x.at", "x.tap")
+    turn = 2 * (size - 1)
+    folded = F.pmod(F.col("at"), F.lit(turn))
+    mirrored = F.when(folded < size, folded).otherwise(turn - folded)
+    return taps.where("tap <> 0").select(index, mirrored.cast("int").alias(cell), "tap")
+
+
+def _spline_line(axis: str):
+    """Kernel: B-spline coefficients of one grid line, mirrored at both ends."""
+    def solve(line: pa.Table) -> pa.Table:
+        order = np.argsort(line.column(axis).to_numpy())
+        line = line.take(pa.array(order))
+        solved = pa.array(spline_coefficients(line.column("value").to_numpy()))
+        return line.set_column(line.column_names.index("value"), "value", solved).select(["ts", "y", "x", "value"])
+
+    return solve
+
+
+def spline_coefficients(samples: np.ndarray) -> np.ndarray:
+    """Solve ``(c[i-1] + 4 c[i] + c[i+1]) / 6 = samples[i]`` with mirrored ends."""
+    n = samples.size
+    upper, right = np.zeros(n), np.zeros(n)
+    for i in range(n):
+        above = (2.0 if i == 0 else 1.0) if i < n - 1 else 0.0
+        below = (2.0 if i == n - 1 else 1.0) if i > 0 else 0.0
+        pivot = 4.0 - (below * upper[i - 1] if i else 0.0)
+        upper[i] = above / pivot
+        right[i] = (6.0 * samples[i] - (below * right[i - 1] if i else 0.0)) / pivot
+    for i in range(n - 2, -1, -1):
+        right[i] -= upper[i] * right[i + 1]
+    return right

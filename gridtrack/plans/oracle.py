@@ -9,6 +9,27 @@ from __future__ import annotations
 
 KEY = 4294967296
 
+def _kernel(size: str) -> str:
+    """Inverse of the cubic B-spline filter on a mirrored line, in closed form."""
+    return f"""
+        SELECT i, CASE WHEN j < n THEN j ELSE m - j END AS src,
+               sum(-6 * z / (1 - z * z) * (pow(z, abs(i - j)) + pow(z, m - abs(i - j))) / (1 - pow(z, m))) AS h
+        FROM (SELECT {size} AS n, 2 * ({size} - 1) AS m, sqrt(3.0::DOUBLE) - 2 AS z,
+                     unnest(range({size})) AS i FROM dims),
+             (SELECT unnest(range(2 * ({size} - 1))) AS j FROM dims)
+        GROUP BY 1, 2"""
+
+
+def _taps(line: str, place: str, source: str, size: str) -> str:
+    return f"""
+        SELECT {line}, CASE WHEN spot < n THEN spot ELSE m - spot END AS cell, tap
+        FROM (SELECT {line}, n, m, CAST(((floor({place}) + k - 1) % m + m) % m AS BIGINT) AS spot,
+                     CASE k WHEN 0 THEN pow(1 - t, 3) / 6 WHEN 1 THEN (4 - 6 * t * t + 3 * t * t * t) / 6
+                            WHEN 2 THEN (1 + 3 * t + 3 * t * t - 3 * t * t * t) / 6 ELSE pow(t, 3) / 6 END AS tap
+              FROM (SELECT *, {place} - floor({place}) AS t, {size} AS n, 2 * ({size} - 1) AS m, unnest(range(4)) AS k
+                    FROM {source}, dims))"""
+
+
 # name -> (tables it needs, body); listed in dependency order
 PARTS: dict[str, tuple[list[str], str]] = {
     "cells": ([], """
@@ -154,6 +175,13 @@ PARTS: dict[str, tuple[list[str], str]] = {
         LEFT JOIN feather b ON b.ts = a.ts AND b.y = a.y AND b.x = a.x + 1
         LEFT JOIN feather g ON g.ts = a.ts AND g.y = a.y + 1 AND g.x = a.x
         LEFT JOIN feather h ON h.ts = a.ts AND h.y = a.y + 1 AND h.x = a.x + 1"""),
+    "kernel_y": (["dims"], _kernel("ny")),
+    "kernel_x": (["dims"], _kernel("nx")),
+    "coef": (["feather", "kernel_y", "kernel_x"], """
+        SELECT f.ts, a.i AS y, b.i AS x, sum(coalesce(f.value, 0) * a.h * b.h) AS value
+        FROM feather f JOIN kernel_y a ON a.src = f.y JOIN kernel_x b ON b.src = f.x GROUP BY 1, 2, 3"""),
+    "taps_r": (["rowpos", "dims"], _taps("r", "p", "rowpos", "ny")),
+    "taps_c": (["colpos", "dims"], _taps("c", "q", "colpos", "nx")),
     "rain": (["cep", "frames", "bilinear"], """
         SELECT p.frame, p.ce_no, p.node, p.r, p.c, b.value AS rain
         FROM cep p JOIN frames f USING (frame) JOIN bilinear b ON b.ts = f.ts AND b.r = p.r AND b.c = p.c
@@ -310,6 +338,9 @@ ORACLE: dict[str, str] = {
     "regrid_feather": _query("feather", """
         SELECT ts, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(value, 6) AS value, missing FROM feather"""),
     "regrid_bilinear": _query("bilinear", "SELECT ts, r, c, round(value, 6) AS value FROM bilinear"),
+    "regrid_cubic": _query("coef taps_r taps_c", """
+        SELECT ts, r, c, round(sum(a.tap * b.tap * value), 6) AS value
+        FROM coef JOIN taps_r a ON a.cell = y JOIN taps_c b ON b.cell = x GROUP BY ts, r, c"""),
     "element_precip": _query("el wetsum", """
         SELECT id, round(coalesce(t, 0), 6) AS precip_total, coalesce(a, 0)::DOUBLE AS precip_area,
                round(coalesce(hi, 0), 6) AS precip_max, round(coalesce(lo, 0), 6) AS precip_min

@@ -292,6 +292,12 @@ def regrid_bilinear(spark, sf_dir):
     return out.select("ts", "r", "c", r6("value"))
 
 
+def regrid_cubic(spark, sf_dir):
+    raster = data.raster(spark, sf_dir)
+    out = regrid.regrid_cubic(regrid.coarse_grid(data.rain_source(spark, sf_dir)), raster.rows, raster.cols)
+    return out.select("ts", "r", "c", r6("value"))
+
+
 def element_precip(spark, sf_dir):
     raster, wet, rain = _wet_elements(spark, sf_dir)
     return wet.accepted.select("id", r6("precip_total"), "precip_area", r6("precip_max"), r6("precip_min"))
@@ -493,7 +499,7 @@ REGISTERED: list[Query] = [
     element_pixel_list, overlap_pairs, edges_weighted, isolated_removed, frame_counts, graph_json,
     edge_classes, contiguous_links, path_depth, path_depth_min_distance, pruned_edges, components,
     merge_split, ancestors_chain, descendants_chain, criteria_area, criterion_pixels, mcs_members,
-    mcc_members, node_stage, asof_bucket, regrid_feather, regrid_bilinear, element_precip,
+    mcc_members, node_stage, asof_bucket, regrid_feather, regrid_bilinear, regrid_cubic, element_precip,
     precip_late_attach, feature_duration, duration_summary, feature_area, average_feature_size,
     avg_time_of_day, size_histogram, value_histogram, precip_islands, precip_minmax, element_speed,
     feature_report, summary_report, complex_report, size_classes, size_limits, precip_share,

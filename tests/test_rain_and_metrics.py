@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,26 @@ def test_source_axes_are_sorted_and_folded(spark):
     assert regrid.regrid_bilinear(regrid.coarse_grid(flipped), rows, cols).first().value == 1.5
 
 
+def test_cubic_passes_through_the_samples_and_is_smooth(spark):
+    """Exact at the samples; far from the mirrored edges a quadratic surface is reproduced."""
+    def surface(y, x):
+        return 1 + 0.3 * y * y + 0.5 * x - 0.01 * x * y
+
+    lines = [float(i) for i in range(18)]
+    grid = regrid.coarse_grid(source(spark, [[surface(y, x) for x in lines] for y in lines]))
+    exact = {(x.r, x.c): x.value for x in regrid.regrid_cubic(grid, *axes(spark, lines, lines)).collect()}
+    assert exact == {(y, x): pytest.approx(surface(y, x)) for y in range(18) for x in range(18)}
+    fine = {x.c: x.value for x in regrid.regrid_cubic(grid, *axes(spark, [8.5], [8.5, 9.25])).collect()}
+    assert [fine[0], fine[1]] == pytest.approx([surface(8.5, 8.5), surface(8.5, 9.25)], abs=1e-3)
+
+
+def test_spline_coefficients_solve_the_mirrored_system():
+    samples = np.array([3.0, -1.0, 4.0, 1.0, 5.0])
+    c = regrid.spline_coefficients(samples)
+    padded = np.r_[c[1], c, c[-2]]
+    assert (padded[:-2] + 4 * padded[1:-1] + padded[2:]) / 6 == pytest.approx(samples)
+
+
 def elements_table(spark):
     return spark.createDataFrame([(1, 1, 100.0), (1, 2, 50.0)], "frame int, ce_no int, area double")
 
@@ -115,8 +136,6 @@ def test_speed_is_the_slope_of_the_displacement(spark):
 
 @pytest.mark.parametrize("values, bins", [([1.0, 2.0, 2.0, 5.0, 11.0], 5), ([3.0, 3.0], 10), ([0.1 * i for i in range(50)], 7)])
 def test_histogram_equals_numpy(spark, values, bins):
-    import numpy as np
-
     got = histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v", bins).orderBy("bin").collect()
     counts, edges = np.histogram(values, bins)
     assert [x.n for x in got] == counts.tolist()
