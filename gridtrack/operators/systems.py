@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.operators.candidates import assign_candidates
+from gridtrack.operators.components import components
 from gridtrack.operators.elements import element_id, node_frame, node_number
 from gridtrack.operators.labeling import label_pixels, region_summary
 from gridtrack.operators.links import Graph
@@ -115,17 +116,22 @@ def join_candidates(placed: DataFrame, candidates: DataFrame, edges: DataFrame,
     """``(component, cand, run, last_core)`` of candidates that last long enough.
 
     A candidate continues the one before it when the last core member there is
-    linked to its own first one in the full graph; ``run`` numbers the merged
-    candidates and durations add up.
+    linked to its own first one in the full graph; ``run`` is the first of the
+    merged candidates and durations add up.
     """
     cores = placed.where("core").groupBy("component", "cand").agg(
         F.min("node").alias("first_core"), F.max("node").alias("last_core"))
-    in_order = Window.partitionBy("component").orderBy("cand")
-    chained = candidates.join(cores, ["component", "cand"], "left").withColumn(
-        "previous", F.lag("last_core").over(in_order))
-    linked = edges.select(F.col("src").alias("previous"), F.col("dst").alias("first_core"), F.lit(0).alias("fresh"))
-    runs = chained.join(linked, ["previous", "first_core"], "left").withColumn(
-        "run", F.sum(F.coalesce("fresh", F.lit(1))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cores.select("component", (F.col("cand") + 1).alias("cand"), F.col("last_core").alias("previous"))
+    continued = stage(
+        cores.join(ends, ["component", "cand"])
+        .join(edges.select(F.col("src").alias("previous"), F.col("dst").alias("first_core")), ["previous", "first_core"])
+        .select(F.col("component").alias("scope"), (F.col("cand") - 1).alias("a"), F.col("cand").alias("b")),
+        "continued")
+    runs = candidates.join(cores, ["component", "cand"], "left").withColumn("run", F.col("cand"))
+    if not continued.isEmpty():
+        starts = components(continued).select(
+            F.col("scope").alias("component"), F.col("node").alias("cand"), "root")
+        runs = runs.join(starts, ["component", "cand"], "left").withColumn("run", F.coalesce("root", "cand"))
     lasting = runs.groupBy("component", "run").agg(
         F.sum("duration").alias("length"), F.max("last_core").alias("run_core"))
     hours = F.col("length") * config.tres

@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -26,14 +27,19 @@ def load_raster(spark: SparkSession, config: TrackConfig, source_format: str = "
 
     File sources drop warm pixels while reading, but not cells outside the
     domain: the lines nearest to its limits are chosen from the full axes.
+    Frame 1 is the first frame of the configured period.
     """
     if config.grid_dir is None:
         raise ValueError("grid_dir is not configured")
     if source_format == "parquet":
         return raster_from_grid(between_times(spark.read.parquet(config.grid_dir), config), config)
     read = read_grid_files(spark, config.grid_dir, format=source_format, value_max=config.t_bb_max)
-    known = Dimensions(read.rows, read.cols, between_times(read.frames, config))
-    return raster_from_grid(between_times(read.grid, config), config, known=known)
+    frames = between_times(read.frames, config)
+    before = frames.agg(F.min("frame") - 1).first()[0]
+    if before is None:
+        raise ValueError("no grid file falls into the configured period")
+    grid, frames = (t.withColumn("frame", F.col("frame") - before) for t in (between_times(read.grid, config), frames))
+    return raster_from_grid(grid, config, known=Dimensions(read.rows, read.cols, frames))
 
 
 def run(spark: SparkSession, config: TrackConfig, source_format: str = "netcdf") -> Analysis:

@@ -176,3 +176,8 @@ def test_run_from_files_with_rain_before_and_after(spark, tmp_path):
     assert sorted((x.id, x.n_px, x.precip_total) for x in later.collect()) == [
         (f"F{i}CE1", 30, 60.0) for i in range(1, 5)]
     assert spark.read.parquet(str(tmp_path / "dry/rain_grids")).count() == 120
+    late = load_raster(spark, dry.with_options(start="2009083102", end="2009083103"))
+    assert sorted(x.frame for x in late.frames.collect()) == [1, 2]
+    assert {x.frame for x in late.pixels.select("frame").distinct().collect()} == {1, 2}
+    with pytest.raises(ValueError, match="period"):
+        load_raster(spark, dry.with_options(start="2010083102", end="2010083103"))
