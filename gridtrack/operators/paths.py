@@ -218,27 +218,45 @@ def follow(plans: dict[int, NodePlan], shortest: float, rule: str):
 
 # --- the paths themselves ---------------------------------------------------------------------
 
-HOP_SCHEMA = "node bigint, need int, child bigint, next_need int, starts boolean"
-HOP_TYPES = pa.schema([
-    ("node", pa.int64()), ("need", pa.int32()), ("child", pa.int64()), ("next_need", pa.int32()),
-    ("starts", pa.bool_())])
+PATH_SCHEMA = "root bigint, step int, node bigint"
+PATH_TYPES = pa.schema([("root", pa.int64()), ("step", pa.int32()), ("node", pa.int64())])
 
 
 def root_paths(edges: DataFrame, config: TrackConfig) -> DataFrame:
-    """``(root, step, node)``: the chosen path of every root, one row per element on it.
-
-    All roots advance one frame per round; a round is one join with the
-    successor table, which has at most three rows per element.
-    """
+    """``(root, step, node)``: the chosen path of every root, one row per element on it."""
     members = stage(graph_components(edges), "members")
     large = component_sizes(members).where(F.col("n_nodes") > config.max_group_nodes).select("component")
     owned = edges.select("src", "dst", "weight").join(members.withColumnRenamed("node", "src"), "src")
-    hops = stage(
-        owned.join(large, "component", "left_anti").groupBy("component")
-        .applyInArrow(_hop_kernel(config), HOP_SCHEMA), "successors")
-    if not large.isEmpty():
-        big = owned.join(large, "component", "left_semi")
-        hops = stage(hops.unionByName(_hops_by_frames(big, config)), "successors")
+    if large.isEmpty():
+        return owned.groupBy("component").applyInArrow(_path_kernel(config), PATH_SCHEMA)
+    large = stage(large, "large-components")
+    listed = owned.join(large, "component", "left_anti").groupBy("component").applyInArrow(
+        _path_kernel(config), PATH_SCHEMA)
+    return listed.unionByName(_walk_roots(owned.join(large, "component", "left_semi"), config))
+
+
+def _path_kernel(config: TrackConfig):
+    rule = config.path_rule
+
+    def trace(links: pa.Table) -> pa.Table:
+        plans, rows = _planned(links, rule), []
+        for root, plan in plans.items():
+            if plan.depth < config.min_mcs_duration:
+                continue
+            node, need, step = root, plan.need(rule), 1
+            rows.append((root, step, node))
+            while need in plans[node].hops:
+                node, _, need = plans[node].hops[need]
+                step += 1
+                rows.append((root, step, node))
+        return pa.table([[row[i] for row in rows] for i in range(3)], schema=PATH_TYPES)
+
+    return trace
+
+
+def _walk_roots(edges: DataFrame, config: TrackConfig) -> DataFrame:
+    """All roots advance one frame per round, joined with at most three successors per element."""
+    hops = stage(_hops_by_frames(edges, config), "successors")
     walkers = stage(hops.where("starts").select(
         F.col("node").alias("root"), F.lit(1).alias("step"), "node", "need"), "walkers")
     listed = walkers
@@ -252,21 +270,6 @@ def root_paths(edges: DataFrame, config: TrackConfig) -> DataFrame:
     return listed.select("root", "step", "node")
 
 
-def _hop_kernel(config: TrackConfig):
-    def successors(links: pa.Table) -> pa.Table:
-        rows = []
-        for node, plan in _planned(links, config.path_rule).items():
-            own = plan.need(config.path_rule)
-            for need in (CLEAN, ONE_HEAVY, FALLBACK):
-                child, _, next_need = plan.hops.get(need, (None, None, None))
-                starts = need == own and plan.depth >= config.min_mcs_duration
-                if child is not None or starts:
-                    rows.append((node, need, child, next_need, starts))
-        return pa.table([[row[i] for row in rows] for i in range(5)], schema=HOP_TYPES)
-
-    return successors
-
-
 def _hops_by_frames(edges: DataFrame, config: TrackConfig) -> DataFrame:
     own = _own_need(config.path_rule)
     plans = list(_plans_by_frames(edges, config)[2].values())

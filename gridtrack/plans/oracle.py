@@ -321,6 +321,9 @@ ORACLE: dict[str, str] = {
     "contiguous_links": _query("edges", f"SELECT {EDGE_ENDS}, weight FROM edges"),
     "path_depth": _query("chosen", "SELECT root, node AS target, n AS n_nodes, dist AS distance FROM chosen"),
     "path_depth_min_distance": _query("chosen_min", "SELECT root, node AS target, n AS n_nodes, dist AS distance FROM chosen_min"),
+    "root_path_list": _query("chosen", """
+        SELECT root, CAST(step AS INTEGER) AS step, path[step] AS node
+        FROM (SELECT root, path, unnest(range(1, n + 1)) AS step FROM chosen)"""),
     "pruned_edges": _query("pruned", f"SELECT {EDGE_ENDS}, weight FROM pruned"),
     "components": _query("comp", "SELECT node, component FROM comp"),
     "merge_split": _query("behave", "SELECT * FROM behave"),

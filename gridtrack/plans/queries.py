@@ -229,6 +229,11 @@ def path_depth_min_distance(spark, sf_dir):
     return _clusters(spark, sf_dir, CONFIG.with_options(path_rule="min_distance")).roots
 
 
+def root_path_list(spark, sf_dir):
+    """Every element on the chosen path of every root."""
+    return paths.root_paths(_graph(spark, sf_dir)[2].edges, CONFIG)
+
+
 def pruned_edges(spark, sf_dir):
     return links.readable_edges(_clusters(spark, sf_dir).edges)
 
@@ -497,7 +502,7 @@ REGISTERED: list[Query] = [
     label_components, label_components_tiled, element_bbox, element_stats, element_stats_component,
     element_shape, element_center, element_accept, element_ids, element_reject, element_pixels,
     element_pixel_list, overlap_pairs, edges_weighted, isolated_removed, frame_counts, graph_json,
-    edge_classes, contiguous_links, path_depth, path_depth_min_distance, pruned_edges, components,
+    edge_classes, contiguous_links, path_depth, path_depth_min_distance, root_path_list, pruned_edges, components,
     merge_split, ancestors_chain, descendants_chain, criteria_area, criterion_pixels, mcs_members,
     mcc_members, node_stage, asof_bucket, regrid_feather, regrid_bilinear, regrid_cubic, element_precip,
     precip_late_attach, feature_duration, duration_summary, feature_area, average_feature_size,
