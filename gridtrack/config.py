@@ -63,6 +63,9 @@ class TrackConfig:
     max_group_nodes: int = 250_000
 
     def __post_init__(self) -> None:
+        for item in fields(self):
+            if item.type == "float":
+                object.__setattr__(self, item.name, float(getattr(self, item.name)))
         if self.t_bb_min > self.t_bb_max:
             low, high = self.t_bb_max, self.t_bb_min
             object.__setattr__(self, "t_bb_min", low)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtrack.functions.geo import normalize_longitude
+from gridtrack.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -166,6 +167,7 @@ def regrid_cubic(grid: CoarseGrid, rows: DataFrame, cols: DataFrame) -> DataFram
     coarse lines, first along columns, then along rows.  The grid is mirrored
     at its edges.
     """
+    ship_package(grid.cells.sparkSession)
     cells = feather(grid).cells.select(
         "ts", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
         F.coalesce("value", F.lit(0.0)).alias("value"))

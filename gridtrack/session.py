@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(app: str = "gridtrack", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the local benchmark; clusters bring their own."""
@@ -27,6 +31,24 @@ def local_session(app: str = "gridtrack", cpus: int | str = "*", partitions: int
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    The grouped kernels are imported there by name, whatever folder the driver
+    program was started in.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gridtrack-package-")) / "gridtrack.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for module in sorted(package.rglob("*.py")):
+            bundle.write(module, Path(package.name) / module.relative_to(package))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for stage tables: the one the session names in spark.checkpoint.dir.
 
@@ -50,6 +72,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The tables of an application share one folder, which can be dropped when it ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/gridtrack-{spark.sparkContext.applicationId}"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

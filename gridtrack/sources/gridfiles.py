@@ -27,7 +27,7 @@ from gridtrack.functions.dates import decode_model_time
 from gridtrack.functions.geo import normalize_longitude
 from gridtrack.operators.numbering import number_rows
 from gridtrack.sources.classic_netcdf import ClassicFile
-from gridtrack.session import stage
+from gridtrack.session import ship_package, stage
 from gridtrack.sources.files import file_time
 
 SCHEMA = (
@@ -288,6 +288,7 @@ class GridRead:
 
 def read_grid_files(spark: SparkSession, path: str, **options) -> GridRead:
     """Read grid files with decoded times; frames are numbered 1, 2, ... in time order."""
+    ship_package(spark)
     spark.dataSource.register(GridFiles)
     rows = spark.read.format("gridfiles").options(path=path, **options).load()
     bad = rows.where(F.col("error").isNotNull()).select("file", "error").distinct()
@@ -312,6 +313,7 @@ def number_frames(cells: DataFrame) -> DataFrame:
 
 def read_rain_files(spark: SparkSession, path: str, variable: str = "pcp", **options) -> DataFrame:
     """``(ts, lat, lon, value)`` from the first slice of each file; the time is the file name's."""
+    ship_package(spark)
     spark.dataSource.register(GridFiles)
     rows = spark.read.format("gridfiles").options(path=path, variable=variable, **options).load()
     name = F.element_at(F.split("file", "/"), -1)
