@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrack.llm import exact_dedup, sharding
+from gridtrack.llm import exact_dedup, mixing, sharding, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards of near equal bytes."""
     rows, _ = sharding.shard_by_bytes(documents(spark, sf_dir), shards=16)
@@ -27,9 +34,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document, over all sources."""
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    return token_files.token_rows(documents(spark, sf_dir), tokenizer_file())
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-REGISTERED: list[Query] = [op1_sharding, op4_exact_dedup]
+REGISTERED: list[Query] = [op1_sharding, op4_exact_dedup, op7_mixing, op9_token_files]
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -40,6 +59,35 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op7_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                 ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 15))::BIGINT AS hash
+          FROM documents),
+        s AS (
+          SELECT source, source_size, (no % 3 + 1)::DOUBLE AS weight, (3 * source_size)::DOUBLE AS most, no
+          FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+                FROM d GROUP BY source)),
+        l AS (
+          SELECT *, most / weight AS full_at,
+                 (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0))
+                 / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+          FROM s WINDOW b AS (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (
+          SELECT source, source_size, least(most, weight * (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at)) AS target
+          FROM l),
+        c AS (
+          SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS copies FROM t),
+        r AS (
+          SELECT doc_id, size, source_size, target, copies, hash,
+                 CASE WHEN copies >= 3 THEN 0 ELSE target - copies * source_size END AS budget,
+                 sum(size) OVER (PARTITION BY d.source ORDER BY hash) AS upto
+          FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+        SELECT doc_id, size, source_size, round(target, 6) AS target,
+               (size * (copies + CASE WHEN budget > 0 AND upto - size < budget
+                                       AND (upto < budget OR (budget - upto + size) * 2 >= size) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM r
+    """,
 }
 
 
