@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrack.llm import exact_dedup, mixing, sharding, token_files
+from gridtrack.llm import exact_dedup, language, mixing, sharding, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of those that name theirs."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = language.identify(
+        docs.withColumn("held_out", held_out), docs.where(~held_out).select("lang", "text"), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays of every group of equal texts, for every document."""
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
@@ -48,7 +57,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-REGISTERED: list[Query] = [op1_sharding, op4_exact_dedup, op7_mixing, op9_token_files]
+REGISTERED: list[Query] = [op1_sharding, op2_language, op4_exact_dedup, op7_mixing, op9_token_files]
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
