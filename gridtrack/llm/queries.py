@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrack.llm import exact_dedup, language, mixing, sharding, token_files
+from gridtrack.llm import decontaminate, exact_dedup, language, mixing, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,16 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    labelled = docs.where("not held_out").join(labels, "doc_id").select("toxic", "text")
+    scored = toxicity.toxicity(docs, labelled, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays of every group of equal texts, for every document."""
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
@@ -55,9 +65,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(documents(spark, sf_dir), tokenizer_file())
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item of which the document holds a copy, edited ones included."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(documents(spark, sf_dir), items, ["doc_id"])
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-REGISTERED: list[Query] = [op1_sharding, op2_language, op4_exact_dedup, op7_mixing, op9_token_files]
+REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op7_mixing, op9_token_files, op10_decontamination]
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
