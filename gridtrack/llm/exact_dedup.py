@@ -38,13 +38,13 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     rows = docs.select("doc_id", normalised(F.col("text")).alias("content"))
     rows = rows.withColumn("text_sha256", F.sha2("content", 256))
 
-    contents = stage(_combine(rows, salts), "dedup-contents")
+    contents = _combine(rows, salts)
+    winners = stage(contents.drop("content"), "dedup-winners")
     members = stage(rows.drop("content"), "dedup-members")
     total = members.count()
-    shared = contents.groupBy("text_sha256").count().where("count > 1").select("text_sha256")
+    shared = winners.groupBy("text_sha256").count().where("count > 1").select("text_sha256")
     ambiguous = not shared.isEmpty()
 
-    winners = contents.select("text_sha256", "keep_id", "group_size")
     if not ambiguous:
         joined = join_groups(members, winners, ["text_sha256"], "group_size", total)
     else:
