@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrack.llm import decontaminate, exact_dedup, language, mixing, sharding, token_files, toxicity
+from gridtrack.llm import decontaminate, exact_dedup, language, licenses, mixing, sharding, spans, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence that a document states, and how often."""
+    found = licenses.scan_licenses(documents(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", F.explode("licenses").alias("license", "stated"), "fragments")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose passages which occurred before, with the passages and the text that stays."""
+    return spans.remove_repeats(documents(spark, sf_dir), ["doc_id"], only_changed=True)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, over all sources."""
     mixed = mixing.mix(documents(spark, sf_dir))
@@ -74,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op7_mixing, op9_token_files, op10_decontamination]
+REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op5_licenses, op6_substring_dedup, op7_mixing, op9_token_files, op10_decontamination]
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -85,6 +96,7 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op5_licenses": licenses.oracle_sql(),
     "op7_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
