@@ -3,12 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridtrack.llm import decontaminate, jaccard, mixing, queries, token_files, toxicity
 from gridtrack.session import stage
 
-STAGES: list = []
 
-# stages score and align texts, which SQL cannot express
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below one half."""
+    scored = toxicity.toxicity(docs, queries.toxic_labels(spark, docs, sf_dir), docs.columns, output="toxicity score")
+    return scored.where(F.col("toxicity score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(docs, items, docs.columns, output="benchmark matches")
+    return found.where(F.size("benchmark matches") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: one row per document."""
+    return token_files.token_rows(docs, queries.tokenizer_file())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_token_files),
+]
+
+# stages score, align and tokenize texts, which SQL cannot express
 ORACLE_SQL = None
 
 

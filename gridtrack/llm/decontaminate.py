@@ -225,8 +225,8 @@ def _scanner(block: Broadcast, name: str, kept: int):
     return scan
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` and ``matches``, an array of ``(item_id, score, first_word, end_word)``.
+def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], output: str = "matches") -> DataFrame:
+    """``columns`` of every row of ``docs`` and ``output``, an array of ``(item_id, score, first_word, end_word)``.
 
     A score is the alignment score over that of a full copy, 1 at most; the best
     window of every item at or above ``THRESHOLD`` is reported, with the window's
@@ -257,4 +257,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> D
         scanned = rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, len(columns)), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
         rows = scanned.withColumnRenamed("found", "matches") if k == 0 else scanned.select(
             *names, F.concat("matches", "found").alias("matches"))
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "matches")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("matches").alias(output))

@@ -90,23 +90,45 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         "source_no", F.when(F.col("rest") * 2 >= F.col("held"), low + F.lit(2**width - 1)).otherwise(low - 1).alias("threshold"))
 
 
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, size, hash)`` of every row, as a stage table."""
+    return stage(docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-rows")
+
+
+def mix_plan(rows: DataFrame) -> DataFrame:
+    """``(mix_source, source_size, target, copies, threshold)``, one row per source of ``rows``."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = stage(source_targets(sources), "mix-targets")
+    numbered = rows.join(targets.select("source_no", F.col("source").alias("named")), F.col("source").eqNullSafe(F.col("named")))
+    ends = thresholds(numbered.select("source_no", "size", "hash"), targets)
+    return stage(targets.join(ends, "source_no", "left").select(
+        F.col("source").alias("mix_source"), "source_size", "target", "copies",
+        F.coalesce("threshold", F.lit(-1)).alias("threshold")), "mix-plan")
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` for every row of ``docs(doc_id, text, source)``.
+    """``(doc_id, source, size, hash, source_size, target, copies)`` for every row of ``docs(doc_id, text, source)``.
 
     ``copies`` says how often the mix takes the document, 0 to ``MOST``.  A null
     text has no words; a null source is a source, the last one.  Rows equal in id
     and text are taken alike.  Documents without words are taken like the others
     of their hash, and count nothing.  Reruns agree, as only contents decide.
     """
-    rows = stage(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-rows")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stage(source_targets(sources), "mix-targets")
-    numbered = rows.join(targets.select("source_no", F.col("source").alias("named")), F.col("source").eqNullSafe(F.col("named")))
-    ends = thresholds(numbered.select("source_no", "size", "hash"), targets)
-    plan = stage(targets.join(ends, "source_no", "left"), "mix-plan").select(
-        F.col("source").alias("named"), "source_size", "target", "copies", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
-    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("named")))
+    rows = mix_rows(docs)
+    taken = rows.join(mix_plan(rows), F.col("source").eqNullSafe(F.col("mix_source")))
     return taken.select(
         "doc_id", "source", "size", "hash", "source_size", "target",
         (F.col("copies") + (F.col("hash") <= F.col("threshold")).cast("int")).alias("copies"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs``, all columns, as often as the mix takes it."""
+    plan = mix_plan(mix_rows(docs)).select("mix_source", F.col("copies").alias("mix_copies"), F.col("threshold").alias("mix_threshold"))
+    hashed = docs.select(
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("source").alias("mix_of"),
+        mix_hash(F.col("doc_id"), F.col("text")).alias("mix_hash"))
+    taken = hashed.join(plan, F.col("mix_of").eqNullSafe(F.col("mix_source"))).withColumn(
+        "times", F.col("mix_copies") + (F.col("mix_hash") <= F.col("mix_threshold")).cast("int")).where("times > 0")
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*kept)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrack.llm import decontaminate, exact_dedup, language, licenses, mixing, sharding, spans, token_files, toxicity
+from gridtrack.llm import decontaminate, exact_dedup, jaccard, language, licenses, mixing, sharding, spans, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,17 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def toxic_held_out() -> Column:
+    """Rows whose labels are never learned."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def toxic_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(toxic, text)`` of the labelled documents that may be learned from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return docs.select("doc_id", "text").where(~toxic_held_out()).join(labels, "doc_id").select("toxic", "text")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards of near equal bytes."""
     rows, _ = sharding.shard_by_bytes(documents(spark, sf_dir), shards=16)
@@ -40,11 +51,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels."""
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labelled = docs.where("not held_out").join(labels, "doc_id").select("toxic", "text")
-    scored = toxicity.toxicity(docs, labelled, ["doc_id", "held_out"])
+    docs = documents(spark, sf_dir)
+    scored = toxicity.toxicity(
+        docs.withColumn("held_out", toxic_held_out()), toxic_labels(spark, docs, sf_dir), ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -71,6 +80,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 85 in 100 shared 4-word shingles."""
+    return jaccard.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     return token_files.token_rows(documents(spark, sf_dir), tokenizer_file())
@@ -85,7 +99,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op5_licenses, op6_substring_dedup, op7_mixing, op9_token_files, op10_decontamination]
+REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op5_licenses, op6_substring_dedup, op7_mixing, op8_ngram_jaccard, op9_token_files, op10_decontamination]
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -128,6 +142,21 @@ ORACLE: dict[str, str] = {
     """,
 }
 
+ORACLE["op8_ngram_jaccard"] = rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (
+      SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+    r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+    SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(r.y)) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id
+"""
+
 
 def registered() -> dict[str, Query]:
     return {query.__name__: query for query in REGISTERED}

@@ -400,8 +400,8 @@ def _score(shared: Broadcast, name: str, kept: int):
     return score
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` and ``score``, the chance that its text is toxic.
+def toxicity(docs: DataFrame, labelled: DataFrame, columns: list[str], output: str = "score") -> DataFrame:
+    """``columns`` of every row of ``docs`` and ``output``, the chance that its text is toxic.
 
     Learns from ``labelled(toxic, text)``, rows with a null in either left out.  A
     null or empty text scores as one without a suspicious word.  If the labelled
@@ -411,10 +411,10 @@ def toxicity(docs: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFr
     machine = train(labelled)
     if machine is None:
         share = labelled.where("toxic is not null and text is not null").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-        return docs.select(*columns, F.lit(share or 0.0).alias("score"))
+        return docs.select(*columns, F.lit(share or 0.0).alias(output))
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     rows = docs.select(*columns, "text")
     names = [f"c{i}" for i in range(len(columns))]
     ddl = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, rows.schema))
     scored = rows.toDF(*names, "text").mapInArrow(_score(shared, uuid.uuid4().hex, len(columns)), f"{ddl}score double")
-    return scored.toDF(*columns, "score")
+    return scored.toDF(*columns, output)
