@@ -4,7 +4,7 @@ Test items go to the tasks in blocks of bounded size, as fingerprints of their
 words.  Every document is read whole: runs of ``SEED`` words that are a seed of an
 item open a window around the place, and the item is aligned with the window by
 Smith-Waterman, so words may be replaced, left out or added.  Seeds are the
-item's rarest n-grams, by the number of documents of the corpus they occur in.
+item's rare n-grams, by the number of documents of the corpus they occur in.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gridtrack.llm.words import Words, shingles, span_hashes, text_bytes, text_slices, word_bounds
 
 SEED = 3
+RARE_SHARE = 0.01
 CHUNK = 96
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
@@ -79,14 +80,20 @@ class Items:
         order = np.argsort(seed, kind="stable")
         return cls(ids, np.array(chunk_item, dtype=np.int64), chunk_words, seed[order], chunk[order], at[order])
 
-    def rarest(self, frequency: dict[int, int]) -> Items:
-        """Keeps the half of each chunk's seeds that fewest documents have, ties included."""
-        df = np.array([frequency.get(int(s), 0) for s in self.seed.view(np.int64)], dtype=np.int64)
-        keep = np.zeros(df.size, dtype=bool)
-        order = np.lexsort((df, self.seed_chunk))
-        for part in np.split(order, np.flatnonzero(np.diff(self.seed_chunk[order])) + 1):
+    def rarest(self, frequency: dict[int, int], documents: int) -> Items:
+        """Leaves out the seeds that many documents have, compared with all documents and with the other seeds of the chunk.
+
+        A seed stays if it occurs in at most ``RARE_SHARE`` of the documents, or not
+        more than twice as often as the chunk's seeds usually do: an item that is
+        copied everywhere keeps its seeds.
+        """
+        df = np.array([frequency.get(s, 0) for s in self.seed.view(np.int64).tolist()], dtype=np.int64)
+        keep = (df > 0) & (df <= RARE_SHARE * documents)
+        met = np.flatnonzero(df > 0)
+        met = met[np.lexsort((df[met], self.seed_chunk[met]))]
+        for part in np.split(met, np.flatnonzero(np.diff(self.seed_chunk[met])) + 1):
             if part.size:
-                keep[part] = df[part] <= df[part[(part.size - 1) // 2]]
+                keep[part] |= df[part] <= 2 * df[part[(part.size - 1) // 2]]
         return Items(self.ids, self.chunk_item, self.chunk_words, self.seed[keep], self.seed_chunk[keep], self.seed_at[keep])
 
 
@@ -116,8 +123,9 @@ def _seed_counter(block: Broadcast, name: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _shared(block, name)
         seeds = np.unique(items.seed)
-        total = np.zeros(seeds.size, dtype=np.int64)
+        total, documents = np.zeros(seeds.size, dtype=np.int64), 0
         for batch in batches:
+            documents += batch.num_rows
             for s, e in text_slices(batch.column(0)):
                 h, row = shingles(bare_words(batch.column(0).slice(s, e - s)), SEED)
                 hit = _found(h, seeds)
@@ -125,7 +133,10 @@ def _seed_counter(block: Broadcast, name: str):
                 once = np.unique(row[hit] * np.int64(seeds.size) + which) % max(1, seeds.size)
                 total += np.bincount(once, minlength=seeds.size)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[some].view(np.int64)), pa.array(total[some])], names=["seed", "n"])
+        # the row without a seed counts the documents
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *seeds[some].view(np.int64).tolist()], pa.int64()), pa.array([documents, *total[some].tolist()], pa.int64())],
+            names=["seed", "n"])
 
     return count
 
@@ -252,7 +263,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], outp
         everything = spark.sparkContext.broadcast(block)
         counted = docs.select("text").mapInArrow(_seed_counter(everything, uuid.uuid4().hex), "seed bigint, n bigint")
         frequency = counted.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        rare = block.rarest(dict(zip(frequency.column("seed").to_pylist(), frequency.column("n").to_pylist())))
+        known = dict(zip(frequency.column("seed").to_pylist(), frequency.column("n").to_pylist()))
+        rare = block.rarest(known, known.get(None, 0))
         shared = spark.sparkContext.broadcast(rare)
         scanned = rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, len(columns)), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
         rows = scanned.withColumnRenamed("found", "matches") if k == 0 else scanned.select(

@@ -155,14 +155,17 @@ def remove_repeats(docs: DataFrame, columns: list[str], only_changed: bool = Fal
     have no run and stay whole.  A text may become empty.  With ``only_changed``
     rows that lose nothing are left out.  ``columns`` must not hold ``text``.
     """
-    spans = stage(merged(repeated_spans(docs)), "spans").withColumnsRenamed({"doc_id": "span_doc", "text_hash": "span_text"})
-    rows = docs.select(*columns, F.col("doc_id").cast("bigint").alias("span_id"), F.xxhash64("text").alias("span_hash"), "text")
+    spans = stage(merged(repeated_spans(docs)), "spans").select(
+        F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text"), F.col("spans").alias("span_list"))
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = docs.select(*columns).schema
+    rows = docs.select(
+        *[F.col(c).alias(n) for c, n in zip(columns, names)], F.col("doc_id").cast("bigint").alias("span_id"),
+        F.xxhash64("text").alias("span_hash"), F.col("text").alias("whole_text"))
     joined = rows.join(
         spans, F.col("span_id").eqNullSafe(F.col("span_doc")) & (F.col("span_hash") == F.col("span_text")),
         "inner" if only_changed else "left")
-    schema = rows.select(*columns).schema
-    names = [f"c{i}" for i in range(len(columns))]
     ddl = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, schema))
-    cut = joined.select(*columns, "text", "spans").toDF(*names, "text", "spans").mapInArrow(
+    cut = joined.select(*names, "whole_text", "span_list").mapInArrow(
         _cut(len(columns)), f"{ddl}text string, spans array<struct<first_word:int,end_word:int>>, removed_words bigint")
     return cut.toDF(*columns, "text", "spans", "removed_words")
