@@ -68,21 +68,25 @@ def time_unit(units: Column | str) -> Column:
 def decode_model_time(units: Column | str, offset: Column | str, compat_offsets: bool = False) -> Column:
     """Time of ``offset`` in ``'<unit> since <date>'``.
 
-    ``compat_offsets`` repeats the published reader, which takes every offset
-    that is no multiple of 10 as 1.
+    Minutes, hours and days may have a fraction, kept to the microsecond; months
+    and years are whole.  ``compat_offsets`` repeats the published reader, which
+    drops fractions and takes every offset that is no multiple of 10 as 1.
     """
     base = decode_base_time(F.regexp_extract(_col(units), r"since\s*(.*)$", 1))
     unit = time_unit(units)
-    x = _col(offset).cast("bigint")
+    x = _col(offset).cast("double")
     if compat_offsets:
-        x = F.when(x % 10 != 0, F.lit(1)).otherwise(x)
-    n = x.cast("int")
+        x = x.cast("bigint")
+        x = F.when(x % 10 != 0, F.lit(1)).otherwise(x).cast("double")
+    whole = x.cast("int")
+    total = x * F.when(unit == "minutes", 60).when(unit == "hours", 3600).otherwise(86400)
+    days = F.floor(total / 86400)
+    seconds = F.round(total - days * 86400, 6)
     return (
-        F.when(unit == "minutes", base + F.make_dt_interval(mins=n))
-        .when(unit == "hours", base + F.make_dt_interval(hours=n))
-        .when(unit == "days", base + F.make_dt_interval(days=n))
-        .when(unit == "months", base + F.make_ym_interval(months=n))
-        .when(unit == "years", base + F.make_ym_interval(years=n))
+        F.when(unit.isin("minutes", "hours", "days"),
+               base + F.make_dt_interval(days=days.cast("int"), secs=seconds.cast("decimal(18,6)")))
+        .when(unit == "months", base + F.make_ym_interval(months=whole))
+        .when(unit == "years", base + F.make_ym_interval(years=whole))
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtrack.functions.geo import normalize_longitude
-from gridtrack.session import ship_package
+from gridtrack.session import stage
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,15 @@ class CoarseGrid:
 
 def coarse_grid(source: DataFrame) -> CoarseGrid:
     """Index the coarse dataset; negative, NULL and absent values are missing."""
-    folded = source.withColumn("lon", normalize_longitude("lon"))
-    lat_axis, lon_axis = _axis(folded, "lat", "y"), _axis(folded, "lon", "x")
-    lat, lon = _axis_infos(folded)
+    folded = stage(source.select("ts", "lat", normalize_longitude("lon").alias("lon"), "value"), "coarse-source")
+    # every grid line once: axes and limits come from this small table
+    lines = stage(
+        folded.select(F.explode(F.array(
+            F.struct(F.lit("lat").alias("axis"), F.col("lat").alias("place")),
+            F.struct(F.lit("lon").alias("axis"), F.col("lon").alias("place")))).alias("x"))
+        .select("x.*").distinct(), "coarse-lines")
+    lat_axis, lon_axis = _axis(lines, "lat", "y"), _axis(lines, "lon", "x")
+    lat, lon = _axis_infos(lines)
     given = (
         folded.join(lat_axis, "lat").join(lon_axis, "lon")
         .select("ts", "y", "x", F.col("value").cast("double").alias("value"))
@@ -50,18 +56,18 @@ def coarse_grid(source: DataFrame) -> CoarseGrid:
     )
     cells = every.join(given, ["ts", "y", "x"], "left").withColumn(
         "missing", F.col("value").isNull() | (F.col("value") < 0))
-    return CoarseGrid(cells, lat, lon)
+    return CoarseGrid(stage(cells, "coarse-cells"), lat, lon)
 
 
-def _axis(source: DataFrame, value: str, index: str) -> DataFrame:
+def _axis(lines: DataFrame, name: str, index: str) -> DataFrame:
     # a window over one row per grid line
-    place = F.row_number().over(Window.orderBy(value)) - 1
-    return source.select(value).distinct().withColumn(index, place)
+    place = F.row_number().over(Window.orderBy("place")) - 1
+    return lines.where(F.col("axis") == name).select(F.col("place").alias(name), place.alias(index))
 
 
-def _axis_infos(source: DataFrame) -> tuple[AxisInfo, AxisInfo]:
-    limits = source.agg(*[
-        f(x) for x in ("lat", "lon") for f in (F.count_distinct, F.min, F.max)]).first()
+def _axis_infos(lines: DataFrame) -> tuple[AxisInfo, AxisInfo]:
+    of = {name: F.when(F.col("axis") == name, F.col("place")) for name in ("lat", "lon")}
+    limits = lines.agg(*[f(of[x]) for x in ("lat", "lon") for f in (F.count, F.min, F.max)]).first()
     lat, lon = AxisInfo(*limits[:3]), AxisInfo(*limits[3:])
     if min(lat.size, lon.size) < 2:
         raise ValueError("interpolation needs at least two lines on each axis")
@@ -156,23 +162,21 @@ def _part(share: Column, corner: Column) -> Column:
 
 # --- cubic ------------------------------------------------------------------------------------
 
-LINE_SCHEMA = "ts timestamp_ntz, y int, x int, value double"
+SLICE_SCHEMA = "ts timestamp_ntz, y int, x int, value double"
 
 
 def regrid_cubic(grid: CoarseGrid, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Cubic-spline values ``(ts, r, c, value)`` at every fine cell.
 
-    The spline is separable: coefficients are solved line by line along each
-    axis (a group is one grid line), then every fine line sums four weighted
-    coarse lines, first along columns, then along rows.  The grid is mirrored
-    at its edges.
+    The spline is separable: the coefficients of a slice of the coarse grid are
+    solved along one axis and then the other, all its lines at once; then every
+    fine line sums four weighted coarse lines, first along columns, then along
+    rows.  The grid is mirrored at its edges.
     """
-    ship_package(grid.cells.sparkSession)
     cells = feather(grid).cells.select(
         "ts", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
         F.coalesce("value", F.lit(0.0)).alias("value"))
-    along_x = cells.groupBy("ts", "y").applyInArrow(_spline_line("x"), LINE_SCHEMA)
-    coefficients = along_x.groupBy("ts", "x").applyInArrow(_spline_line("y"), LINE_SCHEMA)
+    coefficients = cells.groupBy("ts").applyInArrow(_spline_slice(grid.lat.size, grid.lon.size), SLICE_SCHEMA)
     col_taps = _taps(line_weights(cols, "c", "lon", grid.lon, "x"), "c", "x", grid.lon.size)
     row_taps = _taps(line_weights(rows, "r", "lat", grid.lat, "y"), "r", "y", grid.lat.size)
     by_column = coefficients.join(col_taps, "x").groupBy("ts", "y", "c").agg(
@@ -196,27 +200,31 @@ def _taps(weights: DataFrame, index: str, cell: str, size: int) -> DataFrame:
     return taps.where("tap <> 0").select(index, mirrored.cast("int").alias(cell), "tap")
 
 
-def _spline_line(axis: str):
-    """Kernel: B-spline coefficients of one grid line, mirrored at both ends."""
-    def solve(line: pa.Table) -> pa.Table:
-        order = np.argsort(line.column(axis).to_numpy())
-        line = line.take(pa.array(order))
-        solved = pa.array(spline_coefficients(line.column("value").to_numpy()))
-        return line.set_column(line.column_names.index("value"), "value", solved).select(["ts", "y", "x", "value"])
+def _spline_slice(ny: int, nx: int):
+    """Kernel: B-spline coefficients of one coarse slice, mirrored at its edges."""
+    def solve(cells: pa.Table) -> pa.Table:
+        y, x = cells.column("y").to_numpy(), cells.column("x").to_numpy()
+        values = np.zeros((ny, nx))
+        values[y, x] = cells.column("value").to_numpy()
+        values = spline_coefficients(spline_coefficients(values).T).T
+        return cells.set_column(cells.column_names.index("value"), "value", pa.array(values[y, x])).select(["ts", "y", "x", "value"])
 
     return solve
 
 
 def spline_coefficients(samples: np.ndarray) -> np.ndarray:
-    """Solve ``(c[i-1] + 4 c[i] + c[i+1]) / 6 = samples[i]`` with mirrored ends."""
-    n = samples.size
-    upper, right = np.zeros(n), np.zeros(n)
+    """Solve ``(c[i-1] + 4 c[i] + c[i+1]) / 6 = samples[i]`` along the last axis, with mirrored ends.
+
+    The elimination runs along the line, one step for all lines together.
+    """
+    n = samples.shape[-1]
+    upper, right = np.zeros(n), np.zeros(samples.shape)
     for i in range(n):
         above = (2.0 if i == 0 else 1.0) if i < n - 1 else 0.0
         below = (2.0 if i == n - 1 else 1.0) if i > 0 else 0.0
         pivot = 4.0 - (below * upper[i - 1] if i else 0.0)
         upper[i] = above / pivot
-        right[i] = (6.0 * samples[i] - (below * right[i - 1] if i else 0.0)) / pivot
+        right[..., i] = (6.0 * samples[..., i] - (below * right[..., i - 1] if i else 0.0)) / pivot
     for i in range(n - 2, -1, -1):
-        right[i] -= upper[i] * right[i + 1]
+        right[..., i] -= upper[i] * right[..., i + 1]
     return right

@@ -455,10 +455,10 @@ ORACLE: dict[str, str] = {
                      CAST(l_quantity AS INTEGER) * CASE WHEN l_linenumber % 2 = 0 THEN 24 ELSE 1 END AS step FROM lineitem)""",
     "model_time": f"""
         SELECT o_orderkey, CASE {UNIT.format('o_custkey')}
-            WHEN 'minutes' THEN b + n * INTERVAL 1 MINUTE WHEN 'hours' THEN b + n * INTERVAL 1 HOUR
-            WHEN 'days' THEN b + n * INTERVAL 1 DAY WHEN 'months' THEN b + n * INTERVAL 1 MONTH
-            ELSE b + n * INTERVAL 1 YEAR END AS ts
-        FROM (SELECT o_orderkey, o_custkey, date_trunc('hour', o_orderdate) AS b, o_custkey % 50 AS n FROM orders)""",
+            WHEN 'minutes' THEN b + q * INTERVAL 15 SECOND WHEN 'hours' THEN b + q * INTERVAL 15 MINUTE
+            WHEN 'days' THEN b + q * INTERVAL 6 HOUR WHEN 'months' THEN b + (q // 4) * INTERVAL 1 MONTH
+            ELSE b + (q // 4) * INTERVAL 1 YEAR END AS ts
+        FROM (SELECT o_orderkey, o_custkey, date_trunc('hour', o_orderdate) AS b, o_custkey % 50 AS q FROM orders)""",
     "time_pattern": """
         SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') || '*' || strftime(o_orderdate, '%H') || '*' AS pattern FROM orders""",
     "missing_files": """

@@ -266,8 +266,9 @@ def criterion_pixels(spark, sf_dir):
 
 
 def mcs_members(spark, sf_dir):
-    members = _analysis(spark, sf_dir).systems.members.where("kind = 'MCS'")
-    return members.select("feature_id", "kind", "seq", "frame", "ce_no", "id", "behaviour")
+    nodes, clusters, _, _ = _systems_only(spark, sf_dir)
+    return nodes.join(paths.behaviours(clusters.edges).select("node", "behaviour"), "node").select(
+        "feature_id", "kind", "seq", "frame", "ce_no", "id", "behaviour")
 
 
 def mcc_members(spark, sf_dir):
@@ -459,7 +460,7 @@ def model_time(spark, sf_dir):
                      (F.col("o_custkey") % 5 + 1).cast("int")),
         F.lit(" since "), F.date_format("o_orderdate", "yyyy-MM-dd HH"))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", dates.decode_model_time(units, F.col("o_custkey") % 50).alias("ts"))
+        "o_orderkey", dates.decode_model_time(units, (F.col("o_custkey") % 50) / 4).alias("ts"))
 
 
 def time_pattern(spark, sf_dir):

@@ -59,4 +59,4 @@ def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, f
     for name, lines in reports.items():
         text.write_lines(lines, f"{root}/reports/{name}")
     if timings is not None:
-        text.write_run_record(run_record(analysis, timings), f"{root}/run.json")
+        text.write_run_record(raster.frames.sparkSession, run_record(analysis, timings), f"{root}/run.json")

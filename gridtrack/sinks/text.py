@@ -1,23 +1,20 @@
 """Published text and JSON reports as line tables, and their writers.
 
 Every function returns a DataFrame of text lines in report order;
-``write_lines`` stores it.  Lists inside a line hold a bounded part of a group;
-longer groups continue on further lines.
+``write_lines`` stores it.  Links, path steps and members have a line each,
+however many belong together.
 """
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.operators.elements import node_frame, node_number
 
-LIST_PART = 10_000
-
 
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the ``line`` column, ordered by the other columns."""
@@ -69,34 +66,33 @@ def rejected_elements(rejected: DataFrame) -> DataFrame:
 
 
 def graph_json(elements: DataFrame, edges: DataFrame) -> DataFrame:
-    """JSON object of each element with incoming links; its parents are listed in parts."""
+    """A JSON object per link: the later element and, in ``edges``, the parent of this link.
+
+    An element with several parents has as many objects, in the order of its
+    parents; no group of links is gathered, however many an element has.
+    """
     parent = F.concat(F.lit("F"), node_frame("src").cast("string"), F.lit("CE"), node_number("src").cast("string"))
-    parents = edges.groupBy(F.col("dst").alias("node"), F.floor(node_number("src") / LIST_PART).alias("part")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("src", parent.alias("p")))), lambda x: x["p"]).alias("edges"))
     record = F.struct(
         F.col("id").alias("cloudElement"), _text("ts").alias("time"), "area",
         F.col("tmax").alias("Tmax"), F.col("tmin").alias("Tmin"),
         F.array("center_lat", "center_lon").alias("center"), F.col("eccentricity").alias("shape"),
         F.array("min_lon", "min_lat", "max_lon", "max_lat").alias("cloudElementLatLonBox"),
-        F.col("cf").alias("convective_fraction"), "edges")
-    return elements.join(parents, "node").select("frame", "ce_no", "part", F.to_json(record).alias("line"))
+        F.col("cf").alias("convective_fraction"), F.array(parent).alias("edges"))
+    return elements.join(edges.select(F.col("dst").alias("node"), "src"), "node").select(
+        "frame", "ce_no", "src", F.to_json(record).alias("line"))
 
 
 def cluster_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """``Subtree pathlength`` line of every root: path distance and the path, one element per frame."""
-    name = F.concat(F.lit("'F"), node_frame("node").cast("string"), F.lit("CE"), node_number("node").cast("string"), F.lit("'"))
-    listed = paths.groupBy("root", F.floor(F.col("step") / LIST_PART).alias("part")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("step", name.alias("n")))), lambda x: x["n"]).alias("names"))
-    return listed.join(roots.select("root", "distance"), "root").select("root", "part", F.format_string(
-        "Subtree pathlength is %d and path is [%s]", F.col("distance"), F.array_join("names", ", ")).alias("line"))
+    """A line per step of every root's path: the path distance, the step and its element."""
+    return paths.join(roots.select("root", "distance"), "root").select("root", "step", F.format_string(
+        "Subtree pathlength is %d and step %d of F%dCE%d is F%dCE%d", F.col("distance"), F.col("step"),
+        node_frame("root"), node_number("root"), node_frame("node"), node_number("node")).alias("line"))
 
 
 def feature_lists(members: DataFrame) -> DataFrame:
-    """Ordered member ids of each feature."""
-    listed = members.groupBy("kind", "feature_id", F.floor(F.col("seq") / LIST_PART).alias("part")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("ids"))
-    return listed.select("kind", "feature_id", "part", F.concat(
-        F.lit(" ['"), F.array_join("ids", "', '"), F.lit("']")).alias("line"))
+    """A line per member of each feature, in member order."""
+    return members.select("kind", "feature_id", "seq", F.format_string(
+        "%s %d member %d is %s", F.col("kind"), F.col("feature_id"), F.col("seq"), F.col("id")).alias("line"))
 
 
 def feature_blocks(report: DataFrame) -> DataFrame:
@@ -143,9 +139,10 @@ def summary_block(summary: DataFrame) -> DataFrame:
     ).alias("line"))
 
 
-def write_run_record(record: dict, path: str | Path) -> None:
-    """Store the run's counts and stage seconds as one JSON object."""
-    Path(path).write_text(json.dumps(record, indent=2, sort_keys=True))
+def write_run_record(spark: SparkSession, record: dict, path: str) -> None:
+    """Store the run's counts and stage seconds as one JSON object, on whatever file system ``path`` names."""
+    line = spark.range(1).select(F.lit(json.dumps(record, sort_keys=True)).alias("value"))
+    line.coalesce(1).write.mode("overwrite").text(path)
 
 
 def report_folder(config: TrackConfig) -> str:
