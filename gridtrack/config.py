@@ -61,6 +61,7 @@ class TrackConfig:
     require_contiguous_time: bool = False
     tile: int = 512
     max_group_nodes: int = 250_000
+    max_bad_share: float = 0.5
 
     def __post_init__(self) -> None:
         for item in fields(self):
@@ -93,6 +94,7 @@ class TrackConfig:
             f"element_mode must be one of {ELEMENT_MODES}": self.element_mode in ELEMENT_MODES,
             f"path_rule must be one of {PATH_RULES}": self.path_rule in PATH_RULES,
             "tile must be at least 2": self.tile >= 2,
+            "max_bad_share must be in [0, 1]": 0 <= self.max_bad_share <= 1,
         }
         broken = [message for message, ok in checks.items() if not ok]
         if broken:

@@ -76,4 +76,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/gridtrack-{spark.sparkContext.applicationId}"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stage_path = path
+    return table
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.stage_path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of this application."""
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/gridtrack-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

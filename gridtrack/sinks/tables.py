@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
-from gridtrack.operators import metrics
+from gridtrack.operators import compare, metrics, plot_data
 from gridtrack.operators.paths import root_paths
 from gridtrack.operators.raster import Raster
 from gridtrack.plans.pipeline import Analysis, run_record
@@ -35,7 +35,21 @@ def dense_grid(cells: DataFrame, value: str, raster: Raster) -> DataFrame:
         0, [value])
 
 
-def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, float] | None = None) -> None:
+def write_accumulations(analysis: Analysis, config: TrackConfig, root: str) -> None:
+    """Rain summed over the configured period per cell, and per feature and cell."""
+    period = plot_data.rain_in_range(
+        analysis.rain, analysis.raster.frames, str(config.start_time), str(config.end_time), config.tres)
+    period.write.mode("overwrite").parquet(f"{root}/rain_total")
+    plot_data.rain_per_feature(analysis.nodes(), analysis.rain).write.mode("overwrite").parquet(f"{root}/rain_per_feature")
+
+
+def write_differences(left: Analysis, right: Analysis, path: str) -> None:
+    """Differences of the elements of two runs."""
+    compare.compare_elements(left.elements.pixels, right.elements.pixels).write.mode("overwrite").parquet(path)
+
+
+def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, float] | None = None,
+                   bad_files: DataFrame | None = None) -> None:
     """All tables and reports of a run below ``config.output_dir``."""
     root = text.report_folder(config)
     raster, found = analysis.raster, analysis.elements
@@ -46,6 +60,7 @@ def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, f
     analysis.systems.members.write.mode("overwrite").partitionBy("kind").parquet(f"{root}/feature_members")
     if analysis.rain is not None:
         write_by_day(located(analysis.rain, raster), f"{root}/rain_grids")
+        write_accumulations(analysis, config, root)
     nodes = analysis.nodes()
     reports = {
         "elements": text.accepted_elements(found.accepted),
@@ -59,4 +74,8 @@ def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, f
     for name, lines in reports.items():
         text.write_lines(lines, f"{root}/reports/{name}")
     if timings is not None:
-        text.write_run_record(raster.frames.sparkSession, run_record(analysis, timings), f"{root}/run.json")
+        record = run_record(analysis, timings)
+        if bad_files is not None:
+            bad_files.coalesce(1).write.mode("overwrite").parquet(f"{root}/bad_files")
+            record["bad_files"] = {r["kind"]: r["n"] for r in bad_files.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        text.write_run_record(raster.frames.sparkSession, record, f"{root}/run.json")

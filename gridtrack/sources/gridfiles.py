@@ -1,21 +1,27 @@
 """Data source ``gridfiles``: gridded files as rows of ``(file, t, r, c, lat, lon, value)``.
 
-Every file is split by time slice, and a task holds one slice (or one band of
-rows of a raw file) at a time.  Area and threshold options are applied in the
-task, before rows reach Spark; every slice also yields one row without a cell,
-so a slice with no cell left still counts as a frame, and the first readable
-file yields one row per axis line (``r`` or ``c`` is NULL).  A file that cannot
-be read yields one row with ``error`` set, so callers can skip and count it.
+A partition is a file; its header is opened in the task, which holds one slice
+(or one band of rows of a raw file) at a time.  Files are picked by the time in
+their name before any is opened, and area and threshold are applied in the task,
+before rows reach Spark.  Every slice also yields one row without a cell, so a
+slice with no cell left still counts as a frame, and every file yields one row
+per axis line (``r`` or ``c`` is NULL).  A file that cannot be read yields one row
+with ``error`` set, so callers can skip and count it; a slice that breaks off
+after some of its rows are out fails the task.
 
 Options: ``path``; ``format`` (``netcdf`` or ``merg``); ``variable``,
 ``latitude``, ``longitude``, ``time``; ``lat_min``, ``lat_max``, ``lon_min``,
-``lon_max``, ``value_max``.
+``lon_max`` and ``margin``, the axis steps to keep around them; ``value_max``;
+``start`` and ``end`` as ``yyyymmddHH``, with ``file_hours``, the hours a file may
+span; ``slices``, how many slices of each file to read at most.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridtrack.functions.dates import decode_model_time
+from gridtrack.functions.dates import decode_model_time, time_step_class
 from gridtrack.functions.geo import normalize_longitude
 from gridtrack.operators.numbering import number_rows
 from gridtrack.sources.classic_netcdf import ClassicFile
@@ -46,14 +52,19 @@ RAW_LON0, RAW_LON_STEP = 0.0182, 0.036378335
 RAW_LAT0, RAW_LAT_STEP = -59.982, 0.036383683
 RAW_ADD, RAW_UNDEFINED, RAW_MINUTES = 75, 330, 30
 RAW_BAND = 256
+# fixed values: a day in a file name, with hour and minute where given
+NAME_TIME = re.compile(r"(?:^|[^0-9])(\d{8})[_.,-]?(\d{2})?[_.,-]?(\d{2})?(?:[^0-9]|$)")
 
 
 @dataclass
-class Slice(InputPartition):
+class File(InputPartition):
     file: str
-    t: int = 0
-    error: str | None = None
-    with_axes: bool = False
+
+
+@dataclass
+class Slice:
+    file: str
+    t: int
 
 
 class GridFiles(DataSource):
@@ -79,40 +90,53 @@ class _SliceReader(DataSourceReader):
             name: float(options[name]) for name in ("lat_min", "lat_max", "lon_min", "lon_max", "value_max")
             if name in options
         }
+        self.margin = float(options.get("margin", 0))
 
-    def partitions(self) -> list[Slice]:
-        slices = []
-        for file in _list(self.options["path"]):
-            try:
-                slices += [Slice(file, t) for t in range(self.slice_count(file))]
-            except Exception as problem:
-                slices.append(Slice(file, error=f"{type(problem).__name__}: {problem}"))
-        if not slices:
+    def partitions(self) -> list[File]:
+        files = _list(self.options["path"])
+        if not files:
             raise ValueError(f"no grid files in {self.options['path']}")
-        first = next((x for x in slices if not x.error), None)
-        if first:
-            first.with_axes = True
-        return slices
-
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        if partition.error:
-            yield _error_row(partition.file, partition.error)
+        return [File(x) for x in files if self.in_period(x)]
+
+    def in_period(self, file: str) -> bool:
+        """False when the time in the file's name rules it out; names without a time are kept."""
+        found = NAME_TIME.search(file.rsplit("/", 1)[-1])
+        if not found or "start" not in self.options:
+            return True
+        try:
+            begins = datetime.strptime(found[1] + ((found[2] or "") + (found[3] or "")).ljust(4, "0"), "%Y%m%d%H%M")
+        except ValueError:
+            return True
+        start, end = (_whole_hour(self.options[x]) for x in ("start", "end"))
+        return begins <= end and begins + timedelta(hours=float(self.options.get("file_hours", 24))) >= start
+
+    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file falls into the period
             return
         try:
-            if partition.with_axes:
-                yield _axis_rows(partition.file, *self.axes(partition.file))
-            for number, batch in enumerate(self.read_slice(partition)):
-                if number == 0:
-                    yield _marker(batch, partition)
-                yield batch.replace_schema_metadata(None)
+            count = min(self.slice_count(partition.file), int(self.options.get("slices", 2**31)))
+            axes = _axis_rows(partition.file, *self.axes(partition.file))
         except Exception as problem:
             yield _error_row(partition.file, f"{type(problem).__name__}: {problem}")
+            return
+        yield axes
+        for t in range(count):
+            begun, part = False, Slice(partition.file, t)
+            try:
+                for batch in self.read_slice(part):
+                    if not begun:
+                        yield _marker(batch, part)
+                    begun = True
+                    yield batch.replace_schema_metadata(None)
+            except Exception as problem:
+                if begun:  # part of the slice is out already: half a frame must not pass as one
+                    raise
+                yield _error_row(partition.file, f"slice {t}: {type(problem).__name__}: {problem}")
 
     def cells(self, part: Slice, units: str, offset: float, values, lat, lon, first_row: int = 0) -> pa.RecordBatch:
         """Rows of the cells inside the requested area and below the limit, slice metadata attached."""
         lon = np.where(lon > 180, lon - 360, lon)
-        rows = (lat >= self.bounds.get("lat_min", -np.inf)) & (lat <= self.bounds.get("lat_max", np.inf))
-        cols = (lon >= self.bounds.get("lon_min", -np.inf)) & (lon <= self.bounds.get("lon_max", np.inf))
+        rows, cols = self._inside(lat, "lat"), self._inside(lon, "lon")
         keep = rows[:, None] & cols[None, :] & (np.trunc(values) <= self.bounds.get("value_max", np.inf))
         r, c = np.nonzero(keep)
         size = r.size
@@ -124,6 +148,15 @@ class _SliceReader(DataSourceReader):
         ], schema=ARROW.with_metadata({"units": units, "offset": str(offset)}))
 
 
+    def _inside(self, lines: np.ndarray, name: str) -> np.ndarray:
+        """Axis lines within the bounds and the margin around them."""
+        steps = np.abs(np.diff(lines))
+        # the jump where longitudes are folded is no step
+        room = self.margin * float(steps[steps < 180].max(initial=0.0)) if self.margin else 0.0
+        low, high = self.bounds.get(f"{name}_min", -np.inf), self.bounds.get(f"{name}_max", np.inf)
+        return (lines >= low - room) & (lines <= high + room)
+
+
 class NetcdfReader(_SliceReader):
     """Classic netCDF directly; netCDF-4 where that library is installed."""
 
@@ -228,6 +261,10 @@ def _open_netcdf(file: str):
         raise ValueError("not a classic netCDF file, and netCDF4 is not installed") from problem
 
 
+def _whole_hour(text: str) -> datetime:
+    return datetime.strptime(text[:10], "%Y%m%d%H")
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -277,32 +314,67 @@ def _error_row(file: str, message: str) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class GridRead:
-    """``grid(frame, ts, r, c, lat, lon, tb, file)``, its full axes, frames and ``bad_files(file, error)``."""
+    """``grid(frame, ts, r, c, lat, lon, tb, file)``, its full axes, frames, ``bad_files(file, error)`` and the number of files.
+
+    ``step_class`` names the smallest step between frames, None for a single frame.
+    """
 
     grid: DataFrame
     rows: DataFrame
     cols: DataFrame
     frames: DataFrame
     bad_files: DataFrame
+    n_files: int
+    step_class: str | None
 
 
-def read_grid_files(spark: SparkSession, path: str, **options) -> GridRead:
-    """Read grid files with decoded times; frames are numbered 1, 2, ... in time order."""
+def _decoded(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
+    """All rows of the source as a stage table: every slice is decoded once, whatever reads it later."""
     ship_package(spark)
     spark.dataSource.register(GridFiles)
-    rows = spark.read.format("gridfiles").options(path=path, **options).load()
+    return stage(spark.read.format("gridfiles").options(path=path, **options).load(), name)
+
+
+def read_grid_files(spark: SparkSession, path: str, **options) -> GridRead:
+    """Read grid files with decoded times; frames are numbered 1, 2, ... in time order.
+
+    Raises when two slices have the same time, or when frames are steps apart
+    that no class of time steps knows.
+    """
+    rows = _decoded(spark, path, "grid-files", **options)
     bad = rows.where(F.col("error").isNotNull()).select("file", "error").distinct()
     name = F.element_at(F.split("file", "/"), -1)
     by_name = file_time(name) + F.make_dt_interval(mins=F.col("time_offset").cast("int"))
     ts = F.when(F.col("time_units") == "", by_name).otherwise(decode_model_time("time_units", "time_offset"))
     good = rows.where(F.col("error").isNull()).withColumn("ts", ts)
-    frames = stage(number_frames(good.where("r is null and c is null")), "frames")
-    axis_lines = stage(rows.where("error is null and (r is null) != (c is null)").select("r", "lat", "c", "lon"), "axes")
+    slices = good.where("t is not null and r is null and c is null")
+    frames = stage(number_frames(slices), "frames")
+    doubled = slices.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).where("n > 1").first()
+    if doubled:
+        raise ValueError(f"{doubled.n} slices have the time {doubled.ts}, one of them in {doubled.file}")
+    n_files, first = rows.agg(F.count_distinct("file"), F.min(F.when(F.col("r").isNotNull(), F.col("file")))).first()
+    lines = stage(
+        rows.where((F.col("file") == first) & F.col("error").isNull() & F.col("t").isNull()).select("r", "lat", "c", "lon"), "axes")
     grid = good.where("r is not null and c is not null").join(frames, "ts").select(
         "frame", "ts", "r", "c", "lat", "lon", F.col("value").alias("tb"), "file")
     return GridRead(
-        grid, axis_lines.where("r is not null").select("r", "lat"),
-        axis_lines.where("c is not null").select("c", normalize_longitude("lon").alias("lon")), frames, bad)
+        grid, lines.where("r is not null").select("r", "lat"),
+        lines.where("c is not null").select("c", normalize_longitude("lon").alias("lon")), frames, bad, n_files,
+        _step_class(frames))
+
+
+def _step_class(frames: DataFrame) -> str | None:
+    """Class of the smallest step between two frames, by hours or, for longer ones, days."""
+    after = frames.select((F.col("frame") - 1).alias("frame"), F.col("ts").alias("next"))
+    seconds = F.unix_timestamp(F.col("next").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
+    hours = frames.join(after, "frame").agg(F.min(seconds / 3600).alias("hours")).where("hours is not null")
+    kind = F.coalesce(
+        time_step_class(F.lit("hours"), "hours", on_error="null"),
+        time_step_class(F.lit("days"), F.col("hours") / 24, on_error="null"))
+    found = hours.select("hours", kind.alias("kind")).first()
+    if found is not None and found.kind is None:
+        raise ValueError(f"time step not supported: {found.hours} hours")
+    return found.kind if found else None
 
 
 def number_frames(cells: DataFrame) -> DataFrame:
@@ -311,16 +383,26 @@ def number_frames(cells: DataFrame) -> DataFrame:
     return number_rows(times, "series", "day", ["ts"], "frame").select("frame", "ts")
 
 
-def read_rain_files(spark: SparkSession, path: str, variable: str = "pcp", **options) -> DataFrame:
-    """``(ts, lat, lon, value)`` from the first slice of each file; the time is the file name's."""
-    ship_package(spark)
-    spark.dataSource.register(GridFiles)
-    rows = spark.read.format("gridfiles").options(path=path, variable=variable, **options).load()
+@dataclass(frozen=True)
+class RainRead:
+    """``cells(ts, lat, lon, value)`` and ``bad_files(file, error)``."""
+
+    cells: DataFrame
+    bad_files: DataFrame
+    n_files: int
+
+
+def read_rain(spark: SparkSession, path: str, variable: str = "pcp", **options) -> RainRead:
+    """The first slice of each file; the time is the file name's."""
+    rows = _decoded(spark, path, "rain-files", variable=variable, slices=1, **options)
     name = F.element_at(F.split("file", "/"), -1)
-    first = rows.where("error is null and t = 0 and r is not null and c is not null")
-    return first.select(file_time(name).alias("ts"), "lat", "lon", "value")
+    cells = rows.where("error is null and t = 0 and r is not null and c is not null")
+    return RainRead(
+        cells.select(file_time(name).alias("ts"), "lat", "lon", "value"),
+        rows.where("error is not null").select("file", "error").distinct(),
+        rows.agg(F.count_distinct("file")).first()[0])
 
 
-def reports_of_bad_files(bad_files: DataFrame) -> DataFrame:
-    """Number of skipped files per kind of error."""
-    return bad_files.groupBy("error").agg(F.count(F.lit(1)).alias("n_files"))
+def read_rain_files(spark: SparkSession, path: str, variable: str = "pcp", **options) -> DataFrame:
+    """``(ts, lat, lon, value)`` of all readable files."""
+    return read_rain(spark, path, variable, **options).cells

@@ -15,7 +15,7 @@ from gridtrack.streaming.ingest import stream_elements
 from tests.grids import MICRO, micro_raster
 
 
-def classic_file(path, values, lat, lon, offset, units="hours since 2009-08-31 00"):
+def classic_file(path, values, lat, lon, offset, units="hours since 2009-08-31 00", variable="ch4"):
     """Write a CDF-1 file with one unlimited dimension."""
     def text(s):
         data = s.encode()
@@ -30,7 +30,7 @@ def classic_file(path, values, lat, lon, offset, units="hours since 2009-08-31 0
 
     nt, ny, nx = values.shape
     specs = [("latitude", [1], 6, ny * 8), ("longitude", [2], 6, nx * 8), ("time", [0], 6, 8),
-             ("ch4", [0, 1, 2], 3, ny * nx * 2 + -(ny * nx * 2) % 4)]
+             (variable, [0, 1, 2], 3, ny * nx * 2 + -(ny * nx * 2) % 4)]
 
     def header(begins):
         out = b"CDF\x01" + struct.pack(">i", nt) + struct.pack(">ii", 10, 3)
@@ -82,6 +82,57 @@ def test_raw_infrared_file(spark, tmp_path):
     assert read.bad_files.isEmpty()
 
 
+def test_each_slice_is_decoded_once_and_none_outside_the_period(tmp_path, monkeypatch):
+    """Files are picked by name before they are opened; a task opens its file and walks its slices."""
+    values = np.full((2, 3, 4), 230)
+    for day in (29, 30, 31):
+        classic_file(tmp_path / f"merg_200908{day}00_4km.nc", values, np.arange(3.0), np.arange(4.0), 0)
+    opened, decoded = [], []
+    whole, record = gridfiles._open_netcdf, gridfiles.NetcdfReader.read_slice
+    monkeypatch.setattr(gridfiles, "_open_netcdf", lambda file: opened.append(file) or whole(file))
+    monkeypatch.setattr(gridfiles.NetcdfReader, "read_slice", lambda self, part: decoded.append((part.file, part.t)) or record(self, part))
+    reader = gridfiles.NetcdfReader({
+        "path": str(tmp_path), "start": "2009083012", "end": "2009083018", "file_hours": "13", "lat_min": "0.5", "lat_max": "1.4"})
+    parts = reader.partitions()
+    assert [x.file.rsplit("/", 1)[1] for x in parts] == ["merg_2009083000_4km.nc"] and not opened
+    rows = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
+    assert [t for _, t in decoded] == [0, 1] and {file for file, _ in decoded} == {parts[0].file}
+    assert {row["r"] for row in rows if row["value"] is not None} == {1}
+    wide = gridfiles.NetcdfReader({"path": str(tmp_path), "lat_min": "0.5", "lat_max": "1.4", "margin": "1"})
+    assert {row["r"] for batch in wide.read(parts[0]) for row in batch.to_pylist() if row["value"] is not None} == {0, 1, 2}
+
+
+def test_a_slice_that_breaks_off_is_an_error(tmp_path, monkeypatch):
+    monkeypatch.setattr(gridfiles, "RAW_ROWS", 600)
+    monkeypatch.setattr(gridfiles, "RAW_COLUMNS", 8)
+    file = tmp_path / "merg_2009083105_4km"
+    file.write_bytes(np.full((600, 8), 100, np.uint8).tobytes())
+    reader = gridfiles.RawReader({"path": str(tmp_path), "format": "merg"})
+    monkeypatch.setattr(gridfiles.RawReader, "slice_count", lambda self, file: 1)
+    file.write_bytes(np.full((400, 8), 100, np.uint8).tobytes())
+    with pytest.raises(ValueError):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_half_hourly_slices_and_doubled_times(spark, tmp_path):
+    lat, lon, values = np.arange(3.0), np.arange(4.0), np.full((1, 3, 4), 230)
+    classic_file(tmp_path / "a.nc", values, lat, lon, 4)
+    classic_file(tmp_path / "b.nc", values, lat, lon, 4.5)
+    read = gridfiles.read_grid_files(spark, str(tmp_path))
+    assert sorted(x.ts for x in read.frames.collect()) == [datetime(2009, 8, 31, 4), datetime(2009, 8, 31, 4, 30)]
+    assert read.step_class == "hourly"
+    classic_file(tmp_path / "c.nc", values, lat, lon, 4.5)
+    with pytest.raises(ValueError, match="2 slices have the time"):
+        gridfiles.read_grid_files(spark, str(tmp_path))
+
+
+def test_unknown_time_steps_are_refused(spark, tmp_path):
+    for name, hour in (("a.nc", 0), ("b.nc", 5)):
+        classic_file(tmp_path / name, np.full((1, 3, 4), 230), np.arange(3.0), np.arange(4.0), hour)
+    with pytest.raises(ValueError, match="time step not supported"):
+        gridfiles.read_grid_files(spark, str(tmp_path))
+
+
 def test_no_files_raise(spark, tmp_path):
     with pytest.raises(Exception, match="no grid files"):
         gridfiles.read_grid_files(spark, str(tmp_path))
@@ -135,10 +186,26 @@ def test_products_of_a_run(spark, tmp_path):
     report = "\n".join(x.value for x in spark.read.text(str(out / "reports/features")).collect())
     assert "Max area is: 480.0000 km^2" in report and "Total precipitation during MCS is: 240.0000 mm/lifetime" in report
     assert spark.read.parquet(str(out / "element_grids")).count() == 120
+    assert spark.read.parquet(str(out / "rain_per_feature")).count() > 0
+    assert spark.read.parquet(str(out / "rain_total")).count() > 0
+    tables.write_differences(run, run, str(tmp_path / "same"))
+    assert {x.n_different for x in spark.read.parquet(str(tmp_path / "same")).collect()} == {0}
     dense = tables.dense_grid(run.elements.pixels.where("frame = 1"), "tb", raster)
     assert dense.count() == 96 and dense.where("tb <> 0").count() == 30
 
 
+def test_stage_tables_can_be_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    from gridtrack.session import stage, unstage
+
+    table = stage(spark.range(3).toDF("x"), "gone")
+    folder = Path(table.stage_path.removeprefix("file:"))
+    assert folder.exists() and table.count() == 3
+    unstage(table)
+    assert not folder.exists()
+
+
 def test_streamed_grids_give_the_same_elements(spark, tmp_path):
     raster = micro_raster(spark, moving_blocks())
     grid = (
@@ -170,6 +237,19 @@ def test_run_from_files_with_rain_before_and_after(spark, tmp_path):
                      np.array([-5.0, -1, 3, 6]), 0)
     changes = dict(lat_min=5, lat_max=12, lon_min=-5, lon_max=6, grid_dir=str(tmp_path / "ir"), min_mcs_duration=3)
     dry = MICRO.with_options(output_dir=str(tmp_path / "dry"), **changes)
+    (tmp_path / "ir/merg_2009083107_4km.nc").write_bytes(b"broken")
+    (tmp_path / "wetter").mkdir()
+    for hour in (0, 3):
+        classic_file(tmp_path / f"wetter/3B42.20090831.0{hour}.7A.nc", np.full((1, 3, 4), 2), np.array([5.0, 8, 12]),
+                     np.array([-5.0, -1, 3, 6]), 0, variable="pcp")
+    (tmp_path / "wetter/3B42.20090831.06.7A.nc").write_bytes(b"CDF")
+    wet = dry.with_options(precip_dir=str(tmp_path / "wetter"), output_dir=str(tmp_path / "wet"), end="2009083107")
+    run(spark, wet)
+    record = json.loads(spark.read.text(str(tmp_path / "wet/run.json")).first().value)
+    assert record["bad_files"] == {"grid": 1, "rain": 1}
+    assert {x.kind for x in spark.read.parquet(str(tmp_path / "wet/bad_files")).collect()} == {"grid", "rain"}
+    with pytest.raises(ValueError, match="1 of 3 rain files"):
+        run(spark, wet.with_options(max_bad_share=0.3))
     run(spark, dry)
     source = gridfiles.read_rain_files(spark, str(tmp_path / "rain"), variable="ch4")
     later = attach_rain_later(spark, dry, load_raster(spark, dry), source)
