@@ -17,7 +17,7 @@ from gridtrack.config import TrackConfig
 from gridtrack.operators.elements import node_frame, node_number
 from gridtrack.operators.lifecycle import Candidate, Placed, SystemView, Walk
 from gridtrack.operators.paths import component_sizes
-from gridtrack.session import stage
+from gridtrack.session import stage, unstage
 
 PAGE_FRAMES = 16
 NODE, CANDIDATE, MARK = 0, 1, 2
@@ -152,7 +152,8 @@ def walk_pages(nodes: DataFrame, links: DataFrame, config: TrackConfig) -> DataF
             .join(frames, ["component", "cand"], "left").join(elsewhere, "component", "left")
         )
         changed = stage(_walk_page(loaded, here, config), "page-walk")
-        record = stage(_latest(record, changed), "walk-record")
+        before, record = record, stage(_latest(record, changed), "walk-record")
+        unstage(before, changed, turn)
 
 
 def _latest(record: DataFrame, changed: DataFrame) -> DataFrame:

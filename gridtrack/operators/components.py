@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtrack.operators.unionfind import smallest_members
-from gridtrack.session import stage
+from gridtrack.session import stage, unstage
 
 BLOCK_EDGES = 1_000_000
 PAIR_SCHEMA = "scope bigint, node bigint, root bigint"
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = stage(_contract(edges.select("scope", "a", "b")), "components")
     while not _settled(pairs):
-        pairs = stage(_contract(_small_star(_large_star(pairs))), "components")
+        before, pairs = pairs, stage(_contract(_small_star(_large_star(pairs))), "components")
+        unstage(before)
     members = pairs.select("scope", "node", "root")
     heads = pairs.select("scope", F.col("root").alias("node"), "root")
     return members.unionByName(heads).distinct()

@@ -2,7 +2,8 @@
 
 Regions and components are found by recursive minimum propagation and paths by
 enumerating all of them, so the checks share no method with the operators.
-Queries whose rules depend on the visiting order of a system have no SQL.
+The life-cycle rules walk every system with the stack, its members and its
+candidates as lists in the row of each step.
 """
 
 from __future__ import annotations
@@ -137,6 +138,94 @@ PARTS: dict[str, tuple[list[str], str]] = {
          AND x.l < n.r::BIGINT * {KEY} + n.c"""),
     "coldreg": (["coldlab"], "SELECT node, level, r, c, min(l) AS label FROM coldlab GROUP BY ALL"),
     "coldsize": (["coldreg"], "SELECT node, level, label, count(*) AS n FROM coldreg GROUP BY ALL"),
+    "wnode": (["mem", "pruned", "coldsize"], """
+        SELECT m.feature_id AS component, m.node, m.area, m.eccentricity,
+               m.area >= 160 AS large,
+               m.area >= 160 AND coalesce(k.outer_part, 0) >= 160 AS shield,
+               m.area >= 160 AND coalesce(k.outer_part, 0) >= 160 AND coalesce(k.inner_part, 0) >= 48 AS core,
+               coalesce(p.parents, []::BIGINT[]) AS parents, coalesce(c.children, []::BIGINT[]) AS children
+        FROM mem m
+        LEFT JOIN (SELECT node, max(n) FILTER (level = 0) * 16.0::DOUBLE AS outer_part,
+                          max(n) FILTER (level = 1) * 16.0::DOUBLE AS inner_part FROM coldsize GROUP BY node) k USING (node)
+        LEFT JOIN (SELECT dst AS node, list(src ORDER BY src) AS parents FROM pruned GROUP BY dst) p USING (node)
+        LEFT JOIN (SELECT src AS node, list(dst ORDER BY dst) AS children FROM pruned GROUP BY src) c USING (node)"""),
+    # one row per system and visited member: the stack, and all members and candidates so far
+    "visit": (["wnode"], f"""
+        SELECT component, 0 AS step, [min(node)] AS pending, [min(node)] AS pushed,
+               []::STRUCT(node BIGINT, cand INTEGER, core BOOLEAN, stage VARCHAR)[] AS spots, false AS seen, 1 AS fresh,
+               []::STRUCT(number INTEGER, shields INTEGER, duration INTEGER, top_frame BIGINT, frames BIGINT[])[] AS cands
+        FROM wnode GROUP BY component
+        UNION ALL
+        SELECT component, step + 1, pending[:-2] || newly, pushed || newly,
+               list_append(spots, {{'node': node, 'cand': CASE WHEN opens THEN fresh WHEN keeps THEN found END,
+                                    'core': core AND (opens OR keeps),
+                                    'stage': CASE WHEN opens THEN 'I' WHEN NOT keeps THEN NULL WHEN core THEN 'M'
+                                                  WHEN rule = 3 THEN 'I' WHEN seen THEN 'I' ELSE 'D' END}}),
+               seen, fresh + opens::INTEGER,
+               CASE WHEN opens THEN list_append(cands, {{'number': fresh, 'shields': shield::INTEGER, 'duration': core::INTEGER,
+                                                         'top_frame': CASE WHEN core THEN frame ELSE 0 END,
+                                                         'frames': CASE WHEN core THEN [frame] ELSE []::BIGINT[] END}})
+                    ELSE list_transform(cands, lambda k: CASE WHEN k.number IS DISTINCT FROM found THEN k ELSE
+                      {{'number': k.number,
+                        'shields': k.shields + (CASE WHEN rule = 1 AND core THEN NOT known WHEN core THEN false
+                                                     WHEN known OR rule = 2 OR keeps THEN shield ELSE false END)::INTEGER,
+                        'duration': k.duration + (core AND (rule = 3 OR rule = 1 AND NOT known))::INTEGER,
+                        'top_frame': CASE WHEN core AND NOT (rule = 1 AND known) THEN greatest(k.top_frame, frame) ELSE k.top_frame END,
+                        'frames': CASE WHEN core AND keeps THEN list_append(k.frames, frame) ELSE k.frames END}} END) END
+        FROM (
+          SELECT *, rule = 4 OR (rule = 1 AND NOT core AND NOT known AND (frame > top_frame OR top_frame = 0)) AS opens,
+                 (rule = 1 AND (core OR known)) OR (rule = 2 AND (core OR known OR NOT shield))
+                 OR (rule = 3 AND (core OR top_frame = 0 OR frame <= top_frame)) AS keeps
+          FROM (
+            SELECT *, coalesce(own.top_frame, 0) AS top_frame, coalesce(list_contains(own.frames, frame), false) AS known
+            FROM (
+              SELECT *, list_filter(cands, lambda k: k.number = found)[1] AS own
+              FROM (
+                SELECT *, coalesce(after_core, before_body, after_body) AS found,
+                       CASE WHEN after_core IS NOT NULL THEN 1 WHEN before_body IS NOT NULL THEN 2
+                            WHEN after_body IS NOT NULL THEN 3 ELSE 4 END AS rule
+                FROM (
+                  SELECT v.* EXCLUDE (seen), n.node, n.core, n.shield, n.node // {KEY} AS frame, v.seen OR n.large AS seen,
+                         list_filter(n.children, lambda x: NOT list_contains(v.pushed, x))
+                         || list_filter(n.parents, lambda x: NOT list_contains(v.pushed, x)) AS newly,
+                         list_sort(list_filter(v.spots, lambda x: x.cand IS NOT NULL AND x.core AND list_contains(n.parents, x.node)))[1].cand AS after_core,
+                         list_sort(list_filter(v.spots, lambda x: x.cand IS NOT NULL AND list_contains(n.children, x.node)))[1].cand AS before_body,
+                         list_sort(list_filter(v.spots, lambda x: x.cand IS NOT NULL AND list_contains(n.parents, x.node)))[1].cand AS after_body
+                  FROM visit v JOIN wnode n ON n.component = v.component AND n.node = v.pending[-1]
+                  WHERE len(v.pending) > 0)))))"""),
+    "visited": (["visit"], "SELECT component, spots, cands FROM visit WHERE len(pending) = 0"),
+    "spot": (["visited"], "SELECT component, x.node, x.cand, x.core, x.stage FROM (SELECT component, unnest(spots) AS x FROM visited)"),
+    "book": (["visited", "spot"], """
+        SELECT b.component, b.cand, b.duration, c.first_core, c.last_core
+        FROM (SELECT component, x.number AS cand, x.duration FROM (SELECT component, unnest(cands) AS x FROM visited)) b
+        LEFT JOIN (SELECT component, cand, min(node) AS first_core, max(node) AS last_core FROM spot WHERE core GROUP BY 1, 2) c
+          USING (component, cand)"""),
+    "runs": (["book", "edges"], """
+        SELECT *, max(CASE WHEN continued THEN NULL ELSE cand END) OVER (PARTITION BY component ORDER BY cand) AS run
+        FROM (SELECT b.*, coalesce(EXISTS (SELECT 1 FROM book a JOIN edges e ON e.src = a.last_core AND e.dst = b.first_core
+                                           WHERE a.component = b.component AND a.cand = b.cand - 1), false) AS continued
+              FROM book b)"""),
+    "joined": (["runs"], """
+        SELECT r.component, r.cand, r.run, l.last_core
+        FROM runs r JOIN (SELECT component, run, max(last_core) AS last_core FROM runs GROUP BY component, run
+                          HAVING sum(duration) BETWEEN 1 AND 24 AND max(last_core) IS NOT NULL) l USING (component, run)"""),
+    "staged": (["wnode", "spot", "joined"], """
+        SELECT * FROM (
+          SELECT w.node, coalesce(s.stage, CASE WHEN w.node > e.first_end THEN 'D' END) AS stage
+          FROM wnode w LEFT JOIN spot s USING (node)
+          LEFT JOIN (SELECT component, min(last_core) AS first_end FROM joined GROUP BY component) e ON e.component = w.component)
+        WHERE stage IS NOT NULL"""),
+    "body": (["spot", "joined", "wnode"], """
+        SELECT s.node, s.stage, j.component, j.run, w.area, w.eccentricity
+        FROM spot s JOIN joined j ON j.component = s.component AND j.cand = s.cand JOIN wnode w ON w.node = s.node"""),
+    "complexes": (["body"], """
+        SELECT node, feature_id FROM body JOIN (
+          SELECT component, run, min(node) AS feature_id FROM body GROUP BY component, run
+          HAVING arg_max(eccentricity, (area, -node)) FILTER (stage IN ('M', 'D') AND area > 0) BETWEEN 0.2 AND 1.0) USING (component, run)"""),
+    "cmem": (["complexes", "el", "staged"], """
+        SELECT 'MCC' AS kind, c.feature_id, e.*, s.stage,
+               CAST(row_number() OVER (PARTITION BY c.feature_id ORDER BY e.node) AS INTEGER) AS seq
+        FROM complexes c JOIN el e USING (node) LEFT JOIN staged s USING (node)"""),
     "coarse": ([], """
         SELECT ts, y, x, sum(cents)::DOUBLE / count(*) / 1367.879441171::DOUBLE - 2 AS value
         FROM (SELECT date_trunc('day', ts) + (hour(ts) // 3 * 3) * INTERVAL 1 HOUR AS ts,
@@ -192,6 +281,24 @@ PARTS: dict[str, tuple[list[str], str]] = {
         SELECT m.*, coalesce(t, 0) AS precip_total, coalesce(a, 0) AS precip_area,
                coalesce(hi, 0) AS precip_max, coalesce(lo, 0) AS precip_min
         FROM mem m LEFT JOIN wetsum w USING (node)"""),
+    "cwet": (["cmem", "wetsum"], """
+        SELECT m.*, coalesce(t, 0) AS precip_total, coalesce(a, 0) AS precip_area,
+               coalesce(hi, 0) AS precip_max, coalesce(lo, 0) AS precip_min
+        FROM cmem m LEFT JOIN wetsum w USING (node)"""),
+    "creport": (["cwet"], """
+        SELECT kind, feature_id, min(ts) AS start, max(ts) AS "end", arg_min(ts, seq) AS maturity,
+               count(*) FILTER (stage = 'M')::DOUBLE AS mature_hours, coalesce(avg(area) FILTER (stage = 'M'), 0) AS avg_area,
+               max(area) AS max_area, arg_max(ts, (area, -seq)) AS max_area_ts,
+               arg_max(eccentricity, (area, -seq)) AS max_area_eccentricity,
+               arg_max(center_lat, (area, -seq)) AS max_area_lat, arg_max(center_lon, (area, -seq)) AS max_area_lon,
+               0.0::DOUBLE AS speed, min(precip_min) AS min_rate, max(precip_max) AS max_rate,
+               coalesce(sum(precip_total) FILTER (precip_total > 0), 0) AS precip_total,
+               coalesce(avg(precip_total) FILTER (precip_total > 0), 0) AS avg_precip,
+               coalesce(avg(precip_max) FILTER (stage = 'M' OR stage IS NULL), 0) AS avg_max_rate,
+               coalesce(avg(precip_min) FILTER (stage = 'M' OR stage IS NULL), 0) AS avg_min_rate,
+               avg(precip_area) AS avg_precip_area, avg(precip_area / area) * 100 AS precip_area_pct,
+               (epoch(max(ts)) - epoch(min(ts))) / 3600 + 1 AS duration_hours
+        FROM cwet GROUP BY kind, feature_id"""),
     "member_rain": (["rain", "mem"], "SELECT id, rain FROM rain JOIN mem USING (node)"),
     "feature_rain": (["rain", "mem"], """
         SELECT kind, feature_id, rain.r, rain.c, sum(rain) AS rain FROM rain JOIN mem USING (node)
@@ -336,6 +443,14 @@ ORACLE: dict[str, str] = {
         WHERE level = 1"""),
     "mcs_members": _query("mem behave", """
         SELECT feature_id, kind, seq, frame, ce_no, id, behaviour FROM mem JOIN behave USING (node)"""),
+    "mcc_members": _query("cmem behave", """
+        SELECT feature_id, kind, seq, frame, ce_no, id, behaviour, stage FROM cmem JOIN behave USING (node)"""),
+    "node_stage": _query("staged", "SELECT node, stage FROM staged"),
+    "complex_report": _query("creport", f"""
+        SELECT kind, feature_id, start, "end", maturity, max_area_ts, {_rounded(
+            'mature_hours', 'avg_area', 'max_area', 'max_area_eccentricity', 'max_area_lat', 'max_area_lon', 'speed',
+            'min_rate', 'max_rate', 'precip_total', 'avg_precip', 'avg_max_rate', 'avg_min_rate', 'avg_precip_area',
+            'precip_area_pct', 'duration_hours')} FROM creport"""),
     "asof_bucket": """
         SELECT event_id, date_trunc('day', ts) + (hour(ts) // 3 * 3) * INTERVAL 1 HOUR AS bucket FROM events""",
     "regrid_feather": _query("feather", """
