@@ -60,7 +60,8 @@ class TrackConfig:
     path_rule: str = "last_within_length"
     require_contiguous_time: bool = False
     tile: int = 512
-    max_group_nodes: int = 250_000
+    frames_per_round: int = 16
+    page_nodes: int = 250_000
     max_bad_share: float = 0.5
 
     def __post_init__(self) -> None:
@@ -94,6 +95,7 @@ class TrackConfig:
             f"element_mode must be one of {ELEMENT_MODES}": self.element_mode in ELEMENT_MODES,
             f"path_rule must be one of {PATH_RULES}": self.path_rule in PATH_RULES,
             "tile must be at least 2": self.tile >= 2,
+            "frames_per_round and page_nodes must be positive": self.frames_per_round > 0 and self.page_nodes > 0,
             "max_bad_share must be in [0, 1]": 0 <= self.max_bad_share <= 1,
         }
         broken = [message for message, ok in checks.items() if not ok]

@@ -1,10 +1,10 @@
 """Running the visiting-order rules over all systems.
 
-A system of bounded size is one group.  A larger one is walked page by page: a
-page is a block of frames and element numbers, a round loads the page that
-holds the newest open discovery plus the states of its direct neighbours, walks
-until the order leaves the page, and writes the changed states back.  No task
-ever holds more than a page, and both ways give the same result.
+Systems are walked page by page: a page is a block of frames and element
+numbers, a round loads the page of every system that holds its newest open
+discovery plus the states of its direct neighbours, walks until the order leaves
+the page, and writes the changed states back.  No task ever holds more than a
+page; a system within one page takes one round, as do all such systems together.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from gridtrack.config import TrackConfig
 from gridtrack.operators.elements import node_frame, node_number
 from gridtrack.operators.lifecycle import Candidate, Placed, SystemView, Walk
-from gridtrack.operators.paths import component_sizes
 from gridtrack.session import stage, unstage
 
 PAGE_FRAMES = 16
@@ -38,30 +37,12 @@ def assign_candidates(nodes: DataFrame, links: DataFrame, config: TrackConfig) -
     ``links(component, src, dst)`` give ``placed(component, node, cand, core,
     stage)`` and ``candidates(component, cand, shield_count, duration, top)``.
     """
-    large = component_sizes(nodes).where(F.col("n_nodes") > config.max_group_nodes).select("component")
-    if large.isEmpty():
-        found = _walk_grouped(nodes, links, config)
-    else:
-        large = stage(large, "large-systems")
-        small = [t.join(large, "component", "left_anti") for t in (nodes, links)]
-        big = [t.join(large, "component", "left_semi") for t in (nodes, links)]
-        found = _walk_grouped(*small, config).unionByName(walk_pages(*big, config))
-    found = stage(found, "candidates")
+    found = walk_pages(nodes, links, config)
     placed = found.where(F.col("kind") == NODE).select("component", "node", "cand", "core", "stage")
     books = found.where(F.col("kind") == CANDIDATE).select("component", "cand", "shield_count", "duration", "top")
     return placed, books
 
 
-def _walk_grouped(nodes: DataFrame, links: DataFrame, config: TrackConfig) -> DataFrame:
-    def walk(key: tuple, members: pa.Table, inner: pa.Table) -> pa.Table:
-        done = Walk(_view(members, inner), config).run()
-        return _rows(key[0].as_py(), done, done.placed, _books(done))
-
-    left = nodes.select(F.col("component").alias("system"), "node", "area", "outer_part", "inner_part")
-    right = links.select(F.col("component").alias("system"), "src", "dst")
-    return left.groupBy("system").cogroup(right.groupBy("system")).applyInArrow(walk, RESULT_SCHEMA)
-
-
 def _view(members: pa.Table, links: pa.Table) -> SystemView:
     ids = members.column("node").to_pylist()
     values = [dict(zip(ids, members.column(x).to_pylist())) for x in ("area", "outer_part", "inner_part")]
@@ -92,7 +73,7 @@ def _rows(component: int, walk: Walk, nodes, books: dict[int, Candidate]) -> pa.
     return pa.Table.from_pylist([{"component": component, **row} for row in rows], schema=RESULT_TYPES)
 
 
-# --- systems beyond the group bound ----------------------------------------------------------
+# --- pages -------------------------------------------------------------------------------------
 
 STATE = ("push", "visited", "cand", "core", "stage")
 BOOK = ("shield_count", "duration", "top", "top_frame")
@@ -100,9 +81,9 @@ MARKS = ("seen_large", "next_push", "next_cand")
 
 
 def walk_pages(nodes: DataFrame, links: DataFrame, config: TrackConfig) -> DataFrame:
-    """The same walk in rounds of one page per system, with all state in stage tables."""
+    """The walk in rounds of one page per system, with all state in stage tables."""
     def page(node: str):
-        block = max(1, config.max_group_nodes // PAGE_FRAMES)
+        block = max(1, config.page_nodes // PAGE_FRAMES)
         return F.shiftleft(F.floor(node_frame(node) / PAGE_FRAMES), 32).bitwiseOR(F.floor(node_number(node) / block))
 
     near = stage(

@@ -13,8 +13,11 @@ excess 0, the best end with excess 1, or the fallback end.  Each is one value
 and one successor per element, so the union of all roots' paths is linear in
 the number of links although every element is a root.
 
-Two executions of the same recurrence: a grouped kernel for components of a
-bounded size, and frame-by-frame joins for larger ones.
+The recurrence runs in rounds of ``frames_per_round`` frames, from every
+component's last frame backwards and then forwards again.  A group is what one
+component has in the frames of a round, so its size is bounded by the grid and
+not by the length of the series; all components advance in the same rounds, and
+a round only hands on the values at its edge.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from gridtrack.config import TrackConfig
 from gridtrack.operators.components import components
 from gridtrack.operators.elements import node_frame
-from gridtrack.session import stage
+from gridtrack.session import ship_package, stage
 
 CLEAN, ONE_HEAVY, FALLBACK = 0, 1, 2
 NOWHERE = -1
@@ -55,64 +58,112 @@ class Clusters:
 
 def prune(edges: DataFrame, config: TrackConfig) -> Clusters:
     """Union of the chosen paths of all roots, and one row per root that has one."""
-    members = stage(graph_components(edges), "members")
-    large = component_sizes(members).where(F.col("n_nodes") > config.max_group_nodes).select("component")
-    owned = edges.select("src", "dst", "weight").join(
-        members.withColumnRenamed("node", "src"), "src")
-    if large.isEmpty():
-        return _prune_grouped(owned, config)
-    large = stage(large, "large-components")
-    small_part = _prune_grouped(owned.join(large, "component", "left_anti"), config)
-    large_part = prune_by_frames(owned.join(large, "component", "left_semi"), config)
-    return Clusters(small_part.edges.unionByName(large_part.edges),
-                    small_part.roots.unionByName(large_part.roots))
+    plans = plan_rounds(edges, config)
+    chosen, wanted = [], None
+    for plan in reversed(plans):
+        step = stage(_follow_round(plan, wanted, config), "paths")
+        chosen.append(step)
+        wanted = step.where(F.col("kind") == WANTED_ROW).select("component", F.col("src").alias("node"), F.col("n_nodes").alias("need"))
+    found = reduce(DataFrame.unionByName, chosen)
+    return Clusters(
+        found.where(F.col("kind") == EDGE_ROW).select("src", "dst", "weight"),
+        found.where(F.col("kind") == ROOT_ROW).select(
+            F.col("src").alias("root"), F.col("dst").alias("target"), "n_nodes", "distance"))
 
 
-# --- components that fit a group -----------------------------------------------------------
+# --- rounds ------------------------------------------------------------------------------------
 
-CHOICE_SCHEMA = "kind int, src bigint, dst bigint, weight int, n_nodes int, distance int"
-EDGE_ROW, ROOT_ROW = 0, 1
+HOPS = [f"{x}{need} {kind}" for need in range(3) for x, kind in (("child", "bigint"), ("weight", "int"), ("next", "int"))]
+PLAN_SCHEMA = (
+    "component bigint, node bigint, depth int, clean_end bigint, light_end bigint, end bigint, distance int, "
+    f"heavy_at int, rank int, edge boolean, {', '.join(HOPS)}"
+)
+CHOICE_SCHEMA = "component bigint, kind int, src bigint, dst bigint, weight int, n_nodes int, distance int"
+EDGE_ROW, ROOT_ROW, WANTED_ROW = 0, 1, 2
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
-def _prune_grouped(owned: DataFrame, config: TrackConfig) -> Clusters:
-    chosen = stage(
-        owned.groupBy("component").applyInArrow(_kernel(config), CHOICE_SCHEMA), "paths")
-    return Clusters(
-        chosen.where(F.col("kind") == EDGE_ROW).select("src", "dst", "weight"),
-        chosen.where(F.col("kind") == ROOT_ROW).select(
-            F.col("src").alias("root"), F.col("dst").alias("target"), "n_nodes", "distance"),
-    )
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def _planned(links: pa.Table, rule: str) -> dict[int, NodePlan]:
-    children: dict[int, list[tuple[int, int]]] = {}
-    for src, dst, weight in zip(*(links.column(x).to_pylist() for x in ("src", "dst", "weight"))):
-        children.setdefault(src, []).append((dst, weight))
-        children.setdefault(dst, [])
-    return plan_nodes(children, rule)
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    types = _arrow(schema)
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.table([pa.array(c, t.type) for c, t in zip(columns, types)], schema=types)
 
 
-def _kernel(config: TrackConfig):
-    shortest, rule = config.min_mcs_duration, config.path_rule
+def plan_rounds(edges: DataFrame, config: TrackConfig) -> list[DataFrame]:
+    """Plan tables of all elements with a child, the last frames of the components first."""
+    members = stage(graph_components(edges), "members")
+    owned = edges.select("src", "dst", "weight").join(members.withColumnRenamed("node", "src"), "src")
+    last = owned.groupBy("component").agg(F.max(node_frame("dst")).alias("last"))
+    # round 0 holds the links that end in the last frames of their component
+    links = stage(owned.join(last, "component").select(
+        "component", "src", "dst", "weight",
+        F.floor((F.col("last") - node_frame("dst")) / config.frames_per_round).cast("int").alias("round")), "round-links")
+    rounds = links.agg(F.max("round")).first()[0]
+    plans: list[DataFrame] = []
+    for number in range(0 if rounds is None else rounds + 1):
+        here = links.where(F.col("round") == number).drop("round")
+        below = plans[-1].where("edge") if plans else None
+        plans.append(stage(_plan_round(here, below, config), "plan"))
+    return plans or [links.sparkSession.createDataFrame([], PLAN_SCHEMA)]
+
+
+def _plan_round(links: DataFrame, below: DataFrame | None, config: TrackConfig) -> DataFrame:
+    rule = config.path_rule
 
-    def choose(links: pa.Table) -> pa.Table:
-        kept, roots = follow(_planned(links, rule), shortest, rule)
-        return pa.table({
-            "kind": [EDGE_ROW] * len(kept) + [ROOT_ROW] * len(roots),
-            "src": [e[0] for e in kept] + [x[0] for x in roots],
-            "dst": [e[1] for e in kept] + [x[1] for x in roots],
-            "weight": [e[2] for e in kept] + [None] * len(roots),
-            "n_nodes": [None] * len(kept) + [x[2] for x in roots],
-            "distance": [None] * len(kept) + [x[3] for x in roots],
-        }, schema=CHOICE_TYPES)
+    def plan(links: pa.Table, known: pa.Table | None) -> pa.Table:
+        if not links.num_rows:
+            return _rows(PLAN_SCHEMA, [])
+        component = links.column("component")[0].as_py()
+        children: dict[int, list[tuple[int, int]]] = {}
+        for src, dst, weight in zip(*(links.column(x).to_pylist() for x in ("src", "dst", "weight"))):
+            children.setdefault(src, []).append((dst, weight))
+        plans = plan_nodes(children, rule, _read_plans(known) if known is not None else {})
+        first = min(children) >> 32
+        return _rows(PLAN_SCHEMA, [
+            (component, node, p.depth, p.clean_end, p.light_end, p.end, p.distance, p.heavy_at, p.rank, node >> 32 == first,
+             *(x for need in range(3) for x in p.hops.get(need, (None, None, None))))
+            for node, p in ((node, plans[node]) for node in children)])
+
+    ship_package(links.sparkSession)
+    if below is None:
+        return links.groupBy("component").applyInArrow(lambda table: plan(table, None), PLAN_SCHEMA)
+    return links.groupBy("component").cogroup(below.groupBy("component")).applyInArrow(plan, PLAN_SCHEMA)
+
+
+def _read_plans(table: pa.Table) -> dict[int, NodePlan]:
+    plans = {}
+    for row in table.to_pylist():
+        hops = {need: (row[f"child{need}"], row[f"weight{need}"], row[f"next{need}"]) for need in range(3) if row[f"child{need}"] is not None}
+        plans[row["node"]] = NodePlan(
+            row["depth"], row["clean_end"], row["light_end"], row["end"], row["distance"], row["heavy_at"], row["rank"], hops)
+    return plans
 
-    return choose
 
+def _follow_round(plans: DataFrame, wanted: DataFrame | None, config: TrackConfig) -> DataFrame:
+    shortest, rule = config.min_mcs_duration, config.path_rule
 
-CHOICE_TYPES = pa.schema([
-    ("kind", pa.int32()), ("src", pa.int64()), ("dst", pa.int64()),
-    ("weight", pa.int32()), ("n_nodes", pa.int32()), ("distance", pa.int32()),
-])
+    def choose(table: pa.Table, asked: pa.Table | None) -> pa.Table:
+        needs: dict[int, set[int]] = {}
+        if asked is not None:
+            for node, need in zip(asked.column("node").to_pylist(), asked.column("need").to_pylist()):
+                needs.setdefault(node, set()).add(need)
+        if not table.num_rows:
+            return _rows(CHOICE_SCHEMA, [])
+        component = table.column("component")[0].as_py()
+        kept, roots, beyond = follow(_read_plans(table), shortest, rule, needs)
+        return _rows(CHOICE_SCHEMA, [
+            *((component, EDGE_ROW, src, dst, weight, None, None) for src, dst, weight in kept),
+            *((component, ROOT_ROW, root, target, None, n, distance) for root, target, n, distance in roots),
+            *((component, WANTED_ROW, node, None, None, need, None) for node, need in beyond)])
+
+    ship_package(plans.sparkSession)
+    if wanted is None:
+        return plans.groupBy("component").applyInArrow(lambda table: choose(table, None), CHOICE_SCHEMA)
+    return plans.groupBy("component").cogroup(wanted.groupBy("component")).applyInArrow(choose, CHOICE_SCHEMA)
 
 
 @dataclass
@@ -141,22 +192,31 @@ class NodePlan:
         return self.distance if need == FALLBACK else self.depth - 1 + need
 
 
-def plan_nodes(children: dict[int, list[tuple[int, int]]], rule: str) -> dict[int, NodePlan]:
-    """Backward pass: nodes in descending order, so children come before parents."""
-    plans: dict[int, NodePlan] = {}
+def plan_nodes(children: dict[int, list[tuple[int, int]]], rule: str, known: dict[int, NodePlan]) -> dict[int, NodePlan]:
+    """Backward pass: nodes in descending order, so children come before parents.
+
+    ``known`` has the plans of later frames; a child without children is an end.
+    """
+    plans = dict(known)
     frame, open_nodes = None, []
     for node in sorted(children, reverse=True):
         if node >> 32 != frame:
             _rank_frame(open_nodes, plans)
             frame, open_nodes = node >> 32, []
-        plans[node] = _plan_node(node, children[node], plans, rule)
+        for child, _ in children[node]:
+            if child not in plans:
+                plans[child] = _end(child)
+        plans[node] = _plan_node(children[node], plans, rule) if children[node] else _end(node)
         open_nodes.append(node)
+    _rank_frame(open_nodes, plans)
     return plans
 
 
-def _plan_node(node: int, links: list[tuple[int, int]], plans: dict[int, NodePlan], rule: str) -> NodePlan:
-    if not links:
-        return NodePlan(clean_end=node, light_end=node, end=node)
+def _end(node: int) -> NodePlan:
+    return NodePlan(clean_end=node, light_end=node, end=node)
+
+
+def _plan_node(links: list[tuple[int, int]], plans: dict[int, NodePlan], rule: str) -> NodePlan:
     below = max(plans[child].depth for child, _ in links)
     deep = [(child, weight, plans[child]) for child, weight in links if plans[child].depth == below]
     plan = NodePlan(depth=below + 1)
@@ -197,9 +257,8 @@ def _rank_frame(nodes: list[int], plans: dict[int, NodePlan]) -> None:
         plans[node].rank = places[keys[node]]
 
 
-def follow(plans: dict[int, NodePlan], shortest: float, rule: str):
-    """Forward pass: the links on any root's path, and one row per root."""
-    wanted: dict[int, set[int]] = {}
+def follow(plans: dict[int, NodePlan], shortest: float, rule: str, wanted: dict[int, set[int]]):
+    """Forward pass: the links on any root's path, one row per root, and the needs handed on to later frames."""
     kept: set[tuple[int, int, int]] = set()
     roots = []
     for node in sorted(plans):
@@ -213,136 +272,34 @@ def follow(plans: dict[int, NodePlan], shortest: float, rule: str):
                 child, weight, next_need = plan.hops[need]
                 kept.add((node, child, weight))
                 wanted.setdefault(child, set()).add(next_need)
-    return sorted(kept), roots
+    latest = max(plans) >> 32 if plans else 0
+    beyond = [(node, need) for node, needs in wanted.items() if node >> 32 > latest for need in needs]
+    return sorted(kept), roots, beyond
 
 
 # --- the paths themselves ---------------------------------------------------------------------
 
-PATH_SCHEMA = "root bigint, step int, node bigint"
-PATH_TYPES = pa.schema([("root", pa.int64()), ("step", pa.int32()), ("node", pa.int64())])
-
-
 def root_paths(edges: DataFrame, config: TrackConfig) -> DataFrame:
-    """``(root, step, node)``: the chosen path of every root, one row per element on it."""
-    members = stage(graph_components(edges), "members")
-    large = component_sizes(members).where(F.col("n_nodes") > config.max_group_nodes).select("component")
-    owned = edges.select("src", "dst", "weight").join(members.withColumnRenamed("node", "src"), "src")
-    if large.isEmpty():
-        return owned.groupBy("component").applyInArrow(_path_kernel(config), PATH_SCHEMA)
-    large = stage(large, "large-components")
-    listed = owned.join(large, "component", "left_anti").groupBy("component").applyInArrow(
-        _path_kernel(config), PATH_SCHEMA)
-    return listed.unionByName(_walk_roots(owned.join(large, "component", "left_semi"), config))
+    """``(root, step, node)``: the chosen path of every root, one row per element on it.
 
-
-def _path_kernel(config: TrackConfig):
-    rule = config.path_rule
-
-    def trace(links: pa.Table) -> pa.Table:
-        plans, rows = _planned(links, rule), []
-        for root, plan in plans.items():
-            if plan.depth < config.min_mcs_duration:
-                continue
-            node, need, step = root, plan.need(rule), 1
-            rows.append((root, step, node))
-            while need in plans[node].hops:
-                node, _, need = plans[node].hops[need]
-                step += 1
-                rows.append((root, step, node))
-        return pa.table([[row[i] for row in rows] for i in range(3)], schema=PATH_TYPES)
-
-    return trace
-
-
-def _walk_roots(edges: DataFrame, config: TrackConfig) -> DataFrame:
-    """All roots advance one frame per round, joined with at most three successors per element."""
-    hops = stage(_hops_by_frames(edges, config), "successors")
-    walkers = stage(hops.where("starts").select(
-        F.col("node").alias("root"), F.lit(1).alias("step"), "node", "need"), "walkers")
-    listed = walkers
-    successors = hops.where("child is not null").select("node", "need", "child", "next_need")
+    Walkers of all roots advance a frame at a time, joined with at most three
+    successors per element.
+    """
+    plans = reduce(DataFrame.unionByName, plan_rounds(edges, config))
+    own = _own_need(config.path_rule)
+    hops = stage(plans.select("node", own.alias("own"), "depth", F.explode(F.array(*[
+        F.struct(F.lit(need).alias("need"), F.col(f"child{need}").alias("child"), F.col(f"next{need}").alias("next_need"))
+        for need in range(3)])).alias("hop")).select("node", "own", "depth", "hop.*").where("child is not null"), "successors")
+    walkers = stage(plans.where(F.col("depth") >= config.min_mcs_duration).select(
+        F.col("node").alias("root"), F.lit(1).alias("step"), "node", own.alias("need")), "walkers")
+    successors = hops.select("node", "need", "child", "next_need")
+    listed = [walkers]
     while not walkers.isEmpty():
         walkers = stage(
             walkers.join(successors, ["node", "need"]).select(
-                "root", (F.col("step") + 1).alias("step"), F.col("child").alias("node"),
-                F.col("next_need").alias("need")), "walkers")
-        listed = listed.unionByName(walkers)
-    return listed.select("root", "step", "node")
-
-
-def _hops_by_frames(edges: DataFrame, config: TrackConfig) -> DataFrame:
-    own = _own_need(config.path_rule)
-    plans = list(_plans_by_frames(edges, config)[2].values())
-    return reduce(DataFrame.unionByName, plans).select(
-        "node", "depth", own.alias("own"), F.posexplode("hops").alias("need", "hop")
-    ).select(
-        "node", "need", "hop.child", "hop.next_need",
-        ((F.col("need") == F.col("own")) & (F.col("depth") >= config.min_mcs_duration)).alias("starts"),
-    ).where("child is not null or starts")
-
-
-# --- components beyond the group bound ------------------------------------------------------
-
-def prune_by_frames(edges: DataFrame, config: TrackConfig) -> Clusters:
-    """The same recurrence as joins: one backward and one forward step per frame.
-
-    Each step touches the links of one frame; its result is a stage table.
-    """
-    low, high, plans = _plans_by_frames(edges, config)
-    needs, chosen, roots = None, None, None
-    for frame in range(low, high + 1):
-        plan = plans[frame]
-        own = plan.where(F.col("depth") >= config.min_mcs_duration)
-        need = _own_need(config.path_rule)
-        wanted = own.select("node", need.alias("need"))
-        roots_here = own.select(
-            F.col("node").alias("root"),
-            F.when(need == FALLBACK, F.col("end")).otherwise(F.col("light_end")).alias("target"),
-            F.col("depth").alias("n_nodes"),
-            F.when(need == FALLBACK, F.col("distance")).otherwise(F.col("depth") - 1 + need)
-            .cast("int").alias("distance"),
-        )
-        roots = roots_here if roots is None else roots.unionByName(roots_here)
-        if needs is not None:
-            wanted = wanted.unionByName(needs).distinct()
-        hops = stage(
-            wanted.join(plan, "node").select(
-                "node", F.element_at("hops", F.col("need") + 1).alias("hop"))
-            .where(F.col("hop").isNotNull()).select("node", "hop.*"), "hops")
-        needs = hops.select(F.col("child").alias("node"), F.col("next_need").alias("need")).distinct()
-        step = hops.select(F.col("node").alias("src"), F.col("child").alias("dst"), "weight").distinct()
-        chosen = step if chosen is None else chosen.unionByName(step)
-    return Clusters(chosen, roots)
-
-
-def _plans_by_frames(edges: DataFrame, config: TrackConfig) -> tuple[int, int, dict[int, DataFrame]]:
-    """Backward steps: the plan table of every frame between the first and the last."""
-    links = stage(edges.select("src", "dst", "weight").sortWithinPartitions("src"), "frame-links")
-    low, high = links.agg(F.min(node_frame("src")), F.max(node_frame("dst"))).first()
-    plans: dict[int, DataFrame] = {high: stage(_ends(links, links.limit(0), high), "plan")}
-    for frame in range(high - 1, low - 1, -1):
-        here = _of_frame(links, frame)
-        inner = _plan_frame(here, plans[frame + 1], config.path_rule)
-        plans[frame] = stage(inner.unionByName(_ends(links, here, frame)), "plan")
-    return low, high, plans
-
-
-def _of_frame(links: DataFrame, frame: int) -> DataFrame:
-    return links.where((F.col("src") >= frame << 32) & (F.col("src") < frame + 1 << 32))
-
-
-def _ends(links: DataFrame, leaving: DataFrame, frame: int) -> DataFrame:
-    """Plans of the nodes of a frame that have no child."""
-    arriving = links.where((F.col("dst") >= frame << 32) & (F.col("dst") < frame + 1 << 32))
-    lone = arriving.select(F.col("dst").alias("node")).distinct().join(
-        leaving.select(F.col("src").alias("node")), "node", "left_anti")
-    hop = "struct<child:bigint,weight:int,next_need:int>"
-    return lone.select(
-        "node", F.lit(1).alias("depth"), F.col("node").alias("clean_end"), F.col("node").alias("light_end"),
-        F.col("node").alias("end"), F.lit(0).alias("distance"), F.lit(0).alias("heavy_at"),
-        F.lit("").alias("weights"),
-        F.array(*[F.lit(None).cast(hop)] * 3).alias("hops"),
-    )
+                "root", (F.col("step") + 1).alias("step"), F.col("child").alias("node"), F.col("next_need").alias("need")), "walkers")
+        listed.append(walkers)
+    return reduce(DataFrame.unionByName, listed).select("root", "step", "node")
 
 
 def _own_need(rule: str):
@@ -355,57 +312,6 @@ def _own_need(rule: str):
     )
 
 
-def _plan_frame(links: DataFrame, below: DataFrame, rule: str) -> DataFrame:
-    """Plans of one frame's nodes from the plans of the next frame."""
-    joined = links.join(below.withColumnRenamed("node", "dst").drop("hops"), "dst").withColumnRenamed("src", "node")
-    depth = joined.groupBy("node").agg(F.max("depth").alias("deepest"))
-    deep = joined.join(depth, "node").where(F.col("depth") == F.col("deepest"))
-    nowhere = F.lit(NOWHERE).cast("bigint")
-    clean = F.when(F.col("weight") == 1, F.col("clean_end"))
-    light = F.when(F.col("weight") == 1, F.col("light_end")).when(F.col("weight") == 2, F.col("clean_end"))
-    order = [(-F.col("end")).alias("e"), (-(F.col("weight") + F.col("distance"))).alias("d")]
-    if rule == "min_distance":
-        order.reverse()
-    # one digit per link, far end first, so that text order is weight order
-    weights = F.concat("weights", F.col("weight").cast("string"))
-    pick = F.struct(*order, weights.alias("w"), (-F.col("dst")).alias("c"), F.col("weight").alias("x"))
-    reach = deep.groupBy("node").agg(
-        (F.first("deepest") + 1).cast("int").alias("new_depth"),
-        F.coalesce(F.max(clean), nowhere).alias("new_clean"),
-        F.coalesce(F.max(light), nowhere).alias("new_light"),
-        F.max(pick).alias("pick"),
-    )
-    options = deep.join(reach, "node")
-    on_clean = (F.col("weight") == 1) & (F.col("clean_end") == F.col("new_clean")) & (F.col("new_clean") != NOWHERE)
-    strict = (F.col("new_light") != NOWHERE) & (F.col("new_light") != F.col("new_clean"))
-    keeps = (F.col("weight") == 1) & (F.col("light_end") == F.col("new_light"))
-    spends = (F.col("weight") == 2) & (F.col("clean_end") == F.col("new_light"))
-    heavy = F.when(strict & keeps, F.struct(
-        (F.col("heavy_at") + 1).alias("at"), (-F.col("dst")).alias("c"), F.col("weight").alias("x"),
-        F.lit(ONE_HEAVY).alias("k")))
-    heavy = heavy.when(strict & spends, F.struct(
-        F.lit(0).alias("at"), (-F.col("dst")).alias("c"), F.col("weight").alias("x"), F.lit(CLEAN).alias("k")))
-    planned = options.groupBy("node").agg(
-        F.first("new_depth").alias("depth"), F.first("new_clean").alias("clean_end"),
-        F.first("new_light").alias("light_end"), F.first("pick").alias("pick"),
-        F.min(F.when(on_clean, F.col("dst"))).alias("clean_hop"), F.max(heavy).alias("heavy"),
-    )
-
-    def hop(child, weight, need):
-        return F.struct(child.alias("child"), weight.cast("int").alias("weight"), need.cast("int").alias("next_need"))
-
-    return planned.select(
-        "node", "depth", "clean_end", "light_end",
-        (-F.col("pick.e")).alias("end"), (-F.col("pick.d")).cast("int").alias("distance"),
-        F.coalesce("heavy.at", F.lit(0)).alias("heavy_at"), F.col("pick.w").alias("weights"),
-        F.array(
-            F.when(F.col("clean_hop").isNotNull(), hop(F.col("clean_hop"), F.lit(1), F.lit(CLEAN))),
-            F.when(F.col("heavy").isNotNull(), hop(-F.col("heavy.c"), F.col("heavy.x"), F.col("heavy.k"))),
-            hop(-F.col("pick.c"), F.col("pick.x"), F.lit(FALLBACK)),
-        ).alias("hops"),
-    )
-
-
 def pruned_nodes(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
     return ends.distinct()

@@ -11,11 +11,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def local_session(app: str = "gridtrack", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -78,13 +81,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stage_path = path
+    for scope in _scopes:
+        scope.append(table)
     return table
 
 
-def unstage(*tables: DataFrame) -> None:
-    """Delete stage tables that nothing reads any more."""
+@contextmanager
+def stage_scope() -> Iterator[list[DataFrame]]:
+    """Collects the stage tables made inside, so that those without a reader can be deleted."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [scope for scope in _scopes if scope is not made]
+
+
+def unstage(*tables: DataFrame, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete stage tables that nothing reads any more, all but those to ``keep``."""
+    kept = {table.stage_path for table in keep}
     for table in tables:
-        _delete(table.sparkSession, table.stage_path)
+        if table.stage_path not in kept:
+            _delete(table.sparkSession, table.stage_path)
 
 
 def drop_stages(spark: SparkSession) -> None:

@@ -63,10 +63,10 @@ def expected_paths(graphs, rule):
 
 
 @pytest.mark.parametrize("rule", ["last_within_length", "min_distance"])
-@pytest.mark.parametrize("max_group_nodes", [250_000, 5])
-def test_pruning_equals_a_search_from_every_root(spark, rule, max_group_nodes):
+@pytest.mark.parametrize("frames_per_round", [16, 2, 1])
+def test_pruning_equals_a_search_from_every_root(spark, rule, frames_per_round):
     graphs = [random_graph(random.Random(seed)) for seed in range(60)]
-    config = MICRO.with_options(path_rule=rule, max_group_nodes=max_group_nodes)
+    config = MICRO.with_options(path_rule=rule, frames_per_round=frames_per_round)
     got = paths.prune(graph_tables(spark, graphs), config)
     edges, roots = expected_paths(graphs, rule)
     assert {tuple(x) for x in got.edges.collect()} == edges
@@ -77,13 +77,13 @@ def test_pruning_equals_a_search_from_every_root(spark, rule, max_group_nodes):
 def test_plan_kernel_on_many_graphs(rule):
     for seed in range(800):
         graph = random_graph(random.Random(seed))
-        assert paths.follow(paths.plan_nodes(graph, rule), 3, rule) == searched_paths(graph, 3, rule)
+        assert paths.follow(paths.plan_nodes(graph, rule, {}), 3, rule, {})[:2] == searched_paths(graph, 3, rule)
 
 
-@pytest.mark.parametrize("max_group_nodes", [250_000, 3])
-def test_path_choice_and_listing(spark, max_group_nodes):
+@pytest.mark.parametrize("frames_per_round", [16, 1])
+def test_path_choice_and_listing(spark, frames_per_round):
     a, b, c1, c2 = key(1, 1), key(2, 1), key(3, 1), key(3, 2)
-    config = MICRO.with_options(max_group_nodes=max_group_nodes)
+    config = MICRO.with_options(frames_per_round=frames_per_round)
 
     def listed(weights, **options):
         table = spark.createDataFrame(

@@ -162,7 +162,7 @@ def test_shape_gate_looks_at_the_largest_grown_member(spark):
 
 
 def test_paged_walk_equals_grouped_walk(spark):
-    """Random systems, walked whole and walked in pages of one element number."""
+    """Random systems, walked in one page and in pages of one element number."""
     cases = []
     for seed in range(12):
         rnd = random.Random(seed)
@@ -180,7 +180,7 @@ def test_paged_walk_equals_grouped_walk(spark):
         spots, books = assign_candidates(*tables(spark, cases)[:2], config)
         return ({tuple(x) for x in spots.where("cand is not null").collect()}, {tuple(x) for x in books.collect()})
 
-    whole, paged = outcome(CONFIG), outcome(CONFIG.with_options(max_group_nodes=4))
+    whole, paged = outcome(CONFIG), outcome(CONFIG.with_options(page_nodes=4))
     assert whole == paged and len(whole[0]) > 60
 
 
