@@ -8,9 +8,10 @@ the work small without losing a link:
 * lists are cut into blocks by set size, a set probes its own block and the next
   one, and a pair is skipped at any place where the positions of the shared
   n-gram leave too little overlap;
-* sets that are highly similar to the first set of a list follow that set.  Its
-  answers hold for its followers: by the triangle inequality of the Jaccard
-  distance a follower is only compared with sets near enough to its leader;
+* in a few star rounds one set of each list is compared with the others, and
+  those that link follow it.  A leader's answers hold for its followers: by the
+  triangle inequality of the Jaccard distance a follower is only compared with
+  sets near enough to its leader;
 * pairs that are already connected are never compared, as only components are
   asked for, so a group of near copies costs one comparison per member.
 
@@ -22,6 +23,7 @@ the order.  Any order gives the same links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,15 @@ from pyspark.sql import functions as F
 from gridtrack.llm.skew import join_groups
 from gridtrack.llm.words import mix, shingles, text_slices, words_of
 from gridtrack.operators.components import components
-from gridtrack.session import stage
+from gridtrack.session import stage, stage_scope, unstage
 
 WIDTH = 4
 SHARE, WHOLE = 85, 100
 FREQUENT = 200_000
 DOCS_PER_REPORT = 2500
 SIZE_STEP = 0.16
+SLOTS = 1 << 21
+STAR_ROUNDS = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 REPORT = "token bigint, n bigint"
@@ -121,9 +125,10 @@ def _whole(width: int):
             for s, e in text_slices(batch.column(0)):
                 row, token = token_sets(batch.column(0).slice(s, e - s), width)
                 bounds = np.searchsorted(row, np.arange(e - s + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(set_ids(row, token, e - s)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(token.view(np.int64)))],
-                    names=["set_id", "tokens"])
+                ids = set_ids(row, token, e - s)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(token.view(np.int64)))
+                once = pa.array(np.unique(ids, return_index=True)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(once), lists.take(once)], names=["set_id", "tokens"])
 
     return whole
 
@@ -153,15 +158,40 @@ def index_lists(classes: DataFrame) -> DataFrame:
     return stage(join_groups(rows, counts, ["token"], "n_list", total), "jaccard-lists")
 
 
-def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``pairs(a, b, ...)`` with ``overlap`` and ``union_size`` of their whole sets."""
-    left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    counted = both.withColumn("overlap", overlap).withColumn(
-        "union_size", F.size("tokens_a") + F.size("tokens_b") - F.col("overlap"))
-    return counted.drop("tokens_a", "tokens_b")
+class WholeSets:
+    """The sets of the pairs that are compared, built again from their texts.
+
+    Only texts that are asked for are tokenized again.  They are picked by their
+    hash: first by a broadcast of hash slots, of which there are ``SLOTS`` at most,
+    then exactly, so few other texts are shuffled.
+    """
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, width: int) -> None:
+        self.rows, self.classes, self.width = rows.select("text_hash", "text"), classes, width
+        self.tokens: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(a, b, ...)`` with the ``overlap`` and ``union_size`` of their sets."""
+        pairs = stage(pairs, "jaccard-pairs")
+        tokens = self._of(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a"))
+        right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b"))
+        both = pairs.join(left, "a").join(right, "b")
+        overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        counted = both.withColumn("overlap", overlap).withColumn(
+            "union_size", F.size("tokens_a") + F.size("tokens_b") - F.col("overlap"))
+        return counted.drop("tokens_a", "tokens_b")
+
+    def _of(self, sets: DataFrame) -> DataFrame:
+        missing = sets if self.tokens is None else sets.join(self.tokens.select("set_id"), "set_id", "left_anti")
+        wanted = stage(self.classes.select("set_id", "text_hash").join(missing, "set_id").select("text_hash"), "jaccard-wanted")
+        if self.tokens is None or not wanted.isEmpty():
+            slot = F.pmod("text_hash", F.lit(SLOTS)).cast("int").alias("slot")
+            near = self.rows.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+            texts = near.join(wanted, "text_hash", "left_semi").select("text")
+            fresh = stage(texts.mapInArrow(_whole(self.width), TOKENS).dropDuplicates(["set_id"]), "jaccard-whole")
+            self.tokens = fresh if self.tokens is None else self.tokens.unionByName(fresh)
+        return self.tokens
 
 
 def linked() -> Column:
@@ -175,83 +205,97 @@ def distance() -> Column:
 FAR = 1 - SHARE / WHOLE + 1e-9
 
 
-def leaders(lists: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(a, b, radius)``: set ``b`` links with set ``a``, the first one of a block of a list that both are in.
-
-    Pairs are tried when the lists where ``a`` comes first show enough shared tokens.
-    """
-    blocked = lists.withColumn("block", size_block(F.col("n")))
-    first = blocked.groupBy("token", "block").agg(F.min(F.struct("set_id", "n")).alias("first"))
-    stars = blocked.join(first, ["token", "block"]).where("first.set_id <> set_id").select(
-        F.col("first.set_id").alias("a"), F.col("set_id").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
-    tried = stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(enough())
-    return stage(
-        verified(tried.select("a", "b"), tokens).where(linked()).select("a", "b", distance().alias("radius")), "jaccard-leaders")
-
-
 def enough() -> Column:
     """Shared prefix tokens suffice: all others of the overlap lie behind the prefix of one of the two."""
     return F.col("shared") >= needed(F.col("n_a"), F.col("n_b")) - F.greatest(kept_whole(F.col("n_a")), kept_whole(F.col("n_b")))
 
 
-def links(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+def links(lists: DataFrame, whole: WholeSets) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all links."""
-    led = leaders(lists, tokens)
-    root = components(led.select(F.lit(0).cast("long").alias("scope"), "a", "b")).select(
-        F.col("node").alias("set_id"), "root") if not led.isEmpty() else led.select(F.col("a").alias("set_id"), F.col("b").alias("root")).limit(0)
-    follows = led.groupBy(F.col("b").alias("set_id")).agg(F.min(F.struct("a", "radius")).alias("lead")).select(
-        "set_id", F.col("lead.a").alias("leader"), F.col("lead.radius").alias("radius"))
-    led_by = stage(root.join(follows, "set_id", "left"), "jaccard-roots")
-
-    members = lists.join(led_by, "set_id", "left").select(
-        "token", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("root"),
-        F.coalesce("leader", "set_id").alias("leader"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    members = stage(members, "jaccard-members")
-    # lists inside one component have nothing left to find
-    mixed = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_ = stage(members.join(mixed, "token"), "jaccard-open")
+    # star rounds: one set of every list is compared with the others that are not connected to it yet
+    open_ = stage(lists.withColumn("block", size_block(F.col("n"))).withColumn("root", F.col("set_id")), "jaccard-open")
+    found, followers = [open_.select(F.col("set_id").alias("a"), F.col("root").alias("b")).limit(0)], []
+    for number in range(STAR_ROUNDS):
+        centre = open_.groupBy("token", "block").agg(
+            F.min(F.struct(F.xxhash64("set_id", F.lit(number)).alias("order"), "set_id", "n", "root")).alias("centre"))
+        stars = open_.join(centre, ["token", "block"]).where("centre.root <> root").select(
+            F.col("centre.set_id").alias("a"), F.col("set_id").alias("b"), F.col("centre.n").alias("n_a"), F.col("n").alias("n_b"))
+        tried = stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(enough())
+        new = stage(whole.compare(tried.select("a", "b")).where(linked()).select("a", "b", distance().alias("radius")), "jaccard-stars")
+        if new.isEmpty():
+            break
+        found.append(new.select("a", "b"))
+        followers.append(new.withColumn("round", F.lit(number)))
+        open_ = _open(_rooted(open_, new))
     if open_.isEmpty():
-        return led.select("a", "b")
-
-    # leaders answer for their followers
+        return reduce(DataFrame.unionByName, found)
+
+    # leaders answer for their followers: a set follows the first centre that it linked with
+    open_ = open_.withColumn("leader", F.col("set_id")).withColumn("radius", F.lit(0.0))
+    if followers:
+        lead = reduce(DataFrame.unionByName, followers).groupBy(F.col("b").alias("set_id")).agg(
+            F.min(F.struct("round", "a", "radius")).alias("lead"))
+        open_ = stage(open_.join(lead, "set_id", "left").select(
+            "token", "block", "set_id", "n", "pos", "root", F.coalesce("lead.a", "set_id").alias("leader"),
+            F.coalesce("lead.radius", F.lit(0.0)).alias("radius")), "jaccard-members")
     groups = open_.groupBy("token", "leader", "root").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"),
         F.max((F.col("set_id") != F.col("leader")).cast("int")).alias("many"), F.max("radius").alias("radius"))
     groups = stage(groups, "jaccard-groups").withColumn("block", size_block(F.col("lo"))).withColumn("top", size_block(F.col("hi")))
-    left = groups.select("token", *[F.col(c).alias(f"{c}_a") for c in ("leader", "root", "lo", "hi", "pos", "many", "radius")],
+    columns = ("leader", "root", "lo", "hi", "pos", "many", "radius")
+    left = groups.select("token", *[F.col(c).alias(f"{c}_a") for c in columns],
                          F.explode(F.sequence("block", F.col("top") + 1)).alias("block"), F.col("block").alias("low_a"))
-    right = groups.select("token", *[F.col(c).alias(f"{c}_b") for c in ("leader", "root", "lo", "hi", "pos", "many", "radius")],
+    right = groups.select("token", *[F.col(c).alias(f"{c}_b") for c in columns],
                           F.explode(F.sequence("block", "top")).alias("block"), F.col("block").alias("low_b"))
     near = left.join(right, ["token", "block"]).where(
         # a pair meets in the first block that both reach, and once if both start there
         (F.col("root_a") != F.col("root_b")) & (F.col("block") == F.greatest("low_a", "low_b"))
         & ((F.col("low_a") < F.col("low_b")) | ((F.col("low_a") == F.col("low_b")) & (F.col("leader_a") < F.col("leader_b"))))
-        & (F.col("hi_a") * WHOLE >= F.col("lo_b") * SHARE) & (F.col("hi_b") * WHOLE >= F.col("lo_a") * SHARE))
-    near = near.where((F.col("many_a") + F.col("many_b") > 0) | fits("lo_a", "pos_a", "lo_b", "pos_b"))
+        & (F.col("hi_a") * WHOLE >= F.col("lo_b") * SHARE) & (F.col("hi_b") * WHOLE >= F.col("lo_a") * SHARE)
+        & ((F.col("many_a") + F.col("many_b") > 0) | fits("lo_a", "pos_a", "lo_b", "pos_b")))
     asked = near.groupBy(F.least("leader_a", "leader_b").alias("a"), F.greatest("leader_a", "leader_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.max(F.col("many_a") + F.col("many_b")).alias("many"),
         F.max("lo_a").alias("n_a"), F.max("lo_b").alias("n_b"), F.max(F.col("radius_a") + F.col("radius_b")).alias("radius"))
     asked = asked.where((F.col("many") > 0) | enough())
-    answers = stage(verified(asked.select("a", "b", "many", "radius"), tokens).select(
+    answers = stage(whole.compare(asked.select("a", "b", "many", "radius")).select(
         "a", "b", "many", "radius", linked().alias("link"), distance().alias("apart")), "jaccard-answers")
-    found = led.select("a", "b").unionByName(answers.where("link").select("a", "b"))
+    found.append(answers.where("link").select("a", "b"))
 
-    # followers are compared where the leaders' distance leaves it open
+    # followers are compared where the leaders' distance leaves it open, each pair once
     unsure = answers.where(~F.col("link") & (F.col("many") > 0) & (F.col("apart") <= F.col("radius") + FAR)).select("a", "b", "apart")
-    if unsure.isEmpty():
-        return found
-    one = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "leader", "root", "n", "pos", "radius")])
-    two = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "leader", "root", "n", "pos", "radius")])
-    both = one.join(two, "token").where(
-        (F.col("leader_a") < F.col("leader_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "pos_a", "n_b", "pos_b")
-        & (F.col("n_a") * WHOLE >= F.col("n_b") * SHARE) & (F.col("n_b") * WHOLE >= F.col("n_a") * SHARE))
-    both = both.join(
-        unsure, (F.col("leader_a") == F.col("a")) & (F.col("leader_b") == F.col("b"))
-        & (F.col("apart") <= F.col("radius_a") + F.col("radius_b") + FAR)).drop("a", "b")
-    tried = both.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b").agg(
-        F.count(F.lit(1)).alias("shared")).where(enough())
-    last = stage(verified(tried.select("a", "b"), tokens).where(linked()).select("a", "b"), "jaccard-followers")
-    return found.unionByName(last)
+    if not unsure.isEmpty():
+        members = stage(_rooted(open_, found[-1]).select("set_id", "n", "root", "leader", "radius").distinct(), "jaccard-followers")
+        one, two = (members.select(*[F.col(c).alias(f"{c}_{x}") for c in members.columns]) for x in "ab")
+        tried = (
+            unsure.join(one, F.col("a") == F.col("leader_a")).where(F.col("apart") <= F.col("radius_a") + 2 * FAR)
+            .join(two, F.col("b") == F.col("leader_b"))
+            .where((F.col("root_a") != F.col("root_b")) & (F.col("apart") <= F.col("radius_a") + F.col("radius_b") + FAR)
+                   & (F.col("n_a") * WHOLE >= F.col("n_b") * SHARE) & (F.col("n_b") * WHOLE >= F.col("n_a") * SHARE)
+                   # the leaders themselves have been compared
+                   & ((F.col("set_id_a") != F.col("a")) | (F.col("set_id_b") != F.col("b"))))
+            .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")))
+        found.append(stage(whole.compare(tried).where(linked()).select("a", "b"), "jaccard-last"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _rooted(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """``rows`` with the roots that follow from new links between their sets."""
+    roots = rows.select("set_id", "root").distinct()
+    joined = new.join(roots.select(F.col("set_id").alias("a"), F.col("root").alias("root_a")), "a").join(
+        roots.select(F.col("set_id").alias("b"), F.col("root").alias("root_b")), "b")
+    pairs = joined.where("root_a <> root_b").select(F.lit(0).cast("long").alias("scope"), F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    pairs = stage(pairs.distinct(), "jaccard-roots")
+    if pairs.isEmpty():
+        return rows
+    merged = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("merged"))
+    return rows.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the lists that still hold sets of different components."""
+    rows = stage(rows, "jaccard-rooted")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    return stage(rows.join(mixed, "token"), "jaccard-open")
 
 
 def fits(n_a: str, pos_a: str, n_b: str, pos_b: str) -> Column:
@@ -271,35 +315,34 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sequence as its only n-gram; a null or empty text has none, no ``group_id``, and
     is linked with nothing.  Repeated rows are in one component.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    often = rows.select("text").mapInArrow(_report(width), REPORT).groupBy("token").agg(F.sum("n").alias("n"))
-    most = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    token = most.column("token").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    frequent = spark.sparkContext.broadcast((token[order], most.column("n").to_numpy().astype(np.int64)[order]))
-
-    sets = stage(rows.mapInArrow(_build(frequent, width), SETS), "jaccard-sets")
-    full = sets.where("n > 0")
-    classes = stage(
-        full.groupBy("set_id").agg(
-            F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_hash", "n", "prefix")).alias("s"))
-        .select("set_id", "smallest", "copies", "s.*"), "jaccard-classes")
-    lists = index_lists(classes)
-    wanted = classes.join(lists.select("set_id").distinct(), "set_id").select("text_hash")
-    texts = rows.select("text_hash", "text").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    tokens = stage(texts.select("text").mapInArrow(_whole(width), TOKENS).dropDuplicates(["set_id"]), "jaccard-whole")
-
-    found = stage(links(lists, tokens), "jaccard-links")
-    labels = classes.select("set_id", "smallest", "copies", F.col("set_id").alias("root"))
-    if not found.isEmpty():
-        roots = components(found.select(F.lit(0).cast("long").alias("scope"), "a", "b")).select(F.col("node").alias("set_id"), "root")
-        labels = classes.select("set_id", "smallest", "copies").join(roots, "set_id", "left").withColumn(
-            "root", F.coalesce("root", "set_id"))
-    labels = stage(labels, "jaccard-labels")
-    smallest = labels.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = stage(labels.join(smallest, "root").select("set_id", "copies", F.col("root").alias("group_id"), "component_id"), "jaccard-named")
-    grouped = join_groups(full, named, ["set_id"], "copies", full.count()).select(
+    with stage_scope() as made:
+        spark = docs.sparkSession
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+        often = rows.select("text").mapInArrow(_report(width), REPORT).groupBy("token").agg(F.sum("n").alias("n"))
+        most = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+        token = most.column("token").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(token)
+        frequent = spark.sparkContext.broadcast((token[order], most.column("n").to_numpy().astype(np.int64)[order]))
+
+        sets = stage(rows.mapInArrow(_build(frequent, width), SETS), "jaccard-sets")
+        full = sets.where("n > 0")
+        classes = stage(
+            full.groupBy("set_id").agg(
+                F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_hash", "n", "prefix")).alias("s"))
+            .select("set_id", "smallest", "copies", "s.*"), "jaccard-classes")
+        lists = index_lists(classes)
+        found = stage(links(lists, WholeSets(rows, classes, width)), "jaccard-links")
+        labels = classes.select("set_id", "smallest", "copies", F.col("set_id").alias("root"))
+        if not found.isEmpty():
+            roots = components(found.select(F.lit(0).cast("long").alias("scope"), "a", "b")).select(F.col("node").alias("set_id"), "root")
+            labels = classes.select("set_id", "smallest", "copies").join(roots, "set_id", "left").withColumn(
+                "root", F.coalesce("root", "set_id"))
+        labels = stage(labels, "jaccard-labels")
+        smallest = labels.groupBy("root").agg(F.min("smallest").alias("component_id"))
+        named = stage(labels.join(smallest, "root").select("set_id", "copies", F.col("root").alias("group_id"), "component_id"), "jaccard-named")
+        total = full.count()
+    unstage(*made, keep=(sets, named))
+    grouped = join_groups(full, named, ["set_id"], "copies", total).select(
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "group_id", "component_id")
     alone = sets.where("n = 0").select(
         "doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("group_id"), F.col("doc_id").alias("component_id"))
@@ -311,7 +354,10 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Texts without words are not linked with anything and all stay.
     """
-    groups = stage(similar_groups(docs, width), "jaccard-groups-of-rows").where("n_shingles > 0")
+    with stage_scope() as made:
+        groups = stage(similar_groups(docs, width), "jaccard-groups-of-rows")
+    unstage(*made, keep=(groups,))
+    groups = groups.where("n_shingles > 0")
     kept = groups.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(
         F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridtrack.llm.skew import join_groups
 from gridtrack.llm.words import Words, mix, powers, text_slices, words_of
-from gridtrack.session import stage
+from gridtrack.session import stage, stage_scope, unstage
 
 SENTENCES = 2
 WORDS = 15
@@ -155,7 +155,10 @@ def remove_repeats(docs: DataFrame, columns: list[str], only_changed: bool = Fal
     have no run and stay whole.  A text may become empty.  With ``only_changed``
     rows that lose nothing are left out.  ``columns`` must not hold ``text``.
     """
-    spans = stage(merged(repeated_spans(docs)), "spans").select(
+    with stage_scope() as made:
+        spans = stage(merged(repeated_spans(docs)), "spans")
+    unstage(*made, keep=(spans,))
+    spans = spans.select(
         F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text"), F.col("spans").alias("span_list"))
     names = [f"c{i}" for i in range(len(columns))]
     schema = docs.select(*columns).schema
