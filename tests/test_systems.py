@@ -164,7 +164,7 @@ def test_shape_gate_looks_at_the_largest_grown_member(spark):
 def test_paged_walk_equals_grouped_walk(spark):
     """Random systems, walked in one page and in pages of one element number."""
     cases = []
-    for seed in range(12):
+    for seed in range(5):
         rnd = random.Random(seed)
         graph = random_graph(rnd)
         edges = [(a, b) for a, out in graph.items() for b, _ in out]
@@ -181,7 +181,7 @@ def test_paged_walk_equals_grouped_walk(spark):
         return ({tuple(x) for x in spots.where("cand is not null").collect()}, {tuple(x) for x in books.collect()})
 
     whole, paged = outcome(CONFIG), outcome(CONFIG.with_options(page_nodes=4))
-    assert whole == paged and len(whole[0]) > 60
+    assert whole == paged and len(whole[0]) > 20
 
 
 def test_criteria_areas_are_the_largest_cold_part(spark):
