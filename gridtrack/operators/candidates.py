@@ -119,9 +119,11 @@ def walk_pages(nodes: DataFrame, links: DataFrame, config: TrackConfig) -> DataF
             .groupBy("component").agg(F.max("push").alias("elsewhere"))
         )
         here = near.join(turn.select("component", "page"), ["component", "page"], "left_semi")
+        # the page itself, members without a link included, and the neighbours of its members
         around = (
             here.select("component", F.col("src").alias("node"))
             .unionByName(here.select("component", F.col("dst").alias("node")))
+            .unionByName(fixed.join(turn.select("component", "page"), ["component", "page"], "left_semi").select("component", "node"))
         )
         frames = states.where("core").groupBy("component", "cand").agg(
             F.collect_set(node_frame("node")).alias("core_frames"))
