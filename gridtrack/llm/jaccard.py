@@ -22,6 +22,7 @@ the order.  Any order gives the same links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +41,8 @@ WIDTH = 4
 SHARE, WHOLE = 85, 100
 FREQUENT = 200_000
 DOCS_PER_REPORT = 2500
-SIZE_STEP = 0.16
+# a little more than the size ratio of linked sets allows, so they never lie two blocks apart
+SIZE_STEP = -math.log(SHARE / WHOLE) * 1.001
 SLOTS = 1 << 21
 STAR_ROUNDS = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -136,7 +138,7 @@ def _whole(width: int):
 # --- index lists -----------------------------------------------------------------------------
 
 def size_block(n: Column) -> Column:
-    """Sets of a block differ by less than the threshold allows; linked sets are in the same block or in neighbours."""
+    """Linked sets are in the same block or in neighbours, as a block is wider than the size ratio of a link."""
     return F.floor(F.log(n.cast("double")) / SIZE_STEP).cast("int")
 
 

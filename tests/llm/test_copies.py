@@ -63,6 +63,18 @@ def test_components_equal_brute_force(spark, make):
     assert got == components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_contained_sets_link_at_the_largest_size_ratio(spark):
+    """Each text is the beginning of the other, with as many shingles more as a link allows."""
+    rows = []
+    for seed, sizes in ((900, (437, 514)), (901, (512, 602)), (902, (705, 829)), (903, (1139, 1340))):
+        words = tables.prose(seed, 1400).split()
+        words = [f"{w}{i}" for i, w in enumerate(words)]
+        rows += [(len(rows) + k, " ".join(words[:n + 3])) for k, n in enumerate(sizes)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(tables.texts(spark, rows)).collect()), key=str)
+    assert got == components(rows)
+    assert [r[2] for r in got] == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_one_of_each_component_stays(spark):
     docs = tables.awkward(spark)
     left = jaccard.one_of_each(docs)
