@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Test items go to the tasks in blocks of bounded size, as fingerprints of their
 words.  Every document is read whole: runs of ``SEED`` words that are a seed of an
 item open a window around the place, and the item is aligned with the window by
-Smith-Waterman, so words may be replaced, left out or added.  Seeds are the
-item's rare n-grams, by the number of documents of the corpus they occur in.
+Smith-Waterman, so words may be replaced, left out or added.  Seeds are all
+n-grams of an item, common ones too: a document with one of them is aligned.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from gridtrack.llm.words import Words, shingles, span_hashes, text_bytes, text_slices, word_bounds
 
 SEED = 3
-RARE_SHARE = 0.01
 CHUNK = 96
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
 ALIGN_CELLS = 4_000_000
+SEED_PAIRS = 1_000_000
 
 # fixed values: ASCII marks that are stripped from the ends of words
 MARKS = np.zeros(256, dtype=bool)
@@ -80,22 +80,6 @@ class Items:
         order = np.argsort(seed, kind="stable")
         return cls(ids, np.array(chunk_item, dtype=np.int64), chunk_words, seed[order], chunk[order], at[order])
 
-    def rarest(self, frequency: dict[int, int], documents: int) -> Items:
-        """Leaves out the seeds that many documents have, compared with all documents and with the other seeds of the chunk.
-
-        A seed stays if it occurs in at most ``RARE_SHARE`` of the documents, or not
-        more than twice as often as the chunk's seeds usually do: an item that is
-        copied everywhere keeps its seeds.
-        """
-        df = np.array([frequency.get(s, 0) for s in self.seed.view(np.int64).tolist()], dtype=np.int64)
-        keep = (df > 0) & (df <= RARE_SHARE * documents)
-        met = np.flatnonzero(df > 0)
-        met = met[np.lexsort((df[met], self.seed_chunk[met]))]
-        for part in np.split(met, np.flatnonzero(np.diff(self.seed_chunk[met])) + 1):
-            if part.size:
-                keep[part] |= df[part] <= 2 * df[part[(part.size - 1) // 2]]
-        return Items(self.ids, self.chunk_item, self.chunk_words, self.seed[keep], self.seed_chunk[keep], self.seed_at[keep])
-
 
 _blocks: dict[str, Items] = {}
 
@@ -119,28 +103,6 @@ def _found(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return maybe[seeds[at] == hashes[maybe]]
 
 
-def _seed_counter(block: Broadcast, name: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _shared(block, name)
-        seeds = np.unique(items.seed)
-        total, documents = np.zeros(seeds.size, dtype=np.int64), 0
-        for batch in batches:
-            documents += batch.num_rows
-            for s, e in text_slices(batch.column(0)):
-                h, row = shingles(bare_words(batch.column(0).slice(s, e - s)), SEED)
-                hit = _found(h, seeds)
-                which = np.searchsorted(seeds, h[hit])
-                once = np.unique(row[hit] * np.int64(seeds.size) + which) % max(1, seeds.size)
-                total += np.bincount(once, minlength=seeds.size)
-        some = np.flatnonzero(total)
-        # the row without a seed counts the documents
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *seeds[some].view(np.int64).tolist()], pa.int64()), pa.array([documents, *total[some].tolist()], pa.int64())],
-            names=["seed", "n"])
-
-    return count
-
-
 def smith_waterman(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local score of each row pair, and where in the window it ends (exclusive).
 
@@ -170,20 +132,22 @@ def matches(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
     at_row = np.arange(row.size) - np.searchsorted(row, row)
     hit = _found(h, items.seed)
     lo, hi = np.searchsorted(items.seed, h[hit]), np.searchsorted(items.seed, h[hit], side="right")
-    times = hi - lo
-    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    seed = np.repeat(lo, times) + nth
-    where = np.repeat(hit, times)
-    chunk, diagonal = items.seed_chunk[seed], at_row[where] - items.seed_at[seed]
     lengths = np.array([w.size for w in items.chunk_words], dtype=np.int64)
     empty = np.zeros(0, dtype=np.int64)
-    if not where.size:
+    if not hit.size:
         return empty, empty, np.zeros(0), empty, empty
 
-    # windows: seeds of one row and chunk whose diagonals fall into the same half chunk
+    # windows: seeds of one row and chunk whose diagonals fall into the same half chunk, from some seed pairs at a time
     slack = np.maximum(lengths // 2, 4)
-    key = np.stack([row[where], chunk, diagonal // slack[chunk]], axis=1)
-    key = np.unique(key, axis=0)
+    piece = np.cumsum(hi - lo) // SEED_PAIRS
+    keys = []
+    for places in np.split(np.arange(hit.size), np.flatnonzero(np.diff(piece)) + 1):
+        times = (hi - lo)[places]
+        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        seed, where = np.repeat(lo[places], times) + nth, np.repeat(hit[places], times)
+        chunk, diagonal = items.seed_chunk[seed], at_row[where] - items.seed_at[seed]
+        keys.append(np.unique(np.stack([row[where], chunk, diagonal // slack[chunk]], axis=1), axis=0))
+    key = np.unique(np.concatenate(keys), axis=0)
     r, c = key[:, 0], key[:, 1]
     size = words.counts()[r]
     first = np.clip(key[:, 2] * slack[c] - slack[c], 0, size)
@@ -260,12 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], outp
     for k in range(blocks):
         part = held.where(F.col("block") == k).drop("block").toArrow()
         block = Items.of(part.column("item_id").to_pylist(), part.column("text").combine_chunks())
-        everything = spark.sparkContext.broadcast(block)
-        counted = docs.select("text").mapInArrow(_seed_counter(everything, uuid.uuid4().hex), "seed bigint, n bigint")
-        frequency = counted.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        known = dict(zip(frequency.column("seed").to_pylist(), frequency.column("n").to_pylist()))
-        rare = block.rarest(known, known.get(None, 0))
-        shared = spark.sparkContext.broadcast(rare)
+        shared = spark.sparkContext.broadcast(block)
         scanned = rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, len(columns)), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
         rows = scanned.withColumnRenamed("found", "matches") if k == 0 else scanned.select(
             *names, F.concat("matches", "found").alias("matches"))

@@ -174,6 +174,19 @@ def test_edited_copies_are_found(spark):
     assert found == pytest.approx(want) and len(found) == 9
 
 
+def test_an_edited_copy_in_many_documents_is_found_in_each(spark):
+    """The seeds that survive the edit are in a third of all documents, the others in one."""
+    item = tables.prose(800, 40)
+    words = item.split()
+    words[2::5] = [f"new{i}" for i in range(len(words[2::5]))]
+    rows = [(i, f"{tables.prose(2000 + i, 30)} {' '.join(words)} {tables.prose(2100 + i, 30)}" if i % 3 == 0 else tables.prose(2200 + i, 90)) for i in range(60)]
+    rows.append((60, f"{tables.prose(2300, 30)} {item}"))
+    got = decontaminate.contaminated(
+        tables.texts(spark, rows), spark.createDataFrame([(1, item)], "item_id bigint, text string"), ["doc_id"]).collect()
+    assert {r["doc_id"] for r in got if r["matches"]} == {60, *range(0, 60, 3)}
+    assert all(m["score"] == pytest.approx(align(bare(item), bare(dict(rows)[r["doc_id"]]))) for r in got for m in r["matches"])
+
+
 def test_long_items_and_odd_documents(spark):
     items = spark.createDataFrame([(1, " ".join(tables.LONG.split()[500:900])), (1, tables.prose(2, 80))], "item_id bigint, text string")
     docs = tables.awkward(spark)
