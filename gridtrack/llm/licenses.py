@@ -2,6 +2,7 @@
 
 A text is cut into sentences, sentences are normalised and looked up in a table
 of known licence sentences; what remains is the sequence of their identifiers.
+A sentence may be wrapped over lines, with comment leaders before each.
 Ordered rules over that sequence then name the licences: longer sequences first,
 each match consuming its sentences.  Sentences that no rule consumes are
 reported as fragments.  All of it is one projection without a shuffle.
@@ -93,11 +94,19 @@ SENTENCE_END = r"([.!?;:])[\x20\x09-\x0D]+"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in their order."""
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
-    bare = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """Identifiers of the known licence sentences of a text, in their order.
+
+    A sentence begins and ends at marks or line ends and may run over any number of
+    lines, but not over marks or lines without a letter or digit.  Of several that
+    begin at one place the longest counts.
+    """
+    # a line end stays one, a mark becomes an empty line
+    cut = F.regexp_replace(F.lower(F.regexp_replace(text, SENTENCE_END, "$1\n\n")), r"[^a-z0-9\n]+", " ")
+    bare = F.trim(F.regexp_replace(cut, r" ?\n ?", "\n"))
+    longest_first = sorted(SENTENCES, key=len, reverse=True)
+    pattern = r"(?<![^\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in longest_first) + r")(?![^\n])"
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.filter(F.transform(F.filter(bare, lambda s: F.length(s) >= min(map(len, SENTENCES))), lambda s: known[s]), lambda x: x.isNotNull())
+    return F.transform(F.regexp_extract_all(bare, F.lit(pattern), F.lit(0)), lambda s: known[F.translate(s, "\n", " ")])
 
 
 def scan_licenses(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -63,9 +63,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every licence that a document states, and how often."""
+    """Every licence that a document states, and how often; a document of fragments only has one row without a licence."""
     found = licenses.scan_licenses(documents(spark, sf_dir), ["doc_id"])
-    return found.select("doc_id", F.explode("licenses").alias("license", "stated"), "fragments")
+    return found.select("doc_id", F.explode_outer("licenses").alias("license", "stated"), "fragments")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,51 @@ def test_sequences_and_fragments(spark):
         1: ({"MIT": 1}, 0), 2: ({}, 2), 3: ({"MIT": 2}, 0), 4: ({"CC-BY-NC-4.0": 1, "Apache-2.0": 1}, 0), None: ({}, 1)}
 
 
+WRAPPED_MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+WRAPPED_APACHE = """Licensed under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_wrapped_sentences(spark):
+    def led(text, leader):
+        return "\n".join(f"{leader} {line}" for line in text.splitlines())
+
+    rows = [(1, WRAPPED_MIT), (2, led(WRAPPED_MIT, "#")), (3, led(WRAPPED_APACHE, " *")), (4, WRAPPED_APACHE.replace("\n", "\r\n")),
+            (5, "Licensed under the MIT\n\nlicense"), (6, "Licensed under the MIT. License"), (7, "Licensed\nunder\nthe\nMIT\nlicense")]
+    got = {r["doc_id"]: (r["licenses"], r["fragments"], len(r["sentences"])) for r in licenses.scan_licenses(tables.texts(spark, rows), ["doc_id"]).collect()}
+    mit, apache = ({"MIT": 1}, 0, 2), ({"Apache-2.0": 1}, 0, 5)
+    assert got == {1: mit, 2: mit, 3: apache, 4: apache, 7: ({"MIT": 1}, 0, 1)}
+
+
+def test_documents_of_fragments_stay_in_the_query(spark, tmp_path):
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    tables.texts(spark, [(1, notice), (2, "Licensed under the MIT license."), (3, "nothing")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op5_licenses(spark, str(tmp_path)).collect())
+    assert got == [(1, None, None, 1), (2, "MIT", 1, 0)]
+
+
 def test_every_sentence_has_a_cue_and_a_rule():
     assert all(any(cue in sentence for cue in licenses.CUES) for sentence in licenses.SENTENCES)
     assert {x for _, ids in licenses.RULES for x in ids} <= set(licenses.SENTENCES.values())
