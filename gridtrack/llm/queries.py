@@ -69,8 +69,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that lose passages which occurred before, with the passages and the text that stays."""
-    return spans.remove_repeats(documents(spark, sf_dir), ["doc_id"], only_changed=True)
+    """Every document with the text that stays after passages which occurred before are removed, and these passages."""
+    return spans.remove_repeats(documents(spark, sf_dir), ["doc_id"])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

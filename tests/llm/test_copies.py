@@ -4,7 +4,7 @@ import pytest
 import numpy as np
 import pyarrow as pa
 
-from gridtrack.llm import decontaminate, jaccard, spans
+from gridtrack.llm import decontaminate, jaccard, queries, spans
 from gridtrack.llm.words import words_of
 from tests.llm import tables
 
@@ -131,6 +131,14 @@ def test_repeats_of_the_documents_table(spark):
     assert sorted(((r["doc_id"], tables.word_list(r["text"])) for r in got), key=str) == removed(rows)
 
 
+def test_registered_query_has_every_document(spark):
+    docs = tables.documents(spark)
+    got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in queries.op6_substring_dedup(spark, tables.DATA).collect()}
+    whole = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == whole.keys() and any(lost == 0 for _, lost in got.values())
+    assert all(text == whole[i] for i, (text, lost) in got.items() if lost == 0)
+
+
 def test_odd_rows_keep_their_columns(spark):
     docs = tables.awkward(spark)
     got = spans.remove_repeats(docs, ["doc_id", "spans", "c0", "score"])
