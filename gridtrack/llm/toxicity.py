@@ -52,9 +52,10 @@ def _patterns() -> list[tuple[int, ...]]:
 
 
 PATTERNS = _patterns()
-CODES = 64
-SPACE_3 = CODES**3
-SPACE = SPACE_3 + CODES**4
+# features are 64-bit hashes of the code points of a subsequence, so every script has all its letters
+BASE = np.uint64(0x9E3779B97F4A7C15)
+PADDING = -1
+SIEVE_BITS = 20
 
 
 def letters(word: str) -> str:
@@ -66,16 +67,14 @@ def letters(word: str) -> str:
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of words with their end marks, a row each, padded with 255; words are at most LONGEST long."""
+    """Code points of words with their end marks, a row each, padded with PADDING; words are at most LONGEST long."""
     lengths = np.array([len(w) for w in words], dtype=np.int64)
-    codes = np.full((len(words), int(lengths.max(initial=0)) + 2), 255, dtype=np.int64)
+    codes = np.full((len(words), int(lengths.max(initial=0)) + 2), PADDING, dtype=np.int64)
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    latin = (flat >= 0xE0) & (flat <= 0xFF)
-    values = np.where((flat >= 97) & (flat <= 122), flat - 96, np.where(latin, flat - 0xE0 + 28, 60 + flat % 3))
     row = np.repeat(np.arange(len(words)), lengths)
     column = np.arange(flat.size) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
     codes[:, 0] = OPEN
-    codes[row, column] = values
+    codes[row, column] = flat
     codes[np.arange(len(words)), lengths + 1] = CLOSE
     return codes, lengths
 
@@ -86,13 +85,30 @@ def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np
         width = codes.shape[1] - pattern[-1]
         if width <= 0:
             continue
-        number = np.zeros((codes.shape[0], width), dtype=np.int64)
+        number = np.ones((codes.shape[0], width), dtype=np.uint64)
         for place in pattern:
-            number = number * CODES + codes[:, place:place + width]
-        inside = codes[:, pattern[-1]:pattern[-1] + width] != 255
+            number = number * BASE + codes[:, place:place + width].astype(np.uint64)
+        inside = codes[:, pattern[-1]:pattern[-1] + width] != PADDING
         row, column = np.nonzero(inside)
-        offset = SPACE_3 if len(pattern) == 4 else 0
-        yield row, number[row, column] + offset, column, DECAY ** (pattern[-1] + 1 - len(pattern))
+        yield row, number[row, column], column, DECAY ** (pattern[-1] + 1 - len(pattern))
+
+
+class Features:
+    """Sorted features; a small filter over the top bits answers most look-ups."""
+
+    def __init__(self, kinds: np.ndarray) -> None:
+        self.kinds = kinds
+        self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
+        self.sieve[(kinds >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+
+    def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``number`` that are a feature, and which."""
+        maybe = np.flatnonzero(self.sieve[(number >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+        if not maybe.size:
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.kinds, number[maybe]), self.kinds.size - 1)
+        same = self.kinds[at] == number[maybe]
+        return maybe[same], at[same]
 
 
 def norms(lengths: np.ndarray) -> np.ndarray:
@@ -114,18 +130,16 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         weights.append(np.full(row.size, weight))
     ids, rows, weights = (np.concatenate(x) for x in (ids, rows, weights))
     kinds, slot = np.unique(ids, return_inverse=True)
-    place = np.full(SPACE, kinds.size, dtype=np.int32)
-    place[kinds] = np.arange(kinds.size)
-    table = np.zeros((kinds.size + 1, len(landmarks)), dtype=np.float32)
+    features = Features(kinds)
+    table = np.zeros((kinds.size, len(landmarks)), dtype=np.float32)
     np.add.at(table, (slot, rows), (weights * scale[rows]).astype(np.float32))
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     for at in range(0, len(words), 2000):
         codes, lengths = encode(words[at:at + 2000])
         part = out[at:at + 2000]
         for row, number, _, weight in subsequences(codes):
-            slots = place[number]
-            hit = slots < kinds.size
-            np.add.at(part, row[hit], table[slots[hit]] * np.float32(weight))
+            hit, slots = features.find(number)
+            np.add.at(part, row[hit], table[slots] * np.float32(weight))
         part /= norms(lengths)[:, None].astype(np.float32)
     return out
 
@@ -190,18 +204,16 @@ class Machine:
 
     def __init__(self, numbers: np.ndarray, values: np.ndarray, bias: float, slope: float, offset: float) -> None:
         self.numbers, self.values, self.bias, self.slope, self.offset = numbers, values, bias, slope, offset
-        self._table: np.ndarray | None = None
+        self._features: Features | None = None
 
     @property
-    def weights(self) -> np.ndarray:
-        """Weights by feature number; pages without a weight are never filled."""
-        if self._table is None:
-            self._table = np.zeros(SPACE, dtype=np.float32)
-            self._table[self.numbers] = self.values
-        return self._table
+    def features(self) -> Features:
+        if self._features is None:
+            self._features = Features(self.numbers)
+        return self._features
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
+        return self.__dict__ | {"_features": None}
 
     def word_values(self, words: list[str]) -> np.ndarray:
         """Decision values of words; a word longer than LONGEST is its worst stretch."""
@@ -215,7 +227,8 @@ class Machine:
             codes, lengths = encode(stretches[at:at + 20_000])
             total = np.zeros(lengths.size)
             for row, number, _, weight in subsequences(codes):
-                total += np.bincount(row, weights=self.weights[number] * weight, minlength=lengths.size)
+                hit, slots = self.features.find(number)
+                total += np.bincount(row[hit], weights=self.values[slots] * weight, minlength=lengths.size)
             np.maximum.at(out, owner[at:at + 20_000], total / norms(lengths) + self.bias)
         return out
 

@@ -104,6 +104,14 @@ def test_kernel_equals_enumeration():
     assert got[0, 0] > got[1, 0] > got[2, 0]
 
 
+def test_words_of_any_script_are_told_apart():
+    """Letters whose code points agree modulo 3 are different letters."""
+    word, other = "дурень", "".join(chr(ord(c) + 3) for c in "дурень")
+    near, far = toxicity.kernel([word, other], [word])[:, 0]
+    assert toxicity.kernel(["馬鹿野郎"], ["馬鹿野郎"])[0, 0] > 3 * toxicity.kernel(["馬鹿野郎"], ["".join(chr(ord(c) + 3) for c in "馬鹿野郎")])[0, 0]
+    assert near > 0.9 and far < 0.1 * near
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     insults = ["blockhead", "scoundrel", "numskull", "dimwit"]
