@@ -70,7 +70,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that stays after passages which occurred before are removed, and these passages."""
-    return spans.remove_repeats(documents(spark, sf_dir), ["doc_id"])
+    return spans.remove_repeats(documents(spark, sf_dir), ["doc_id"], both_edges=True)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Repeated passages by sliding sentence spans.
 
 Every run of consecutive sentences of at least ``SENTENCES`` sentences and
-``WORDS`` words, one from every sentence on, gets a 96-bit fingerprint.  Runs that
+``WORDS`` words, the shortest one from every sentence on, gets a 96-bit fingerprint;
+with ``both_edges`` the shortest one up to the end of every sentence too.  Runs that
 occur more than once are found by counting; of each the first occurrence stays,
 by document and place, and the sentences of all others are removed.
 
@@ -55,7 +56,7 @@ def sentences(words: Words) -> np.ndarray:
     return ends | (long & (PAUSES[last] | ((words.hashes & np.uint64(CUT_MASK)) == 0)))
 
 
-def runs(words: Words) -> tuple[np.ndarray, ...]:
+def runs(words: Words, both_edges: bool = False) -> tuple[np.ndarray, ...]:
     """Row, first word, end word (in the row) and the two fingerprints of every run."""
     close = np.flatnonzero(sentences(words)) + 1
     open_ = np.r_[0, close[:-1]] if close.size else close
@@ -63,7 +64,13 @@ def runs(words: Words) -> tuple[np.ndarray, ...]:
     end = np.maximum(np.searchsorted(close, open_ + WORDS), np.arange(close.size) + SENTENCES - 1)
     fits = end < close.size
     fits[fits] &= row[end[fits]] == row[fits]
-    a, b, row = open_[fits], close[end[fits]], row[fits]
+    a, b = open_[fits], close[end[fits]]
+    if both_edges:
+        begin = np.minimum(np.searchsorted(open_, close - WORDS, side="right") - 1, np.arange(close.size) - SENTENCES + 1)
+        fits = begin >= 0
+        fits[fits] &= row[begin[fits]] == row[fits]
+        a, b = np.unique(np.stack([np.r_[a, open_[begin[fits]]], np.r_[b, close[fits]]], axis=1), axis=0).T
+    row = words.rows()[a]
     prints = []
     with np.errstate(over="ignore"):
         for k, base in enumerate(BASES):
@@ -73,18 +80,21 @@ def runs(words: Words) -> tuple[np.ndarray, ...]:
     return row, a - words.first[row], b - words.first[row], prints[0].view(np.int64), prints[1].astype(np.uint32).view(np.int32)
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s, e in text_slices(batch.column(2)):
-            row, first, end, high, low = runs(words_of(batch.column(2).slice(s, e - s)))
-            at = pa.array(row + s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)),
-                 pa.array(end.astype(np.int32)), pa.array(high), pa.array(low)],
-                names=["doc_id", "text_hash", "first_word", "end_word", "high", "low"])
+def _emit(both_edges: bool):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, e in text_slices(batch.column(2)):
+                row, first, end, high, low = runs(words_of(batch.column(2).slice(s, e - s)), both_edges)
+                at = pa.array(row + s)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)),
+                     pa.array(end.astype(np.int32)), pa.array(high), pa.array(low)],
+                    names=["doc_id", "text_hash", "first_word", "end_word", "high", "low"])
+
+    return emit
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, both_edges: bool = False) -> DataFrame:
     """``(doc_id, text_hash, first_word, end_word)`` of every run that occurred before, from ``docs(doc_id, text)``.
 
     Documents are ordered by id, a null id first, then by a hash of the text; rows
@@ -92,7 +102,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     the same document is a repeat as well.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = stage(rows.mapInArrow(_emit, RUNS), "span-runs")
+    found = stage(rows.mapInArrow(_emit(both_edges), RUNS), "span-runs")
     counted = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = stage(counted, "span-repeated")
     some = stage(join_groups(found, repeated, ["high", "low"], "n", found.count()), "span-members")
@@ -148,15 +158,16 @@ def _cut(kept: int):
     return cut
 
 
-def remove_repeats(docs: DataFrame, columns: list[str], only_changed: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str], only_changed: bool = False, both_edges: bool = False) -> DataFrame:
     """``columns`` of every row of ``docs``, ``text`` without repeated spans, ``spans`` and ``removed_words``.
 
     A null text stays null; texts of one sentence, or of fewer than ``WORDS`` words,
     have no run and stay whole.  A text may become empty.  With ``only_changed``
-    rows that lose nothing are left out.  ``columns`` must not hold ``text``.
+    rows that lose nothing are left out.  With ``both_edges`` the short last
+    sentences of a repeated passage are removed too.  ``columns`` must not hold ``text``.
     """
     with stage_scope() as made:
-        spans = stage(merged(repeated_spans(docs)), "spans")
+        spans = stage(merged(repeated_spans(docs, both_edges)), "spans")
     unstage(*made, keep=(spans,))
     spans = spans.select(
         F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text"), F.col("spans").alias("span_list"))

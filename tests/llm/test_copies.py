@@ -131,6 +131,19 @@ def test_repeats_of_the_documents_table(spark):
     assert sorted(((r["doc_id"], tables.word_list(r["text"])) for r in got), key=str) == removed(rows)
 
 
+@pytest.mark.parametrize("lengths", [(20, 3, 3, 3), (12, 12, 12, 12, 5, 5)])
+def test_short_last_sentences_of_a_copy_are_removed(spark, tmp_path, lengths):
+    words = iter(tables.prose(77, 120).replace(".", "").split())
+    text = " ".join(" ".join(f"{next(words)}{k}" for k in range(n)) + "." for n in lengths)
+    got = {r["doc_id"]: r["removed_words"] for r in _op6(spark, tmp_path, [(1, text), (2, text)])}
+    assert got == {1: 0, 2: sum(lengths)}
+
+
+def _op6(spark, folder, rows):
+    tables.texts(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    return queries.op6_substring_dedup(spark, str(folder)).collect()
+
+
 def test_registered_query_has_every_document(spark):
     docs = tables.documents(spark)
     got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in queries.op6_substring_dedup(spark, tables.DATA).collect()}
