@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrack.llm import decontaminate, exact_dedup, jaccard, language, licenses, mixing, sharding, spans, token_files, toxicity
+from gridtrack.llm import (
+    collocations, decontaminate, exact_dedup, jaccard, language, licenses, mixing, neighbours, sharding, spans, token_files, toxicity,
+    whitening,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +100,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every fiftieth embedding among all others."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(embeddings, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 4 whitened components of every embedding."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), number=4)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op5_licenses, op6_substring_dedup, op7_mixing, op8_ngram_jaccard, op9_token_files, op10_decontamination]
+REGISTERED: list[Query] = [op1_sharding, op2_language, op3_toxicity, op4_exact_dedup, op5_licenses, op6_substring_dedup, op7_mixing, op8_ngram_jaccard, op9_token_files, op10_decontamination,
+                           op11_nearest, op12_whitening, op13_collocations]
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -157,6 +177,35 @@ ORACLE["op8_ngram_jaccard"] = rf"""
     FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id
 """
 
+ORACLE["op13_collocations"] = rf"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({FOLDED}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+      FROM documents),
+    s AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p WHERE len(w) > 0),
+    f AS (
+      SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS words, count(*) AS f
+      FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+    c AS (
+      SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w, unnest(generate_series(1, words - 1)) AS k FROM f WHERE words > 1),
+    x AS (
+      SELECT c.lang, c.phrase, c.words, c.a, c.k, l.f AS l, r.f AS r, n.n,
+             ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM c JOIN n USING (lang)
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+    best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    sub AS (
+      SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+      FROM (SELECT lang, w, words, a, m, unnest(generate_series(1, words - m + 1)) AS i
+            FROM (SELECT DISTINCT lang, w, words, a, unnest(generate_series(2, words - 1)) AS m FROM c))),
+    kept AS (SELECT b.* FROM best b WHERE NOT EXISTS (
+      SELECT 1 FROM sub WHERE sub.lang = b.lang AND sub.phrase = b.phrase AND 100 * sub.a >= 100 * b.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a,
+           l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+    FROM kept QUALIFY rank <= 2000
+"""
+
 
 def registered() -> dict[str, Query]:
     return {query.__name__: query for query in REGISTERED}
