@@ -60,7 +60,7 @@ class TrackConfig:
     path_rule: str = "last_within_length"
     require_contiguous_time: bool = False
     tile: int = 512
-    frames_per_round: int = 16
+    frames_per_round: int = 64
     page_nodes: int = 250_000
     max_bad_share: float = 0.5
 

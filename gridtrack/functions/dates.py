@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import calendar
+import math
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +95,38 @@ def decode_model_time(units: Column | str, offset: Column | str, compat_offsets:
     )
 
 
+def model_time(units: str, offset: float) -> datetime | None:
+    """The time that ``decode_model_time`` gives, for a header that a task has read."""
+    found = re.search(r"since\s*(.*)$", units)
+    base = _base_time(found[1]) if found else None
+    unit = re.search("minutes|hours|days|months|years", units)
+    if base is None or unit is None or not math.isfinite(offset):
+        return None
+    try:
+        if unit[0] in ("months", "years"):
+            months = base.year * 12 + base.month - 1 + int(offset) * (12 if unit[0] == "years" else 1)
+            year, month = divmod(months, 12)
+            day = min(base.day, calendar.monthrange(year, month + 1)[1])
+            return base.replace(year=year, month=month + 1, day=day)
+        total = offset * {"minutes": 60, "hours": 3600, "days": 86400}[unit[0]]
+        days = math.floor(total / 86400)
+        return base + timedelta(days=days, microseconds=round(round(total - days * 86400, 6) * 1e6))
+    except (OverflowError, ValueError):
+        return None
+
+
+def _base_time(text: str) -> datetime | None:
+    text = text.split(".")[0].strip()
+    # fixed values: accepted base-time formats, with the length of their text
+    for form, size in (("%Y-%m-%d %H:%M:%S", 19), ("%Y-%m-%d %H:%M", 16), ("%Y-%m-%d %H%M", 15), ("%Y-%m-%d %H", 13), ("%Y-%m-%d", 10)):
+        if len(text) == size:
+            try:
+                return datetime.strptime(text, form)
+            except ValueError:
+                continue
+    return None
+
+
 def second_of_day(ts: Column | str) -> Column:
     ts = _col(ts)
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.functions.geo import eccentricity
+from gridtrack.operators.boxes import box_statistics
 from gridtrack.operators.labeling import label_pixels, region_summary
 from gridtrack.operators.numbering import number_rows
 from gridtrack.operators.raster import Raster
@@ -70,27 +71,18 @@ def _cell(name: str) -> Column:
 def element_stats(raster: Raster, boxes: DataFrame, config: TrackConfig) -> DataFrame:
     """Area, temperature statistics, shape and centre cell of every region."""
     if config.element_mode == "component":
-        mean = F.col("tb_sum") / F.col("n")
-        measured = boxes.select(
-            "frame", "label", "r0", "r1", "c0", "c1", F.col("n").alias("n_px"),
-            F.col("tmin").cast("double").alias("tmin"), F.col("tmax").cast("double").alias("tmax"),
-            mean.alias("bt_avg"), (F.col("tb_sq") / F.col("n") - mean * mean).alias("bt_var"),
-            ((F.col("tb_r") - F.col("r0") * F.col("tb_sum")) / F.col("tb_sum")).alias("dr"),
-            ((F.col("tb_c") - F.col("c0") * F.col("tb_sum")) / F.col("tb_sum")).alias("dc"),
-        )
+        sums = boxes.withColumnRenamed("n", "n_px")
     else:
-        tb = F.col("tb").cast("bigint")
-        measured = (
-            pixels_in_boxes(raster.pixels, boxes, ["label"])
-            .groupBy("frame", "label", "r0", "r1", "c0", "c1")
-            .agg(
-                F.count(F.lit(1)).alias("n_px"),
-                F.min("tb").cast("double").alias("tmin"), F.max("tb").cast("double").alias("tmax"),
-                F.avg("tb").alias("bt_avg"), F.var_pop("tb").alias("bt_var"),
-                (F.sum(tb * (F.col("r") - F.col("r0"))) / F.sum(tb)).alias("dr"),
-                (F.sum(tb * (F.col("c") - F.col("c0"))) / F.sum(tb)).alias("dc"),
-            )
-        )
+        corners = boxes.select("frame", "label", "r0", "r1", "c0", "c1")
+        sums = corners.join(box_statistics(raster.pixels, corners, config.tile), ["frame", "label"])
+    mean = F.col("tb_sum") / F.col("n_px")
+    measured = sums.select(
+        "frame", "label", "r0", "r1", "c0", "c1", "n_px",
+        F.col("tmin").cast("double").alias("tmin"), F.col("tmax").cast("double").alias("tmax"),
+        mean.alias("bt_avg"), (F.col("tb_sq") / F.col("n_px") - mean * mean).alias("bt_var"),
+        ((F.col("tb_r") - F.col("r0") * F.col("tb_sum")) / F.col("tb_sum")).alias("dr"),
+        ((F.col("tb_c") - F.col("c0") * F.col("tb_sum")) / F.col("tb_sum")).alias("dc"),
+    )
     ratio = F.col("tmin") / F.col("tmax")
     area = F.col("n_px") * F.lit(config.cell_area)
     return measured.select(

@@ -152,13 +152,6 @@ def member_stages(nodes: DataFrame, placed: DataFrame, joined: DataFrame) -> Dat
     )
 
 
-def set_stages(stages: DataFrame, updates: DataFrame, overwrite: bool = False) -> DataFrame:
-    """``(node, stage)`` with ``updates`` added: set once by default, replaced on request."""
-    new = updates.select("node", F.col("stage").alias("new_stage"))
-    order = ("new_stage", "stage") if overwrite else ("stage", "new_stage")
-    return stages.join(new, "node", "full_outer").select("node", F.coalesce(*order).alias("stage"))
-
-
 def confirmed_complexes(nodes: DataFrame, placed: DataFrame, joined: DataFrame, config: TrackConfig) -> DataFrame:
     """``(node, feature_id)``: members of the runs whose largest grown member is round enough."""
     bodies = placed.join(joined, ["component", "cand"]).join(

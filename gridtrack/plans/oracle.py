@@ -468,6 +468,18 @@ ORACLE: dict[str, str] = {
                coalesce(a, 0)::DOUBLE AS precip_area,
                round(coalesce(hi, 0), 6) AS precip_max, round(coalesce(lo, 0), 6) AS precip_min
         FROM el LEFT JOIN wetsum USING (node)"""),
+    "stored_rain": _query("el wetsum", """
+        SELECT id, CASE WHEN frame % 2 = 0 THEN -1.0::DOUBLE ELSE round(coalesce(t, 0), 6) END AS precip_total,
+               coalesce(a, 0)::DOUBLE AS precip_area,
+               round(coalesce(hi, 0), 6) AS precip_max, round(coalesce(lo, 0), 6) AS precip_min
+        FROM el LEFT JOIN wetsum USING (node)"""),
+    "stored_stages": _query("behave", f"""
+        SELECT m.mode, node, CASE WHEN new_row THEN 'X' WHEN mode = 'overwrite' AND f % 3 <> 1 THEN 'X' ELSE behaviour END AS behaviour,
+               CASE WHEN new_row OR mode = 'overwrite' THEN coalesce(fresh, CASE WHEN NOT new_row THEN known END) ELSE coalesce(known, fresh) END AS stage
+        FROM (SELECT node, behaviour, node // {KEY} AS f, f % 5 = 0 AS new_row, CASE WHEN f % 2 = 0 THEN 'I' END AS known,
+                     CASE WHEN f % 3 = 0 THEN 'M' END AS fresh FROM behave),
+             (VALUES ('once'), ('overwrite')) m(mode)
+        WHERE NOT new_row OR f % 3 <> 1"""),
     "feature_duration": _query("life", """
         SELECT *, epoch("end")::BIGINT - epoch(start)::BIGINT + step_sec AS duration_sec FROM life"""),
     "duration_summary": _query("life", """

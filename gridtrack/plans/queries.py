@@ -15,6 +15,8 @@ from gridtrack.operators import raster as rasters
 from gridtrack.operators import regrid, systems
 from gridtrack.plans import driver_tables as data
 from gridtrack.plans import pipeline
+from gridtrack.session import scratch_path, stage
+from gridtrack.sinks import stored, tables
 from gridtrack.sources import files
 
 CONFIG = data.CONFIG
@@ -318,6 +320,31 @@ def precip_late_attach(spark, sf_dir):
     return wet.select("id", r6("precip_total"), "precip_area", r6("precip_max"), r6("precip_min"))
 
 
+def stored_rain(spark, sf_dir):
+    """Rain brought into stored elements of which some carry a total already."""
+    raster, found = _elements(spark, sf_dir)
+    rain = precip.element_rain(found.pixels, data.rain_source(spark, sf_dir), raster)
+    path = scratch_path(spark, "stored-elements")
+    known = found.accepted.withColumn("precip_total", F.when(F.col("frame") % 2 == 0, F.lit(-1.0)))
+    stored.create(known, path, tables.ELEMENT_KEYS, tables.ELEMENT_PARTS)
+    wet = tables.store_rain(path, rain, CONFIG)
+    return wet.select("id", r6("precip_total"), "precip_area", r6("precip_max"), r6("precip_min"))
+
+
+def stored_stages(spark, sf_dir):
+    """Stages brought into stored nodes, set once and replaced."""
+    nodes = paths.behaviours(_clusters(spark, sf_dir).edges).select("node", "behaviour")
+    frame = elements.node_frame("node")
+    nodes = stage(nodes.withColumn("stage", F.when(frame % 2 == 0, "I")), "stored-nodes")
+    updates = nodes.where(frame % 3 != 1).select("node", F.lit("X").alias("behaviour"), F.when(frame % 3 == 0, "M").alias("stage"))
+    states = []
+    for mode in (stored.SET_ONCE, stored.OVERWRITE):
+        path = scratch_path(spark, "stored-nodes")
+        stored.create(nodes.where(frame % 5 != 0), path, tables.NODE_KEYS, tables.NODE_PARTS)
+        states.append(tables.store_nodes(path, updates, mode == stored.OVERWRITE).withColumn("mode", F.lit(mode)))
+    return states[0].unionByName(states[1])
+
+
 # --- measures ------------------------------------------------------------------------------------------------
 
 def feature_duration(spark, sf_dir):
@@ -506,7 +533,7 @@ REGISTERED: list[Query] = [
     edge_classes, contiguous_links, path_depth, path_depth_min_distance, root_path_list, pruned_edges, components,
     merge_split, ancestors_chain, descendants_chain, criteria_area, criterion_pixels, mcs_members,
     mcc_members, node_stage, asof_bucket, regrid_feather, regrid_bilinear, regrid_cubic, element_precip,
-    precip_late_attach, feature_duration, duration_summary, feature_area, average_feature_size,
+    precip_late_attach, stored_rain, stored_stages, feature_duration, duration_summary, feature_area, average_feature_size,
     avg_time_of_day, size_histogram, value_histogram, precip_islands, precip_minmax, element_speed,
     feature_report, summary_report, complex_report, size_classes, size_limits, precip_share,
     accum_range, accum_feature, element_precip_histogram, feature_precip_histogram, masked_frames,

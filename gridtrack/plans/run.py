@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from gridtrack.config import TrackConfig  # noqa: E402
-from gridtrack.operators.precip import attach_rain, element_rain  # noqa: E402
+from gridtrack.operators.precip import element_rain  # noqa: E402
 from gridtrack.operators.raster import Dimensions, Raster, between_times, raster_from_grid  # noqa: E402
+from gridtrack.operators.metrics import feature_nodes  # noqa: E402
 from gridtrack.plans.pipeline import Analysis, analyse  # noqa: E402
-from gridtrack.sinks.tables import located, write_by_day, write_products  # noqa: E402
-from gridtrack.session import drop_stages  # noqa: E402
+from gridtrack.sinks.tables import located, store_rain, write_accumulations, write_by_day, write_products  # noqa: E402
+from gridtrack.session import drop_stages, stage  # noqa: E402
 from gridtrack.sources.gridfiles import read_grid_files, read_rain  # noqa: E402
 
 
@@ -87,12 +88,19 @@ def run(spark: SparkSession, config: TrackConfig, source_format: str = "netcdf")
 
 
 def attach_rain_later(spark: SparkSession, config: TrackConfig, raster: Raster, source: DataFrame) -> DataFrame:
-    """Attach the second dataset to the element tables an earlier run wrote; known values stay."""
+    """Attach the second dataset to the tables an earlier run stored, in place; known values stay.
+
+    Rain grids and accumulations are written as the run itself would have; the
+    stored elements are returned.
+    """
     root = config.output_dir
     pixels = spark.read.parquet(f"{root}/element_grids").select("frame", "ce_no", "r", "c", "tb")
-    rain = element_rain(pixels, source, raster)
+    rain = stage(element_rain(pixels, source, raster), "element-rain")
     write_by_day(located(rain, raster), f"{root}/rain_grids")
-    return attach_rain(spark.read.parquet(f"{root}/elements"), rain, config)
+    members = spark.read.parquet(f"{root}/feature_members")
+    elements = store_rain(f"{root}/elements", rain, config)
+    write_accumulations(feature_nodes(members, elements), rain, raster, config, root)
+    return elements
 
 
 if __name__ == "__main__":

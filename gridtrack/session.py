@@ -69,6 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder of this application's stage tables."""
+    return f"{shared_dir(spark).rstrip('/')}/gridtrack-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a stage table and return the table.
 
@@ -76,8 +81,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship_package(spark)
-    folder = f"{shared_dir(spark).rstrip('/')}/gridtrack-{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stage_path = path

@@ -1,4 +1,8 @@
-"""Parquet products: element grids, rain grids, systems and differences."""
+"""Parquet products: element grids, rain grids, systems and differences.
+
+Elements and tracked nodes are stored tables, as later runs bring values into
+them: rain that is attached afterwards, behaviours and stages.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,15 @@ from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.operators import compare, metrics, plot_data
-from gridtrack.operators.paths import root_paths
+from gridtrack.operators.paths import behaviours, root_paths
+from gridtrack.operators.precip import PRECIP_COLUMNS, attach_rain
 from gridtrack.operators.raster import Raster
 from gridtrack.plans.pipeline import Analysis, run_record
-from gridtrack.sinks import text
+from gridtrack.sinks import stored, text
+
+#: 64 frames make a part of a stored table
+ELEMENT_KEYS, ELEMENT_PARTS = ["frame", "ce_no"], "frame div 64"
+NODE_KEYS, NODE_PARTS = ["node"], "node div 274877906944"
 
 
 def located(cells: DataFrame, raster: Raster) -> DataFrame:
@@ -35,12 +44,25 @@ def dense_grid(cells: DataFrame, value: str, raster: Raster) -> DataFrame:
         0, [value])
 
 
-def write_accumulations(analysis: Analysis, config: TrackConfig, root: str) -> None:
+def store_rain(path: str, rain: DataFrame, config: TrackConfig) -> DataFrame:
+    """Bring the rain of cells into stored elements; values that are known stay, elements without rain get zeros."""
+    spark = rain.sparkSession
+    wet = attach_rain(stored.read(spark, path).select(*ELEMENT_KEYS), rain, config)
+    stored.upsert(path, wet.select(*ELEMENT_KEYS, *PRECIP_COLUMNS), stored.SET_ONCE, insert=False)
+    return stored.read(spark, path)
+
+
+def store_nodes(path: str, updates: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Bring ``updates(node, ...)`` of behaviours, stages or others into stored nodes: set once, replaced on request."""
+    stored.upsert(path, updates, stored.OVERWRITE if overwrite else stored.SET_ONCE)
+    return stored.read(updates.sparkSession, path)
+
+
+def write_accumulations(nodes: DataFrame, rain: DataFrame, raster: Raster, config: TrackConfig, root: str) -> None:
     """Rain summed over the configured period per cell, and per feature and cell."""
-    period = plot_data.rain_in_range(
-        analysis.rain, analysis.raster.frames, str(config.start_time), str(config.end_time), config.tres)
+    period = plot_data.rain_in_range(rain, raster.frames, str(config.start_time), str(config.end_time), config.tres)
     period.write.mode("overwrite").parquet(f"{root}/rain_total")
-    plot_data.rain_per_feature(analysis.nodes(), analysis.rain).write.mode("overwrite").parquet(f"{root}/rain_per_feature")
+    plot_data.rain_per_feature(nodes, rain).write.mode("overwrite").parquet(f"{root}/rain_per_feature")
 
 
 def write_differences(left: Analysis, right: Analysis, path: str) -> None:
@@ -54,13 +76,15 @@ def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, f
     root = text.report_folder(config)
     raster, found = analysis.raster, analysis.elements
     write_by_day(located(found.pixels, raster), f"{root}/element_grids")
-    found.accepted.write.mode("overwrite").parquet(f"{root}/elements")
+    stored.create(found.accepted, f"{root}/elements", ELEMENT_KEYS, ELEMENT_PARTS)
+    named = behaviours(analysis.clusters.edges).select("node", "behaviour").join(analysis.systems.stages, "node", "left")
+    stored.create(named, f"{root}/nodes", NODE_KEYS, NODE_PARTS)
     analysis.graph.edges.write.mode("overwrite").parquet(f"{root}/edges")
     analysis.clusters.edges.write.mode("overwrite").parquet(f"{root}/pruned_edges")
     analysis.systems.members.write.mode("overwrite").partitionBy("kind").parquet(f"{root}/feature_members")
     if analysis.rain is not None:
         write_by_day(located(analysis.rain, raster), f"{root}/rain_grids")
-        write_accumulations(analysis, config, root)
+        write_accumulations(analysis.nodes(), analysis.rain, raster, config, root)
     nodes = analysis.nodes()
     reports = {
         "elements": text.accepted_elements(found.accepted),

@@ -96,10 +96,22 @@ class ClassicFile:
     def record(self, name: str, index: int) -> np.ndarray:
         """Slice ``index`` along the first dimension."""
         variable = self.variables[name]
-        inner = variable.shape[1:]
-        size = prod(inner) * np.dtype(variable.dtype).itemsize
-        stride = self._record_bytes if variable.by_record else size
-        return self._read(variable, variable.begin + index * stride, inner)
+        return self._read(variable, self._place(variable, index), variable.shape[1:])
+
+    def rows(self, name: str, index: int, first: int, last: int) -> np.ndarray:
+        """Rows ``first`` to ``last`` (exclusive) of slice ``index``; no other byte is read."""
+        variable = self.variables[name]
+        inner = variable.shape[2:]
+        skipped = first * prod(inner) * np.dtype(variable.dtype).itemsize
+        return self._read(variable, self._place(variable, index) + skipped, (last - first, *inner))
+
+    def end(self, name: str, index: int) -> int:
+        """Offset behind the last byte of slice ``index``."""
+        variable = self.variables[name]
+        return self._place(variable, index) + _record_size(variable)
+
+    def _place(self, variable: Variable, index: int) -> int:
+        return variable.begin + index * (self._record_bytes if variable.by_record else _record_size(variable))
 
     def _read(self, variable: Variable, begin: int, shape: tuple[int, ...]) -> np.ndarray:
         dtype = np.dtype(variable.dtype)

@@ -1,35 +1,47 @@
-"""Data source ``gridfiles``: gridded files as rows of ``(file, t, r, c, lat, lon, value)``.
-
-A partition is a file; its header is opened in the task, which holds one slice
-(or one band of rows of a raw file) at a time.  Files are picked by the time in
-their name before any is opened, and area and threshold are applied in the task,
-before rows reach Spark.  Every slice also yields one row without a cell, so a
-slice with no cell left still counts as a frame, and every file yields one row
-per axis line (``r`` or ``c`` is NULL).  A file that cannot be read yields one row
-with ``error`` set, so callers can skip and count it; a slice that breaks off
-after some of its rows are out fails the task.
-
-Options: ``path``; ``format`` (``netcdf`` or ``merg``); ``variable``,
-``latitude``, ``longitude``, ``time``; ``lat_min``, ``lat_max``, ``lon_min``,
-``lon_max`` and ``margin``, the axis steps to keep around them; ``value_max``;
-``start`` and ``end`` as ``yyyymmddHH``, with ``file_hours``, the hours a file may
-span; ``slices``, how many slices of each file to read at most.
+"""Data source ``gridfiles``: gridded files as rows, with filters and splits below a file.
+
+A row is a cell, or by its ``kind`` one of three others: every slice yields one
+row without a cell, so a slice with no cell left still counts as a frame; every
+file yields one row per axis line (``r`` or ``c`` is NULL); a file or slice that
+cannot be read yields one row with ``error`` set, so callers can skip and count it.
+Undefined cells are no rows.
+
+Filters of a plain ``where`` are pushed into the source where the session has
+``spark.sql.python.filterPushdown.enabled``: ``kind``, ``file``, ``t``, ``ts``, ``lat``, ``lon``
+and ``value`` against constants.  Files whose name says that they begin after the
+latest ``ts`` are not opened; slices and rows that a filter rules out are not read,
+and without cells wanted only headers are.
+
+A file of more than ``split_bytes`` is several partitions, of whole slices or of
+bands of rows.  The driver only lists names and sizes; a task opens the header and
+takes its part of the bands.  Before a slice is read, the file's size is held against
+the end of the slice, so a file that breaks off gives an error row in place of
+half a frame whatever task reads it.
+
+Options: ``path``; ``format`` (``netcdf`` or ``merg``); ``variable``, ``latitude``,
+``longitude``, ``time``; ``split_bytes``; ``named_from`` and ``named_until`` as ``yyyymmddHH``:
+files whose name has an earlier or later time are left out unopened.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 
-from gridtrack.functions.dates import decode_model_time, time_step_class
+from gridtrack.functions.dates import model_time, time_step_class
 from gridtrack.functions.geo import normalize_longitude
 from gridtrack.operators.numbering import number_rows
 from gridtrack.sources.classic_netcdf import ClassicFile
@@ -37,34 +49,71 @@ from gridtrack.session import ship_package, stage
 from gridtrack.sources.files import file_time
 
 SCHEMA = (
-    "file string, t int, time_units string, time_offset double, "
+    "kind string, file string, t int, ts timestamp_ntz, time_units string, time_offset double, "
     "r int, c int, lat double, lon double, value double, error string"
 )
 ARROW = pa.schema([
-    ("file", pa.string()), ("t", pa.int32()), ("time_units", pa.string()), ("time_offset", pa.float64()),
-    ("r", pa.int32()), ("c", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()),
-    ("value", pa.float64()), ("error", pa.string()),
+    ("kind", pa.string()), ("file", pa.string()), ("t", pa.int32()), ("ts", pa.timestamp("us")),
+    ("time_units", pa.string()), ("time_offset", pa.float64()), ("r", pa.int32()), ("c", pa.int32()),
+    ("lat", pa.float64()), ("lon", pa.float64()), ("value", pa.float64()), ("error", pa.string()),
 ])
+CELL, SLICE, AXIS, ERROR = "cell", "slice", "axis", "error"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 # fixed values: descriptor of the raw global infrared files
 RAW_COLUMNS, RAW_ROWS = 9896, 3298
 RAW_LON0, RAW_LON_STEP = 0.0182, 0.036378335
 RAW_LAT0, RAW_LAT_STEP = -59.982, 0.036383683
 RAW_ADD, RAW_UNDEFINED, RAW_MINUTES = 75, 330, 30
-RAW_BAND = 256
-# fixed values: a day in a file name, with hour and minute where given
+# fixed values: a day in a file name, with hour and minute where given, or a month
 NAME_TIME = re.compile(r"(?:^|[^0-9])(\d{8})[_.,-]?(\d{2})?[_.,-]?(\d{2})?(?:[^0-9]|$)")
+NAME_MONTH = re.compile(r"(?:^|[^0-9])(\d{6})(?:[^0-9]|$)")
+#: rows of a slice that are read at once
+BAND = 256
+SPLIT_BYTES = 64 << 20
 
 
 @dataclass
-class File(InputPartition):
+class Split(InputPartition):
+    """Part ``number`` of ``of`` equal parts of a file's bands."""
+
     file: str
+    size: int
+    number: int = 0
+    of: int = 1
 
 
 @dataclass
-class Slice:
-    file: str
-    t: int
+class Range:
+    """Values that the pushed filters leave."""
+
+    low: object = None
+    high: object = None
+    above: bool = False  # strictly
+    below: bool = False
+    among: set | None = None
+
+    def narrow(self, kind: type, value) -> None:
+        if kind in (GreaterThan, GreaterThanOrEqual) and (self.low is None or value >= self.low):
+            self.low, self.above = value, kind is GreaterThan or (self.above and value == self.low)
+        elif kind in (LessThan, LessThanOrEqual) and (self.high is None or value <= self.high):
+            self.high, self.below = value, kind is LessThan or (self.below and value == self.high)
+        elif kind in (EqualTo, In):
+            values = {value} if kind is EqualTo else set(value)
+            self.among = values if self.among is None else self.among & values
+
+    def holds(self, x) -> bool:
+        return bool(self.hold(np.array([x], dtype=object))[0])
+
+    def hold(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(x.shape, dtype=bool)
+        if self.low is not None:
+            out &= x > self.low if self.above else x >= self.low
+        if self.high is not None:
+            out &= x < self.high if self.below else x <= self.high
+        if self.among is not None:
+            out &= np.isin(x, list(self.among)) if x.dtype != object else np.array([v in self.among for v in x.flat], dtype=bool).reshape(x.shape)
+        return out
 
 
 class GridFiles(DataSource):
@@ -77,146 +126,174 @@ class GridFiles(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         kind = self.options.get("format", "netcdf")
-        readers = {"netcdf": NetcdfReader, "merg": RawReader}
+        readers = {"netcdf": (NetcdfReader, PushedNetcdfReader), "merg": (RawReader, PushedRawReader)}
         if kind not in readers:
             raise ValueError(f"format must be one of {sorted(readers)}")
-        return readers[kind](dict(self.options))
+        # Spark refuses readers that take filters where the session does not push any
+        return readers[kind][self.options.get("pushdown") == "true"](dict(self.options))
 
 
 class _SliceReader(DataSourceReader):
+    filtered = ("kind", "file", "t", "ts", "lat", "lon", "value")
+
     def __init__(self, options: dict) -> None:
         self.options = options
-        self.bounds = {
-            name: float(options[name]) for name in ("lat_min", "lat_max", "lon_min", "lon_max", "value_max")
-            if name in options
-        }
-        self.margin = float(options.get("margin", 0))
+        self.ranges = {name: Range() for name in self.filtered}
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Split]:
         files = _list(self.options["path"])
         if not files:
             raise ValueError(f"no grid files in {self.options['path']}")
-        return [File(x) for x in files if self.in_period(x)]
-
-    def in_period(self, file: str) -> bool:
-        """False when the time in the file's name rules it out; names without a time are kept."""
-        found = NAME_TIME.search(file.rsplit("/", 1)[-1])
-        if not found or "start" not in self.options:
-            return True
-        try:
-            begins = datetime.strptime(found[1] + ((found[2] or "") + (found[3] or "")).ljust(4, "0"), "%Y%m%d%H%M")
-        except ValueError:
-            return True
-        start, end = (_whole_hour(self.options[x]) for x in ("start", "end"))
-        return begins <= end and begins + timedelta(hours=float(self.options.get("file_hours", 24))) >= start
-
-    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file falls into the period
+        share = int(self.options.get("split_bytes", SPLIT_BYTES))
+        return [
+            Split(file, size, i, n) for file, size in files if self.wanted(file)
+            for n in [max(1, -(-size // share))] for i in range(n)]
+
+    def wanted(self, file: str) -> bool:
+        """False when the file, or the time in its name, is ruled out; names without a time are kept."""
+        begins = name_time(file)
+        low, high = (_whole_hour(self.options[x]) if x in self.options else None for x in ("named_from", "named_until"))
+        latest = self.ranges["ts"].high
+        outside = begins is not None and (
+            (low is not None and begins < low) or (high is not None and begins > high) or (latest is not None and begins > latest))
+        return self.ranges["file"].holds(file) and not outside
+
+    def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file is left
             return
+        file, wants = partition.file, self.ranges["kind"].holds
         try:
-            count = min(self.slice_count(partition.file), int(self.options.get("slices", 2**31)))
-            axes = _axis_rows(partition.file, *self.axes(partition.file))
-        except Exception as problem:
-            yield _error_row(partition.file, f"{type(problem).__name__}: {problem}")
+            grid = self.open(file)
+            whole = [grid.end(t) <= partition.size for t in range(grid.count)]
+            times = [grid.time(t) if whole[t] else None for t in range(grid.count)]
+        except _UNREADABLE as problem:
+            if wants(ERROR):
+                yield _error_row(file, f"{type(problem).__name__}: {problem}")
             return
-        yield axes
-        for t in range(count):
-            begun, part = False, Slice(partition.file, t)
-            try:
-                for batch in self.read_slice(part):
-                    if not begun:
-                        yield _marker(batch, part)
-                    begun = True
-                    yield batch.replace_schema_metadata(None)
-            except Exception as problem:
-                if begun:  # part of the slice is out already: half a frame must not pass as one
-                    raise
-                yield _error_row(partition.file, f"slice {t}: {type(problem).__name__}: {problem}")
-
-    def cells(self, part: Slice, units: str, offset: float, values, lat, lon, first_row: int = 0) -> pa.RecordBatch:
-        """Rows of the cells inside the requested area and below the limit, slice metadata attached."""
-        lon = np.where(lon > 180, lon - 360, lon)
-        rows, cols = self._inside(lat, "lat"), self._inside(lon, "lon")
-        keep = rows[:, None] & cols[None, :] & (np.trunc(values) <= self.bounds.get("value_max", np.inf))
+        # what goes wrong from here on fails the task: half a frame must not pass as one
+        with grid:
+            if wants(AXIS) and partition.number == 0:
+                yield _axis_rows(file, grid.lat, grid.lon)
+            bands = max(1, -(-grid.lat.size // grid.band))
+            units = grid.count * bands
+            for unit in range(partition.number * units // partition.of, (partition.number + 1) * units // partition.of):
+                t, band = divmod(unit, bands)
+                if not whole[t]:
+                    if band == 0 and wants(ERROR):
+                        yield _error_row(file, f"slice {t} breaks off at {partition.size} of {grid.end(t)} bytes")
+                    continue
+                time_units, offset = times[t]
+                ts = model_time(time_units, offset) if time_units else _by_name(file, offset)
+                if not self.ranges["t"].holds(t) or (ts is not None and not self.ranges["ts"].holds(ts)):
+                    continue
+                if band == 0 and wants(SLICE):
+                    yield _rows(kind=[SLICE], file=[file], t=[t], ts=[ts], time_units=[time_units], time_offset=[offset])
+                if wants(CELL):
+                    yield from self.cells(grid, file, t, ts, time_units, offset, band * grid.band)
+
+    def cells(self, grid, file: str, t: int, ts, units: str, offset: float, first: int) -> Iterator[pa.RecordBatch]:
+        """The cells of a band of rows that the filters leave; a band outside them is not read."""
+        lat = grid.lat[first: first + grid.band]
+        lon = np.where(grid.lon > 180, grid.lon - 360, grid.lon)
+        rows, cols = self.ranges["lat"].hold(lat), self.ranges["lon"].hold(lon)
+        if not rows.any() or not cols.any():
+            return
+        above, upto = np.flatnonzero(rows)[[0, -1]] + (0, 1)
+        values = grid.rows(t, first + above, first + upto)
+        keep = rows[above:upto, None] & cols[None, :] & self.ranges["value"].hold(values) & ~np.isnan(values)
         r, c = np.nonzero(keep)
         size = r.size
-        return pa.RecordBatch.from_arrays([
-            pa.repeat(part.file, size), pa.array(np.full(size, part.t, np.int32)), pa.repeat(units, size),
-            pa.array(np.full(size, float(offset))), pa.array((r + first_row).astype(np.int32)),
-            pa.array(c.astype(np.int32)), pa.array(lat[r]), pa.array(lon[c]), pa.array(values[r, c]),
-            pa.nulls(size, pa.string()),
-        ], schema=ARROW.with_metadata({"units": units, "offset": str(offset)}))
-
-
-    def _inside(self, lines: np.ndarray, name: str) -> np.ndarray:
-        """Axis lines within the bounds and the margin around them."""
-        steps = np.abs(np.diff(lines))
-        # the jump where longitudes are folded is no step
-        room = self.margin * float(steps[steps < 180].max(initial=0.0)) if self.margin else 0.0
-        low, high = self.bounds.get(f"{name}_min", -np.inf), self.bounds.get(f"{name}_max", np.inf)
-        return (lines >= low - room) & (lines <= high + room)
+        if size:
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(CELL, size), pa.repeat(file, size), pa.array(np.full(size, t, np.int32)), pa.repeat(pa.scalar(ts, pa.timestamp("us")), size),
+                pa.repeat(units, size), pa.array(np.full(size, float(offset))), pa.array((r + first + above).astype(np.int32)),
+                pa.array(c.astype(np.int32)), pa.array(lat[r + above]), pa.array(lon[c]), pa.array(values[r, c]), pa.nulls(size, pa.string()),
+            ], schema=ARROW)
 
 
 class NetcdfReader(_SliceReader):
     """Classic netCDF directly; netCDF-4 where that library is installed."""
 
-    def slice_count(self, file: str) -> int:
-        with _open_netcdf(file) as grid:
-            return grid.shape(self._name("variable", "ch4"))[0]
+    def open(self, file: str):
+        return _open_netcdf(file, *[self.options.get(x, default) for x, default in (
+            ("variable", "ch4"), ("time", "time"), ("latitude", "latitude"), ("longitude", "longitude"))])
 
-    def axes(self, file: str) -> tuple[np.ndarray, np.ndarray]:
-        with _open_netcdf(file) as grid:
-            return tuple(grid.whole(self._name(x, x)).astype(float) for x in ("latitude", "longitude"))
 
-    def read_slice(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        lat, lon = self.axes(part.file)
-        with _open_netcdf(part.file) as grid:
-            time = self._name("time", "time")
-            values = grid.record(self._name("variable", "ch4"), part.t).astype(float)
-            yield self.cells(part, grid.attribute(time, "units"), float(grid.record(time, part.t)), values, lat, lon)
+class RawReader(_SliceReader):
+    """Raw global files: one byte per cell, two half-hour slices, northern row first."""
 
-    def _name(self, option: str, default: str) -> str:
-        return self.options.get(option, default)
+    def open(self, file: str):
+        return _Raw(file)
 
 
-class RawReader(_SliceReader):
-    """Raw global files: one byte per cell, two half-hour slices, northern row first."""
+class _Pushed:
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Narrow what is read; Spark still applies every filter itself."""
+        for one in filters:
+            name = getattr(one, "attribute", ("",))[0]
+            if name in self.ranges and type(one) in (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
+                self.ranges[name].narrow(type(one), one.value)
+            yield one
 
-    def slice_count(self, file: str) -> int:
-        size = _filesystem(file)[0].get_file_info(_filesystem(file)[1]).size
-        count, rest = divmod(size, RAW_ROWS * RAW_COLUMNS)
-        if rest or not count:
+
+class PushedNetcdfReader(_Pushed, NetcdfReader):
+    pass
+
+
+class PushedRawReader(_Pushed, RawReader):
+    pass
+
+
+class _Raw:
+    def __init__(self, file: str) -> None:
+        system, inner = _filesystem(file)
+        size = system.get_file_info(inner).size
+        self.count, rest = divmod(size, RAW_ROWS * RAW_COLUMNS)
+        if rest or not self.count:
             raise ValueError(f"{size} bytes are no whole number of slices")
-        return count
+        self.lat = RAW_LAT0 + RAW_LAT_STEP * np.arange(RAW_ROWS)
+        self.lon = RAW_LON0 + RAW_LON_STEP * np.arange(RAW_COLUMNS)
+        self.band = BAND
+        self.handle = _open(file)
 
-    def axes(self, file: str) -> tuple[np.ndarray, np.ndarray]:
-        return (RAW_LAT0 + RAW_LAT_STEP * np.arange(RAW_ROWS), RAW_LON0 + RAW_LON_STEP * np.arange(RAW_COLUMNS))
+    def time(self, t: int) -> tuple[str, float]:
+        return "", float(t * RAW_MINUTES)
 
-    def read_slice(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        all_lat, lon = self.axes(part.file)
-        with _open(part.file) as handle:
-            handle.seek(part.t * RAW_ROWS * RAW_COLUMNS)
-            for top in range(0, RAW_ROWS, RAW_BAND):
-                count = min(RAW_BAND, RAW_ROWS - top)
-                raw = np.frombuffer(handle.read(count * RAW_COLUMNS), np.uint8)
-                values = raw.reshape(count, RAW_COLUMNS)[::-1].astype(float) + RAW_ADD
-                values[values == RAW_UNDEFINED] = np.nan
-                first = RAW_ROWS - top - count
-                lat = all_lat[first: first + count]
-                yield self.cells(part, "", part.t * RAW_MINUTES, values, lat, lon, first)
+    def end(self, t: int) -> int:
+        return (t + 1) * RAW_ROWS * RAW_COLUMNS
+
+    def rows(self, t: int, first: int, last: int) -> np.ndarray:
+        self.handle.seek((t * RAW_ROWS + RAW_ROWS - last) * RAW_COLUMNS)
+        raw = np.frombuffer(self.handle.read((last - first) * RAW_COLUMNS), np.uint8)
+        values = raw.reshape(last - first, RAW_COLUMNS)[::-1].astype(float) + RAW_ADD
+        values[values == RAW_UNDEFINED] = np.nan
+        return values
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.handle.close()
 
 
 class _Classic:
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, variable: str, time: str, latitude: str, longitude: str) -> None:
         self.handle = _open(file)
         self.grid = ClassicFile(self.handle)
-        self.whole, self.record = self.grid.whole, self.grid.record
+        self.variable, self.times = variable, time
+        self.count = self.grid.variables[variable].shape[0]
+        self.lat, self.lon = (self.grid.whole(x).astype(float) for x in (latitude, longitude))
+        self.units = self.grid.variables[time].attributes["units"]
+        self.band = BAND
+
+    def time(self, t: int) -> tuple[str, float]:
+        return self.units, float(self.grid.record(self.times, t))
 
-    def shape(self, name: str) -> tuple[int, ...]:
-        return self.grid.variables[name].shape
+    def end(self, t: int) -> int:
+        return max(self.grid.end(self.variable, t), self.grid.end(self.times, t))
 
-    def attribute(self, name: str, attribute: str) -> str:
-        return self.grid.variables[name].attributes[attribute]
+    def rows(self, t: int, first: int, last: int) -> np.ndarray:
+        return self.grid.rows(self.variable, t, first, last).astype(float)
 
     def __enter__(self):
         return self
@@ -226,22 +303,25 @@ class _Classic:
 
 
 class _Netcdf4:
-    def __init__(self, file: str) -> None:
+    """Chunks are compressed, so a slice is one band and only reading it shows whether it is whole."""
+
+    def __init__(self, file: str, variable: str, time: str, latitude: str, longitude: str) -> None:
         from netCDF4 import Dataset
 
         self.data = Dataset(_filesystem(file)[1], "r")
+        self.values, self.times = self.data.variables[variable], self.data.variables[time]
+        self.count = self.values.shape[0]
+        self.lat, self.lon = (np.ma.filled(self.data.variables[x][:], np.nan).astype(float) for x in (latitude, longitude))
+        self.band = max(1, self.lat.size)
 
-    def shape(self, name: str) -> tuple[int, ...]:
-        return self.data.variables[name].shape
+    def time(self, t: int) -> tuple[str, float]:
+        return self.times.units, float(self.times[t])
 
-    def attribute(self, name: str, attribute: str) -> str:
-        return getattr(self.data.variables[name], attribute)
+    def end(self, t: int) -> int:
+        return 0
 
-    def whole(self, name: str) -> np.ndarray:
-        return np.ma.filled(self.data.variables[name][:], np.nan)
-
-    def record(self, name: str, index: int) -> np.ndarray:
-        return np.ma.filled(self.data.variables[name][index], np.nan)
+    def rows(self, t: int, first: int, last: int) -> np.ndarray:
+        return np.ma.filled(self.values[t, first:last], np.nan).astype(float)
 
     def __enter__(self):
         return self
@@ -250,17 +330,39 @@ class _Netcdf4:
         self.data.close()
 
 
-def _open_netcdf(file: str):
+#: what a file that is no grid file, or is damaged, makes readers raise; other errors fail the task
+_UNREADABLE = (ValueError, KeyError, IndexError, OSError, struct.error, UnicodeDecodeError, TypeError)
+
+
+def _open_netcdf(file: str, *names: str):
     with _open(file) as handle:
         classic = handle.read(3) == b"CDF"
     if classic:
-        return _Classic(file)
+        return _Classic(file, *names)
     try:
-        return _Netcdf4(file)
+        return _Netcdf4(file, *names)
     except ImportError as problem:
         raise ValueError("not a classic netCDF file, and netCDF4 is not installed") from problem
 
 
+def name_time(file: str) -> datetime | None:
+    """Time in a file's name, as ``sources.files.file_time`` has it."""
+    name = file.rsplit("/", 1)[-1]
+    day, month = NAME_TIME.search(name), NAME_MONTH.search(name)
+    tries = [(day[1] + ((day[2] or "") + (day[3] or "")).ljust(4, "0"), "%Y%m%d%H%M")] if day else []
+    for text, form in [*tries, *([(month[1], "%Y%m")] if month else [])]:
+        try:
+            return datetime.strptime(text, form)
+        except ValueError:
+            continue
+    return None
+
+
+def _by_name(file: str, minutes: float) -> datetime | None:
+    begins = name_time(file)
+    return None if begins is None else begins + timedelta(minutes=int(minutes))
+
+
 def _whole_hour(text: str) -> datetime:
     return datetime.strptime(text[:10], "%Y%m%d%H")
 
@@ -276,40 +378,34 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _list(path: str) -> list[str]:
+def _list(path: str) -> list[tuple[str, int]]:
+    """Files of a folder, or the file itself, and their sizes."""
     from pyarrow import fs
 
     system, inner = _filesystem(path)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     found = system.get_file_info(fs.FileSelector(inner))
-    return sorted(prefix + x.path for x in found if x.type == fs.FileType.File)
+    return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File)
 
 
-def _marker(batch: pa.RecordBatch, part: Slice) -> pa.RecordBatch:
-    """The row that stands for a slice itself."""
-    meta = batch.schema.metadata
-    row = {name: [None] for name in ARROW.names}
-    row.update(file=[part.file], t=[part.t], time_units=[meta[b"units"].decode()],
-               time_offset=[float(meta[b"offset"])])
-    return pa.RecordBatch.from_pydict(row, schema=ARROW)
+def _rows(**columns: list) -> pa.RecordBatch:
+    """Rows with the given columns; the others are NULL."""
+    size = len(columns["kind"])
+    return pa.RecordBatch.from_pydict({name: columns.get(name, [None] * size) for name in ARROW.names}, schema=ARROW)
 
 
 def _axis_rows(file: str, lat: np.ndarray, lon: np.ndarray) -> pa.RecordBatch:
     ny, nx = lat.size, lon.size
-    lines = {name: [None] * (ny + nx) for name in ARROW.names}
-    lines.update(
-        file=[file] * (ny + nx), r=[*range(ny), *[None] * nx], c=[*[None] * ny, *range(nx)],
+    return _rows(
+        kind=[AXIS] * (ny + nx), file=[file] * (ny + nx), r=[*range(ny), *[None] * nx], c=[*[None] * ny, *range(nx)],
         lat=[*lat, *[None] * nx], lon=[*[None] * ny, *lon])
-    return pa.RecordBatch.from_pydict(lines, schema=ARROW)
 
 
 def _error_row(file: str, message: str) -> pa.RecordBatch:
-    row = {name: [None] for name in ARROW.names}
-    row["file"], row["error"] = [file], [message]
-    return pa.RecordBatch.from_pydict(row, schema=ARROW)
+    return _rows(kind=[ERROR], file=[file], error=[message])
 
 
 @dataclass(frozen=True)
@@ -328,34 +424,80 @@ class GridRead:
     step_class: str | None
 
 
-def _decoded(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
-    """All rows of the source as a stage table: every slice is decoded once, whatever reads it later."""
+def open_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    """All rows of the source, to be filtered by a plain ``where``.
+
+    The session's pushdown setting must be the same here and where the rows are read.
+    """
     ship_package(spark)
     spark.dataSource.register(GridFiles)
-    return stage(spark.read.format("gridfiles").options(path=path, **options).load(), name)
+    return spark.read.format("gridfiles").options(path=path, pushdown=spark.conf.get(PUSHDOWN, "false"), **options).load()
+
+
+@contextmanager
+def pushing(spark: SparkSession) -> Iterator[None]:
+    """Inside, the session pushes filters into Python sources."""
+    before = spark.conf.get(PUSHDOWN, "false")
+    spark.conf.set(PUSHDOWN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(PUSHDOWN, before)
+
+
+def _decoded(spark: SparkSession, path: str, name: str, wanted: Column, **options) -> DataFrame:
+    """Wanted rows of the source as a stage table: every slice is decoded once, whatever reads it later."""
+    with pushing(spark):
+        return stage(open_files(spark, path, **options).where(wanted), name)
+
 
+def _constant(when: datetime) -> Column:
+    return F.lit(when.isoformat(" ")).cast("timestamp_ntz")
 
-def read_grid_files(spark: SparkSession, path: str, **options) -> GridRead:
+
+def read_grid_files(spark: SparkSession, path: str, value_max: float | None = None, start: str | None = None, end: str | None = None,
+                    margin: float = 0, file_hours: float | None = None, **options) -> GridRead:
     """Read grid files with decoded times; frames are numbered 1, 2, ... in time order.
 
+    ``lat_min``, ``lat_max``, ``lon_min`` and ``lon_max`` with ``margin``, the axis steps to
+    keep around them, and ``value_max``, which the whole part of a value may reach, bound the
+    cells; ``start`` and ``end`` as ``yyyymmddHH`` bound the frames.  Headers are read first,
+    and then the bands of rows that hold such cells.  A file that begins before
+    ``start`` is opened to see what it spans, unless ``file_hours`` promises that
+    no file spans more.
+
     Raises when two slices have the same time, or when frames are steps apart
     that no class of time steps knows.
     """
-    rows = _decoded(spark, path, "grid-files", **options)
-    bad = rows.where(F.col("error").isNotNull()).select("file", "error").distinct()
-    name = F.element_at(F.split("file", "/"), -1)
-    by_name = file_time(name) + F.make_dt_interval(mins=F.col("time_offset").cast("int"))
-    ts = F.when(F.col("time_units") == "", by_name).otherwise(decode_model_time("time_units", "time_offset"))
-    good = rows.where(F.col("error").isNull()).withColumn("ts", ts)
-    slices = good.where("t is not null and r is null and c is null")
+    bounds = {x: float(options.pop(x)) for x in ("lat_min", "lat_max", "lon_min", "lon_max") if x in options}
+    if end is not None:
+        options["named_until"] = end
+    if start is not None and file_hours is not None:
+        options["named_from"] = f"{_whole_hour(start) - timedelta(hours=float(file_hours)):%Y%m%d%H}"
+    heads = _decoded(spark, path, "grid-heads", F.col("kind").isin(SLICE, AXIS, ERROR), **options)
+    bad = heads.where(F.col("kind") == ERROR).select("file", "error").distinct()
+    period = F.lit(True)
+    if start is not None:
+        period = period & (F.col("ts") >= _constant(_whole_hour(start)))
+    if end is not None:
+        period = period & (F.col("ts") < _constant(_whole_hour(end) + timedelta(hours=1)))
+    slices = heads.where((F.col("kind") == SLICE) & period)
     frames = stage(number_frames(slices), "frames")
     doubled = slices.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).where("n > 1").first()
     if doubled:
         raise ValueError(f"{doubled.n} slices have the time {doubled.ts}, one of them in {doubled.file}")
-    n_files, first = rows.agg(F.count_distinct("file"), F.min(F.when(F.col("r").isNotNull(), F.col("file")))).first()
-    lines = stage(
-        rows.where((F.col("file") == first) & F.col("error").isNull() & F.col("t").isNull()).select("r", "lat", "c", "lon"), "axes")
-    grid = good.where("r is not null and c is not null").join(frames, "ts").select(
+    n_files, first = heads.agg(F.count_distinct("file"), F.min(F.when(F.col("kind") == AXIS, F.col("file")))).first()
+    lines = stage(heads.where((F.col("kind") == AXIS) & (F.col("file") == first)).select("r", "lat", "c", "lon"), "axes")
+    wanted = (F.col("kind") == CELL) & period
+    if value_max is not None:
+        wanted = wanted & (F.col("value") < float(math.floor(value_max) + 1))
+    for axis, index in (("lat", "r"), ("lon", "c")):
+        room = margin * _largest_step(lines, axis, index) if margin else 0.0
+        if f"{axis}_min" in bounds:
+            wanted = wanted & (F.col(axis) >= bounds[f"{axis}_min"] - room)
+        if f"{axis}_max" in bounds:
+            wanted = wanted & (F.col(axis) <= bounds[f"{axis}_max"] + room)
+    grid = _decoded(spark, path, "grid-cells", wanted, **options).join(frames, "ts").select(
         "frame", "ts", "r", "c", "lat", "lon", F.col("value").alias("tb"), "file")
     return GridRead(
         grid, lines.where("r is not null").select("r", "lat"),
@@ -363,6 +505,14 @@ def read_grid_files(spark: SparkSession, path: str, **options) -> GridRead:
         _step_class(frames))
 
 
+def _largest_step(lines: DataFrame, axis: str, index: str) -> float:
+    """Largest step between neighbouring lines; the jump where longitudes are folded is no step."""
+    own = lines.where(F.col(index).isNotNull()).select(index, F.col(axis).alias("at"))
+    after = own.select((F.col(index) - 1).alias(index), F.col("at").alias("next"))
+    step = F.abs(F.col("next") - F.col("at"))
+    return float(own.join(after, index).where(step < 180).agg(F.coalesce(F.max(step), F.lit(0.0))).first()[0])
+
+
 def _step_class(frames: DataFrame) -> str | None:
     """Class of the smallest step between two frames, by hours or, for longer ones, days."""
     after = frames.select((F.col("frame") - 1).alias("frame"), F.col("ts").alias("next"))
@@ -392,17 +542,18 @@ class RainRead:
     n_files: int
 
 
-def read_rain(spark: SparkSession, path: str, variable: str = "pcp", **options) -> RainRead:
-    """The first slice of each file; the time is the file name's."""
-    rows = _decoded(spark, path, "rain-files", variable=variable, slices=1, **options)
+def read_rain(spark: SparkSession, path: str, variable: str = "pcp", start: str | None = None, end: str | None = None,
+              hours: float = 24, **options) -> RainRead:
+    """The first slice of each file; the time is the file name's, and counts for ``hours`` after it."""
+    if start is not None:
+        options["named_from"] = f"{_whole_hour(start) - timedelta(hours=hours):%Y%m%d%H}"
+    if end is not None:
+        options["named_until"] = end
+    options["variable"] = variable
+    heads = _decoded(spark, path, "rain-heads", F.col("kind").isin(SLICE, ERROR), **options)
+    cells = _decoded(spark, path, "rain-cells", (F.col("kind") == CELL) & (F.col("t") == 0), **options)
     name = F.element_at(F.split("file", "/"), -1)
-    cells = rows.where("error is null and t = 0 and r is not null and c is not null")
     return RainRead(
         cells.select(file_time(name).alias("ts"), "lat", "lon", "value"),
-        rows.where("error is not null").select("file", "error").distinct(),
-        rows.agg(F.count_distinct("file")).first()[0])
-
-
-def read_rain_files(spark: SparkSession, path: str, variable: str = "pcp", **options) -> DataFrame:
-    """``(ts, lat, lon, value)`` of all readable files."""
-    return read_rain(spark, path, variable, **options).cells
+        heads.where(F.col("kind") == ERROR).select("file", "error").distinct(),
+        heads.agg(F.count_distinct("file")).first()[0])

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridtrack.operators import elements, labeling
+from gridtrack.operators.boxes import box_statistics
 from gridtrack.operators.raster import Raster, between_times, mask_temperature, nearest_on_axis, raster_from_grid
 from tests.grids import MICRO, flood_labels, micro_raster
 
@@ -83,6 +85,35 @@ def test_box_spanning_many_join_cells(spark):
         assert (big.n_px, big.tmin, big.r0, big.r1, big.c0, big.c1) == (2 * side, 205, 0, side - 1, 0, side - 1)
 
 
+@pytest.mark.parametrize("tile", [4, 7, 512])
+def test_box_statistics_equal_a_plain_count(spark, tile):
+    """Boxes of all sizes, some over many tiles, some without a pixel, some beyond the grid."""
+    rnd = random.Random(11)
+    rows = [(f, r + 3, c + 5, tb) for f, r, c, tb in noise(9, frames=2, side=25, density=0.3)]
+    boxes = []
+    for label in range(120):
+        r0, c0 = rnd.randint(0, 30), rnd.randint(0, 32)
+        boxes.append((1 + label % 2, label, r0, r0 + rnd.randint(0, 20), c0, c0 + rnd.randint(0, 20)))
+    pixels = spark.createDataFrame(rows, "frame int, r int, c int, tb smallint")
+    table = spark.createDataFrame(boxes, "frame int, label bigint, r0 int, r1 int, c0 int, c1 int")
+    got = {x.label: tuple(x) for x in box_statistics(pixels, table, tile).collect()}
+    want = {}
+    for frame, label, r0, r1, c0, c1 in boxes:
+        own = [(r, c, tb) for f, r, c, tb in rows if f == frame and r0 <= r <= r1 and c0 <= c <= c1]
+        if own:
+            r, c, tb = (np.array(x) for x in zip(*own))
+            want[label] = (frame, label, len(own), tb.sum(), (tb * tb).sum(), (tb * r).sum(), (tb * c).sum(), tb.min(), tb.max())
+    assert got == want and 0 < len(want) < 120
+
+
+def test_pixels_are_shuffled_once_for_all_boxes(spark):
+    """The plan has no join of pixels and boxes: rows of the cogroup are pixels and pieces."""
+    pixels = spark.createDataFrame(noise(9), "frame int, r int, c int, tb smallint")
+    boxes = spark.range(500).selectExpr("cast(1 + id % 3 AS int) frame", "id label", "0 r0", "29 r1", "0 c0", "29 c1")
+    plan = box_statistics(pixels, boxes, 512)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
 def test_elements_are_numbered_in_raster_order_per_frame(spark):
     frames = [[[220, 0, 220, 0], [220, 0, 220, 0], [0, 0, 0, 0], [220, 220, 220, 220]],
               [[0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [220, 220, 0, 0]]]

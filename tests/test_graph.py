@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridtrack.operators import chains, links, paths
+from gridtrack.operators import chains, intervals, links, paths
 from gridtrack.operators.components import components
 from gridtrack.operators.elements import find_elements
 from gridtrack.operators.unionfind import smallest_members
@@ -63,7 +63,7 @@ def expected_paths(graphs, rule):
 
 
 @pytest.mark.parametrize("rule", ["last_within_length", "min_distance"])
-@pytest.mark.parametrize("frames_per_round", [16, 2, 1])
+@pytest.mark.parametrize("frames_per_round", [64, 3, 2, 1])
 def test_pruning_equals_a_search_from_every_root(spark, rule, frames_per_round):
     graphs = [random_graph(random.Random(seed)) for seed in range(60)]
     config = MICRO.with_options(path_rule=rule, frames_per_round=frames_per_round)
@@ -77,7 +77,59 @@ def test_pruning_equals_a_search_from_every_root(spark, rule, frames_per_round):
 def test_plan_kernel_on_many_graphs(rule):
     for seed in range(800):
         graph = random_graph(random.Random(seed))
-        assert paths.follow(paths.plan_nodes(graph, rule, {}), 3, rule, {})[:2] == searched_paths(graph, 3, rule)
+        links = sorted((a, b, w) for a, out in graph.items() for b, w in out)
+        plans, hops = intervals.plan(tuple(np.array([x[i] for x in links], dtype=np.int64) for i in range(3)), intervals.Plans.none(), rule)
+        own = plans.needs(rule)
+        deep = plans.depth >= 3
+        taken, beyond = intervals.follow(intervals.Hops(hops), np.column_stack([plans.node, own])[deep])
+        kept = sorted({(int(a), int(b), int(w)) for a, _, b, w, _ in hops[taken]})
+        target = np.where(own == intervals.FALLBACK, plans.end, plans.light_end)
+        distance = np.where(own == intervals.FALLBACK, plans.distance, plans.depth - 1 + own)
+        roots = [tuple(map(int, x)) for x in zip(plans.node[deep], target[deep], plans.depth[deep], distance[deep])]
+        assert (kept, roots) == searched_paths(graph, 3, rule)
+
+
+def long_graph(seed, frames):
+    """One component over many frames, in which many paths end early."""
+    rnd = random.Random(seed)
+    graph = {}
+    for f in range(1, frames):
+        for k in range(1, 4):
+            graph[key(f, k)] = [(key(f + 1, j), rnd.choice([1, 1, 1, 2, 3])) for j in range(1, 4) if k == j == 1 or rnd.random() < 0.3]
+    graph |= {key(frames, k): [] for k in range(1, 4)}
+    return graph
+
+
+@pytest.mark.parametrize("rule", ["last_within_length", "min_distance"])
+def test_long_series_in_short_intervals(spark, rule):
+    graphs = [long_graph(seed, 41 + seed) for seed in range(4)]
+    config = MICRO.with_options(path_rule=rule, frames_per_round=3)
+    table = graph_tables(spark, graphs)
+    got = paths.prune(table, config)
+    edges, roots = expected_paths(graphs, rule)
+    assert {tuple(x) for x in got.edges.collect()} == edges
+    assert {tuple(x) for x in got.roots.collect()} == roots
+    listed = {}
+    for x in paths.root_paths(table, config).collect():
+        listed.setdefault(x.root, {})[x.step] = x.node
+    assert {root: (steps[len(steps)], len(steps)) for root, steps in listed.items()} == {r: (end, n) for r, end, n, _ in roots}
+    assert all((steps[i], steps[i + 1]) in {(a, b) for a, b, _ in edges} for steps in listed.values() for i in range(1, len(steps)))
+
+
+def test_rounds_grow_with_the_logarithm_of_the_series(spark, monkeypatch):
+    made = []
+    keep = paths.stage
+    monkeypatch.setattr(paths, "stage", lambda df, name: made.append(name) or keep(df, name))
+    rounds = {}
+    for frames in (16, 256, 4096):
+        made.clear()
+        chain = spark.range(1, frames).selectExpr("shiftleft(id, 32) | 1 AS src", "shiftleft(id + 1, 32) | 1 AS dst", "1 AS weight")
+        clusters = paths.prune(chain, MICRO.with_options(frames_per_round=16))
+        assert clusters.edges.count() == frames - 1
+        assert clusters.roots.agg(F.max("n_nodes")).first()[0] == frames
+        rounds[frames] = sum(name.startswith("interval-") and name != "interval-links" for name in made)
+    # four tables for each doubling: summaries and jumps up, ends and states down
+    assert rounds == {16: 0, 256: 16, 4096: 32}
 
 
 @pytest.mark.parametrize("frames_per_round", [16, 1])

@@ -5,11 +5,12 @@ from datetime import datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
 
 from gridtrack.operators.elements import find_elements
 from gridtrack.operators.raster import raster_from_grid
 from gridtrack.plans import pipeline
-from gridtrack.sinks import tables
+from gridtrack.sinks import stored, tables
 from gridtrack.sources import files, gridfiles
 from gridtrack.streaming.ingest import stream_elements
 from tests.grids import MICRO, micro_raster
@@ -82,36 +83,133 @@ def test_raw_infrared_file(spark, tmp_path):
     assert read.bad_files.isEmpty()
 
 
-def test_each_slice_is_decoded_once_and_none_outside_the_period(tmp_path, monkeypatch):
-    """Files are picked by name before they are opened; a task opens its file and walks its slices."""
-    values = np.full((2, 3, 4), 230)
-    for day in (29, 30, 31):
-        classic_file(tmp_path / f"merg_200908{day}00_4km.nc", values, np.arange(3.0), np.arange(4.0), 0)
+def counted(monkeypatch):
+    """Files whose headers are opened, and bands that are read, in this process."""
     opened, decoded = [], []
-    whole, record = gridfiles._open_netcdf, gridfiles.NetcdfReader.read_slice
-    monkeypatch.setattr(gridfiles, "_open_netcdf", lambda file: opened.append(file) or whole(file))
-    monkeypatch.setattr(gridfiles.NetcdfReader, "read_slice", lambda self, part: decoded.append((part.file, part.t)) or record(self, part))
-    reader = gridfiles.NetcdfReader({
-        "path": str(tmp_path), "start": "2009083012", "end": "2009083018", "file_hours": "13", "lat_min": "0.5", "lat_max": "1.4"})
-    parts = reader.partitions()
-    assert [x.file.rsplit("/", 1)[1] for x in parts] == ["merg_2009083000_4km.nc"] and not opened
-    rows = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
-    assert [t for _, t in decoded] == [0, 1] and {file for file, _ in decoded} == {parts[0].file}
-    assert {row["r"] for row in rows if row["value"] is not None} == {1}
-    wide = gridfiles.NetcdfReader({"path": str(tmp_path), "lat_min": "0.5", "lat_max": "1.4", "margin": "1"})
-    assert {row["r"] for batch in wide.read(parts[0]) for row in batch.to_pylist() if row["value"] is not None} == {0, 1, 2}
+    whole, rows = gridfiles._open_netcdf, gridfiles._Classic.rows
+    monkeypatch.setattr(gridfiles, "_open_netcdf", lambda file, *names: opened.append(file.rsplit("/", 1)[1]) or whole(file, *names))
+    monkeypatch.setattr(gridfiles._Classic, "rows", lambda self, t, first, last: decoded.append((t, first, last)) or rows(self, t, first, last))
+    return opened, decoded
 
 
-def test_a_slice_that_breaks_off_is_an_error(tmp_path, monkeypatch):
+def read_all(reader):
+    return [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+
+
+def test_filters_decide_what_is_opened_and_read(tmp_path, monkeypatch):
+    for day in (29, 30, 31):
+        classic_file(tmp_path / f"merg_200908{day}00_4km.nc", np.full((30, 3, 4), 230), np.arange(3.0), np.arange(4.0), 0,
+                     units=f"hours since 2009-08-{day} 00")
+    opened, decoded = counted(monkeypatch)
+
+    def reader(*filters, **options):
+        opened.clear()
+        decoded.clear()
+        made = gridfiles.PushedNetcdfReader({"path": str(tmp_path)} | options)
+        assert list(made.pushFilters(list(filters))) == list(filters)
+        return made
+
+    late, early = GreaterThanOrEqual(("ts",), datetime(2009, 8, 30, 12)), LessThan(("ts",), datetime(2009, 8, 30, 18))
+    rows = read_all(reader(EqualTo(("kind",), "cell"), late, early, GreaterThan(("lat",), 0.5), LessThanOrEqual(("lat",), 1.0)))
+    # the first file begins a day before and may last: its header is opened; the last one begins too late
+    assert opened == ["merg_2009082900_4km.nc", "merg_2009083000_4km.nc"]
+    assert decoded == [(t, 1, 2) for t in range(12, 18)] and {row["r"] for row in rows} == {1} and len(rows) == 24
+    assert {row["kind"] for row in rows} == {"cell"} and len({row["ts"] for row in rows}) == 6
+    # a file longer than a day is not lost
+    rows = read_all(reader(EqualTo(("kind",), "cell"), GreaterThanOrEqual(("ts",), datetime(2009, 8, 30, 3)), LessThan(("ts",), datetime(2009, 8, 30, 4))))
+    assert {row["file"].rsplit("/", 1)[1] for row in rows} == {"merg_2009082900_4km.nc", "merg_2009083000_4km.nc"}
+    # without cells only headers are read; without a match in the list no header either
+    heads = read_all(reader(In(("kind",), ("slice", "axis", "error"))))
+    assert len(opened) == 3 and not decoded and sum(row["kind"] == "slice" for row in heads) == 90
+    assert read_all(reader(EqualTo(("file",), "nowhere"))) == [] and not opened
+    assert read_all(reader(EqualTo(("value",), 231.0))) and len(decoded) == 90
+    read_all(reader(named_from="2009083000", named_until="2009083023"))
+    assert opened == ["merg_2009083000_4km.nc"]
+
+
+def test_a_plain_where_reaches_the_source(spark, tmp_path):
+    for day in (30, 31):
+        classic_file(tmp_path / f"merg_200908{day}00_4km.nc", np.arange(24).reshape(2, 3, 4) + 230, np.arange(3.0), np.arange(4.0), 0,
+                     units=f"hours since 2009-08-{day} 00")
+    (tmp_path / "merg_2009090100_4km.nc").write_bytes(b"never opened")
+    with gridfiles.pushing(spark):
+        rows = gridfiles.open_files(spark, str(tmp_path))
+        day = F.lit("2009-08-30 23:00:00").cast("timestamp_ntz")
+        found = rows.where((F.col("kind") == "cell") & (F.col("ts") < day) & (F.col("lat") >= 1) & (F.col("value") < 245))
+        assert sorted((x.t, x.r, x.c, x.value) for x in found.collect()) == [
+            (t, r, c, 230.0 + 12 * t + 4 * r + c) for t in range(2) for r in (1, 2) for c in range(4) if 12 * t + 4 * r + c < 15]
+        assert found.rdd.getNumPartitions() == 1  # of three files
+        assert rows.where("kind = 'error'").count() == 1
+        every = rows.where("kind = 'cell' AND value BETWEEN 231 AND 233 AND t IN (0, 5)").collect()
+    assert sorted(every) == sorted(gridfiles.open_files(spark, str(tmp_path)).where("kind = 'cell' AND value BETWEEN 231 AND 233 AND t IN (0, 5)").collect())
+
+
+@pytest.mark.parametrize("split", [1 << 30, 3000, 100])
+def test_parts_of_a_file_give_the_same_rows(tmp_path, monkeypatch, split):
+    """A long file is many tasks, of whole slices or of bands of rows."""
+    monkeypatch.setattr(gridfiles, "BAND", 2)
+    values = np.random.default_rng(1).integers(200, 300, (40, 5, 4))
+    classic_file(tmp_path / "year_20090101.nc", values, np.arange(5.0), np.arange(4.0), 0)
+    size = (tmp_path / "year_20090101.nc").stat().st_size
+    reader = gridfiles.NetcdfReader({"path": str(tmp_path), "split_bytes": str(split)})
+    assert len(reader.partitions()) == -(-size // split)
+    rows = read_all(reader)
+    cells = {(x["t"], x["r"], x["c"]): x["value"] for x in rows if x["kind"] == "cell"}
+    assert cells == {(t, r, c): float(v) for (t, r, c), v in np.ndenumerate(values)}
+    assert sum(x["kind"] == "cell" for x in rows) == values.size
+    assert sorted(x["t"] for x in rows if x["kind"] == "slice") == list(range(40))
+    assert sum(x["kind"] == "axis" for x in rows) == 9
+
+
+def test_raw_files_are_split_by_bands(tmp_path, monkeypatch):
     monkeypatch.setattr(gridfiles, "RAW_ROWS", 600)
     monkeypatch.setattr(gridfiles, "RAW_COLUMNS", 8)
-    file = tmp_path / "merg_2009083105_4km"
-    file.write_bytes(np.full((600, 8), 100, np.uint8).tobytes())
-    reader = gridfiles.RawReader({"path": str(tmp_path), "format": "merg"})
-    monkeypatch.setattr(gridfiles.RawReader, "slice_count", lambda self, file: 1)
-    file.write_bytes(np.full((400, 8), 100, np.uint8).tobytes())
-    with pytest.raises(ValueError):
-        list(reader.read(reader.partitions()[0]))
+    raw = np.random.default_rng(2).integers(0, 254, (2, 600, 8)).astype(np.uint8)
+    (tmp_path / "merg_2009083105_4km").write_bytes(raw.tobytes())
+    reader = gridfiles.RawReader({"path": str(tmp_path), "split_bytes": "2000"})
+    assert len(reader.partitions()) == 5
+    rows = read_all(reader)
+    got = {(x["t"], x["r"], x["c"]): x["value"] for x in rows if x["kind"] == "cell"}
+    assert got == {(t, r, c): float(v) + 75 for (t, r, c), v in np.ndenumerate(raw[:, ::-1])}
+    assert sorted(x["ts"] for x in rows if x["kind"] == "slice") == [datetime(2009, 8, 31, 5), datetime(2009, 8, 31, 5, 30)]
+
+
+def test_a_slice_that_breaks_off_is_an_error(tmp_path, monkeypatch):
+    """Whatever task reads a part of it: no cell of the slice passes."""
+    monkeypatch.setattr(gridfiles, "BAND", 1)
+    file = tmp_path / "merg_2009083105_4km.nc"
+    classic_file(file, np.full((3, 6, 4), 230), np.arange(6.0), np.arange(4.0), 0)
+    file.write_bytes(file.read_bytes()[:-20])
+    for split in ("100", "100000"):
+        rows = read_all(gridfiles.NetcdfReader({"path": str(tmp_path), "split_bytes": split}))
+        assert {x["t"] for x in rows if x["kind"] == "cell"} == {0, 1} == {x["t"] for x in rows if x["kind"] == "slice"}
+        assert [x["error"][:7] for x in rows if x["kind"] == "error"] == ["slice 2"]
+    # what fails while cells are read fails the task
+    monkeypatch.setattr(gridfiles._Classic, "rows", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        read_all(gridfiles.NetcdfReader({"path": str(tmp_path)}))
+
+
+def test_a_file_of_many_days_counts_whole(spark, tmp_path):
+    """A month in one file: the period lies far behind the time in the file's name."""
+    classic_file(tmp_path / "merg_2009080100_month.nc", np.arange(31)[:, None, None] + np.full((31, 2, 2), 200), np.arange(2.0), np.arange(2.0), 0,
+                 units="days since 2009-08-01 00")
+    read = gridfiles.read_grid_files(spark, str(tmp_path), start="2009082500", end="2009082700")
+    assert sorted(x.ts.day for x in read.frames.collect()) == [25, 26, 27] and read.n_files == 1
+    assert sorted({(x.frame, x.tb) for x in read.grid.collect()}) == [(1, 224.0), (2, 225.0), (3, 226.0)]
+    promised = gridfiles.read_grid_files(spark, str(tmp_path), start="2009082500", end="2009082700", file_hours=24 * 31)
+    assert promised.frames.count() == 3
+
+
+def test_times_of_headers_are_those_of_the_column(spark):
+    from gridtrack.functions import dates
+
+    bases = ["2009-08-31 00:00:00", "2009-08-31 06:30", "2009-12-31 2350", "2008-02-29 00", "2009-08-31", " 2009-08-31 00:00:00.0", "2009-8-1 00", "soon", ""]
+    rows = [(f"{unit} since {base}", x) for unit in ("minutes", "hours", "days", "months", "years", "weeks")
+            for base in bases for x in (0.0, 1.0, 13.0, -5.0, 0.5, 1.25, 36.1)] + [("hours", 1.0), ("", 1.0)]
+    table = spark.createDataFrame(rows, "units string, x double").select("units", "x", dates.decode_model_time("units", "x").alias("ts"))
+    for r in table.collect():
+        assert dates.model_time(r.units, r.x) == r.ts, (r.units, r.x)
 
 
 def test_half_hourly_slices_and_doubled_times(spark, tmp_path):
@@ -251,11 +349,16 @@ def test_run_from_files_with_rain_before_and_after(spark, tmp_path):
     with pytest.raises(ValueError, match="1 of 3 rain files"):
         run(spark, wet.with_options(max_bad_share=0.3))
     run(spark, dry)
-    source = gridfiles.read_rain_files(spark, str(tmp_path / "rain"), variable="ch4")
+    source = gridfiles.read_rain(spark, str(tmp_path / "rain"), variable="ch4").cells
     later = attach_rain_later(spark, dry, load_raster(spark, dry), source)
     assert sorted((x.id, x.n_px, x.precip_total) for x in later.collect()) == [
         (f"F{i}CE1", 30, 60.0) for i in range(1, 5)]
     assert spark.read.parquet(str(tmp_path / "dry/rain_grids")).count() == 120
+    kept = stored.read(spark, str(tmp_path / "dry/elements"))
+    assert sorted((x.id, x.precip_total) for x in kept.collect()) == [(f"F{i}CE1", 60.0) for i in range(1, 5)]
+    assert "precip_total" not in stored.read(spark, str(tmp_path / "dry/elements"), 1).columns
+    assert not spark.read.parquet(str(tmp_path / "dry/rain_total")).isEmpty()
+    assert {x.behaviour for x in stored.read(spark, str(tmp_path / "dry/nodes")).collect()} == {"N"}
     late = load_raster(spark, dry.with_options(start="2009083102", end="2009083103"))
     assert sorted(x.frame for x in late.frames.collect()) == [1, 2]
     assert {x.frame for x in late.pixels.select("frame").distinct().collect()} == {1, 2}

@@ -225,8 +225,12 @@ def test_short_systems_are_no_systems(spark):
     assert run.clusters.edges.count() == 2 and run.systems.members.isEmpty()
 
 
-def test_stages_are_set_once_unless_overwritten(spark):
-    old = spark.createDataFrame([(1, "I"), (2, "M")], "node bigint, stage string")
-    new = spark.createDataFrame([(2, "D"), (3, "D")], "node bigint, stage string")
-    assert {tuple(x) for x in systems.set_stages(old, new).collect()} == {(1, "I"), (2, "M"), (3, "D")}
-    assert {tuple(x) for x in systems.set_stages(old, new, overwrite=True).collect()} == {(1, "I"), (2, "D"), (3, "D")}
+def test_stages_are_set_once_unless_overwritten(spark, tmp_path):
+    from gridtrack.sinks import stored, tables
+
+    schema = "node bigint, stage string"
+    path = str(tmp_path / "nodes")
+    stored.create(spark.createDataFrame([(1, "I"), (2, "M")], schema), path, tables.NODE_KEYS, tables.NODE_PARTS)
+    new = spark.createDataFrame([(2, "D"), (3, "D")], schema)
+    assert {tuple(x) for x in tables.store_nodes(path, new).collect()} == {(1, "I"), (2, "M"), (3, "D")}
+    assert {tuple(x) for x in tables.store_nodes(path, new, overwrite=True).collect()} == {(1, "I"), (2, "D"), (3, "D")}
