@@ -38,8 +38,10 @@ ROOM = 4
 #: bytes of text per hash partition
 SLOT_BYTES = 6 << 20
 #: counters a task gathers before it hands them on
-HELD = 1 << 21
-HELD_TEXTS = 1 << 17
+HELD = 1 << 20
+SLICE_BYTES = 1 << 20
+HELD_TEXTS = 1 << 16
+SLOTS_PER_BATCH = 16
 BITS = 27
 UNKNOWN = "und"
 
@@ -70,7 +72,7 @@ class Grams:
         self.ends = np.flatnonzero(solid & (~edge[1:] | cut[1:])) + 1
         self.data = data
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
-        breaks = np.zeros(data.size + 1, dtype=np.int64)
+        breaks = np.zeros(data.size + 1, dtype=np.int32)
         np.cumsum(BREAKS[data], out=breaks[1:])
         self.piece = breaks[self.starts] + self.row
         self.lang, self.langs = _codes(langs)
@@ -109,7 +111,7 @@ def _lang_hashes(langs: list[str]) -> np.ndarray:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
     for batch in batches:
         texts, langs = batch.column(0), batch.column(1)
-        for s, e in text_slices(texts):
+        for s, e in text_slices(texts, SLICE_BYTES):
             yield Grams(texts.slice(s, e - s), langs.slice(s, e - s))
 
 
@@ -170,15 +172,17 @@ def _summaries(slots: int, lengths: range, known=None):
 
     def hand_on(key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         slot = (key % np.uint64(slots)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        # most counts are 1: those keys come last in their slot, without a count
+        order = np.lexsort((count == 1, slot))
         key, count, slot = key[order], count[order], slot[order]
         first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][:slot.size])
         last = np.r_[first[1:], slot.size]
-        for i in range(0, first.size, 64):
-            part = list(zip(first[i:i + 64], last[i:i + 64]))
+        for i in range(0, first.size, SLOTS_PER_BATCH):
+            part = list(zip(first[i:i + SLOTS_PER_BATCH], last[i:i + SLOTS_PER_BATCH]))
+            counts = [count[s:e] for s, e in part]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot[first[i:i + 64]].astype(np.int32)), pa.array([int(count[s:e].sum()) for s, e in part], pa.int64()),
-                 pa.array([key[s:e].tobytes() for s, e in part], pa.binary()), pa.array([count[s:e].tobytes() for s, e in part], pa.binary())],
+                [pa.array(slot[first[i:i + SLOTS_PER_BATCH]].astype(np.int32)), pa.array([int(c.sum()) for c in counts], pa.int64()),
+                 pa.array([key[s:e].tobytes() for s, e in part], pa.binary()), pa.array([c[c > 1].tobytes() for c in counts], pa.binary())],
                 names=["slot", "mass", "keys", "counts"])
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +206,15 @@ def _summaries(slots: int, lengths: range, known=None):
     return summaries
 
 
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a summary row and their counts."""
+    key = np.frombuffer(keys, dtype=np.uint64)
+    count = np.ones(key.size, dtype=np.int64)
+    several = np.frombuffer(counts, dtype=np.int64)
+    count[:several.size] = several
+    return key, count
+
+
 class MisraGries:
     """Counters of one hash partition: a count is too low by ``error`` at most, and that is below ``mass / capacity``."""
 
@@ -246,8 +259,7 @@ def _merge(threshold: int):
                         yield _keys(summary.survivors(threshold))
                     slot = batch.column("slot")[i].as_py()
                     summary = MisraGries(ROOM * (batch.column("total")[i].as_py() // threshold + 1))
-                summary.add(np.frombuffer(batch.column("keys")[i].as_buffer(), dtype=np.uint64),
-                            np.frombuffer(batch.column("counts")[i].as_buffer(), dtype=np.int64))
+                summary.add(*unpacked(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py()))
         if summary is not None:
             yield _keys(summary.survivors(threshold))
 
@@ -333,6 +345,11 @@ def _product(a: Column, b: Column) -> Column:
     return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
+def score() -> Column:
+    """``floor(1000 * a * n / (l * r))``, exact where the products pass 64 bits."""
+    return F.call_function("div", (_product(F.col("a"), F.col("n")) * F.lit(1000)).cast("decimal(38,0)"), _product(F.col("l"), F.col("r")))
+
+
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, most: int = 2000) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``most`` highest scores of every language.
 
@@ -357,8 +374,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
         sizes = stage(uses.join(found.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"]), "phrases-sizes")
         both = join_groups(parts, sizes, ["lang", "part"], "uses", parts.count()).groupBy("lang", "phrase", "a", "k").agg(
             F.max(F.when(F.col("is_first"), F.col("f"))).alias("l"), F.max(F.when(~F.col("is_first"), F.col("f"))).alias("r"))
-        score = F.call_function("div", (_product(F.col("a"), F.col("n")) * F.lit(1000)).cast("decimal(38,0)"), _product(F.col("l"), F.col("r")))
-        scored = both.join(per_lang, "lang").withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(
+        scored = both.join(per_lang, "lang").withColumn("score", score()).groupBy("lang", "phrase", "a", "n").agg(
             F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "n", "cut.l", "cut.r", "cut.score")
         inner = candidates.where("words > 2").select("lang", "a", F.explode(F.array(
             F.array_join(F.slice(words, 1, F.col("words") - 1), " "), F.array_join(F.slice(words, 2, F.col("words") - 1), " "))).alias("phrase"))
