@@ -40,7 +40,7 @@ SLOT_BYTES = 6 << 20
 #: counters a task gathers before it hands them on
 HELD = 1 << 20
 SLICE_BYTES = 1 << 20
-HELD_TEXTS = 1 << 16
+HELD_TEXTS = 1 << 19
 SLOTS_PER_BATCH = 16
 BITS = 27
 UNKNOWN = "und"
@@ -280,40 +280,61 @@ def survivors(texts: DataFrame, slots: int, lengths: range, threshold: int, know
 
 # --- exact counts --------------------------------------------------------------------------------------
 
+class Counted:
+    """Phrases that a task has met and how often; a phrase takes its bytes and some 20 more."""
+
+    def __init__(self) -> None:
+        self.key = np.zeros(0, dtype=np.uint64)  # ascending, with the place of each in the columns below
+        self.place = np.zeros(0, dtype=np.int64)
+        self.total = np.zeros(0, dtype=np.int64)
+        self.texts: list[pa.RecordBatch] = []
+        self.words: dict[str, int] = {}
+
+    def add(self, grams: Grams, length: int, at: np.ndarray, key: np.ndarray) -> None:
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        spot = np.searchsorted(self.key, key)
+        known = np.zeros(key.size, dtype=bool)
+        inside = spot < self.key.size
+        known[inside] = self.key[spot[inside]] == key[inside]
+        self.total[self.place[spot[known]]] += n[known]
+        new = ~known
+        if new.any():
+            found = [grams.phrase(i, length) for i in at[first[new]].tolist()]
+            langs, phrases = zip(*found)
+            self.texts.append(pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(found), length, dtype=np.int32))], names=["lang", "phrase", "words"]))
+            places = self.total.size + np.arange(len(found))
+            self.total = np.concatenate([self.total, n[new]])
+            self.key, self.place = np.insert(self.key, spot[new], key[new]), np.insert(self.place, spot[new], places)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for texts in self.texts:
+            yield pa.RecordBatch.from_arrays([*texts.columns, pa.array(self.total[done:done + texts.num_rows])], names=["lang", "phrase", "words", "n"])
+            done += texts.num_rows
+        rows = [(lang, None, 0, n) for lang, n in self.words.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "n"])
+
+
 def _counts(longest: int, pairs, longer):
     """Counts of surviving n-grams by their words, and of all words (a null phrase), per task."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[int, int] = {}  # place of a fingerprint in the lists below
-        phrases, total, words = [], [], {}
-
-        def hand_on() -> pa.RecordBatch:
-            rows = [(*p, n) for p, n in zip(phrases, total)] + [(lang, None, 0, n) for lang, n in words.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "n"])
-
+        held = Counted()
         for grams in _slices(batches):
             for code, n in enumerate(np.bincount(grams.lang[grams.row], minlength=len(grams.langs))):
-                words[grams.langs[code]] = words.get(grams.langs[code], 0) + int(n)
+                held.words[grams.langs[code]] = held.words.get(grams.langs[code], 0) + int(n)
             for length, at, key in _survive(grams, pairs.value, longest):
                 if length > 2:
                     stay = longer.value.hold(key)
                     at, key = at[stay], key[stay]
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                for k, i, c in zip(key.tolist(), at[first].tolist(), n.tolist()):
-                    place = number.get(k)
-                    if place is None:
-                        number[k] = len(phrases)
-                        phrases.append((*grams.phrase(i, length), length))
-                        total.append(c)
-                    else:
-                        total[place] += c
-            if len(phrases) > HELD_TEXTS:
-                yield hand_on()
-                number.clear()
-                phrases, total, words = [], [], {}
-        if phrases or words:
-            yield hand_on()
+                held.add(grams, length, at, key)
+            if held.total.size > HELD_TEXTS:
+                yield from held.rows()
+                held = Counted()
+        yield from held.rows()
 
     return counts
 

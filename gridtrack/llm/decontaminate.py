@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtrack.llm.kernels import in_tasks
 from gridtrack.llm.words import Words, shingles, span_hashes, text_bytes, text_slices, word_bounds
 
 SEED = 3
@@ -225,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], outp
         part = held.where(F.col("block") == k).drop("block").toArrow()
         block = Items.of(part.column("item_id").to_pylist(), part.column("text").combine_chunks())
         shared = spark.sparkContext.broadcast(block)
-        scanned = rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, len(columns)), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
+        scanned = in_tasks(rows, _scanner(shared, uuid.uuid4().hex, len(columns)), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
         rows = scanned.withColumnRenamed("found", "matches") if k == 0 else scanned.select(
             *names, F.concat("matches", "found").alias("matches"))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("matches").alias(output))

@@ -32,6 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtrack.llm.kernels import in_tasks
 from gridtrack.llm.skew import join_groups
 from gridtrack.llm.words import mix, shingles, text_slices, words_of
 from gridtrack.operators.components import components
@@ -191,7 +192,7 @@ class WholeSets:
             slot = F.pmod("text_hash", F.lit(SLOTS)).cast("int").alias("slot")
             near = self.rows.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
             texts = near.join(wanted, "text_hash", "left_semi").select("text")
-            fresh = stage(texts.mapInArrow(_whole(self.width), TOKENS).dropDuplicates(["set_id"]), "jaccard-whole")
+            fresh = stage(in_tasks(texts, _whole(self.width), TOKENS).dropDuplicates(["set_id"]), "jaccard-whole")
             self.tokens = fresh if self.tokens is None else self.tokens.unionByName(fresh)
         return self.tokens
 
@@ -320,13 +321,13 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     with stage_scope() as made:
         spark = docs.sparkSession
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-        often = rows.select("text").mapInArrow(_report(width), REPORT).groupBy("token").agg(F.sum("n").alias("n"))
+        often = in_tasks(rows.select("text"), _report(width), REPORT).groupBy("token").agg(F.sum("n").alias("n"))
         most = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
         token = most.column("token").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(token)
         frequent = spark.sparkContext.broadcast((token[order], most.column("n").to_numpy().astype(np.int64)[order]))
 
-        sets = stage(rows.mapInArrow(_build(frequent, width), SETS), "jaccard-sets")
+        sets = stage(in_tasks(rows, _build(frequent, width), SETS), "jaccard-sets")
         full = sets.where("n > 0")
         classes = stage(
             full.groupBy("set_id").agg(

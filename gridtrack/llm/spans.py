@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtrack.llm.kernels import in_tasks
 from gridtrack.llm.skew import join_groups
 from gridtrack.llm.words import Words, mix, powers, text_slices, words_of
 from gridtrack.session import stage, stage_scope, unstage
@@ -102,7 +103,7 @@ def repeated_spans(docs: DataFrame, both_edges: bool = False) -> DataFrame:
     the same document is a repeat as well.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = stage(rows.mapInArrow(_emit(both_edges), RUNS), "span-runs")
+    found = stage(in_tasks(rows, _emit(both_edges), RUNS), "span-runs")
     counted = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = stage(counted, "span-repeated")
     some = stage(join_groups(found, repeated, ["high", "low"], "n", found.count()), "span-members")
@@ -180,6 +181,6 @@ def remove_repeats(docs: DataFrame, columns: list[str], only_changed: bool = Fal
         spans, F.col("span_id").eqNullSafe(F.col("span_doc")) & (F.col("span_hash") == F.col("span_text")),
         "inner" if only_changed else "left")
     ddl = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, schema))
-    cut = joined.select(*names, "whole_text", "span_list").mapInArrow(
-        _cut(len(columns)), f"{ddl}text string, spans array<struct<first_word:int,end_word:int>>, removed_words bigint")
+    cut = in_tasks(
+        joined.select(*names, "whole_text", "span_list"), _cut(len(columns)), f"{ddl}text string, spans array<struct<first_word:int,end_word:int>>, removed_words bigint")
     return cut.toDF(*columns, "text", "spans", "removed_words")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from gridtrack.llm.kernels import in_tasks
 from gridtrack.llm.words import span_hashes, text_bytes, text_slices, word_bounds
 from gridtrack.session import shared_dir, stage
 
@@ -290,7 +291,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stage(ordered.mapInArrow(_writer(folder, tokenizer_path), MANIFEST), "token-manifest"), folder
+    return stage(in_tasks(ordered, _writer(folder, tokenizer_path), MANIFEST), "token-manifest"), folder
 
 
 def _reader(folder: str):
@@ -318,7 +319,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     tasks = max(1, min(10_000, manifest.count()))
-    return based.repartition(tasks, "path").mapInArrow(_reader(folder), DECODED)
+    return in_tasks(based.repartition(tasks, "path"), _reader(folder), DECODED)
 
 
 def token_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
