@@ -63,6 +63,8 @@ class TrackConfig:
     frames_per_round: int = 64
     page_nodes: int = 250_000
     max_bad_share: float = 0.5
+    rain_tolerance: float | None = None
+    netcdf_products: bool = False
 
     def __post_init__(self) -> None:
         for item in fields(self):
@@ -96,6 +98,7 @@ class TrackConfig:
             f"path_rule must be one of {PATH_RULES}": self.path_rule in PATH_RULES,
             "tile must be at least 2": self.tile >= 2,
             "frames_per_round and page_nodes must be positive": self.frames_per_round > 0 and self.page_nodes > 0,
+            "rain_tolerance must be positive": self.rain_tolerance is None or self.rain_tolerance > 0,
             "max_bad_share must be in [0, 1]": 0 <= self.max_bad_share <= 1,
         }
         broken = [message for message, ok in checks.items() if not ok]

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from gridtrack.session import ship_package
 
-PIECE_SCHEMA = "frame int, label bigint, n_px bigint, tb_sum bigint, tb_sq bigint, tb_r bigint, tb_c bigint, tmin int, tmax int"
+PIECE_SCHEMA = "frame int, label bigint, r0 int, r1 int, c0 int, c1 int, n_px bigint, tb_sum bigint, tb_sq bigint, tb_r bigint, tb_c bigint, tmin int, tmax int"
+BOX = ["frame", "label", "r0", "r1", "c0", "c1"]
 #: no pixel value
 NONE = np.int32(2**31 - 1)
 
 
 def box_statistics(pixels: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
-    """``(frame, label)`` with count, sums, smallest and largest value of all pixels inside each box.
+    """Boxes with count, sums, smallest and largest value of all pixels inside each.
 
     ``tb_sq`` sums squares, ``tb_r`` and ``tb_c`` values times row and column.
     Boxes are ``(frame, label, r0, r1, c0, c1)``, both ends included; one without
@@ -34,14 +35,14 @@ def box_statistics(pixels: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
     ship_package(pixels.sparkSession)
     cells = pixels.select("frame", F.expr(f"r div {tile}").alias("tr"), F.expr(f"c div {tile}").alias("tc"), "r", "c", "tb")
     pieces = (
-        boxes.select("frame", "label", "r0", "r1", "c0", "c1")
+        boxes.select(*BOX)
         .withColumn("tr", F.explode(F.expr(f"sequence(r0 div {tile}, r1 div {tile})")))
         .withColumn("tc", F.explode(F.expr(f"sequence(c0 div {tile}, c1 div {tile})")))
     )
     keys = ("frame", "tr", "tc")
     found = cells.groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInArrow(_tile_statistics, PIECE_SCHEMA)
     sums = [F.sum(x).alias(x) for x in ("n_px", "tb_sum", "tb_sq", "tb_r", "tb_c")]
-    return found.groupBy("frame", "label").agg(*sums, F.min("tmin").alias("tmin"), F.max("tmax").alias("tmax"))
+    return found.groupBy(*BOX).agg(*sums, F.min("tmin").alias("tmin"), F.max("tmax").alias("tmax"))
 
 
 def _tile_statistics(pixels: pa.Table, boxes: pa.Table) -> pa.Table:
@@ -49,8 +50,8 @@ def _tile_statistics(pixels: pa.Table, boxes: pa.Table) -> pa.Table:
     found = {name: np.zeros(0, dtype=np.int64) for name in columns}
     if pixels.num_rows and boxes.num_rows:
         r, c, tb = (pixels.column(x).to_numpy().astype(np.int64) for x in ("r", "c", "tb"))
-        found = dict(zip(columns[2:], piece_statistics(r, c, tb, *(boxes.column(x).to_numpy().astype(np.int64) for x in ("r0", "r1", "c0", "c1")))))
-        found |= {"frame": boxes.column("frame").to_numpy(), "label": boxes.column("label").to_numpy()}
+        found = {name: boxes.column(name).to_numpy().astype(np.int64) for name in BOX}
+        found |= dict(zip(columns[len(BOX):], piece_statistics(r, c, tb, *(found[name] for name in BOX[2:]))))
         held = found["n_px"] > 0
         found = {name: column[held] for name, column in found.items()}
     types = {"int": pa.int32(), "bigint": pa.int64()}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtrack.operators.unionfind import smallest_members
-from gridtrack.session import stage, unstage
+from gridtrack.session import ship_package, stage, unstage
 
 BLOCK_EDGES = 1_000_000
 PAIR_SCHEMA = "scope bigint, node bigint, root bigint"
@@ -81,6 +81,7 @@ def _contract(edges: DataFrame) -> DataFrame:
     The rebalance puts nearby nodes (64 frames or raster rows) together; AQE
     splits a crowded partition, and a task holds one block at a time.
     """
+    ship_package(edges.sparkSession)
     scope, a, b = edges.columns
     near = edges.select(
         F.col(scope).alias("scope"), F.col(a).alias("a"), F.col(b).alias("b"),

@@ -73,8 +73,7 @@ def element_stats(raster: Raster, boxes: DataFrame, config: TrackConfig) -> Data
     if config.element_mode == "component":
         sums = boxes.withColumnRenamed("n", "n_px")
     else:
-        corners = boxes.select("frame", "label", "r0", "r1", "c0", "c1")
-        sums = corners.join(box_statistics(raster.pixels, corners, config.tile), ["frame", "label"])
+        sums = box_statistics(raster.pixels, boxes, config.tile)
     mean = F.col("tb_sum") / F.col("n_px")
     measured = sums.select(
         "frame", "label", "r0", "r1", "c0", "c1", "n_px",

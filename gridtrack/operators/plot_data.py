@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridtrack.functions.geo import size_class
 from gridtrack.functions.histogram import histogram
 from gridtrack.operators.metrics import temporal_info
+from gridtrack.operators.scans import running_sum
 
 
 def edge_classes(edges: DataFrame) -> DataFrame:
@@ -52,6 +53,12 @@ def rain_in_range(rain: DataFrame, frames: DataFrame, start: str, end: str, step
     )
 
 
+def running_rain(rain: DataFrame, block: int = 256) -> DataFrame:
+    """``(frame, r, c, rain, running)``: rain of every cell and frame, and its sum since the first frame."""
+    cells = rain.where(F.col("rain") >= 0).groupBy("frame", "r", "c").agg(F.sum("rain").alias("rain"))
+    return running_sum(cells, ["r", "c"], "frame", "rain", block)
+
+
 def rain_per_feature(nodes: DataFrame, rain: DataFrame) -> DataFrame:
     """Rain per cell summed over the members of each feature."""
     return (

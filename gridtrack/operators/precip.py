@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.functions.dates import floor_to_hours
+from gridtrack.operators.asof import asof_join
 from gridtrack.operators.raster import Raster
 from gridtrack.operators.regrid import coarse_grid, regrid_bilinear
 from gridtrack.session import stage
@@ -14,13 +15,25 @@ from gridtrack.session import stage
 PRECIP_COLUMNS = ("precip_total", "precip_area", "precip_max", "precip_min")
 
 
-def element_rain(pixels: DataFrame, source: DataFrame, raster: Raster, hours: int = 3) -> DataFrame:
+def rain_slices(frames: DataFrame, source: DataFrame, hours: int = 3, tolerance: float | None = None) -> DataFrame:
+    """``(frame, ts)``: time of the source slice that counts for each frame.
+
+    It is the frame's time cut to ``hours``, or with a ``tolerance`` in hours the latest time of the
+    source not later than the frame and not older than that, so sources with gaps and odd times can be
+    attached.  Frames without one are left out then.
+    """
+    if tolerance is None:
+        return frames.select("frame", floor_to_hours("ts", hours).alias("ts"))
+    found = asof_join(frames.select("frame", "ts"), source.select("ts").distinct(), [], [], tolerance * 3600)
+    return found.where("right_ts is not null").select("frame", F.col("right_ts").alias("ts"))
+
+
+def element_rain(pixels: DataFrame, source: DataFrame, raster: Raster, hours: int = 3, tolerance: float | None = None) -> DataFrame:
     """``(frame, ce_no, r, c, rain)``: interpolated rain on the cells of each element.
 
-    The source slice of a frame is the one whose bucket holds the frame's time.
-    Cells without rain are absent.
+    Slices are chosen by ``rain_slices``.  Cells without rain are absent.
     """
-    slices = raster.frames.select("frame", floor_to_hours("ts", hours).alias("ts"))
+    slices = rain_slices(raster.frames, source, hours, tolerance)
     wanted = stage(source.join(slices, "ts", "left_semi"), "rain-slices")
     targets = pixels.select("frame", "ce_no", "r", "c").join(slices, "frame")
     rain = regrid_bilinear(coarse_grid(wanted), raster.rows, raster.cols, targets)

@@ -409,6 +409,9 @@ ORACLE: dict[str, str] = {
     "element_pixel_list": _query("cep", """
         SELECT frame, ce_no, CAST(row_number() OVER (PARTITION BY node ORDER BY r, c) AS INTEGER) AS seq, r, c,
                5 + r * 0.25::DOUBLE AS lat, -5 + c * 0.25::DOUBLE AS lon, tb FROM cep"""),
+    "netcdf_round_trip": _query("cep frames", """
+        SELECT frame, ce_no, ts, r, c, 5 + r * 0.25::DOUBLE AS lat, -5 + c * 0.25::DOUBLE AS lon, tb::DOUBLE AS tb
+        FROM cep JOIN frames USING (frame)"""),
     "overlap_pairs": _query("pairs", f"SELECT {EDGE_ENDS}, overlap_px, {_rounded('pct')}, area FROM pairs"),
     "edges_weighted": _query("edges", f"SELECT {EDGE_ENDS}, overlap_px, {_rounded('pct')}, area, weight FROM edges"),
     "isolated_removed": _query("el edges", """
@@ -551,6 +554,25 @@ ORACLE: dict[str, str] = {
     "accum_range": _query("rain frames", """
         SELECT r, c, round(sum(rain), 6) AS rain FROM rain JOIN frames USING (frame)
         WHERE rain >= 0 AND ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00' GROUP BY r, c"""),
+    "accum_running": _query("rain", """
+        SELECT frame, r, c, round(rain, 6) AS rain, round(sum(rain) OVER (PARTITION BY r, c ORDER BY frame), 6) AS running
+        FROM (SELECT frame, r, c, sum(rain) AS rain FROM rain WHERE rain >= 0 GROUP BY ALL)"""),
+    "asof_events": """
+        SELECT e.event_id, arg_max(b.event_id, (b.ts, b.event_id)) AS purchase_id, arg_max(b.value, (b.ts, b.event_id)) AS paid, max(b.ts) AS paid_at
+        FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b
+          ON b.user_id = e.user_id AND b.ts <= e.ts AND e.ts - b.ts <= INTERVAL 2 DAY
+        WHERE e.event_type <> 'purchase' GROUP BY e.event_id""",
+    "element_precip_asof": _query("el cep frames bilinear", """
+        SELECT id, round(coalesce(sum(value), 0), 6) AS precip_total, count(value) * 16.0::DOUBLE AS precip_area,
+               round(coalesce(max(value), 0), 6) AS precip_max, round(coalesce(min(value), 0), 6) AS precip_min
+        FROM el LEFT JOIN (
+          SELECT p.node, b.value FROM cep p JOIN (
+            SELECT f.frame, arg_max(s.ts, s.odd) AS ts
+            FROM frames f JOIN (SELECT DISTINCT ts, CASE WHEN day(ts) % 2 = 0 THEN ts - INTERVAL 37 MINUTE ELSE ts END AS odd
+                                FROM bilinear WHERE hour(ts) <> 0 OR day(ts) % 4 <> 0) s
+              ON s.odd <= f.ts AND f.ts - s.odd <= INTERVAL 210 MINUTE GROUP BY f.frame) m USING (frame)
+          JOIN bilinear b ON b.ts = m.ts AND b.r = p.r AND b.c = p.c WHERE b.value <> 0) x USING (node)
+        GROUP BY id"""),
     "accum_feature": _query("rain mem", """
         SELECT kind, feature_id, rain.r, rain.c, round(sum(rain), 6) AS rain FROM rain JOIN mem USING (node)
         WHERE rain >= 0 GROUP BY ALL"""),

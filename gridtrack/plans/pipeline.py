@@ -41,7 +41,7 @@ def elements_with_pixels(raster: Raster, config: TrackConfig) -> Elements:
 
 def with_rain(elements: Elements, source: DataFrame, raster: Raster,
               config: TrackConfig) -> tuple[Elements, DataFrame]:
-    rain = stage(element_rain(elements.pixels, source, raster), "element-rain")
+    rain = stage(element_rain(elements.pixels, source, raster, tolerance=config.rain_tolerance), "element-rain")
     wet = stage(attach_rain(elements.accepted, rain, config), "elements-rain")
     return Elements(wet, elements.rejected, elements.pixels), rain
 

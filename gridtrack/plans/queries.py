@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from gridtrack.functions import dates
 from gridtrack.functions.geo import eccentricity, normalize_longitude
 from gridtrack.functions.histogram import histogram
-from gridtrack.operators import chains, compare, elements, labeling, links, metrics, paths, plot_data, precip
+from gridtrack.operators import asof, chains, compare, elements, labeling, links, metrics, paths, plot_data, precip
 from gridtrack.operators import raster as rasters
 from gridtrack.operators import regrid, systems
 from gridtrack.plans import driver_tables as data
 from gridtrack.plans import pipeline
 from gridtrack.session import scratch_path, stage
-from gridtrack.sinks import stored, tables
-from gridtrack.sources import files
+from gridtrack.sinks import netcdf, stored, tables
+from gridtrack.sources import files, gridfiles
 
 CONFIG = data.CONFIG
 COMPONENT = CONFIG.with_options(element_mode="component")
@@ -177,6 +177,18 @@ def element_pixels(spark, sf_dir):
     return _elements(spark, sf_dir)[1].pixels
 
 
+def netcdf_round_trip(spark, sf_dir):
+    """Pixels of all elements, written as one netCDF grid each and read back."""
+    raster, found = _elements(spark, sf_dir)
+    path = scratch_path(spark, "element-grids")
+    netcdf.write_grids(netcdf.element_grids(found.pixels, "tb", raster, "cloudElements"), raster, path, "brightnesstemp", "Kelvin", "temperatures")
+    with gridfiles.pushing(spark):
+        cells = gridfiles.open_files(spark, path, variable="brightnesstemp").where("kind = 'cell' AND value > 0")
+        name = dates.parse_element_file(F.element_at(F.split("file", "/"), -1))
+        return stage(cells.select(name.alias("p"), "ts", "r", "c", "lat", "lon", F.col("value").alias("tb")).select(
+            "p.frame", "p.ce_no", "ts", "r", "c", "lat", "lon", "tb"), "element-grids-read")
+
+
 def element_pixel_list(spark, sf_dir):
     raster, found = _elements(spark, sf_dir)
     return elements.pixel_list(found.pixels, raster)
@@ -347,6 +359,26 @@ def stored_stages(spark, sf_dir):
 
 # --- measures ------------------------------------------------------------------------------------------------
 
+def asof_events(spark, sf_dir):
+    """For every event of a user, the purchase that is not more than two days older."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"))
+    found = asof.asof_join(events.where("event_type <> 'purchase'").drop("value"), bought, ["user_id"], ["purchase_id", "paid"], 2 * 86400, block=86400)
+    return found.select("event_id", "purchase_id", "paid", F.col("right_ts").alias("paid_at"))
+
+
+def element_precip_asof(spark, sf_dir):
+    """Rain of a source with gaps and odd times: every fourth midnight is missing, slices of even days are 37 minutes early."""
+    raster, found = _elements(spark, sf_dir)
+    config = CONFIG.with_options(rain_tolerance=3.5)
+    source = data.rain_source(spark, sf_dir)
+    day = F.day("ts")
+    source = source.where((F.hour("ts") != 0) | (day % 4 != 0)).withColumn(
+        "ts", F.when(day % 2 == 0, F.col("ts") - F.make_dt_interval(mins=F.lit(37))).otherwise(F.col("ts")))
+    wet, _ = pipeline.with_rain(found, source, raster, config)
+    return wet.accepted.select("id", r6("precip_total"), "precip_area", r6("precip_max"), r6("precip_min"))
+
+
 def feature_duration(spark, sf_dir):
     return metrics.temporal_info(_systems_only(spark, sf_dir)[0])
 
@@ -434,6 +466,12 @@ def accum_range(spark, sf_dir):
     return summed.withColumn("rain", r6("rain"))
 
 
+def accum_running(spark, sf_dir):
+    """Rain of every cell since the first frame, in blocks of a week."""
+    _, _, rain = _wet_elements(spark, sf_dir)
+    return plot_data.running_rain(rain, 7).select("frame", "r", "c", r6("rain"), r6("running"))
+
+
 def accum_feature(spark, sf_dir):
     nodes, _, rain, _ = _systems_only(spark, sf_dir, rain=True)
     return plot_data.rain_per_feature(nodes, rain).withColumn("rain", r6("rain"))
@@ -529,14 +567,14 @@ REGISTERED: list[Query] = [
     grid_raster, mask_threshold, clip_domain, nearest_axis, time_filter, lon_normalize,
     label_components, label_components_tiled, element_bbox, element_stats, element_stats_component,
     element_shape, element_center, element_accept, element_ids, element_reject, element_pixels,
-    element_pixel_list, overlap_pairs, edges_weighted, isolated_removed, frame_counts, graph_json,
+    element_pixel_list, netcdf_round_trip, overlap_pairs, edges_weighted, isolated_removed, frame_counts, graph_json,
     edge_classes, contiguous_links, path_depth, path_depth_min_distance, root_path_list, pruned_edges, components,
     merge_split, ancestors_chain, descendants_chain, criteria_area, criterion_pixels, mcs_members,
     mcc_members, node_stage, asof_bucket, regrid_feather, regrid_bilinear, regrid_cubic, element_precip,
     precip_late_attach, stored_rain, stored_stages, feature_duration, duration_summary, feature_area, average_feature_size,
     avg_time_of_day, size_histogram, value_histogram, precip_islands, precip_minmax, element_speed,
     feature_report, summary_report, complex_report, size_classes, size_limits, precip_share,
-    accum_range, accum_feature, element_precip_histogram, feature_precip_histogram, masked_frames,
+    accum_range, accum_running, asof_events, element_precip_asof, accum_feature, element_precip_histogram, feature_precip_histogram, masked_frames,
     frame_composite, valid_date, time_step_class, model_time, time_pattern, missing_files,
     element_file_names, compare_runs, compare_nodes,
 ]

@@ -2,6 +2,8 @@
 
 ``spark-submit gridtrack/plans/run.py config.json`` runs the analysis and
 writes all products below the configured output folder.
+``spark-submit gridtrack/plans/run.py compare <run> <run> <folder>`` compares the
+products of two runs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from gridtrack.operators.precip import element_rain  # noqa: E402
 from gridtrack.operators.raster import Dimensions, Raster, between_times, raster_from_grid  # noqa: E402
 from gridtrack.operators.metrics import feature_nodes  # noqa: E402
 from gridtrack.plans.pipeline import Analysis, analyse  # noqa: E402
-from gridtrack.sinks.tables import located, store_rain, write_accumulations, write_by_day, write_products  # noqa: E402
+from gridtrack.sinks.tables import located, store_rain, write_accumulations, write_by_day, write_differences, write_products  # noqa: E402
 from gridtrack.session import drop_stages, stage  # noqa: E402
 from gridtrack.sources.gridfiles import read_grid_files, read_rain  # noqa: E402
 
@@ -95,7 +97,7 @@ def attach_rain_later(spark: SparkSession, config: TrackConfig, raster: Raster,
     """
     root = config.output_dir
     pixels = spark.read.parquet(f"{root}/element_grids").select("frame", "ce_no", "r", "c", "tb")
-    rain = stage(element_rain(pixels, source, raster), "element-rain")
+    rain = stage(element_rain(pixels, source, raster, tolerance=config.rain_tolerance), "element-rain")
     write_by_day(located(rain, raster), f"{root}/rain_grids")
     members = spark.read.parquet(f"{root}/feature_members")
     elements = store_rain(f"{root}/elements", rain, config)
@@ -105,5 +107,8 @@ def attach_rain_later(spark: SparkSession, config: TrackConfig, raster: Raster,
 
 if __name__ == "__main__":
     session = SparkSession.builder.appName("gridtrack").getOrCreate()
-    run(session, TrackConfig.from_json(sys.argv[1]), *sys.argv[2:3])
+    if sys.argv[1] == "compare":
+        write_differences(session, *sys.argv[2:5])
+    else:
+        run(session, TrackConfig.from_json(sys.argv[1]), *sys.argv[2:3])
     drop_stages(session)

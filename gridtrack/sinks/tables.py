@@ -6,7 +6,7 @@ them: rain that is attached afterwards, behaviours and stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
@@ -15,7 +15,8 @@ from gridtrack.operators.paths import behaviours, root_paths
 from gridtrack.operators.precip import PRECIP_COLUMNS, attach_rain
 from gridtrack.operators.raster import Raster
 from gridtrack.plans.pipeline import Analysis, run_record
-from gridtrack.sinks import stored, text
+from gridtrack.session import stage
+from gridtrack.sinks import netcdf, stored, text
 
 #: 64 frames make a part of a stored table
 ELEMENT_KEYS, ELEMENT_PARTS = ["frame", "ce_no"], "frame div 64"
@@ -65,9 +66,42 @@ def write_accumulations(nodes: DataFrame, rain: DataFrame, raster: Raster, confi
     plot_data.rain_per_feature(nodes, rain).write.mode("overwrite").parquet(f"{root}/rain_per_feature")
 
 
-def write_differences(left: Analysis, right: Analysis, path: str) -> None:
-    """Differences of the elements of two runs."""
-    compare.compare_elements(left.elements.pixels, right.elements.pixels).write.mode("overwrite").parquet(path)
+def write_differences(spark: SparkSession, left: str, right: str, path: str) -> None:
+    """Compare two stored runs: cells of elements, elements, and tracked nodes that only one has.
+
+    Tables ``cells``, ``elements`` and ``nodes`` are written below ``path``, with the log of the comparison.
+    """
+    pixels = [spark.read.parquet(f"{x}/element_grids").select("frame", "ce_no", "r", "c", "tb") for x in (left, right)]
+    digests = tuple(spark.read.parquet(f"{x}/digests") for x in (left, right))
+    cells = stage(compare.compare_elements(*pixels, digests=digests), "differences")
+    cells.where("n_different > 0").write.mode("overwrite").parquet(f"{path}/cells")
+    elements = stage(compare.only_in_one(*[stored.read(spark, f"{x}/elements") for x in (left, right)], ELEMENT_KEYS), "differences")
+    elements.write.mode("overwrite").parquet(f"{path}/elements")
+    nodes = stage(compare.only_in_one(*[stored.read(spark, f"{x}/nodes") for x in (left, right)], NODE_KEYS), "differences")
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    text.write_lines(text.difference_log(left, right, cells, elements, nodes), f"{path}/log")
+
+
+def write_netcdf(analysis: Analysis, config: TrackConfig) -> None:
+    """The grids of elements, of their rain, and of accumulated rain as netCDF files."""
+    root, raster = text.report_folder(config), analysis.raster
+    # fixed values: folders, names and variables of the published products
+    netcdf.write_grids(netcdf.element_grids(analysis.elements.pixels, "tb", raster, "cloudElements"), raster,
+                       f"{root}/MERGnetcdfCEs", "brightnesstemp", "Kelvin", "Cloud Element temperature data")
+    if analysis.rain is None:
+        return
+    folder, rain = f"{root}/TRMMnetcdfCEs", ("precipitation_Accumulation", "mm")
+    netcdf.write_grids(netcdf.element_grids(analysis.rain, "rain", raster, "TRMM"), raster, folder, *rain, "Cloud Element precipitation data")
+    first, last = str(config.start_time), str(config.end_time)
+    begins = F.lit(first).cast("timestamp_ntz")
+    period = plot_data.rain_in_range(analysis.rain, raster.frames, first, last, config.tres)
+    name = F.lit(f"accu{first}-{last}.nc".replace(" ", "_"))
+    netcdf.write_grids(netcdf.summed_grid(period, name, begins), raster, folder, *rain, "Accumulated precipitation data", "append")
+    nodes = analysis.nodes()
+    starts = nodes.groupBy("kind", "feature_id").agg(F.min("ts").alias("begins"))
+    features = plot_data.rain_per_feature(nodes, analysis.rain).join(starts, ["kind", "feature_id"])
+    name = F.concat(F.lit("accu"), "kind", F.col("feature_id").cast("string"), F.lit(".nc"))
+    netcdf.write_grids(netcdf.summed_grid(features, name, F.col("begins")), raster, folder, *rain, "Accumulated precipitation data per feature", "append")
 
 
 def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, float] | None = None,
@@ -77,6 +111,7 @@ def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, f
     raster, found = analysis.raster, analysis.elements
     write_by_day(located(found.pixels, raster), f"{root}/element_grids")
     stored.create(found.accepted, f"{root}/elements", ELEMENT_KEYS, ELEMENT_PARTS)
+    compare.leaf_digests(found.pixels).write.mode("overwrite").parquet(f"{root}/digests")
     named = behaviours(analysis.clusters.edges).select("node", "behaviour").join(analysis.systems.stages, "node", "left")
     stored.create(named, f"{root}/nodes", NODE_KEYS, NODE_PARTS)
     analysis.graph.edges.write.mode("overwrite").parquet(f"{root}/edges")
@@ -85,6 +120,8 @@ def write_products(analysis: Analysis, config: TrackConfig, timings: dict[str, f
     if analysis.rain is not None:
         write_by_day(located(analysis.rain, raster), f"{root}/rain_grids")
         write_accumulations(analysis.nodes(), analysis.rain, raster, config, root)
+    if config.netcdf_products:
+        write_netcdf(analysis, config)
     nodes = analysis.nodes()
     reports = {
         "elements": text.accepted_elements(found.accepted),

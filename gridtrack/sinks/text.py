@@ -139,6 +139,23 @@ def summary_block(summary: DataFrame) -> DataFrame:
     ).alias("line"))
 
 
+def difference_log(left: str, right: str, cells: DataFrame, elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A line per element that differs or that one run lacks, and per tracked node that one run lacks."""
+    spark = cells.sparkSession
+    # fixed values: the opening lines of the published log
+    head = spark.createDataFrame([(0, f"baselinePath1 is {left}"), (1, f"baselinePath2 is {right}")], "place int, line string")
+    name = F.concat(F.lit("F"), F.col("frame").cast("string"), F.lit("CE"), F.col("ce_no").cast("string"))
+    lines = [
+        elements.select(F.lit(2).alias("place"), F.concat(name, F.lit(" is only in the "), "only_in", F.lit(" run")).alias("line")),
+        cells.select(F.lit(3).alias("place"), F.when(F.col("n_different") == 0, F.concat(name, F.lit(" is equal"))).otherwise(F.format_string(
+            "%s is NOT equal: %d cells differ, by %d at most", name, "n_different", "max_difference")).alias("line")),
+        nodes.select(F.lit(4).alias("place"), F.concat(F.lit("node "), F.col("node").cast("string"), F.lit(" is tracked in the "), "only_in", F.lit(" run only")).alias("line")),
+    ]
+    for more in lines:
+        head = head.unionByName(more)
+    return head.orderBy("place", "line").select("line")
+
+
 def write_run_record(spark: SparkSession, record: dict, path: str) -> None:
     """Store the run's counts and stage seconds as one JSON object, on whatever file system ``path`` names."""
     line = spark.range(1).select(F.lit(json.dumps(record, sort_keys=True)).alias("value"))

@@ -246,7 +246,7 @@ class PushedRawReader(_Pushed, RawReader):
 
 class _Raw:
     def __init__(self, file: str) -> None:
-        system, inner = _filesystem(file)
+        system, inner = filesystem(file)
         size = system.get_file_info(inner).size
         self.count, rest = divmod(size, RAW_ROWS * RAW_COLUMNS)
         if rest or not self.count:
@@ -308,7 +308,7 @@ class _Netcdf4:
     def __init__(self, file: str, variable: str, time: str, latitude: str, longitude: str) -> None:
         from netCDF4 import Dataset
 
-        self.data = Dataset(_filesystem(file)[1], "r")
+        self.data = Dataset(filesystem(file)[1], "r")
         self.values, self.times = self.data.variables[variable], self.data.variables[time]
         self.count = self.values.shape[0]
         self.lat, self.lon = (np.ma.filled(self.data.variables[x][:], np.nan).astype(float) for x in (latitude, longitude))
@@ -367,14 +367,17 @@ def _whole_hour(text: str) -> datetime:
     return datetime.strptime(text[:10], "%Y%m%d%H")
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
+    """File system of a path or URI, and the path on it."""
     from pyarrow import fs
 
+    if path.startswith("file:/") and "://" not in path:
+        path = path.removeprefix("file:")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def _open(path: str):
-    system, inner = _filesystem(path)
+    system, inner = filesystem(path)
     return system.open_input_file(inner)
 
 
@@ -382,7 +385,7 @@ def _list(path: str) -> list[tuple[str, int]]:
     """Files of a folder, or the file itself, and their sizes."""
     from pyarrow import fs
 
-    system, inner = _filesystem(path)
+    system, inner = filesystem(path)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:

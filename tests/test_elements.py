@@ -102,7 +102,7 @@ def test_box_statistics_equal_a_plain_count(spark, tile):
         own = [(r, c, tb) for f, r, c, tb in rows if f == frame and r0 <= r <= r1 and c0 <= c <= c1]
         if own:
             r, c, tb = (np.array(x) for x in zip(*own))
-            want[label] = (frame, label, len(own), tb.sum(), (tb * tb).sum(), (tb * r).sum(), (tb * c).sum(), tb.min(), tb.max())
+            want[label] = (frame, label, r0, r1, c0, c1, len(own), tb.sum(), (tb * tb).sum(), (tb * r).sum(), (tb * c).sum(), tb.min(), tb.max())
     assert got == want and 0 < len(want) < 120
 
 

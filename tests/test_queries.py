@@ -44,8 +44,8 @@ def test_every_sql_has_a_query():
 CASES = [(name, DATA) for name in (
     "mask_threshold", "label_components_tiled", "element_stats", "element_ids", "clip_domain",
     "regrid_bilinear", "regrid_cubic", "element_precip", "valid_date", "time_step_class", "model_time",
-    "missing_files", "value_histogram",
-)] + [(name, GRAPH_DATA) for name in ("edges_weighted", "pruned_edges", "path_depth", "root_path_list", "mcs_members", "mcc_members", "node_stage", "complex_report")]
+    "missing_files", "value_histogram", "stored_rain", "netcdf_round_trip", "accum_running", "asof_events", "element_precip_asof",
+)] + [(name, GRAPH_DATA) for name in ("edges_weighted", "pruned_edges", "path_depth", "root_path_list", "stored_stages", "mcs_members", "mcc_members", "node_stage", "complex_report")]
 
 
 @pytest.mark.parametrize("name, data", CASES)

@@ -286,8 +286,18 @@ def test_products_of_a_run(spark, tmp_path):
     assert spark.read.parquet(str(out / "element_grids")).count() == 120
     assert spark.read.parquet(str(out / "rain_per_feature")).count() > 0
     assert spark.read.parquet(str(out / "rain_total")).count() > 0
-    tables.write_differences(run, run, str(tmp_path / "same"))
-    assert {x.n_different for x in spark.read.parquet(str(tmp_path / "same")).collect()} == {0}
+    other = pipeline.analyse(micro_raster(spark, [[[tb - 3 if tb == 205 and f == 2 else tb for tb in row] for row in rows]
+                                                  for f, rows in enumerate(moving_blocks()[:3])]), config)
+    tables.write_products(other, config.with_options(output_dir=str(tmp_path / "other")))
+    for name, right in (("same", "out"), ("changed", "other")):
+        tables.write_differences(spark, str(out), str(tmp_path / right), str(tmp_path / name))
+    assert all(spark.read.parquet(str(tmp_path / f"same/{x}")).isEmpty() for x in ("cells", "elements", "nodes"))
+    changed = {(x.frame, x.n_different, x.max_difference) for x in spark.read.parquet(str(tmp_path / "changed/cells")).collect()}
+    assert changed == {(3, 12, 3), (4, 30, 225)}
+    assert {tuple(x) for x in spark.read.parquet(str(tmp_path / "changed/elements")).collect()} == {(4, 1, "left")}
+    assert [x.node >> 32 for x in spark.read.parquet(str(tmp_path / "changed/nodes")).collect()] == [4]
+    log = [x.value for x in spark.read.text(str(tmp_path / "changed/log")).collect()]
+    assert "F3CE1 is NOT equal: 12 cells differ, by 3 at most" in log and "F4CE1 is only in the left run" in log and "F1CE1 is equal" in log
     dense = tables.dense_grid(run.elements.pixels.where("frame = 1"), "tb", raster)
     assert dense.count() == 96 and dense.where("tb <> 0").count() == 30
 
