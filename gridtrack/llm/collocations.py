@@ -38,11 +38,11 @@ ROOM = 4
 #: bytes of text per hash partition
 SLOT_BYTES = 6 << 20
 #: counters a task gathers before it hands them on
-HELD = 1 << 20
-SLICE_BYTES = 1 << 20
+HELD = 3 << 18
+SLICE_BYTES = 1 << 19
 HELD_TEXTS = 1 << 19
 SLOTS_PER_BATCH = 16
-BITS = 27
+BITS = 26
 UNKNOWN = "und"
 
 BREAKS = np.zeros(256, dtype=bool)
@@ -52,7 +52,8 @@ GAPS[[0x20, 0x09]] = True
 
 SUMMARY = "slot int, mass bigint, keys binary, counts binary"
 SURVIVORS = "key bigint"
-COUNTED = "lang string, phrase string, words int, n bigint"
+PACKED = "slot int, lang array<string>, phrase array<string>, words array<int>, n array<bigint>"
+FREQUENT = "lang string, phrase string, words int, f bigint"
 
 
 # --- n-grams of a slice of texts -------------------------------------------------------------------
@@ -307,19 +308,36 @@ class Counted:
             self.total = np.concatenate([self.total, n[new]])
             self.key, self.place = np.insert(self.key, spot[new], key[new]), np.insert(self.place, spot[new], places)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        done = 0
-        for texts in self.texts:
-            yield pa.RecordBatch.from_arrays([*texts.columns, pa.array(self.total[done:done + texts.num_rows])], names=["lang", "phrase", "words", "n"])
-            done += texts.num_rows
-        rows = [(lang, None, 0, n) for lang, n in self.words.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "n"])
+    def packed(self, slots: int) -> Iterator[pa.RecordBatch]:
+        """One row per hash partition; words per language, with a null phrase, are in the first one."""
+        slot = np.zeros(self.total.size, dtype=np.int64)
+        slot[self.place] = (self.key % np.uint64(slots)).astype(np.int64)
+        slot = np.concatenate([slot, np.zeros(len(self.words), dtype=np.int64)])
+        words = pa.RecordBatch.from_arrays(
+            [pa.array(list(self.words), pa.string()), pa.nulls(len(self.words), pa.string()), pa.array([0] * len(self.words), pa.int32())],
+            names=["lang", "phrase", "words"])
+        table = pa.Table.from_batches([*self.texts, words]).combine_chunks()
+        total = pa.array(np.concatenate([self.total, np.fromiter(self.words.values(), np.int64, len(self.words))]))
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][:slot.size])
+        for i in range(0, first.size, SLOTS_PER_BATCH):
+            low = first[i:i + SLOTS_PER_BATCH + 1]
+            bounds = np.append(low, slot.size) if low.size <= SLOTS_PER_BATCH else low
+            rows = pa.array(order[bounds[0]:bounds[-1]])
+            offsets = pa.array((bounds - bounds[0]).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, _flat(c).take(rows)) for c in (*table.columns, total)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot[bounds[:-1]].astype(np.int32)), *columns], names=["slot", "lang", "phrase", "words", "n"])
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    if isinstance(column, pa.ChunkedArray):
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
 
 
-def _counts(longest: int, pairs, longer):
-    """Counts of surviving n-grams by their words, and of all words (a null phrase), per task."""
+def _counts(slots: int, longest: int, pairs, longer):
+    """Counts of surviving n-grams by their words, and of all words (a null phrase), per task and hash partition."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counted()
@@ -332,13 +350,44 @@ def _counts(longest: int, pairs, longer):
                     at, key = at[stay], key[stay]
                 held.add(grams, length, at, key)
             if held.total.size > HELD_TEXTS:
-                yield from held.rows()
+                yield from held.packed(slots)
                 held = Counted()
-        yield from held.rows()
+        yield from held.packed(slots)
 
     return counts
 
 
+def _add_up(threshold: int):
+    """Phrases of a hash partition that are frequent over all tasks; rows of a partition follow each other."""
+
+    def total(held: list[pa.Table]) -> pa.Table:
+        summed = pa.concat_tables(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+        return summed.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
+
+    def frequent(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        summed = total(held)
+        stay = pc.or_(pc.greater_equal(summed.column("n"), threshold), pc.is_null(summed.column("phrase")))
+        yield from summed.filter(stay).rename_columns(["lang", "phrase", "words", "f"]).combine_chunks().to_batches()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held, rows = None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("slot")[i].as_py() != slot:
+                    if held:
+                        yield from frequent(held)
+                    slot, held, rows = batch.column("slot")[i].as_py(), [], 0
+                held.append(pa.table({x: batch.column(x)[i].values for x in ("lang", "phrase", "words", "n")}))
+                rows += held[-1].num_rows
+                if rows > HELD_TEXTS:
+                    held = [total(held)]
+                    rows = held[0].num_rows
+        if held:
+            yield from frequent(held)
+
+    return add_up
+
+
 def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Words and phrases of up to ``longest`` words that occur ``threshold`` times in a language, and words per language.
 
@@ -352,9 +401,9 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
         slots = 1 + size // SLOT_BYTES
         pairs = spark.sparkContext.broadcast(Bits.of(survivors(texts, slots, range(1, 3), threshold)))
         longer = spark.sparkContext.broadcast(Bits.of(survivors(texts, slots, range(3, longest + 1), threshold, pairs)))
-        counted = in_tasks(texts, _counts(longest, pairs, longer), COUNTED)
-        counted = stage(counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(
-            (F.col("f") >= threshold) | F.col("phrase").isNull()), "phrases-counted")
+        packed = in_tasks(texts, _counts(slots, longest, pairs, longer), PACKED)
+        dealt = packed.repartition(slots, "slot").sortWithinPartitions("slot")
+        counted = stage(in_tasks(dealt, _add_up(threshold), FREQUENT), "phrases-counted")
     unstage(*made, keep=(counted,))
     return counted.where("phrase IS NOT NULL"), counted.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
 
