@@ -35,9 +35,14 @@ def raster_position(r: Column | str, c: Column | str) -> Column:
     return F.shiftleft(row.cast("bigint"), 32).bitwiseOR(col.cast("bigint"))
 
 
-def region_summary(pixels: DataFrame, tile: int) -> DataFrame:
-    """One row per region of ``pixels(scope, r, c, tb)``: label, box and sums."""
-    tiles = stage(_label_tiles(pixels, tile, with_pixels=False), "tiles")
+def region_summary(pixels: DataFrame, tile: int, thresholds: tuple[float, ...] | None = None) -> DataFrame:
+    """One row per region of ``pixels(scope, r, c, tb)``: label, box and sums.
+
+    With ``thresholds`` regions below each of them are found in the same pass: pixels
+    are shuffled once however many there are, seams of all are merged together, and
+    the scope of a region is ``scope * len(thresholds) + place of its threshold``.
+    """
+    tiles = stage(_label_tiles(pixels, tile, False, thresholds), "tiles")
     parts = tiles.where(F.col("kind") == REGION)
     merged = _merged_labels(tiles)
     if merged is not None:
@@ -60,7 +65,7 @@ def label_pixels(pixels: DataFrame, tile: int) -> DataFrame:
     return rows.select("scope", "r", "c", "tb", "label")
 
 
-def _label_tiles(pixels: DataFrame, tile: int, with_pixels: bool) -> DataFrame:
+def _label_tiles(pixels: DataFrame, tile: int, with_pixels: bool, thresholds: tuple[float, ...] | None = None) -> DataFrame:
     ship_package(pixels.sparkSession)
     return (
         pixels.select(
@@ -70,7 +75,7 @@ def _label_tiles(pixels: DataFrame, tile: int, with_pixels: bool) -> DataFrame:
             F.col("tb").cast("smallint").alias("tb"),
         )
         .groupBy("scope", "tr", "tc")
-        .applyInArrow(_tile_kernel(tile, with_pixels), TILE_SCHEMA)
+        .applyInArrow(_tile_kernel(tile, with_pixels, thresholds), TILE_SCHEMA)
     )
 
 
@@ -103,12 +108,19 @@ def neighbour_roots(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return smallest_members(r.size, first, second)
 
 
-def _tile_kernel(tile: int, with_pixels: bool):
-    def label(key: tuple, pixels: pa.Table) -> pa.Table:
+def _tile_kernel(tile: int, with_pixels: bool, thresholds: tuple[float, ...] | None):
+    def label_tile(key: tuple, pixels: pa.Table) -> pa.Table:
         scope = key[0].as_py()
         r, c, tb = (pixels.column(name).to_numpy().astype(np.int64) for name in ("r", "c", "tb"))
         order = np.lexsort((c, r))
         r, c, tb = r[order], c[order], tb[order]
+        if thresholds is None:
+            return label(scope, r, c, tb)
+        levels = [(scope * len(thresholds) + k, tb < limit) for k, limit in enumerate(thresholds)]
+        found = [label(level, r[cold], c[cold], tb[cold]) for level, cold in levels if cold.any()]
+        return pa.concat_tables(found) if found else TILE_TYPES.empty_table()
+
+    def label(scope: int, r: np.ndarray, c: np.ndarray, tb: np.ndarray) -> pa.Table:
         roots = neighbour_roots(r, c)
         position = (r << 32) | c
         labels = position[roots]
@@ -142,7 +154,7 @@ def _tile_kernel(tile: int, with_pixels: bool):
             pieces.append((PIXEL, {"label": labels, "r": r, "c": c, "tb": tb}))
         return _table(scope, pieces)
 
-    return label
+    return label_tile
 
 
 TILE_TYPES = pa.schema([

@@ -35,27 +35,15 @@ def system_members(pruned: DataFrame, config: TrackConfig) -> DataFrame:
     return members.join(big, "component", "left_semi")
 
 
-def _below_thresholds(pixels: DataFrame, config: TrackConfig) -> DataFrame:
-    """Element pixels below the outer and, again, below the inner temperature.
-
-    One pass; a scope is one element and one threshold, so regions never cross
-    elements and a large element is many tiles.
-    """
-    cold = pixels.where(F.col("tb") < config.outer_temperature)
-    levels = F.when(
-        F.col("tb") < config.inner_temperature, F.array(F.lit(OUTER), F.lit(INNER))
-    ).otherwise(F.array(F.lit(OUTER)))
-    return cold.select("node", "r", "c", "tb", F.explode(levels).alias("level")).select(
-        F.shiftleft("node", 1).bitwiseOR(F.col("level").cast("bigint")).alias("scope"), "r", "c", "tb")
-
-
 def criteria_areas(elements: DataFrame, pixels: DataFrame, config: TrackConfig) -> DataFrame:
     """Area of each element's largest connected part below the outer and inner temperature.
 
-    Only elements as large as the outer shield are examined.
+    Only elements as large as the outer shield are examined.  Both temperatures are
+    labelled in one pass; a scope is one element and one of them, so regions never
+    cross elements and a large element is many tiles.
     """
-    own = _large_element_pixels(elements, pixels, config)
-    regions = region_summary(_below_thresholds(own, config), config.tile)
+    own = _large_element_pixels(elements, pixels, config).where(F.col("tb") < config.outer_temperature)
+    regions = region_summary(own.withColumnRenamed("node", "scope"), config.tile, (config.outer_temperature, config.inner_temperature))
     cell = F.lit(config.cell_area)
     level = F.col("scope").bitwiseAND(F.lit(1))
     return regions.groupBy(F.shiftright("scope", 1).alias("node")).agg(

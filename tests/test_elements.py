@@ -34,6 +34,26 @@ def test_summary_is_the_same_for_every_tile_size(spark):
     assert small == whole
 
 
+@pytest.mark.parametrize("tile", [4, 512])
+def test_nested_thresholds_in_one_pass(spark, tile):
+    """Every threshold as if it were the only one; the one below all values has no region."""
+    rows = noise(12, frames=2)
+    pixels = spark.createDataFrame(rows, "scope bigint, r int, c int, tb int")
+    limits = (300.0, 225.0, 212.5, 100.0)
+    got = {(x.scope, x.label): (x.n, x.r0, x.r1, x.c0, x.c1, x.tmin, x.tmax, x.tb_sum) for x in labeling.region_summary(pixels, tile, limits).collect()}
+    want = {}
+    for k, limit in enumerate(limits):
+        cold = {row[:3]: row[3] for row in rows if row[3] < limit}
+        regions = {}
+        for point, first in flood_labels(cold).items():
+            regions.setdefault(first, []).append(point)
+        for (frame, r, c), points in regions.items():
+            tb = [cold[p] for p in points]
+            rs, cs = [p[1] for p in points], [p[2] for p in points]
+            want[frame * 4 + k, r << 32 | c] = (len(points), min(rs), max(rs), min(cs), max(cs), min(tb), max(tb), sum(tb))
+    assert got == want
+
+
 def test_labels_move_with_the_picture(spark):
     rows = noise(3, frames=1, side=20)
     moved = [(f, r + 13, c + 7, tb) for f, r, c, tb in rows]
