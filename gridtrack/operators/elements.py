@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridtrack.config import TrackConfig
 from gridtrack.functions.geo import eccentricity
-from gridtrack.operators.boxes import box_statistics
+from gridtrack.operators.boxes import BOX, box_statistics
 from gridtrack.operators.labeling import label_pixels, region_summary
 from gridtrack.operators.numbering import number_rows
 from gridtrack.operators.raster import Raster
@@ -73,7 +73,7 @@ def element_stats(raster: Raster, boxes: DataFrame, config: TrackConfig) -> Data
     if config.element_mode == "component":
         sums = boxes.withColumnRenamed("n", "n_px")
     else:
-        sums = box_statistics(raster.pixels, boxes, config.tile)
+        sums = _box_sums(raster, boxes, config)
     mean = F.col("tb_sum") / F.col("n_px")
     measured = sums.select(
         "frame", "label", "r0", "r1", "c0", "c1", "n_px",
@@ -94,6 +94,16 @@ def element_stats(raster: Raster, boxes: DataFrame, config: TrackConfig) -> Data
     )
 
 
+def _box_sums(raster: Raster, boxes: DataFrame, config: TrackConfig) -> DataFrame:
+    """Sums over all pixels of each box: from the labelling where one tile holds it, from all tiles it touches elsewhere."""
+    names = {"n_px": "box_n", "tb_sum": "box_sum", "tb_sq": "box_sq", "tb_r": "box_r", "tb_c": "box_c", "tmin": "box_min", "tmax": "box_max"}
+    within = boxes.where("open = 0").select(*BOX, *[F.col(held).alias(name) for name, held in names.items()])
+    beyond = boxes.where("open = 1")
+    if beyond.isEmpty():
+        return within
+    return within.unionByName(box_statistics(raster.pixels, beyond, config.tile))
+
+
 def accepts(area: Column, ratio: Column, config: TrackConfig) -> Column:
     """Large enough, or small with a strong enough temperature contrast."""
     return (area >= config.area_min) | (ratio < config.convective_fraction)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtrack.operators.boxes import piece_statistics
 from gridtrack.operators.components import components
 from gridtrack.operators.unionfind import smallest_members
 from gridtrack.session import ship_package, stage
@@ -24,9 +25,12 @@ REGION, INNER_SEAM, OUTER_SEAM, PIXEL = 0, 1, 2, 3
 TILE_SCHEMA = (
     "kind int, scope bigint, label bigint, r int, c int, tb smallint, "
     "r0 int, r1 int, c0 int, c1 int, n bigint, tmin smallint, tmax smallint, "
-    "tb_sum bigint, tb_sq bigint, tb_r bigint, tb_c bigint"
+    "tb_sum bigint, tb_sq bigint, tb_r bigint, tb_c bigint, open int, "
+    "box_n bigint, box_sum bigint, box_sq bigint, box_r bigint, box_c bigint, box_min int, box_max int"
 )
 SUMS = ("n", "tb_sum", "tb_sq", "tb_r", "tb_c")
+#: statistics of all pixels in a region's box, known to its tile unless the region is open: it may go on beyond a seam
+BOX_SUMS = ("box_n", "box_sum", "box_sq", "box_r", "box_c", "box_min", "box_max")
 
 
 def raster_position(r: Column | str, c: Column | str) -> Column:
@@ -36,11 +40,12 @@ def raster_position(r: Column | str, c: Column | str) -> Column:
 
 
 def region_summary(pixels: DataFrame, tile: int, thresholds: tuple[float, ...] | None = None) -> DataFrame:
-    """One row per region of ``pixels(scope, r, c, tb)``: label, box and sums.
+    """One row per region of ``pixels(scope, r, c, tb)``: label, box, sums, and the sums of all pixels in the box.
 
-    With ``thresholds`` regions below each of them are found in the same pass: pixels
+    The latter hold for regions that are not ``open`` to other tiles.  With ``thresholds`` regions below each of them are found in the same pass: pixels
     are shuffled once however many there are, seams of all are merged together, and
-    the scope of a region is ``scope * len(thresholds) + place of its threshold``.
+    the scope of a region is ``scope * len(thresholds) + place of its threshold``; sums of boxes
+    are not made then.
     """
     tiles = stage(_label_tiles(pixels, tile, False, thresholds), "tiles")
     parts = tiles.where(F.col("kind") == REGION)
@@ -51,7 +56,7 @@ def region_summary(pixels: DataFrame, tile: int, thresholds: tuple[float, ...] |
         F.min("r0").alias("r0"), F.max("r1").alias("r1"),
         F.min("c0").alias("c0"), F.max("c1").alias("c1"),
         F.min("tmin").alias("tmin"), F.max("tmax").alias("tmax"),
-        *[F.sum(x).alias(x) for x in SUMS],
+        *[F.sum(x).alias(x) for x in SUMS], F.max("open").alias("open"), *[F.max(x).alias(x) for x in BOX_SUMS],
     )
 
 
@@ -142,6 +147,10 @@ def _tile_kernel(tile: int, with_pixels: bool, thresholds: tuple[float, ...] | N
             "n": total(1), "tmin": lowest(tb), "tmax": -lowest(-tb),
             "tb_sum": total(tb), "tb_sq": total(tb * tb), "tb_r": total(tb * r), "tb_c": total(tb * c),
         }
+        if not with_pixels and thresholds is None:
+            seam = (r % tile == 0) | (c % tile == 0) | (r % tile == tile - 1) | (c % tile == tile - 1)
+            box = piece_statistics(r, c, tb, *(regions[x] for x in ("r0", "r1", "c0", "c1")))
+            regions |= {"open": np.bincount(member[seam], minlength=firsts.size).clip(0, 1), **dict(zip(BOX_SUMS, box))}
         entry = ((r % tile == 0) & (r > 0)) | ((c % tile == 0) & (c > 0))
         east, south = c % tile == tile - 1, r % tile == tile - 1
         pieces = [
