@@ -153,7 +153,7 @@ def difference_log(left: str, right: str, cells: DataFrame, elements: DataFrame,
     ]
     for more in lines:
         head = head.unionByName(more)
-    return head.orderBy("place", "line").select("line")
+    return head.select("place", F.col("line").alias("text"), "line")
 
 
 def write_run_record(spark: SparkSession, record: dict, path: str) -> None:
