@@ -50,7 +50,8 @@ BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAPS = BREAKS.copy()
 GAPS[[0x20, 0x09]] = True
 
-SUMMARY = "slot int, mass bigint, keys binary, counts binary"
+#: a row without keys has the mass of a summary, so that all masses of a slot can come before its keys
+SUMMARY = "slot int, part int, mass bigint, keys binary, counts binary"
 SURVIVORS = "key bigint"
 PACKED = "slot int, lang array<string>, phrase array<string>, words array<int>, n array<bigint>"
 FREQUENT = "lang string, phrase string, words int, f bigint"
@@ -180,11 +181,14 @@ def _summaries(slots: int, lengths: range, known=None):
         last = np.r_[first[1:], slot.size]
         for i in range(0, first.size, SLOTS_PER_BATCH):
             part = list(zip(first[i:i + SLOTS_PER_BATCH], last[i:i + SLOTS_PER_BATCH]))
-            counts = [count[s:e] for s, e in part]
+            slots_here, counts = slot[first[i:i + SLOTS_PER_BATCH]].astype(np.int32), [count[s:e] for s, e in part]
+            nothing = [None] * len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot[first[i:i + SLOTS_PER_BATCH]].astype(np.int32)), pa.array([int(c.sum()) for c in counts], pa.int64()),
-                 pa.array([key[s:e].tobytes() for s, e in part], pa.binary()), pa.array([c[c > 1].tobytes() for c in counts], pa.binary())],
-                names=["slot", "mass", "keys", "counts"])
+                [pa.array(np.tile(slots_here, 2)), pa.array(np.repeat(np.arange(2, dtype=np.int32), len(part))),
+                 pa.array([int(c.sum()) for c in counts] + nothing, pa.int64()),
+                 pa.array(nothing + [key[s:e].tobytes() for s, e in part], pa.binary()),
+                 pa.array(nothing + [c[c > 1].tobytes() for c in counts], pa.binary())],
+                names=["slot", "part", "mass", "keys", "counts"])
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -249,17 +253,21 @@ class MisraGries:
 
 
 def _merge(threshold: int):
-    """Survivors of every hash partition; the summaries of a partition follow each other."""
+    """Survivors of every hash partition; its summaries follow each other, their masses first."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, summary = None, None
+        slot, mass, summary = None, 0, None
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("slot")[i].as_py() != slot:
                     if summary is not None:
                         yield _keys(summary.survivors(threshold))
-                    slot = batch.column("slot")[i].as_py()
-                    summary = MisraGries(ROOM * (batch.column("total")[i].as_py() // threshold + 1))
+                    slot, mass, summary = batch.column("slot")[i].as_py(), 0, None
+                if batch.column("part")[i].as_py() == 0:
+                    mass += batch.column("mass")[i].as_py()
+                    continue
+                if summary is None:
+                    summary = MisraGries(ROOM * (mass // threshold + 1))
                 summary.add(*unpacked(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py()))
         if summary is not None:
             yield _keys(summary.survivors(threshold))
@@ -273,10 +281,9 @@ def _keys(key: np.ndarray) -> pa.RecordBatch:
 
 def survivors(texts: DataFrame, slots: int, lengths: range, threshold: int, known=None) -> DataFrame:
     """Fingerprints of all n-grams that may occur ``threshold`` times."""
-    parts = stage(in_tasks(texts, _summaries(slots, lengths, known), SUMMARY), "phrases-summaries")
-    mass = parts.groupBy("slot").agg(F.sum("mass").alias("total"))
-    dealt = parts.join(mass, "slot").repartition(slots, "slot").sortWithinPartitions("slot")
-    return stage(in_tasks(dealt.select("slot", "total", "keys", "counts"), _merge(threshold), SURVIVORS), "phrases-survivors")
+    parts = in_tasks(texts, _summaries(slots, lengths, known), SUMMARY)
+    dealt = parts.repartition(slots, "slot").sortWithinPartitions("slot", "part")
+    return stage(in_tasks(dealt, _merge(threshold), SURVIVORS), "phrases-survivors")
 
 
 # --- exact counts --------------------------------------------------------------------------------------
