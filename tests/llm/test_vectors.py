@@ -41,7 +41,7 @@ def crowd(seed=3, n=900, size=24):
 
 def true_neighbours(rows, every, k=5):
     """``{(query, place of its row): [(vec_id, score)]}`` of all usable rows."""
-    good = [(i, np.array(x)) for i, x in rows if x and all(c is not None and np.isfinite(c) for c in x) and any(x)]
+    good = [(i, np.array(x, dtype=np.float64)) for i, x in rows if x and all(c is not None and np.isfinite(c) for c in x) and any(x)]
     out = []
     for place, (q, x) in enumerate(good):
         if q is None or q % every:
