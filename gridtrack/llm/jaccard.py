@@ -5,8 +5,8 @@ Two sets that link share n-grams among their first few, so only those prefixes g
 into the index lists.  Equal sets are one class throughout.  Three things keep
 the work small without losing a link:
 
-* lists are cut into blocks by set size, a set probes its own block and the next
-  one, and a pair is skipped at any place where the positions of the shared
+* lists are cut into blocks by set size, a set probes its own block and the ones
+  beside it, and a pair is skipped at any place where the positions of the shared
   n-gram leave too little overlap;
 * in a few star rounds one set of each list is compared with the others, and
   those that link follow it.  A leader's answers hold for its followers: by the
@@ -15,14 +15,21 @@ the work small without losing a link:
 * pairs that are already connected are never compared, as only components are
   asked for, so a group of near copies costs one comparison per member.
 
-The order needs the frequent n-grams only: tasks report n-grams they met in
-several documents, and the most frequent ``FREQUENT`` of them move to the end of
-the order.  Any order gives the same links.
+What the star rounds leave open goes through probe rounds.  A round picks some
+sets of every list, four times as many as the round before, and compares each with
+every set of another component that shares enough of its prefix.  A set that has probed
+has all its answers and leaves the lists; lists of one component leave as a whole.
+The rounds end when no list is left, so every pair is answered, by a comparison, by a
+leader or by a connection, and rounds grow with the logarithm of the longest list.
+
+The order counts every n-gram of every text in ``ORDER_SLOTS`` hash slots, and n-grams
+of full slots move to the end.  Any order gives the same links.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,15 +47,14 @@ from gridtrack.session import stage, stage_scope, unstage
 
 WIDTH = 4
 SHARE, WHOLE = 85, 100
-FREQUENT = 200_000
-DOCS_PER_REPORT = 2500
-# a little more than the size ratio of linked sets allows, so they never lie two blocks apart
-SIZE_STEP = -math.log(SHARE / WHOLE) * 1.001
+ORDER_SLOTS = 1 << 22
+ORDER_PARTS = 64
 SLOTS = 1 << 21
 STAR_ROUNDS = 3
+MORE_CENTRES = 4
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
-REPORT = "token bigint, n bigint"
+COUNTS = "part int, counts binary"
 SETS = "doc_id bigint, text_hash bigint, n int, set_id bigint, prefix array<bigint>"
 TOKENS = "set_id bigint, tokens array<bigint>"
 
@@ -78,40 +84,68 @@ def set_ids(row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _report(width: int):
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot(token: np.ndarray) -> np.ndarray:
+    return (mix(token) >> np.uint64(64 - (ORDER_SLOTS.bit_length() - 1))).astype(np.int64)
+
+
+def _packed(part: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+    rows = [zlib.compress(c.astype("<u8").tobytes(), 1) for c in counts]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), dtype="<u8")
+
+
+def _count(width: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_SLOTS, dtype=np.uint32)
         for batch in batches:
             texts = batch.column(0)
-            met = [token_sets(texts.slice(s, e - s), width)[1] for s, e in text_slices(texts)]
-            if met:
-                token, n = np.unique(np.concatenate(met), return_counts=True)
-                often = n >= 2 + len(texts) // DOCS_PER_REPORT
-                yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
+            for s, e in text_slices(texts):
+                np.add.at(total, _slot(token_sets(texts.slice(s, e - s), width)[1]), np.uint32(1))
+        if total.any():
+            yield _packed(np.arange(ORDER_PARTS), np.split(total, ORDER_PARTS))
 
-    return report
+    return count
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[part] = total.get(part, 0) + _unpacked(counts.as_py())
+    if total:
+        yield _packed(np.array(list(total)), list(total.values()))
+
+
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many n-grams of all sets fall into each slot, rounded to single precision, which keeps their order."""
+    packed = in_tasks(texts, _count(width), COUNTS).repartition(ORDER_PARTS, "part")
+    found = in_tasks(packed, _add, COUNTS).toArrow()
+    out = np.zeros((ORDER_PARTS, ORDER_SLOTS // ORDER_PARTS), dtype=np.float32)
+    for part, counts in zip(found.column("part").to_pylist(), found.column("counts"), strict=True):
+        out[part] = _unpacked(counts.as_py())
+    return out.ravel()
+
+
+def prefix_length(n: np.ndarray, share: int) -> np.ndarray:
     """How many of a set's first tokens any linked set must share one of."""
-    return n - (SHARE * n + WHOLE - 1) // WHOLE + 1
+    return n - (share * n + WHOLE - 1) // WHOLE + 1
 
 
-def _build(frequent: Broadcast, width: int):
+def _build(often: Broadcast, width: int, share: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = frequent.value
         for batch in batches:
             for s, e in text_slices(batch.column(2)):
                 row, token = token_sets(batch.column(2).slice(s, e - s), width)
                 ids = set_ids(row, token, e - s)
-                often = np.zeros(token.size, dtype=np.int64)
-                if known.size and token.size:
-                    at = np.minimum(np.searchsorted(known, token), known.size - 1)
-                    often = np.where(known[at] == token, count[at], 0)
-                order = np.argsort(row * np.int64(1 << 32) + np.minimum(often, (1 << 32) - 1), kind="stable")
+                order = np.lexsort((often.value[_slot(token)], row))
                 bounds = np.searchsorted(row, np.arange(e - s + 1))
                 n = np.diff(bounds)
                 place = np.arange(token.size) - bounds[row]
-                head = place < prefix_length(n)[row]
+                head = place < prefix_length(n, share)[row]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(np.bincount(row[head], minlength=e - s))].astype(np.int32)),
                     pa.array(token[order][head].view(np.int64)))
@@ -138,19 +172,19 @@ def _whole(width: int):
 
 # --- index lists -----------------------------------------------------------------------------
 
-def size_block(n: Column) -> Column:
-    """Linked sets are in the same block or in neighbours, as a block is wider than the size ratio of a link."""
-    return F.floor(F.log(n.cast("double")) / SIZE_STEP).cast("int")
+def size_block(n: Column, share: int) -> Column:
+    """Linked sets are in the same block or in neighbours, as a block is a little wider than the size ratio of a link."""
+    return F.floor(F.log(n.cast("double")) / (-math.log(share / WHOLE) * 1.001)).cast("int")
 
 
-def needed(a: Column, b: Column) -> Column:
+def needed(a: Column, b: Column, share: int) -> Column:
     """Overlap that sets of sizes ``a`` and ``b`` need to link."""
-    return F.ceil((a + b) * F.lit(SHARE) / F.lit(WHOLE + SHARE))
+    return F.ceil((a + b) * F.lit(share) / F.lit(WHOLE + share))
 
 
-def kept_whole(n: Column) -> Column:
+def kept_whole(n: Column, share: int) -> Column:
     """Tokens of a set behind its prefix."""
-    return F.ceil(n * F.lit(SHARE) / F.lit(WHOLE)) - 1
+    return F.ceil(n * F.lit(share) / F.lit(WHOLE)) - 1
 
 
 def index_lists(classes: DataFrame) -> DataFrame:
@@ -197,90 +231,94 @@ class WholeSets:
         return self.tokens
 
 
-def linked() -> Column:
-    return F.col("overlap") * WHOLE >= F.col("union_size") * SHARE
+def linked(share: int) -> Column:
+    return F.col("overlap") * WHOLE >= F.col("union_size") * share
 
 
 def distance() -> Column:
     return 1 - F.col("overlap") / F.col("union_size")
 
 
-FAR = 1 - SHARE / WHOLE + 1e-9
+def far(share: int) -> float:
+    return 1 - share / WHOLE + 1e-9
 
 
-def enough() -> Column:
+def enough(share: int) -> Column:
     """Shared prefix tokens suffice: all others of the overlap lie behind the prefix of one of the two."""
-    return F.col("shared") >= needed(F.col("n_a"), F.col("n_b")) - F.greatest(kept_whole(F.col("n_a")), kept_whole(F.col("n_b")))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    return F.col("shared") >= needed(n_a, n_b, share) - F.greatest(kept_whole(n_a, share), kept_whole(n_b, share))
 
 
-def links(lists: DataFrame, whole: WholeSets) -> DataFrame:
+def links(lists: DataFrame, whole: WholeSets, share: int) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all links."""
     # star rounds: one set of every list is compared with the others that are not connected to it yet
-    open_ = stage(lists.withColumn("block", size_block(F.col("n"))).withColumn("root", F.col("set_id")), "jaccard-open")
+    open_ = stage(lists.withColumn("block", size_block(F.col("n"), share)).withColumn("root", F.col("set_id")), "jaccard-open")
     found, followers = [open_.select(F.col("set_id").alias("a"), F.col("root").alias("b")).limit(0)], []
     for number in range(STAR_ROUNDS):
         centre = open_.groupBy("token", "block").agg(
             F.min(F.struct(F.xxhash64("set_id", F.lit(number)).alias("order"), "set_id", "n", "root")).alias("centre"))
         stars = open_.join(centre, ["token", "block"]).where("centre.root <> root").select(
             F.col("centre.set_id").alias("a"), F.col("set_id").alias("b"), F.col("centre.n").alias("n_a"), F.col("n").alias("n_b"))
-        tried = stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(enough())
-        new = stage(whole.compare(tried.select("a", "b")).where(linked()).select("a", "b", distance().alias("radius")), "jaccard-stars")
+        tried = stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(enough(share))
+        new = stage(whole.compare(tried.select("a", "b")).where(linked(share)).select("a", "b", distance().alias("radius")), "jaccard-stars")
         if new.isEmpty():
             break
         found.append(new.select("a", "b"))
         followers.append(new.withColumn("round", F.lit(number)))
         open_ = _open(_rooted(open_, new))
-    if open_.isEmpty():
-        return reduce(DataFrame.unionByName, found)
 
-    # leaders answer for their followers: a set follows the first centre that it linked with
+    # a set follows the first centre that it linked with
     open_ = open_.withColumn("leader", F.col("set_id")).withColumn("radius", F.lit(0.0))
     if followers:
         lead = reduce(DataFrame.unionByName, followers).groupBy(F.col("b").alias("set_id")).agg(
             F.min(F.struct("round", "a", "radius")).alias("lead"))
-        open_ = stage(open_.join(lead, "set_id", "left").select(
+        open_ = open_.drop("leader", "radius").join(lead, "set_id", "left").select(
             "token", "block", "set_id", "n", "pos", "root", F.coalesce("lead.a", "set_id").alias("leader"),
-            F.coalesce("lead.radius", F.lit(0.0)).alias("radius")), "jaccard-members")
-    groups = open_.groupBy("token", "leader", "root").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"),
-        F.max((F.col("set_id") != F.col("leader")).cast("int")).alias("many"), F.max("radius").alias("radius"))
-    groups = stage(groups, "jaccard-groups").withColumn("block", size_block(F.col("lo"))).withColumn("top", size_block(F.col("hi")))
-    columns = ("leader", "root", "lo", "hi", "pos", "many", "radius")
-    left = groups.select("token", *[F.col(c).alias(f"{c}_a") for c in columns],
-                         F.explode(F.sequence("block", F.col("top") + 1)).alias("block"), F.col("block").alias("low_a"))
-    right = groups.select("token", *[F.col(c).alias(f"{c}_b") for c in columns],
-                          F.explode(F.sequence("block", "top")).alias("block"), F.col("block").alias("low_b"))
-    near = left.join(right, ["token", "block"]).where(
-        # a pair meets in the first block that both reach, and once if both start there
-        (F.col("root_a") != F.col("root_b")) & (F.col("block") == F.greatest("low_a", "low_b"))
-        & ((F.col("low_a") < F.col("low_b")) | ((F.col("low_a") == F.col("low_b")) & (F.col("leader_a") < F.col("leader_b"))))
-        & (F.col("hi_a") * WHOLE >= F.col("lo_b") * SHARE) & (F.col("hi_b") * WHOLE >= F.col("lo_a") * SHARE)
-        & ((F.col("many_a") + F.col("many_b") > 0) | fits("lo_a", "pos_a", "lo_b", "pos_b")))
-    asked = near.groupBy(F.least("leader_a", "leader_b").alias("a"), F.greatest("leader_a", "leader_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.col("many_a") + F.col("many_b")).alias("many"),
-        F.max("lo_a").alias("n_a"), F.max("lo_b").alias("n_b"), F.max(F.col("radius_a") + F.col("radius_b")).alias("radius"))
-    asked = asked.where((F.col("many") > 0) | enough())
-    answers = stage(whole.compare(asked.select("a", "b", "many", "radius")).select(
-        "a", "b", "many", "radius", linked().alias("link"), distance().alias("apart")), "jaccard-answers")
-    found.append(answers.where("link").select("a", "b"))
-
-    # followers are compared where the leaders' distance leaves it open, each pair once
-    unsure = answers.where(~F.col("link") & (F.col("many") > 0) & (F.col("apart") <= F.col("radius") + FAR)).select("a", "b", "apart")
-    if not unsure.isEmpty():
-        members = stage(_rooted(open_, found[-1]).select("set_id", "n", "root", "leader", "radius").distinct(), "jaccard-followers")
-        one, two = (members.select(*[F.col(c).alias(f"{c}_{x}") for c in members.columns]) for x in "ab")
-        tried = (
-            unsure.join(one, F.col("a") == F.col("leader_a")).where(F.col("apart") <= F.col("radius_a") + 2 * FAR)
-            .join(two, F.col("b") == F.col("leader_b"))
-            .where((F.col("root_a") != F.col("root_b")) & (F.col("apart") <= F.col("radius_a") + F.col("radius_b") + FAR)
-                   & (F.col("n_a") * WHOLE >= F.col("n_b") * SHARE) & (F.col("n_b") * WHOLE >= F.col("n_a") * SHARE)
-                   # the leaders themselves have been compared
-                   & ((F.col("set_id_a") != F.col("a")) | (F.col("set_id_b") != F.col("b"))))
-            .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")))
-        found.append(stage(whole.compare(tried).where(linked()).select("a", "b"), "jaccard-last"))
+            F.coalesce("lead.radius", F.lit(0.0)).alias("radius"))
+    open_ = stage(open_, "jaccard-members")
+    centres = MORE_CENTRES
+    while not open_.isEmpty():
+        new, open_ = _probe(open_, whole, centres, share)
+        found.append(new)
+        centres *= MORE_CENTRES
     return reduce(DataFrame.unionByName, found)
 
 
+def _probe(open_: DataFrame, whole: WholeSets, centres: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Links of up to ``centres`` sets of every list, and the lists without these sets."""
+    cell = F.pmod(F.xxhash64("set_id", F.lit(centres)), F.lit(centres)).alias("cell")
+    picked = open_.groupBy("token", "block", cell).agg(
+        F.min(F.struct(F.xxhash64("set_id").alias("order"), "set_id")).alias("first")).select("first.set_id").distinct()
+    rows = stage(open_.join(picked.withColumn("picked", F.lit(True)), "set_id", "left").withColumn(
+        "picked", F.coalesce("picked", F.lit(False))), "jaccard-picked")
+    columns = ("set_id", "n", "pos", "root", "leader", "radius", "picked")
+    ours = rows.where("picked").select(
+        "token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    theirs = rows.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in columns])
+    met = ours.join(theirs, ["token", "block"]).where(
+        (F.col("root_a") != F.col("root_b"))
+        # two that probe meet once
+        & (~F.col("picked_b") | (F.col("set_id_a") < F.col("set_id_b")))
+        & (F.col("n_a") * WHOLE >= F.col("n_b") * share) & (F.col("n_b") * WHOLE >= F.col("n_a") * share)
+        & fits("n_a", "pos_a", "n_b", "pos_b", share))
+    # every list that both are in is still open, as their components differ, so all shared tokens are counted
+    tried = met.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b", "leader_b", "radius_b").agg(
+        F.count(F.lit(1)).alias("shared")).where(enough(share)).select("a", "b", "leader_b", "radius_b")
+    tried = stage(tried, "jaccard-tried")
+
+    # a leader is asked first where several of its followers are to be compared
+    asked = tried.groupBy("a", F.col("leader_b").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    answers = stage(whole.compare(asked).select(
+        "a", F.col("b").alias("leader_b"), linked(share).alias("link"), distance().alias("apart")), "jaccard-answers")
+    known = tried.join(answers, ["a", "leader_b"], "left")
+    left = known.where(F.col("link").isNull() | (
+        ~F.col("link") & (F.col("b") != F.col("leader_b")) & (F.col("apart") <= F.col("radius_b") + far(share))))
+    new = stage(whole.compare(left.select("a", "b")).where(linked(share)).select("a", "b"), "jaccard-probed")
+    through = known.where("link").select("a", "b")
+    rest = _open(_rooted(rows, new.unionByName(through)).where("not picked").drop("picked"))
+    return new.unionByName(answers.where("link").select("a", F.col("leader_b").alias("b"))), rest
+
+
 def _rooted(rows: DataFrame, new: DataFrame) -> DataFrame:
     """``rows`` with the roots that follow from new links between their sets."""
     roots = rows.select("set_id", "root").distinct()
@@ -301,18 +339,19 @@ def _open(rows: DataFrame) -> DataFrame:
     return stage(rows.join(mixed, "token"), "jaccard-open")
 
 
-def fits(n_a: str, pos_a: str, n_b: str, pos_b: str) -> Column:
+def fits(n_a: str, pos_a: str, n_b: str, pos_b: str, share: int) -> Column:
     """The positions of a shared token leave room for the overlap."""
     a, i, b, j = (F.col(c) for c in (n_a, pos_a, n_b, pos_b))
-    return F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1) >= needed(a, b)
+    return F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1) >= needed(a, b, share)
 
 
 # --- the operator ----------------------------------------------------------------------------
 
-def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, group_id, component_id)`` for every row of ``docs(doc_id, text)``.
 
-    ``doc_id`` is an integer column.  ``component_id`` is the smallest id of the
+    Two documents link when their distinct ``width``-word n-grams agree in ``share`` of
+    100 of their union.  ``doc_id`` is an integer column.  ``component_id`` is the smallest id of the
     documents reachable by links, itself included; null ids are passed over unless
     a component has no other.  A text with fewer words than ``width`` has its whole
     sequence as its only n-gram; a null or empty text has none, no ``group_id``, and
@@ -321,20 +360,15 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     with stage_scope() as made:
         spark = docs.sparkSession
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-        often = in_tasks(rows.select("text"), _report(width), REPORT).groupBy("token").agg(F.sum("n").alias("n"))
-        most = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-        token = most.column("token").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(token)
-        frequent = spark.sparkContext.broadcast((token[order], most.column("n").to_numpy().astype(np.int64)[order]))
-
-        sets = stage(in_tasks(rows, _build(frequent, width), SETS), "jaccard-sets")
+        often = spark.sparkContext.broadcast(slot_counts(rows.select("text"), width))
+        sets = stage(in_tasks(rows, _build(often, width, share), SETS), "jaccard-sets")
         full = sets.where("n > 0")
         classes = stage(
             full.groupBy("set_id").agg(
                 F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_hash", "n", "prefix")).alias("s"))
             .select("set_id", "smallest", "copies", "s.*"), "jaccard-classes")
         lists = index_lists(classes)
-        found = stage(links(lists, WholeSets(rows, classes, width)), "jaccard-links")
+        found = stage(links(lists, WholeSets(rows, classes, width), share), "jaccard-links")
         labels = classes.select("set_id", "smallest", "copies", F.col("set_id").alias("root"))
         if not found.isEmpty():
             roots = components(found.select(F.lit(0).cast("long").alias("scope"), "a", "b")).select(F.col("node").alias("set_id"), "root")
@@ -352,13 +386,13 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """``docs`` with one row of every component left: the one with the smallest id, a null id first, then text hash.
 
     Texts without words are not linked with anything and all stay.
     """
     with stage_scope() as made:
-        groups = stage(similar_groups(docs, width), "jaccard-groups-of-rows")
+        groups = stage(similar_groups(docs, width, share), "jaccard-groups-of-rows")
     unstage(*made, keep=(groups,))
     groups = groups.where("n_shingles > 0")
     kept = groups.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(
