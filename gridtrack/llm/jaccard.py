@@ -15,8 +15,8 @@ the work small without losing a link:
 * pairs that are already connected are never compared, as only components are
   asked for, so a group of near copies costs one comparison per member.
 
-What the star rounds leave open goes through probe rounds.  A round picks some
-sets of every list, four times as many as the round before, and compares each with
+What the star rounds leave open goes through probe rounds.  A round picks sets,
+of every list four times as many at most as the round before, and compares each with
 every set of another component that shares enough of its prefix.  A set that has probed
 has all its answers and leaves the lists; lists of one component leave as a whole.
 The rounds end when no list is left, so every pair is answered, by a comparison, by a
@@ -276,7 +276,7 @@ def links(lists: DataFrame, whole: WholeSets, share: int) -> DataFrame:
             "token", "block", "set_id", "n", "pos", "root", F.coalesce("lead.a", "set_id").alias("leader"),
             F.coalesce("lead.radius", F.lit(0.0)).alias("radius"))
     open_ = stage(open_, "jaccard-members")
-    centres = MORE_CENTRES
+    centres = 1
     while not open_.isEmpty():
         new, open_ = _probe(open_, whole, centres, share)
         found.append(new)
@@ -285,10 +285,17 @@ def links(lists: DataFrame, whole: WholeSets, share: int) -> DataFrame:
 
 
 def _probe(open_: DataFrame, whole: WholeSets, centres: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """Links of up to ``centres`` sets of every list, and the lists without these sets."""
+    """Links of up to ``centres`` sets of every list, and the lists without these sets.
+
+    Sets fall into as many cells as there are centres, and a set probes if it comes
+    first of its cell in all of its lists.  So no list has two of one cell, though a
+    set that probes does so in all of its lists, and the first set of a cell always does.
+    """
     cell = F.pmod(F.xxhash64("set_id", F.lit(centres)), F.lit(centres)).alias("cell")
-    picked = open_.groupBy("token", "block", cell).agg(
-        F.min(F.struct(F.xxhash64("set_id").alias("order"), "set_id")).alias("first")).select("first.set_id").distinct()
+    first = open_.groupBy("token", "block", cell).agg(F.min(F.struct(F.xxhash64("set_id").alias("order"), "set_id")).alias("first"))
+    wins = first.groupBy(F.col("first.set_id").alias("set_id")).agg(F.count(F.lit(1)).alias("wins"))
+    places = open_.groupBy("set_id").agg(F.count(F.lit(1)).alias("places"))
+    picked = stage(places.join(wins, "set_id").where("wins = places").select("set_id"), "jaccard-centres")
     rows = stage(open_.join(picked.withColumn("picked", F.lit(True)), "set_id", "left").withColumn(
         "picked", F.coalesce("picked", F.lit(False))), "jaccard-picked")
     columns = ("set_id", "n", "pos", "root", "leader", "radius", "picked")

@@ -9,13 +9,13 @@ from gridtrack.llm.words import words_of
 from tests.llm import tables
 
 
-def shingle_set(text):
+def shingle_set(text, width=4):
     words = tables.word_list(tables.fold(text))
-    return frozenset(tuple(words[i:i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+    return frozenset(tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def components(rows):
-    sets = [shingle_set(text) for _, text in rows]
+def components(rows, width=4, share=85):
+    sets = [shingle_set(text, width) for _, text in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -25,7 +25,7 @@ def components(rows):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= share * len(a | b):
                 root[find(i)] = find(j)
     ids = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -75,6 +75,21 @@ def test_contained_sets_link_at_the_largest_size_ratio(spark):
     assert [r[2] for r in got] == [0, 0, 2, 2, 4, 4, 6, 6]
 
 
+def siblings():
+    """Copies of one text with edits of their own, around the threshold: few of many similar pairs link."""
+    words = tables.prose(77, 150).split()
+    return [(i, " ".join(f"own{i}at{k}" if (k * 7 + i * 5) % (22 + i % 30) == 0 else w for k, w in enumerate(words))) for i in range(60)]
+
+
+@pytest.mark.parametrize("width,share", [(4, 85), (5, 80)])
+def test_groups_of_similar_sets_that_mostly_do_not_link(spark, width, share):
+    rows = siblings()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"])
+                  for r in jaccard.similar_groups(tables.texts(spark, rows), width, share).collect()), key=str)
+    want = components(rows, width, share)
+    assert got == want and 1 < len({c for _, _, c in want}) < len(rows)
+
+
 def test_one_of_each_component_stays(spark):
     docs = tables.awkward(spark)
     left = jaccard.one_of_each(docs)

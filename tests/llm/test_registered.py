@@ -42,7 +42,7 @@ def test_pipeline_stages(spark):
 
     single = corpus_pipeline.drop_near_duplicates(spark, clean, tables.DATA)
     from gridtrack.llm import jaccard
-    groups = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(clean).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(clean, 5, 80).collect()}
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(groups.values()))
 
     items = spark.read.parquet(f"{tables.DATA}/benchmark.parquet").collect()
