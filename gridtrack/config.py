@@ -65,6 +65,7 @@ class TrackConfig:
     max_bad_share: float = 0.5
     rain_tolerance: float | None = None
     netcdf_products: bool = False
+    fold_longitudes: bool = True
 
     def __post_init__(self) -> None:
         for item in fields(self):

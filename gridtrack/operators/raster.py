@@ -32,11 +32,12 @@ def raster_from_grid(grid: DataFrame, config: TrackConfig, clip: bool = True,
     """Build the raster from ``grid(frame, ts, r, c, lat, lon, tb)``.
 
     ``known`` supplies the full axes and frames where the long table omits empty
-    lines or frames.  Raises on an empty grid.
+    lines or frames.  Longitudes are folded if ``config.fold_longitudes`` says so.
+    Raises on an empty grid.
     """
     if grid.isEmpty():
         raise ValueError("the grid has no rows: check the input path and period")
-    dims = known or grid_dimensions(grid)
+    dims = known or grid_dimensions(grid, config.fold_longitudes)
     rows, cols = dims.rows, dims.cols
     kept = grid
     if clip:
@@ -63,9 +64,11 @@ class Dimensions:
     frames: DataFrame
 
 
-def grid_dimensions(grid: DataFrame) -> Dimensions:
+def grid_dimensions(grid: DataFrame, fold: bool = True) -> Dimensions:
     """Axes and frame table of a long grid, from one pass over it.
 
+    ``fold`` brings 0..360 longitudes to -180..180; without it they stay as they are.
+
     Lines and frames are collapsed inside each task before the shuffle.  The
     stage table lets later joins see how small the three are.
     """
@@ -82,7 +85,7 @@ def grid_dimensions(grid: DataFrame) -> Dimensions:
             F.min("place").alias("place"), F.min("ts").alias("ts")), "dimensions")
     return Dimensions(
         lines.where("axis = 'r'").select(F.col("line").alias("r"), F.col("place").alias("lat")),
-        lines.where("axis = 'c'").select(F.col("line").alias("c"), normalize_longitude("place").alias("lon")),
+        lines.where("axis = 'c'").select(F.col("line").alias("c"), (normalize_longitude("place") if fold else F.col("place")).alias("lon")),
         lines.where("axis = 'f'").select(F.col("line").alias("frame"), "ts"),
     )
 

@@ -34,9 +34,13 @@ class CoarseGrid:
     lon: AxisInfo
 
 
-def coarse_grid(source: DataFrame) -> CoarseGrid:
-    """Index the coarse dataset; negative, NULL and absent values are missing."""
-    folded = stage(source.select("ts", "lat", normalize_longitude("lon").alias("lon"), "value"), "coarse-source")
+def coarse_grid(source: DataFrame, fold: bool = True) -> CoarseGrid:
+    """Index the coarse dataset; negative, NULL and absent values are missing.
+
+    ``fold`` brings 0..360 longitudes to -180..180, as it must be done to the fine grid as well.
+    """
+    lon = normalize_longitude("lon") if fold else F.col("lon")
+    folded = stage(source.select("ts", "lat", lon.alias("lon"), "value"), "coarse-source")
     # every grid line once: axes and limits come from this small table
     lines = stage(
         folded.select(F.explode(F.array(

@@ -302,19 +302,19 @@ def asof_bucket(spark, sf_dir):
 
 
 def regrid_feather(spark, sf_dir):
-    filled = regrid.feather(regrid.coarse_grid(data.rain_source(spark, sf_dir)))
+    filled = regrid.feather(regrid.coarse_grid(data.rain_source(spark, sf_dir), CONFIG.fold_longitudes))
     return filled.cells.select("ts", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), r6("value"), "missing")
 
 
 def regrid_bilinear(spark, sf_dir):
     raster = data.raster(spark, sf_dir)
-    out = regrid.regrid_bilinear(regrid.coarse_grid(data.rain_source(spark, sf_dir)), raster.rows, raster.cols)
+    out = regrid.regrid_bilinear(regrid.coarse_grid(data.rain_source(spark, sf_dir), CONFIG.fold_longitudes), raster.rows, raster.cols)
     return out.select("ts", "r", "c", r6("value"))
 
 
 def regrid_cubic(spark, sf_dir):
     raster = data.raster(spark, sf_dir)
-    out = regrid.regrid_cubic(regrid.coarse_grid(data.rain_source(spark, sf_dir)), raster.rows, raster.cols)
+    out = regrid.regrid_cubic(regrid.coarse_grid(data.rain_source(spark, sf_dir), CONFIG.fold_longitudes), raster.rows, raster.cols)
     return out.select("ts", "r", "c", r6("value"))
 
 
@@ -326,7 +326,7 @@ def element_precip(spark, sf_dir):
 def precip_late_attach(spark, sf_dir):
     """Elements that already carry a total keep it; the rest is attached afterwards."""
     raster, found = _elements(spark, sf_dir)
-    rain = precip.element_rain(found.pixels, data.rain_source(spark, sf_dir), raster)
+    rain = precip.element_rain(found.pixels, data.rain_source(spark, sf_dir), raster, fold=CONFIG.fold_longitudes)
     known = found.accepted.withColumn("precip_total", F.when(F.col("frame") % 2 == 0, F.lit(-1.0)))
     wet = precip.attach_rain(known, rain, CONFIG)
     return wet.select("id", r6("precip_total"), "precip_area", r6("precip_max"), r6("precip_min"))
@@ -335,7 +335,7 @@ def precip_late_attach(spark, sf_dir):
 def stored_rain(spark, sf_dir):
     """Rain brought into stored elements of which some carry a total already."""
     raster, found = _elements(spark, sf_dir)
-    rain = precip.element_rain(found.pixels, data.rain_source(spark, sf_dir), raster)
+    rain = precip.element_rain(found.pixels, data.rain_source(spark, sf_dir), raster, fold=CONFIG.fold_longitudes)
     path = scratch_path(spark, "stored-elements")
     known = found.accepted.withColumn("precip_total", F.when(F.col("frame") % 2 == 0, F.lit(-1.0)))
     stored.create(known, path, tables.ELEMENT_KEYS, tables.ELEMENT_PARTS)

@@ -45,6 +45,8 @@ def load_grid(spark: SparkSession, config: TrackConfig, source_format: str = "ne
         raise ValueError("grid_dir is not configured")
     if source_format == "parquet":
         return raster_from_grid(between_times(spark.read.parquet(config.grid_dir), config), config), None
+    if not config.fold_longitudes:
+        raise ValueError("axes of grid files are in degrees and always folded")
     read = read_grid_files(
         spark, config.grid_dir, format=source_format, value_max=config.t_bb_max, margin=1,
         lat_min=config.lat_min, lat_max=config.lat_max, lon_min=config.lon_min, lon_max=config.lon_max, **_period(config))
@@ -97,7 +99,8 @@ def attach_rain_later(spark: SparkSession, config: TrackConfig, raster: Raster,
     """
     root = config.output_dir
     pixels = spark.read.parquet(f"{root}/element_grids").select("frame", "ce_no", "r", "c", "tb")
-    rain = stage(element_rain(pixels, source, raster, tolerance=config.rain_tolerance), "element-rain")
+    found = element_rain(pixels, source, raster, tolerance=config.rain_tolerance, fold=config.fold_longitudes)
+    rain = stage(found, "element-rain")
     write_by_day(located(rain, raster), f"{root}/rain_grids")
     members = spark.read.parquet(f"{root}/feature_members")
     elements = store_rain(f"{root}/elements", rain, config)
