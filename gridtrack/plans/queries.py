@@ -183,7 +183,7 @@ def netcdf_round_trip(spark, sf_dir):
     path = scratch_path(spark, "element-grids")
     netcdf.write_grids(netcdf.element_grids(found.pixels, "tb", raster, "cloudElements"), raster, path, "brightnesstemp", "Kelvin", "temperatures")
     with gridfiles.pushing(spark):
-        cells = gridfiles.open_files(spark, path, variable="brightnesstemp").where("kind = 'cell' AND value > 0")
+        cells = gridfiles.open_files(spark, path, variable="brightnesstemp", fold=CONFIG.fold_longitudes).where("kind = 'cell' AND value > 0")
         name = dates.parse_element_file(F.element_at(F.split("file", "/"), -1))
         return stage(cells.select(name.alias("p"), "ts", "r", "c", "lat", "lon", F.col("value").alias("tb")).select(
             "p.frame", "p.ce_no", "ts", "r", "c", "lat", "lon", "tb"), "element-grids-read")

@@ -194,7 +194,8 @@ class _SliceReader(DataSourceReader):
     def cells(self, grid, file: str, t: int, ts, units: str, offset: float, first: int) -> Iterator[pa.RecordBatch]:
         """The cells of a band of rows that the filters leave; a band outside them is not read."""
         lat = grid.lat[first: first + grid.band]
-        lon = np.where(grid.lon > 180, grid.lon - 360, grid.lon)
+        fold = self.options.get("fold", "true") == "true"
+        lon = np.where((grid.lon > 180) & fold, grid.lon - 360, grid.lon)
         rows, cols = self.ranges["lat"].hold(lat), self.ranges["lon"].hold(lon)
         if not rows.any() or not cols.any():
             return
@@ -428,7 +429,7 @@ class GridRead:
 
 
 def open_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """All rows of the source, to be filtered by a plain ``where``.
+    """All rows of the source, to be filtered by a plain ``where``; ``fold=False`` leaves 0..360 longitudes as they are.
 
     The session's pushdown setting must be the same here and where the rows are read.
     """

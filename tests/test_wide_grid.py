@@ -23,7 +23,7 @@ def wide(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["clip_domain", "element_center", "element_pixel_list", "element_precip"])
+@pytest.mark.parametrize("name", ["clip_domain", "element_center", "element_pixel_list", "element_precip", "netcdf_round_trip"])
 def test_longitudes_of_the_driver_grid_are_not_folded(spark, wide, name):
     got = driver.queries()[name](spark, wide)
     want = connect(wide).execute(driver.oracle_sql()[name])
