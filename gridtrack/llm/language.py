@@ -12,6 +12,7 @@ per character.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtrack.llm.kernels import in_tasks
@@ -29,8 +30,9 @@ from gridtrack.session import stage
 ORDER = 4
 HASH_BITS = 22
 CHAR_BITS = 16
-SAMPLE_ROWS = 4000
 ACCEPTED = 0.999
+TEMPERATURES = (1, 2, 4, 8)
+BINS = 1024
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 
@@ -266,31 +268,48 @@ def cross_entropies(docs: DataFrame, model: DataFrame, columns: list[str]) -> tu
 
 # --- calibration and prediction --------------------------------------------------------------
 
-def calibrate(samples: DataFrame, langs: list[str]) -> tuple[float, dict[str, float]]:
+def calibrate(scored: DataFrame, langs: list[str]) -> tuple[float, dict[str, float]]:
     """Temperature of the scores, and per language the cross-entropy above which a text is rejected.
 
-    ``samples(lang, chars, entropies)`` has at most ``SAMPLE_ROWS`` rows.
+    Both come from all rows of ``scored(lang, chars, entropies)``.  The limit is the ``ACCEPTED``
+    quantile, between its two neighbours: bins are counted first, then values of the bins
+    that hold the two.
     """
-    rows = samples.toArrow().to_pandas()
-    rows = rows[rows["chars"] > 0]
-    if not len(rows):
-        return 1.0, {lang: float("inf") for lang in langs}
-    matrix = np.stack(rows["entropies"])
-    right = np.array([langs.index(lang) for lang in rows["lang"]])
-    best, loss = 1.0, np.inf
-    for temperature in (1, 2, 4, 8):
-        logits = -matrix * temperature
-        logits -= logits.max(axis=1, keepdims=True)
-        chance = np.exp(logits[np.arange(len(rows)), right]) / np.exp(logits).sum(axis=1)
-        now = -np.log(np.maximum(chance, 1e-9)).mean()
-        if now < loss:
-            best, loss = float(temperature), now
-    limits = {
-        lang: float(np.quantile(matrix[right == i, i], ACCEPTED)) if (right == i).any() else float("inf")
-        for i, lang in enumerate(langs)}
+    names = F.array(*[F.lit(lang) for lang in langs])
+    own = F.element_at("entropies", F.array_position(names, F.col("lang")).cast("int"))
+    lowest = F.array_min("entropies")
+    losses = []
+    for number, temperature in enumerate(TEMPERATURES):
+        spread = F.aggregate("entropies", F.lit(0.0), lambda total, x: total + F.exp((lowest - x) * temperature))
+        losses.append((-F.log(F.greatest(F.exp((lowest - own) * temperature) / spread, F.lit(1e-9)))).alias(f"loss{number}"))
+    rows = stage(scored.where("chars > 0").select("lang", own.alias("own"), *losses), "lm-calibration")
+    means = rows.agg(*[F.avg(f"loss{number}") for number in range(len(TEMPERATURES))]).first()
+    limits = {lang: float("inf") for lang in langs}
+    if means[0] is None:
+        return 1.0, limits
+    best = float(TEMPERATURES[int(np.argmin(means))])
+
+    rows = rows.select("lang", "own", F.floor(F.col("own") * BINS).alias("bin"))
+    by_lang = Window.partitionBy("lang")
+    counted = rows.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).select(
+        "lang", "bin", "n", (F.sum("n").over(by_lang.orderBy("bin")) - F.col("n")).alias("before"),
+        ((F.sum("n").over(by_lang) - 1) * ACCEPTED).alias("place"))
+    wanted = stage(counted.where(_holds("before", "n")).drop("n"), "lm-limits")
+    values = rows.join(wanted, ["lang", "bin"]).groupBy("lang", "bin", "before", "place", "own").agg(F.count(F.lit(1)).alias("n"))
+    in_bin = Window.partitionBy("lang", "bin").orderBy("own")
+    ranked = values.withColumn("before", F.col("before") + F.sum("n").over(in_bin) - F.col("n")).where(_holds("before", "n"))
+    ends = ranked.groupBy("lang").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.first("place").alias("place"))
+    for row in ends.toLocalIterator():
+        limits[row.lang] = row.low + (row.high - row.low) * (row.place - math.floor(row.place))
     return best, limits
 
 
+def _holds(before: str, n: str) -> Column:
+    """Whether one of the two ranks around ``place`` is among the ``n`` after the first ``before``."""
+    inside = lambda rank: (rank >= F.col(before)) & (rank < F.col(before) + F.col(n))
+    return inside(F.floor("place")) | inside(F.ceil("place"))
+
+
 def identify(docs: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every row of ``docs`` with ``lang_pred``, ``score``, ``bits`` and ``accepted``.
 
@@ -299,22 +318,16 @@ def identify(docs: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFr
     with the lowest cross-entropy per character wins, of equal ones the first by
     name; ``score`` is its share under a calibrated temperature, and ``accepted``
     is false when the text is less likely under it than all but a thousandth of
-    calibration texts.  Without labelled rows every text is ``und``.
+    the labelled texts, all of which are scored for that.  Without labelled rows every text is ``und``.
     """
     model = train(labelled)
     known = labelled.where("lang is not null and text is not null")
-    order = F.xxhash64("text")
-    sample = known.select("lang", "text", order.alias("order")).where(F.col("text").rlike(LETTER))
-    total = max(1, sample.count())
-    # a bounded sample for calibration: the rows with the lowest hashes, SAMPLE_ROWS at most
-    share = min(1.0, SAMPLE_ROWS * 0.8 / total)
-    low = F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
-    sampled, langs = cross_entropies(sample.where(F.col("order") <= low).limit(SAMPLE_ROWS), model, ["lang"])
+    labels, langs = cross_entropies(known.where(F.col("text").rlike(LETTER)), model, ["lang"])
     if not langs:
         return docs.select(
             *columns, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(None).cast("double").alias("bits"), F.lit(False).alias("accepted"))
-    temperature, limits = calibrate(sampled, langs)
+    temperature, limits = calibrate(labels, langs)
     scored, _ = cross_entropies(
         docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(LETTER), F.lit(False))), model, [*columns, "has_letter"])
     lowest = F.array_min("entropies")

@@ -70,6 +70,30 @@ def test_languages_of_held_out_documents(spark):
     assert np.mean([rows[i]["lang_pred"] == truth[i] for i in held]) >= 0.95
 
 
+def test_limits_come_from_all_labelled_rows(spark, monkeypatch):
+    seen, calibrate = [], language.calibrate
+    monkeypatch.setattr(language, "calibrate", lambda rows, langs: seen.append(rows.count()) or calibrate(rows, langs))
+    labelled = spark.range(6000).selectExpr("if(id % 2 = 0, 'a', 'b') AS lang", "concat(if(id % 2 = 0, 'abra cad ', 'xylo zoo '), id, ' ', repeat('x', int(id % 7))) AS text")
+    assert language.identify(labelled, labelled, ["lang"]).where("lang <> lang_pred").count() == 0
+    assert seen == [6000]
+
+
+@pytest.mark.parametrize("n", [1, 2, 1001, 5000])
+def test_calibration_equals_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [("ab"[i % 2], 5, [float(x) for x in np.round(rng.normal(3, 0.4, 2), 3)]) for i in range(n)]
+    found, limits = language.calibrate(spark.createDataFrame(rows, "lang string, chars bigint, entropies array<double>"), ["a", "b"])
+    matrix, right = np.array([r[2] for r in rows]), np.array(["ab".index(r[0]) for r in rows])
+    losses = {}
+    for temperature in (1, 2, 4, 8):
+        chance = np.exp(-matrix * temperature)
+        losses[temperature] = -np.log(chance[np.arange(n), right] / chance.sum(axis=1)).mean()
+    assert found == min(losses, key=losses.get)
+    for i, lang in enumerate("ab"):
+        want = np.quantile(matrix[right == i, i], 0.999) if (right == i).any() else math.inf
+        assert limits[lang] == pytest.approx(want, rel=1e-12)
+
+
 def test_undetermined_texts(spark):
     docs = tables.awkward(spark)
     got = language.identify(docs, docs.select("lang", "text"), ["doc_id", "c0", "score"])
