@@ -43,13 +43,14 @@ from gridtrack.llm.kernels import in_tasks
 from gridtrack.llm.skew import join_groups
 from gridtrack.llm.words import mix, shingles, text_slices, words_of
 from gridtrack.operators.components import components
-from gridtrack.session import stage, stage_scope, unstage
+from gridtrack.session import extend_stage, stage, stage_scope, unstage
 
 WIDTH = 4
 SHARE, WHOLE = 85, 100
 ORDER_SLOTS = 1 << 22
 ORDER_PARTS = 64
 SLOTS = 1 << 21
+SLICE_BYTES = 1 << 19
 STAR_ROUNDS = 3
 MORE_CENTRES = 4
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -102,7 +103,7 @@ def _count(width: int):
         total = np.zeros(ORDER_SLOTS, dtype=np.uint32)
         for batch in batches:
             texts = batch.column(0)
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, SLICE_BYTES):
                 np.add.at(total, _slot(token_sets(texts.slice(s, e - s), width)[1]), np.uint32(1))
         if total.any():
             yield _packed(np.arange(ORDER_PARTS), np.split(total, ORDER_PARTS))
@@ -138,7 +139,7 @@ def prefix_length(n: np.ndarray, share: int) -> np.ndarray:
 def _build(often: Broadcast, width: int, share: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in text_slices(batch.column(2)):
+            for s, e in text_slices(batch.column(2), SLICE_BYTES):
                 row, token = token_sets(batch.column(2).slice(s, e - s), width)
                 ids = set_ids(row, token, e - s)
                 order = np.lexsort((often.value[_slot(token)], row))
@@ -159,7 +160,7 @@ def _build(often: Broadcast, width: int, share: int):
 def _whole(width: int):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in text_slices(batch.column(0)):
+            for s, e in text_slices(batch.column(0), SLICE_BYTES):
                 row, token = token_sets(batch.column(0).slice(s, e - s), width)
                 bounds = np.searchsorted(row, np.arange(e - s + 1)).astype(np.int32)
                 ids = set_ids(row, token, e - s)
@@ -210,6 +211,8 @@ class WholeSets:
     def compare(self, pairs: DataFrame) -> DataFrame:
         """``pairs(a, b, ...)`` with the ``overlap`` and ``union_size`` of their sets."""
         pairs = stage(pairs, "jaccard-pairs")
+        if pairs.isEmpty():
+            return pairs.withColumn("overlap", F.lit(0)).withColumn("union_size", F.lit(1))
         tokens = self._of(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a"))
         right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b"))
@@ -226,8 +229,9 @@ class WholeSets:
             slot = F.pmod("text_hash", F.lit(SLOTS)).cast("int").alias("slot")
             near = self.rows.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
             texts = near.join(wanted, "text_hash", "left_semi").select("text")
-            fresh = stage(in_tasks(texts, _whole(self.width), TOKENS).dropDuplicates(["set_id"]), "jaccard-whole")
-            self.tokens = fresh if self.tokens is None else self.tokens.unionByName(fresh)
+            fresh = in_tasks(texts, _whole(self.width), TOKENS).dropDuplicates(["set_id"])
+            # one table for all rounds: a union of their tables makes ever larger plans
+            self.tokens = stage(fresh, "jaccard-whole") if self.tokens is None else extend_stage(self.tokens, fresh)
         return self.tokens
 
 

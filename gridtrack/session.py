@@ -90,6 +90,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def extend_stage(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``rows`` to a stage table and return it as it is then; plans over ``table`` read the rows it had."""
+    path = table.stage_path
+    rows.write.mode("append").parquet(path)
+    longer = table.sparkSession.read.schema(table.schema).parquet(path)
+    longer.stage_path = path
+    return longer
+
+
 @contextmanager
 def stage_scope() -> Iterator[list[DataFrame]]:
     """Collects the stage tables made inside, so that those without a reader can be deleted."""

@@ -90,6 +90,22 @@ def test_groups_of_similar_sets_that_mostly_do_not_link(spark, width, share):
     assert got == want and 1 < len({c for _, _, c in want}) < len(rows)
 
 
+def test_sets_of_all_rounds_are_one_table(spark):
+    docs = tables.texts(spark, [(i, edited(i, 60, 20 + i)) for i in range(6)])
+    rows = docs.selectExpr("xxhash64(text) AS text_hash", "text")
+    ids = [r["set_id"] for r in rows.select("text").mapInArrow(jaccard._whole(4), jaccard.TOKENS).collect()]
+    classes = spark.createDataFrame([(s, r["text_hash"]) for s, r in zip(ids, rows.collect(), strict=True)], "set_id bigint, text_hash bigint")
+    whole = jaccard.WholeSets(rows, classes, 4)
+    pairs = lambda *which: spark.createDataFrame([(ids[a], ids[b]) for a, b in which], "a bigint, b bigint")
+    assert whole.compare(pairs((0, 1)).limit(0)).count() == 0 and whole.tokens is None
+    assert whole.compare(pairs((0, 1), (1, 2))).count() == 2
+    first = whole.tokens.stage_path
+    got = whole.compare(pairs((0, 1), (2, 3), (4, 5))).collect()
+    assert whole.tokens.stage_path == first and whole.tokens.count() == 6
+    sets = {s: shingle_set(r["text"]) for s, r in zip(ids, rows.collect(), strict=True)}
+    assert len(got) == 3 and all(r["overlap"] == len(sets[r["a"]] & sets[r["b"]]) and r["union_size"] == len(sets[r["a"]] | sets[r["b"]]) for r in got)
+
+
 def test_one_of_each_component_stays(spark):
     docs = tables.awkward(spark)
     left = jaccard.one_of_each(docs)
