@@ -29,15 +29,16 @@ def rain_slices(frames: DataFrame, source: DataFrame, hours: int = 3, tolerance:
 
 
 def element_rain(pixels: DataFrame, source: DataFrame, raster: Raster, hours: int = 3, tolerance: float | None = None,
-                 fold: bool = True) -> DataFrame:
+                 fold: bool = True, axes: DataFrame | None = None) -> DataFrame:
     """``(frame, ce_no, r, c, rain)``: interpolated rain on the cells of each element.
 
     Slices are chosen by ``rain_slices``, longitudes folded by ``coarse_grid``.  Cells without rain are absent.
+    The coarse grid has the lines of the whole ``source``, or of ``axes(lat, lon)`` if the source has gaps.
     """
     slices = rain_slices(raster.frames, source, hours, tolerance)
     wanted = stage(source.join(slices, "ts", "left_semi"), "rain-slices")
     targets = pixels.select("frame", "ce_no", "r", "c").join(slices, "frame")
-    rain = regrid_bilinear(coarse_grid(wanted, fold), raster.rows, raster.cols, targets)
+    rain = regrid_bilinear(coarse_grid(wanted, fold, source if axes is None else axes), raster.rows, raster.cols, targets)
     return rain.where(F.col("value") != 0).select("frame", "ce_no", "r", "c", F.col("value").alias("rain"))
 
 

@@ -34,16 +34,19 @@ class CoarseGrid:
     lon: AxisInfo
 
 
-def coarse_grid(source: DataFrame, fold: bool = True) -> CoarseGrid:
+def coarse_grid(source: DataFrame, fold: bool = True, axes: DataFrame | None = None) -> CoarseGrid:
     """Index the coarse dataset; negative, NULL and absent values are missing.
 
     ``fold`` brings 0..360 longitudes to -180..180, as it must be done to the fine grid as well.
+    ``axes(lat, lon)`` holds the lines of the whole dataset where ``source`` is a part of it, as some
+    slices can lack whole lines.
     """
     lon = normalize_longitude("lon") if fold else F.col("lon")
     folded = stage(source.select("ts", "lat", lon.alias("lon"), "value"), "coarse-source")
+    full = folded if axes is None else axes.select("lat", lon.alias("lon"))
     # every grid line once: axes and limits come from this small table
     lines = stage(
-        folded.select(F.explode(F.array(
+        full.select(F.explode(F.array(
             F.struct(F.lit("lat").alias("axis"), F.col("lat").alias("place")),
             F.struct(F.lit("lon").alias("axis"), F.col("lon").alias("place")))).alias("x"))
         .select("x.*").distinct(), "coarse-lines")

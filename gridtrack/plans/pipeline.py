@@ -40,8 +40,8 @@ def elements_with_pixels(raster: Raster, config: TrackConfig) -> Elements:
 
 
 def with_rain(elements: Elements, source: DataFrame, raster: Raster,
-              config: TrackConfig) -> tuple[Elements, DataFrame]:
-    found = element_rain(elements.pixels, source, raster, tolerance=config.rain_tolerance, fold=config.fold_longitudes)
+              config: TrackConfig, axes: DataFrame | None = None) -> tuple[Elements, DataFrame]:
+    found = element_rain(elements.pixels, source, raster, tolerance=config.rain_tolerance, fold=config.fold_longitudes, axes=axes)
     rain = stage(found, "element-rain")
     wet = stage(attach_rain(elements.accepted, rain, config), "elements-rain")
     return Elements(wet, elements.rejected, elements.pixels), rain

@@ -371,11 +371,11 @@ def element_precip_asof(spark, sf_dir):
     """Rain of a source with gaps and odd times: every fourth midnight is missing, slices of even days are 37 minutes early."""
     raster, found = _elements(spark, sf_dir)
     config = CONFIG.with_options(rain_tolerance=3.5)
-    source = data.rain_source(spark, sf_dir)
+    full = data.rain_source(spark, sf_dir)
     day = F.day("ts")
-    source = source.where((F.hour("ts") != 0) | (day % 4 != 0)).withColumn(
+    source = full.where((F.hour("ts") != 0) | (day % 4 != 0)).withColumn(
         "ts", F.when(day % 2 == 0, F.col("ts") - F.make_dt_interval(mins=F.lit(37))).otherwise(F.col("ts")))
-    wet, _ = pipeline.with_rain(found, source, raster, config)
+    wet, _ = pipeline.with_rain(found, source, raster, config, full)
     return wet.accepted.select("id", r6("precip_total"), "precip_area", r6("precip_max"), r6("precip_min"))
 
 

@@ -30,3 +30,28 @@ def test_longitudes_of_the_driver_grid_are_not_folded(spark, wide, name):
     names = [x[0] for x in want.description]
     found = rows(got.columns, got.collect())
     assert found and found == rows(names, want.fetchall())
+
+
+# 37 columns of 16 rows in 5 days; two groups of four columns have events at noon only, so slices of midnight lack them
+SLICED = """
+SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + (event_id // 592 % 5) * INTERVAL 1 DAY
+                 + CASE WHEN c BETWEEN 8 AND 11 OR c BETWEEN 20 AND 23 THEN INTERVAL 12 HOUR ELSE INTERVAL 1 HOUR END AS ts,
+       event_id % 150 AS user_id, 'click' AS event_type,
+       CASE WHEN h % 16 = 0 THEN h // 16 % 20 ELSE 20.0 + h // 16 % 6000 / 100.0 END AS value, '{}' AS props
+FROM (SELECT range AS event_id, range // 16 % 37 AS c, hash(range) AS h FROM range(24000))"""
+
+
+@pytest.fixture(scope="module")
+def sliced(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sliced")
+    duckdb.connect().execute(f"COPY ({SLICED}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["element_precip", "accum_range", "element_precip_asof"])
+def test_coarse_axes_are_those_of_the_whole_dataset(spark, sliced, name):
+    got = driver.queries()[name](spark, sliced)
+    want = connect(sliced).execute(driver.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    found = rows(got.columns, got.collect())
+    assert found and found == rows(names, want.fetchall())
