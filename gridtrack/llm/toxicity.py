@@ -38,6 +38,9 @@ CANDIDATES = 6
 ROUNDS = 6
 CALIBRATION = 4
 KNOWN_WORDS = 2_000_000
+# of text and of words that a task works on at a time: their arrays are many times as large
+SLICE_BYTES = 1 << 19
+STRETCHES = 4000
 
 # fixed values: digits and marks that stand in for letters
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -171,7 +174,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct spellings of every sample document."""
     for batch in batches:
         texts = batch.column(2)
-        for s, e in text_slices(texts):
+        for s, e in text_slices(texts, SLICE_BYTES):
             words, spelt = tokens(texts.slice(s, e - s))
             _, sample, which = np.unique(words.hashes, return_index=True, return_inverse=True)
             names = np.array([letters(words.data[words.starts[i]:words.ends[i]].tobytes().decode()) for i in sample] or [""], dtype=object)
@@ -223,13 +226,13 @@ class Machine:
                 stretches.append(word[at:at + LONGEST])
                 owner.append(i)
         out = np.full(len(words), -np.inf)
-        for at in range(0, len(stretches), 20_000):
-            codes, lengths = encode(stretches[at:at + 20_000])
+        for at in range(0, len(stretches), STRETCHES):
+            codes, lengths = encode(stretches[at:at + STRETCHES])
             total = np.zeros(lengths.size)
             for row, number, _, weight in subsequences(codes):
                 hit, slots = self.features.find(number)
                 total += np.bincount(row[hit], weights=self.values[slots] * weight, minlength=lengths.size)
-            np.maximum.at(out, owner[at:at + 20_000], total / norms(lengths) + self.bias)
+            np.maximum.at(out, owner[at:at + STRETCHES], total / norms(lengths) + self.bias)
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -404,7 +407,7 @@ def _score(shared: Broadcast, name: str, kept: int):
         scorer = _scorers[name]
         for batch in batches:
             texts = batch.column(kept)
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, SLICE_BYTES):
                 chance = scorer.machine.probability(scorer(texts.slice(s, e - s)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(s, e - s) for i in range(kept)), pa.array(chance)],

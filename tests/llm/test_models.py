@@ -1,7 +1,9 @@
 """Language, toxicity and licence operators: held-out accuracy, and their numbers against plain Python."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -241,3 +243,19 @@ def test_licences_of_odd_rows(spark):
     docs = tables.awkward(spark)
     assert licenses.scan_licenses(docs, ["doc_id", "c0", "score"]).count() == 0
     assert licenses.scan_licenses(tables.nothing(spark), ["doc_id"]).count() == 0
+
+
+def test_toxicity_works_on_small_slices_of_a_batch():
+    codes, _ = toxicity.encode(["idiot", "moron"])
+    numbers = np.unique(np.concatenate([x[1] for x in toxicity.subsequences(codes)]))
+    machine = toxicity.Machine(numbers, np.ones(numbers.size), -1.0, 1.0, 0.0)
+    words = np.array(["w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(20_000)])
+    picks = np.random.default_rng(1).integers(0, words.size, (1000, 1000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([" ".join(words[p]) for p in picks])], names=["c0", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(x.num_rows for x in toxicity._score(SimpleNamespace(value=machine), "small-slices", 1)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1000 and peak < 30e6
