@@ -8,16 +8,20 @@ the work small without losing a link:
 * lists are cut into blocks by set size, a set probes its own block and the ones
   beside it, and a pair is skipped at any place where the positions of the shared
   n-gram leave too little overlap;
-* in a few star rounds one set of each list is compared with the others, and
-  those that link follow it.  A leader's answers hold for its followers: by the
-  triangle inequality of the Jaccard distance a follower is only compared with
-  sets near enough to its leader;
+* in a star round one set of each list is compared with the others, and those that
+  link follow it.  It is the set with the largest part of its prefix in lists, as edits
+  make n-grams of their own: the set in the middle of its copies.  A leader's answers hold
+  for its followers: by the triangle inequality of the Jaccard distance a follower is only
+  compared with sets near enough to its leader;
+* two sets that link share some number of n-grams of their prefixes, and all of these are in
+  lists that are still open.  So they meet in one that is early enough among the open
+  lists of both, and a set whose n-grams are mostly its own meets nobody.
 * pairs that are already connected are never compared, as only components are
   asked for, so a group of near copies costs one comparison per member.
 
-What the star rounds leave open goes through probe rounds.  A round picks sets,
-of every list four times as many at most as the round before, and compares each with
-every set of another component that shares enough of its prefix.  A set that has probed
+What the star round leaves open goes through probe rounds.  A round picks sets,
+of every list sixteen times as many at most as the round before, and compares each with
+every set of another component that can share enough of its prefix.  A set that has probed
 has all its answers and leaves the lists; lists of one component leave as a whole.
 The rounds end when no list is left, so every pair is answered, by a comparison, by a
 leader or by a connection, and rounds grow with the logarithm of the longest list.
@@ -36,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtrack.llm.kernels import in_tasks
@@ -51,8 +55,7 @@ ORDER_SLOTS = 1 << 22
 ORDER_PARTS = 64
 SLOTS = 1 << 21
 SLICE_BYTES = 1 << 19
-STAR_ROUNDS = 3
-MORE_CENTRES = 4
+MORE_CENTRES = 16
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 COUNTS = "part int, counts binary"
@@ -247,49 +250,44 @@ def far(share: int) -> float:
     return 1 - share / WHOLE + 1e-9
 
 
-def enough(share: int) -> Column:
-    """Shared prefix tokens suffice: all others of the overlap lie behind the prefix of one of the two."""
+def shared_least(share: int) -> Column:
+    """Prefix tokens that two linked sets share at least: all others of the overlap lie behind the prefix of one of the two."""
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    return F.col("shared") >= needed(n_a, n_b, share) - F.greatest(kept_whole(n_a, share), kept_whole(n_b, share))
+    return needed(n_a, n_b, share) - F.greatest(kept_whole(n_a, share), kept_whole(n_b, share))
 
 
 def links(lists: DataFrame, whole: WholeSets, share: int) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all links."""
-    # star rounds: one set of every list is compared with the others that are not connected to it yet
-    open_ = stage(lists.withColumn("block", size_block(F.col("n"), share)).withColumn("root", F.col("set_id")), "jaccard-open")
-    found, followers = [open_.select(F.col("set_id").alias("a"), F.col("root").alias("b")).limit(0)], []
-    for number in range(STAR_ROUNDS):
-        centre = open_.groupBy("token", "block").agg(
-            F.min(F.struct(F.xxhash64("set_id", F.lit(number)).alias("order"), "set_id", "n", "root")).alias("centre"))
-        stars = open_.join(centre, ["token", "block"]).where("centre.root <> root").select(
-            F.col("centre.set_id").alias("a"), F.col("set_id").alias("b"), F.col("centre.n").alias("n_a"), F.col("n").alias("n_b"))
-        tried = stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(enough(share))
-        new = stage(whole.compare(tried.select("a", "b")).where(linked(share)).select("a", "b", distance().alias("radius")), "jaccard-stars")
-        if new.isEmpty():
-            break
-        found.append(new.select("a", "b"))
-        followers.append(new.withColumn("round", F.lit(number)))
-        open_ = _open(_rooted(open_, new))
-
-    # a set follows the first centre that it linked with
-    open_ = open_.withColumn("leader", F.col("set_id")).withColumn("radius", F.lit(0.0))
-    if followers:
-        lead = reduce(DataFrame.unionByName, followers).groupBy(F.col("b").alias("set_id")).agg(
-            F.min(F.struct("round", "a", "radius")).alias("lead"))
-        open_ = open_.drop("leader", "radius").join(lead, "set_id", "left").select(
-            "token", "block", "set_id", "n", "pos", "root", F.coalesce("lead.a", "set_id").alias("leader"),
-            F.coalesce("lead.radius", F.lit(0.0)).alias("radius"))
-    open_ = stage(open_, "jaccard-members")
+    # the star round: one set of every list is compared with the others
+    own = Window.partitionBy("set_id")
+    in_lists = F.count(F.lit(1)).over(own) / (F.col("n") - kept_whole(F.col("n"), share))
+    open_ = stage(lists.withColumn("block", size_block(F.col("n"), share)).withColumn("root", F.col("set_id")).withColumn(
+        "in_lists", in_lists), "jaccard-open")
+    centre = open_.groupBy("token", "block").agg(
+        F.min(F.struct((-F.col("in_lists")).alias("order"), F.xxhash64("set_id").alias("hash"), "set_id", "n")).alias("centre"))
+    stars = open_.drop("in_lists").join(centre, ["token", "block"]).where("centre.set_id <> set_id").select(
+        F.col("centre.set_id").alias("a"), F.col("set_id").alias("b"), F.col("centre.n").alias("n_a"), F.col("n").alias("n_b"))
+    tried = stars.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared_least(share))
+    star = stage(whole.compare(tried.select("a", "b")).where(linked(share)).select("a", "b", distance().alias("radius")), "jaccard-stars")
+    # a set follows one of the centres that it linked with
+    lead = star.groupBy(F.col("b").alias("set_id")).agg(F.min(F.struct("a", "radius")).alias("lead"))
+    open_ = _open(_rooted(open_.drop("in_lists"), star)).join(lead, "set_id", "left").select(
+        "token", "block", "set_id", "n", "pos", "root", F.coalesce("lead.a", "set_id").alias("leader"),
+        F.coalesce("lead.radius", F.lit(0.0)).alias("radius"))
+    open_, found = stage(open_, "jaccard-members"), [star.select("a", "b")]
     centres = 1
     while not open_.isEmpty():
-        new, open_ = _probe(open_, whole, centres, share)
-        found.append(new)
+        with stage_scope() as made:
+            before = open_
+            new, answers, open_ = _probe(before, whole, centres, share)
+        unstage(before, *made, keep=(new, answers, open_, *([] if whole.tokens is None else [whole.tokens])))
+        found += [new, answers.where("link").select("a", F.col("leader_b").alias("b"))]
         centres *= MORE_CENTRES
     return reduce(DataFrame.unionByName, found)
 
 
-def _probe(open_: DataFrame, whole: WholeSets, centres: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """Links of up to ``centres`` sets of every list, and the lists without these sets.
+def _probe(open_: DataFrame, whole: WholeSets, centres: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of up to ``centres`` sets of every list, answers of leaders, and the lists without these sets.
 
     Sets fall into as many cells as there are centres, and a set probes if it comes
     first of its cell in all of its lists.  So no list has two of one cell, though a
@@ -300,22 +298,24 @@ def _probe(open_: DataFrame, whole: WholeSets, centres: int, share: int) -> tupl
     wins = first.groupBy(F.col("first.set_id").alias("set_id")).agg(F.count(F.lit(1)).alias("wins"))
     places = open_.groupBy("set_id").agg(F.count(F.lit(1)).alias("places"))
     picked = stage(places.join(wins, "set_id").where("wins = places").select("set_id"), "jaccard-centres")
+    # of a set's lists that are open: those behind this one
+    behind = F.count(F.lit(1)).over(Window.partitionBy("set_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)) - 1
     rows = stage(open_.join(picked.withColumn("picked", F.lit(True)), "set_id", "left").withColumn(
-        "picked", F.coalesce("picked", F.lit(False))), "jaccard-picked")
-    columns = ("set_id", "n", "pos", "root", "leader", "radius", "picked")
+        "picked", F.coalesce("picked", F.lit(False))).withColumn("behind", behind), "jaccard-picked")
+    columns = ("set_id", "n", "pos", "root", "leader", "radius", "picked", "behind")
     ours = rows.where("picked").select(
         "token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_a") for c in columns])
     theirs = rows.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in columns])
+    # every list that both are in is still open, as their components differ: the first of
+    # those that linked sets share has all the others behind it in both
     met = ours.join(theirs, ["token", "block"]).where(
         (F.col("root_a") != F.col("root_b"))
         # two that probe meet once
         & (~F.col("picked_b") | (F.col("set_id_a") < F.col("set_id_b")))
         & (F.col("n_a") * WHOLE >= F.col("n_b") * share) & (F.col("n_b") * WHOLE >= F.col("n_a") * share)
+        & (F.least("behind_a", "behind_b") + 1 >= shared_least(share))
         & fits("n_a", "pos_a", "n_b", "pos_b", share))
-    # every list that both are in is still open, as their components differ, so all shared tokens are counted
-    tried = met.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b", "leader_b", "radius_b").agg(
-        F.count(F.lit(1)).alias("shared")).where(enough(share)).select("a", "b", "leader_b", "radius_b")
-    tried = stage(tried, "jaccard-tried")
+    tried = stage(met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "leader_b", "radius_b").distinct(), "jaccard-tried")
 
     # a leader is asked first where several of its followers are to be compared
     asked = tried.groupBy("a", F.col("leader_b").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
@@ -326,8 +326,8 @@ def _probe(open_: DataFrame, whole: WholeSets, centres: int, share: int) -> tupl
         ~F.col("link") & (F.col("b") != F.col("leader_b")) & (F.col("apart") <= F.col("radius_b") + far(share))))
     new = stage(whole.compare(left.select("a", "b")).where(linked(share)).select("a", "b"), "jaccard-probed")
     through = known.where("link").select("a", "b")
-    rest = _open(_rooted(rows, new.unionByName(through)).where("not picked").drop("picked"))
-    return new.unionByName(answers.where("link").select("a", F.col("leader_b").alias("b"))), rest
+    rest = _open(_rooted(rows, new.unionByName(through)).where("not picked").drop("picked", "behind"))
+    return new, answers, rest
 
 
 def _rooted(rows: DataFrame, new: DataFrame) -> DataFrame:

@@ -90,6 +90,22 @@ def test_groups_of_similar_sets_that_mostly_do_not_link(spark, width, share):
     assert got == want and 1 < len({c for _, _, c in want}) < len(rows)
 
 
+def test_copies_of_one_text_are_compared_with_it(spark, monkeypatch):
+    """All copies link with the text in their middle and hardly any with each other: few pairs are worth comparing."""
+    words = tables.prose(78, 150).split()
+    rows = [(i, " ".join(f"own{i}at{k}" if i and k in (5 + i, 60 + 2 * i) else w for k, w in enumerate(words))) for i in range(40)]
+    asked, compare = [], jaccard.WholeSets.compare
+
+    def counted(self, pairs):
+        asked.append(pairs.count())
+        return compare(self, pairs)
+
+    monkeypatch.setattr(jaccard.WholeSets, "compare", counted)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(tables.texts(spark, rows)).collect()), key=str)
+    assert got == components(rows) and {c for _, _, c in got} == {0}
+    assert sum(asked) < 2 * len(rows)
+
+
 def test_sets_of_all_rounds_are_one_table(spark):
     docs = tables.texts(spark, [(i, edited(i, 60, 20 + i)) for i in range(6)])
     rows = docs.selectExpr("xxhash64(text) AS text_hash", "text")
