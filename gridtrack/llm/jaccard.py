@@ -216,7 +216,9 @@ class WholeSets:
         pairs = stage(pairs, "jaccard-pairs")
         if pairs.isEmpty():
             return pairs.withColumn("overlap", F.lit(0)).withColumn("union_size", F.lit(1))
-        tokens = self._of(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        sets = stage(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "jaccard-asked")
+        # the table also holds the sets of earlier rounds, which no join needs to move
+        tokens = self._of(sets).join(sets, "set_id", "left_semi")
         left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a"))
         right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b"))
         both = pairs.join(left, "a").join(right, "b")
