@@ -29,6 +29,8 @@ THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
 ALIGN_CELLS = 4_000_000
 SEED_PAIRS = 1_000_000
+# of text that a task works on at a time: its arrays are many times as large
+SLICE_BYTES = 1 << 19
 
 # fixed values: ASCII marks that are stripped from the ends of words
 MARKS = np.zeros(256, dtype=bool)
@@ -175,14 +177,14 @@ def matches(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
     return r[good], items.chunk_item[c[good]], score[good], first[good], end[good]
 
 
-def _scanner(block: Broadcast, name: str, kept: int):
+def _scanner(block: Broadcast, name: str, text: int):
     kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _shared(block, name)
         for batch in batches:
-            texts = batch.column(kept)
-            for s, e in text_slices(texts):
+            texts = batch.column(text)
+            for s, e in text_slices(texts, SLICE_BYTES):
                 row, item, score, first, end = matches(texts.slice(s, e - s), items)
                 # the best window of every row and item
                 order = np.lexsort((first, -score, item, row))
@@ -217,16 +219,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], outp
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     held = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
 
-    schema = docs.select(*columns, "text").schema
+    # a text that is returned as well travels once
+    sent = columns if "text" in columns else [*columns, "text"]
+    schema = docs.select(*sent).schema
     names = [f"c{i}" for i in range(len(schema))]
-    rows = docs.select(*columns, "text").toDF(*names)
+    rows = docs.select(*sent).toDF(*names)
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema))
     found = "found array<struct<item_id:bigint,score:double,first_word:bigint,end_word:bigint>>"
     for k in range(blocks):
         part = held.where(F.col("block") == k).drop("block").toArrow()
         block = Items.of(part.column("item_id").to_pylist(), part.column("text").combine_chunks())
         shared = spark.sparkContext.broadcast(block)
-        scanned = in_tasks(rows, _scanner(shared, uuid.uuid4().hex, len(columns)), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
+        scanned = in_tasks(rows, _scanner(shared, uuid.uuid4().hex, sent.index("text")), f"{ddl}, {found}" if k == 0 else f"{ddl}, matches {found[6:]}, {found}")
         rows = scanned.withColumnRenamed("found", "matches") if k == 0 else scanned.select(
             *names, F.concat("matches", "found").alias("matches"))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("matches").alias(output))

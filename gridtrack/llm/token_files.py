@@ -38,7 +38,9 @@ FITTING = 90
 END_ID = 2
 FILE_IDS = 4_000_000
 KNOWN_PIECES = 1_500_000
-CHUNK_BLOCKS = 2048
+# of text and of blocks that a task works on at a time: their arrays are many times as large
+SLICE_BYTES = 1 << 20
+CHUNK_BLOCKS = 256
 
 MANIFEST = "part int, file int, path string, n_docs bigint, n_ids bigint"
 DECODED = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -207,7 +209,8 @@ def unpack(payload: np.ndarray, starts: np.ndarray, count: int, block: int) -> n
         place = payload[(lists[row] + 2 * nth)[:, None] + np.arange(2)].copy().view("<u2")[:, 0]
         value = payload[(lists[row] + 2 * n_over[row] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
         out[row, place] = value
-    return (out + low[:, None]).reshape(-1)[:count]
+    out += low[:, None]
+    return out.reshape(-1)[:count]
 
 
 def file_bytes(doc_ids: np.ndarray, is_null: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -265,7 +268,7 @@ def _writer(folder: str, tokenizer_path: str):
 
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, SLICE_BYTES):
                 ids, lengths = encode(texts.slice(s, e - s))
                 some = doc_ids.slice(s, e - s)
                 held.append((some.fill_null(0).to_numpy(), some.is_null().to_numpy(zero_copy_only=False), lengths, ids))
@@ -302,7 +305,7 @@ def _reader(folder: str):
                 with fs.open_input_stream(path) as source:
                     doc_ids, is_null, lengths, ids = parse_file(source.read())
                 ends = np.cumsum(lengths)
-                raw = ids.astype("<u4")
+                raw = ids.astype("<u4", copy=False)
                 crc = np.array([zlib.crc32(raw[e - n:e]) for e, n in zip(ends, lengths)], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, mask=is_null), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc)],

@@ -399,14 +399,15 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def _score(shared: Broadcast, name: str, kept: int):
+def _score(shared: Broadcast, name: str, kept: int, text: int | None = None):
+    """Keeps the first ``kept`` columns; the texts are column ``text``, the next one if not said."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _scorers:
             _scorers.clear()
             _scorers[name] = Scorer(shared.value)
         scorer = _scorers[name]
         for batch in batches:
-            texts = batch.column(kept)
+            texts = batch.column(kept if text is None else text)
             for s, e in text_slices(texts, SLICE_BYTES):
                 chance = scorer.machine.probability(scorer(texts.slice(s, e - s)))
                 yield pa.RecordBatch.from_arrays(
@@ -429,8 +430,11 @@ def toxicity(docs: DataFrame, labelled: DataFrame, columns: list[str], output: s
         share = labelled.where("toxic is not null and text is not null").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
         return docs.select(*columns, F.lit(share or 0.0).alias(output))
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(*columns, "text")
-    names = [f"c{i}" for i in range(len(columns))]
-    ddl = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, rows.schema))
-    scored = rows.toDF(*names, "text").mapInArrow(_score(shared, uuid.uuid4().hex, len(columns)), f"{ddl}score double")
+    # a text that is returned as well travels once
+    sent = columns if "text" in columns else [*columns, "text"]
+    rows = docs.select(*sent)
+    names = [f"c{i}" for i in range(len(sent))]
+    ddl = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names[:len(columns)], rows.schema))
+    score = _score(shared, uuid.uuid4().hex, len(columns), sent.index("text"))
+    scored = rows.toDF(*names).mapInArrow(score, f"{ddl}score double")
     return scored.toDF(*columns, output)

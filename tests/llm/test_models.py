@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridtrack.llm import language, licenses, queries, toxicity
+from gridtrack.llm import decontaminate, language, licenses, queries, toxicity
 from tests.llm import tables
 
 
@@ -259,3 +259,21 @@ def test_toxicity_works_on_small_slices_of_a_batch():
     finally:
         tracemalloc.stop()
     assert rows == 1000 and peak < 30e6
+
+
+def test_texts_that_are_returned_travel_once(spark, labelled, monkeypatch):
+    docs = tables.texts(spark, [(1, tables.prose(1, 30)), (2, tables.prose(2, 30))])
+    sent, kind = [], type(docs)
+    original = kind.mapInArrow
+
+    def recorded(self, *args, **named):
+        sent.append([x for _, x in self.dtypes])
+        return original(self, *args, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", recorded)
+    items = tables.texts(spark, [(1, tables.prose(3, 30))]).withColumnRenamed("doc_id", "item_id")
+    scored = toxicity.toxicity(docs, labelled, docs.columns).collect()
+    found = decontaminate.contaminated(docs, items, docs.columns).collect()
+    assert {r["text"] for r in scored} == {r["text"] for r in found} == {r["text"] for r in docs.collect()}
+    whole = [x for _, x in docs.dtypes]
+    assert sent.count(whole) == 2

@@ -3,9 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+import tracemalloc
 import zlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from types import SimpleNamespace
 
 from gridtrack.llm import token_files
 from gridtrack.llm.queries import tokenizer_file
@@ -55,3 +57,18 @@ def test_files_hold_all_documents(spark, make):
 
 def test_no_documents_no_files(spark):
     assert token_files.token_rows(tables.nothing(spark), tokenizer_file()).count() == 0
+
+
+def test_files_are_written_from_small_slices_of_a_batch(tmp_path, monkeypatch):
+    place = SimpleNamespace(partitionId=lambda: 0)
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: place))
+    texts = [tables.prose(i % 40, 400) for i in range(2400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    write = token_files._writer(f"file://{tmp_path}", tokenizer_file())
+    list(write(iter([batch.slice(0, 40)])))
+    tracemalloc.start()
+    written = list(write(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x.column(3)[0].as_py() for x in written) == len(texts)
+    assert batch.nbytes > 4 << 20 and peak < 12 * batch.nbytes
