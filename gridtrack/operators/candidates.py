@@ -1,10 +1,11 @@
 """Running the visiting-order rules over all systems.
 
-Systems are walked page by page: a page is a block of frames and element
-numbers, a round loads the page of every system that holds its newest open
-discovery plus the states of its direct neighbours, walks until the order leaves
-the page, and writes the changed states back.  No task ever holds more than a
-page; a system within one page takes one round, as do all such systems together.
+Systems are walked page by page: a page is a whole system of at most ``page_nodes``
+members, or a block of frames and element numbers of a larger one.  A round loads
+the page of every system that holds its newest open discovery plus the states of
+its direct neighbours, walks until the order leaves the page, and writes the
+changed states back.  No task ever holds more than a page; all systems of one page
+take one round together, wherever their members lie.
 """
 
 from __future__ import annotations
@@ -82,16 +83,23 @@ MARKS = ("seen_large", "next_push", "next_cand")
 
 def walk_pages(nodes: DataFrame, links: DataFrame, config: TrackConfig) -> DataFrame:
     """The walk in rounds of one page per system, with all state in stage tables."""
+    # a system of no more members than a page has is one page, so its walk is one round
+    paged = stage(
+        nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > config.page_nodes)
+        .select("component", F.lit(True).alias("paged")), "paged-systems")
+
     def page(node: str):
         block = max(1, config.page_nodes // PAGE_FRAMES)
-        return F.shiftleft(F.floor(node_frame(node) / PAGE_FRAMES), 32).bitwiseOR(F.floor(node_number(node) / block))
+        own = F.shiftleft(F.floor(node_frame(node) / PAGE_FRAMES), 32).bitwiseOR(F.floor(node_number(node) / block))
+        return F.when(F.col("paged"), own).otherwise(F.lit(0).cast("bigint"))
 
     near = stage(
         links.select("component", F.col("src").alias("at"), "src", "dst")
         .unionByName(links.select("component", F.col("dst").alias("at"), "src", "dst"))
-        .withColumn("page", page("at")), "page-links")
-    fixed = stage(nodes.select("component", "node", "area", "outer_part", "inner_part", page("node").alias("page")),
-                  "page-nodes")
+        .join(paged, "component", "left").select("component", "at", "src", "dst", page("at").alias("page")), "page-links")
+    fixed = stage(
+        nodes.join(paged, "component", "left")
+        .select("component", "node", "area", "outer_part", "inner_part", page("node").alias("page")), "page-nodes")
     kinds = dict(x.split() for x in RESULT_SCHEMA.split(", "))
     first = fixed.groupBy("component").agg(F.min("node").alias("node"))
 

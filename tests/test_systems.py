@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridtrack.operators import systems
+from gridtrack.operators import candidates, systems
 from gridtrack.operators.elements import find_elements
 from gridtrack.operators.candidates import assign_candidates
 from gridtrack.operators.lifecycle import SystemView, Walk
@@ -184,6 +184,20 @@ def test_paged_walk_equals_grouped_walk(spark):
     assert whole == paged and len(whole[0]) > 20
 
 
+def test_systems_of_one_page_take_one_round(spark, monkeypatch):
+    """A zigzag between the last frame of one block of frames and the first of the next."""
+    made, original = [], candidates.stage
+    monkeypatch.setattr(candidates, "stage", lambda rows, name: made.append(name) or original(rows, name))
+    late, early = candidates.PAGE_FRAMES, candidates.PAGE_FRAMES - 1
+    nodes = {key(f, i): (SMALL, PLAIN, COLD)[i % 3] for f in (early, late) for i in range(1, 7)}
+    edges = [(key(early, i), key(late, k)) for i in range(1, 7) for k in (i - 1, i) if k]
+    spots, _ = assign_candidates(*tables(spark, [(nodes, edges)]), CONFIG)
+    walk = Walk(view(nodes, edges), CONFIG).run()
+    assert {x.node: x.cand for x in spots.collect()} == {
+        n: spot.candidate.number if spot.candidate else None for n, spot in walk.placed.items()}
+    assert made.count("page-walk") == 1
+
+
 def test_criteria_areas_are_the_largest_cold_part(spark):
     rows = [[225] * 8 for _ in range(6)]
     for r, c in ((0, 0), (0, 1), (1, 0), (3, 3), (3, 4), (3, 5), (3, 6), (2, 1)):
