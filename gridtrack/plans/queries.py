@@ -181,7 +181,7 @@ def netcdf_round_trip(spark, sf_dir):
     """Pixels of all elements, written as one netCDF grid each and read back."""
     raster, found = _elements(spark, sf_dir)
     path = scratch_path(spark, "element-grids")
-    netcdf.write_grids(netcdf.element_grids(found.pixels, "tb", raster, "cloudElements"), raster, path, "brightnesstemp", "Kelvin", "temperatures")
+    netcdf.write_grids(netcdf.element_grids(found.pixels, "tb", raster, "cloudElements"), raster, path, "brightnesstemp", "Kelvin", "temperatures", gathered=True)
     with gridfiles.pushing(spark):
         cells = gridfiles.open_files(spark, path, variable="brightnesstemp", fold=CONFIG.fold_longitudes).where("kind = 'cell' AND value > 0")
         name = dates.parse_element_file(F.element_at(F.split("file", "/"), -1))

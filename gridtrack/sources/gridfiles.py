@@ -10,10 +10,11 @@ Filters of a plain ``where`` are pushed into the source where the session has
 ``spark.sql.python.filterPushdown.enabled``: ``kind``, ``file``, ``t``, ``ts``, ``lat``, ``lon``
 and ``value`` against constants.  Files whose name says that they begin after the
 latest ``ts`` are not opened; slices and rows that a filter rules out are not read,
-and without cells wanted only headers are.
+and without cells wanted only headers are.  Of a netCDF grid stored by some of its cells, the others
+are read as 0, or not made at all where a filter rules 0 out.
 
 A file of more than ``split_bytes`` is several partitions, of whole slices or of
-bands of rows.  The driver only lists names and sizes; a task opens the header and
+bands of rows; many small files share a partition.  The driver only lists names and sizes; a task opens the header and
 takes its part of the bands.  Before a slice is read, the file's size is held against
 the end of the slice, so a file that breaks off gives an error row in place of
 half a frame whatever task reads it.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +73,17 @@ NAME_MONTH = re.compile(r"(?:^|[^0-9])(\d{6})(?:[^0-9]|$)")
 #: rows of a slice that are read at once
 BAND = 256
 SPLIT_BYTES = 64 << 20
+#: up to so many partitions a file is one by itself; in a shared one, opening it counts as so many bytes more
+OWN_SPLITS, OPEN_BYTES = 64, 64 << 10
+#: smaller batches are put together
+BATCH_ROWS = 8192
 
 
 @dataclass
 class Split(InputPartition):
-    """Part ``number`` of ``of`` equal parts of a file's bands."""
+    """Part ``number`` of ``of`` equal parts of the bands of ``(file, size)``; several files are whole."""
 
-    file: str
-    size: int
+    files: list[tuple[str, int]]
     number: int = 0
     of: int = 1
 
@@ -145,9 +150,9 @@ class _SliceReader(DataSourceReader):
         if not files:
             raise ValueError(f"no grid files in {self.options['path']}")
         share = int(self.options.get("split_bytes", SPLIT_BYTES))
-        return [
-            Split(file, size, i, n) for file, size in files if self.wanted(file)
-            for n in [max(1, -(-size // share))] for i in range(n)]
+        parts = [(file, size, max(1, -(-size // share))) for file, size in files if self.wanted(file)]
+        small = [(file, size) for file, size, n in parts if n == 1]
+        return [Split([(file, size)], i, n) for file, size, n in parts if n > 1 for i in range(n)] + _shared(small, share)
 
     def wanted(self, file: str) -> bool:
         """False when the file, or the time in its name, is ruled out; names without a time are kept."""
@@ -161,10 +166,13 @@ class _SliceReader(DataSourceReader):
     def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file is left
             return
-        file, wants = partition.file, self.ranges["kind"].holds
+        yield from _merged(batch for file, size in partition.files for batch in self.part(file, size, partition.number, partition.of))
+
+    def part(self, file: str, size: int, number: int, of: int) -> Iterator[pa.RecordBatch]:
+        wants = self.ranges["kind"].holds
         try:
             grid = self.open(file)
-            whole = [grid.end(t) <= partition.size for t in range(grid.count)]
+            whole = [grid.end(t) <= size for t in range(grid.count)]
             times = [grid.time(t) if whole[t] else None for t in range(grid.count)]
         except _UNREADABLE as problem:
             if wants(ERROR):
@@ -172,15 +180,15 @@ class _SliceReader(DataSourceReader):
             return
         # what goes wrong from here on fails the task: half a frame must not pass as one
         with grid:
-            if wants(AXIS) and partition.number == 0:
+            if wants(AXIS) and number == 0:
                 yield _axis_rows(file, grid.lat, grid.lon)
             bands = max(1, -(-grid.lat.size // grid.band))
             units = grid.count * bands
-            for unit in range(partition.number * units // partition.of, (partition.number + 1) * units // partition.of):
+            for unit in range(number * units // of, (number + 1) * units // of):
                 t, band = divmod(unit, bands)
                 if not whole[t]:
                     if band == 0 and wants(ERROR):
-                        yield _error_row(file, f"slice {t} breaks off at {partition.size} of {grid.end(t)} bytes")
+                        yield _error_row(file, f"slice {t} breaks off at {size} of {grid.end(t)} bytes")
                     continue
                 time_units, offset = times[t]
                 ts = model_time(time_units, offset) if time_units else _by_name(file, offset)
@@ -193,24 +201,33 @@ class _SliceReader(DataSourceReader):
 
     def cells(self, grid, file: str, t: int, ts, units: str, offset: float, first: int) -> Iterator[pa.RecordBatch]:
         """The cells of a band of rows that the filters leave; a band outside them is not read."""
-        lat = grid.lat[first: first + grid.band]
-        fold = self.options.get("fold", "true") == "true"
-        lon = np.where((grid.lon > 180) & fold, grid.lon - 360, grid.lon)
-        rows, cols = self.ranges["lat"].hold(lat), self.ranges["lon"].hold(lon)
-        if not rows.any() or not cols.any():
-            return
-        above, upto = np.flatnonzero(rows)[[0, -1]] + (0, 1)
-        values = grid.rows(t, first + above, first + upto)
-        keep = rows[above:upto, None] & cols[None, :] & self.ranges["value"].hold(values) & ~np.isnan(values)
-        r, c = np.nonzero(keep)
+        if grid.gathered is not None and not self.ranges["value"].holds(0.0):
+            r, c, lat, lon, values = grid.stored(t, first, first + grid.band)
+            lon = self._folded(lon)
+            keep = self.ranges["lat"].hold(lat) & self.ranges["lon"].hold(lon) & self.ranges["value"].hold(values) & ~np.isnan(values)
+            r, c, lat, lon, values = (x[keep] for x in (r, c, lat, lon, values))
+        else:
+            lat, lon = grid.lat[first: first + grid.band], self._folded(grid.lon)
+            rows, cols = self.ranges["lat"].hold(lat), self.ranges["lon"].hold(lon)
+            if not rows.any() or not cols.any():
+                return
+            above, upto = np.flatnonzero(rows)[[0, -1]] + (0, 1)
+            band = grid.rows(t, first + above, first + upto)
+            keep = rows[above:upto, None] & cols[None, :] & self.ranges["value"].hold(band) & ~np.isnan(band)
+            r, c = np.nonzero(keep)
+            lat, lon, values, r = lat[r + above], lon[c], band[r, c], r + first + above
         size = r.size
         if size:
             yield pa.RecordBatch.from_arrays([
                 pa.repeat(CELL, size), pa.repeat(file, size), pa.array(np.full(size, t, np.int32)), pa.repeat(pa.scalar(ts, pa.timestamp("us")), size),
-                pa.repeat(units, size), pa.array(np.full(size, float(offset))), pa.array((r + first + above).astype(np.int32)),
-                pa.array(c.astype(np.int32)), pa.array(lat[r + above]), pa.array(lon[c]), pa.array(values[r, c]), pa.nulls(size, pa.string()),
+                pa.repeat(units, size), pa.array(np.full(size, float(offset))), pa.array(r.astype(np.int32)),
+                pa.array(c.astype(np.int32)), pa.array(lat), pa.array(lon), pa.array(values), pa.nulls(size, pa.string()),
             ], schema=ARROW)
 
+    def _folded(self, lon: np.ndarray) -> np.ndarray:
+        fold = self.options.get("fold", "true") == "true"
+        return np.where((lon > 180) & fold, lon - 360, lon)
+
 
 class NetcdfReader(_SliceReader):
     """Classic netCDF directly; netCDF-4 where that library is installed."""
@@ -246,6 +263,8 @@ class PushedRawReader(_Pushed, RawReader):
 
 
 class _Raw:
+    gathered = None
+
     def __init__(self, file: str) -> None:
         system, inner = filesystem(file)
         size = system.get_file_info(inner).size
@@ -283,10 +302,19 @@ class _Classic:
         self.grid = ClassicFile(self.handle)
         self.variable, self.times = variable, time
         self.count = self.grid.variables[variable].shape[0]
-        self.lat, self.lon = (self.grid.whole(x).astype(float) for x in (latitude, longitude))
+        self.axes = [self.grid.axis(x, variable) for x in (latitude, longitude)]
+        self.gathered = self.grid.gathered(variable)
         self.units = self.grid.variables[time].attributes["units"]
         self.band = BAND
 
+    @cached_property
+    def lat(self) -> np.ndarray:
+        return self.axes[0].whole()
+
+    @cached_property
+    def lon(self) -> np.ndarray:
+        return self.axes[1].whole()
+
     def time(self, t: int) -> tuple[str, float]:
         return self.units, float(self.grid.record(self.times, t))
 
@@ -294,7 +322,20 @@ class _Classic:
         return max(self.grid.end(self.variable, t), self.grid.end(self.times, t))
 
     def rows(self, t: int, first: int, last: int) -> np.ndarray:
-        return self.grid.rows(self.variable, t, first, last).astype(float)
+        if self.gathered is None:
+            return self.grid.rows(self.variable, t, first, last).astype(float)
+        values = np.zeros((last - first, self.axes[1].size))
+        r, c, *_, stored = self.stored(t, first, last)
+        values[r - first, c] = stored
+        return values
+
+    def stored(self, t: int, first: int, last: int) -> tuple[np.ndarray, ...]:
+        """``(r, c, lat, lon, value)`` of the stored cells in rows ``first`` to ``last`` (exclusive)."""
+        places, shape = self.gathered
+        r, c = np.unravel_index(places, shape)
+        inside = (r >= first) & (r < last)
+        r, c = r[inside], c[inside]
+        return r, c, self.axes[0].at(r), self.axes[1].at(c), self.grid.record(self.variable, t).astype(float)[inside]
 
     def __enter__(self):
         return self
@@ -306,6 +347,8 @@ class _Classic:
 class _Netcdf4:
     """Chunks are compressed, so a slice is one band and only reading it shows whether it is whole."""
 
+    gathered = None
+
     def __init__(self, file: str, variable: str, time: str, latitude: str, longitude: str) -> None:
         from netCDF4 import Dataset
 
@@ -395,6 +438,32 @@ def _list(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File)
 
 
+def _shared(files: list[tuple[str, int]], share: int) -> list[Split]:
+    """Whole files, up to ``share`` bytes in a partition; ``OWN_SPLITS`` files or fewer have one each."""
+    room = min(share, sum(size + OPEN_BYTES for _, size in files) // OWN_SPLITS) if len(files) > OWN_SPLITS else 0
+    splits, left = [], 0
+    for file, size in files:
+        left -= size + OPEN_BYTES
+        if left < 0:
+            splits.append(Split([]))
+            left = room - size - OPEN_BYTES
+        splits[-1].files.append((file, size))
+    return splits
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, small batches put together."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.num_rows > BATCH_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _rows(**columns: list) -> pa.RecordBatch:
     """Rows with the given columns; the others are NULL."""
     size = len(columns["kind"])

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridtrack.operators.raster import Raster
 from gridtrack.sinks import netcdf
 from gridtrack.sources import gridfiles
 from tests.grids import MICRO, micro_raster
@@ -90,6 +91,55 @@ def test_no_cells_no_files(spark, tmp_path):
     assert names(tmp_path / "out") == []
 
 
+#: even, uneven, with a gap in its lines, and folded at 180 degrees
+AXES = [-5 + 0.25 * np.arange(2000), np.sort(np.random.default_rng(1).uniform(0, 90, 2000)),
+        np.delete(-5 + 0.25 * np.arange(2002), [7, 900]), np.concatenate([0.25 * np.arange(721), 0.25 * np.arange(-719, 560)])]
+
+
+@pytest.mark.parametrize("lon", AXES, ids=["even", "uneven", "gap", "folded"])
+def test_gathered_grids_are_the_plain_ones(spark, tmp_path, lon):
+    rng = np.random.default_rng(6)
+    rows = [(f"grid{i}.nc", TS.replace(day=1 + i), int(r), int(c), v) for i in range(3)
+            for (r, c), v in zip(rng.integers(0, (3, lon.size), (40, 2)), [float("nan"), 0.0, *rng.normal(0, 9, 38).tolist()])]
+    rows += [("full.nc", TS.replace(day=20), r, c, 1.0 + r + c) for r in range(3) for c in range(lon.size)]
+    rows = spark.createDataFrame(list({row[:4]: row for row in rows}.values()), "file string, ts timestamp_ntz, r int, c int, value double")
+    axes = [spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], f"{line} int, {degrees} double")
+            for a, line, degrees in (([7.0, 8.5, 9.0], "r", "lat"), (lon, "c", "lon"))]
+    domain = Raster(None, *axes, None)
+    for kind in (False, True):
+        netcdf.write_grids(rows, domain, str(tmp_path / str(kind)), "rainfall", "mm", "rain", gathered=kind)
+    sizes = {x.name: x.stat().st_size for x in (tmp_path / "True").glob("*.nc")}
+    assert sorted(sizes) == names(tmp_path / "False") and sizes["full.nc"] == (tmp_path / "False/full.nc").stat().st_size
+    # of an uneven axis all lines are in the file; a plain one has 48,000 bytes of cells besides
+    assert max(x for name, x in sizes.items() if name != "full.nc") < (18_000 if lon is AXES[1] else 2048)
+
+    def read(kind, where):
+        with gridfiles.pushing(spark):
+            found = gridfiles.open_files(spark, str(tmp_path / str(kind)), variable="rainfall").where(where)
+            return sorted((tuple(row) for row in found.withColumn("file", F.element_at(F.split("file", "/"), -1)).collect()), key=repr)
+
+    for where in ("true", "kind = 'cell' AND value > 0", "kind = 'cell' AND value < 0 AND lat > 8 AND lon BETWEEN 20 AND 60", "kind = 'cell' AND value >= 0 AND lon < 1"):
+        found = read(True, where)
+        assert found and found == read(False, where)
+
+
+def test_many_small_files_share_a_partition(tmp_path):
+    axis = np.array([1.0, 2.0])
+    options = {"variable": "v", "units": "mm", "description": "d"}
+    for i in range(700):
+        (tmp_path / f"{i}.nc").write_bytes(netcdf.classic_bytes(np.full((2, 2), float(i + 1)), axis, axis, TS, options))
+    reader = gridfiles.NetcdfReader({"path": str(tmp_path), "variable": "v"})
+    parts = reader.partitions()
+    assert 64 <= len(parts) <= 80
+    read = [list(reader.read(part)) for part in parts]
+    assert all(len(batches) == 1 for batches in read)
+    found = [row for batches in read for row in batches[0].to_pylist() if row["kind"] == "cell"]
+    assert sorted(row["value"] for row in found) == sorted(float(i + 1) for i in range(700) for _ in range(4))
+    assert all(row["file"].endswith(f"/{int(row['value']) - 1}.nc") for row in found)
+    few = gridfiles.NetcdfReader({"path": str(tmp_path), "variable": "v", "split_bytes": "100"}).partitions()
+    assert len(few) > 700  # files of more bytes than that are several
+
+
 def test_products_of_a_run(spark, tmp_path):
     from gridtrack.plans import pipeline
     from gridtrack.sinks import tables

@@ -32,6 +32,17 @@ def test_longitudes_of_the_driver_grid_are_not_folded(spark, wide, name):
     assert found and found == rows(names, want.fetchall())
 
 
+def test_files_of_elements_do_not_grow_with_the_grid(spark, wide, tmp_path, monkeypatch):
+    from gridtrack.plans import queries as plans
+
+    monkeypatch.setattr(plans, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    found = plans.netcdf_round_trip(spark, wide).groupBy("frame", "ce_no").count().collect()
+    sizes = [x.stat().st_size for x in (tmp_path / "element-grids").glob("*.nc")]
+    assert len(sizes) == len(found) > 100
+    # a plain grid takes 192,000 bytes
+    assert sum(sizes) < sum(2000 + 12 * x["count"] for x in found)
+
+
 # 37 columns of 16 rows in 5 days; two groups of four columns have events at noon only, so slices of midnight lack them
 SLICED = """
 SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + (event_id // 592 % 5) * INTERVAL 1 DAY
